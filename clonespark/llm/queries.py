@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from clonespark.llm import bpe, gif
 from clonespark.llm.common import table
 from clonespark.llm.line_dedup import dedup_lines
+from clonespark.llm.packing import pack
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,8 +41,46 @@ FROM docs JOIN kept USING (d)
 """
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 ids."""
+    pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, size=2048)
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_length", "cut"
+    )
+
+
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as frames of GIFs, read back from the stored bytes."""
+    stored = gif.encode_texts(table(spark, sf_dir, "documents"))
+    read = gif.decode_media(stored)
+    shape = F.array_join(F.transform("frames", lambda f: F.format_string("%dx%d@%d", f["width"], f["height"], f["delay_ms"])), ",")
+    counts = F.aggregate("frames", F.array_repeat(F.lit(0), 64), lambda a, f: F.zip_with(a, f["histogram"], lambda x, y: x + y))
+    return read.select(
+        "doc_id", "n_bytes",
+        F.length("samples").cast("long").alias("payload_bytes"),
+        F.sha2("samples", 256).alias("payload_sha256"),
+        F.crc32(F.substring("samples", -16, 16)).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(";", F.size("frames").cast("string"), F.md5(shape), F.array_join(F.filter(counts.cast("array<string>"), lambda x: x != "0"), ",")).alias("feature"),
+    )
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text, and the bytes that they decode to."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ids = bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    told = ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), "ids")
+    return bpe.decode(told, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": op1_line_dedup}
+    return {
+        "op1_line_dedup": op1_line_dedup,
+        "op2_packing": op2_packing,
+        "op4_media_columns": op4_media_columns,
+        "op5_byte_bpe": op5_byte_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
