@@ -12,6 +12,8 @@ from clonespark.llm import bpe, gif
 from clonespark.llm.common import table
 from clonespark.llm.line_dedup import dedup_lines
 from clonespark.llm.packing import pack
+from clonespark.llm.sharding import shard
+from clonespark.llm.topk import top_k
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +51,26 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SHARD_BYTES = 64 << 20
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of at most 64 MiB of text."""
+    return shard(table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
+OP3_SQL = f"""
+WITH d AS (
+  SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS h FROM documents),
+sums AS (
+  SELECT doc_id, n_bytes, h, depth, sum(n_bytes) OVER (PARTITION BY depth, h >> (60 - depth)) AS total
+  FROM d, range(0, 61) AS r(depth) WHERE n_bytes <= {SHARD_BYTES}),
+leaf AS (SELECT doc_id, n_bytes, h, CAST(min(depth) AS INTEGER) AS depth FROM sums WHERE total <= {SHARD_BYTES} GROUP BY ALL)
+SELECT doc_id, n_bytes, depth, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(h >> (60 - depth)), depth, '0') END AS shard, '0' AS page FROM leaf
+"""
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as frames of GIFs, read back from the stored bytes."""
     stored = gif.encode_texts(table(spark, sf_dir, "documents"))
@@ -74,14 +96,31 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(told, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fiftieth vector's 5 best among all others."""
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+OP10_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+SELECT q.vec_id AS query_id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.e, c.e) DESC, c.vec_id) AS INTEGER) AS rank,
+  c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 QUALIFY rank <= 5
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
         "op2_packing": op2_packing,
+        "op3_sharding": op3_sharding,
         "op4_media_columns": op4_media_columns,
         "op5_byte_bpe": op5_byte_bpe,
+        "op10_top_k": op10_top_k,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op3_sharding": OP3_SQL, "op10_top_k": OP10_SQL}
