@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from clonespark.llm import bpe, gif
 from clonespark.llm.common import table
 from clonespark.llm.line_dedup import dedup_lines
+from clonespark.llm.near_dedup import near_dedup
 from clonespark.llm.packing import pack
 from clonespark.llm.sharding import shard
 from clonespark.llm.topk import top_k
@@ -96,6 +97,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(told, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents at 0.8 or more on shingles of two words."""
+    return near_dedup(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fiftieth vector's 5 best among all others."""
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
@@ -118,6 +124,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sharding": op3_sharding,
         "op4_media_columns": op4_media_columns,
         "op5_byte_bpe": op5_byte_bpe,
+        "op7_minhash_near_dedup": op7_minhash_near_dedup,
         "op10_top_k": op10_top_k,
     }
 
