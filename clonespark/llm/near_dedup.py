@@ -121,6 +121,7 @@ def super_minhash(sets: list[np.ndarray], registers: int = REGISTERS) -> np.ndar
     """A row of ``registers`` values for each set: visit number in the high 32 bits, fraction below."""
     full = U(2**64 - 1)
     out = np.full((len(sets), registers), full, np.uint64)
+    visit = np.arange(1, registers + 1, dtype=np.uint64) * BASE
     todo = [i for i, s in enumerate(sets) if len(s)]
     for at in range(0, len(todo), 512):
         rows = todo[at : at + 512]
@@ -129,7 +130,7 @@ def super_minhash(sets: list[np.ndarray], registers: int = REGISTERS) -> np.ndar
         values = np.full((len(rows), registers), full, np.uint64)
         order = None
         for j in range(registers):
-            draw = mix(items + U(j + 1) * BASE)
+            draw = mix(items + visit[j])
             pick = j + ((draw >> U(40)) % U(registers - j)).astype(np.int64)
             if order is None:
                 register = pick
