@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clonespark.llm import bpe, gif
+from clonespark.llm import bpe, gif, quality
 from clonespark.llm.common import table
+from clonespark.llm.html_extract import extract_pages
 from clonespark.llm.line_dedup import dedup_lines
 from clonespark.llm.near_dedup import near_dedup
 from clonespark.llm.packing import pack
+from clonespark.llm.secret_scan import scan_digest
 from clonespark.llm.sharding import shard
 from clonespark.llm.topk import top_k
 
@@ -97,11 +99,29 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(told, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text, learned from labels that aren't held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, net)
+    return scored.select("doc_id", F.coalesce(quality.held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents at 0.8 or more on shingles of two words."""
     return near_dedup(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every whole text: the patterns' and the random field's."""
+    return scan_digest(table(spark, sf_dir, "documents"))
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, by its host's wrapper."""
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fiftieth vector's 5 best among all others."""
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
@@ -124,7 +144,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sharding": op3_sharding,
         "op4_media_columns": op4_media_columns,
         "op5_byte_bpe": op5_byte_bpe,
+        "op6_quality": op6_quality,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
+        "op8_secret_scan": op8_secret_scan,
+        "op9_html_extraction": op9_html_extraction,
         "op10_top_k": op10_top_k,
     }
 

@@ -387,8 +387,11 @@ def told(spans: str = "spans") -> dict[str, Column]:
     def joined(x: Column) -> Column:
         return F.array_join(F.transform(x, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
+    def count(kind: str) -> Column:
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
     base = F.filter(spans, lambda s: s["kind"] != "crf")
-    out = {f"n_{k}": F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("long") for k in KINDS[:3]}
+    out = {f"n_{k}": count(k) for k in KINDS[:3]}
     return out | {"base_sha256": F.sha2(joined(base), 256), "spans": joined(F.col(spans))}
 
 
