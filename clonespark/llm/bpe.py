@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import base64
 import heapq
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,7 +27,92 @@ from clonespark.llm.common import text_of
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
-class Ranks:
+class Merges:
+    """Mergeable pairs of ids, replayed in the order of the ids that they make."""
+
+    def __init__(self, pairs: dict[tuple[int, int], int]):
+        made = {a << 32 | b: r for (a, b), r in pairs.items()}
+        self.keys = np.array(sorted(made), np.int64)
+        self.merged = np.array([made[k] for k in self.keys.tolist()], np.int64)
+
+    def of_pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """What pairs of ids make, -1 for those that can't merge."""
+        keys = a << 32 | b
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.merged[at], -1)
+
+    def replay(self, ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
+        """The little-endian 32-bit ids of each word of ``lengths`` first ids, which change in place."""
+        ends = np.cumsum(lengths)
+        n = len(ids)
+        if not n:
+            return [b""] * len(lengths)
+        last = np.zeros(n, bool)
+        last[ends[lengths > 0] - 1] = True
+        right, left = np.arange(1, n + 1), np.arange(-1, n - 1)
+        right[last] = -1
+        left[np.append(0, np.flatnonzero(last)[:-1] + 1)] = -1
+        # the rank of the pair that starts at a place, and the index from ranks to places
+        pair = np.full(n, -1)
+        inner = np.flatnonzero(~last)
+        pair[inner] = self.of_pairs(ids[inner], ids[inner + 1])
+        places: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def enter(at: np.ndarray) -> None:
+            r = pair[at]
+            at = at[r >= 0]
+            if not len(at):
+                return
+            at = at[np.argsort(pair[at], kind="stable")]
+            r = pair[at]
+            bounds = np.flatnonzero(r[1:] != r[:-1]) + 1
+            for rank, some in zip(r[np.append(0, bounds)].tolist(), np.split(at, bounds) if len(bounds) else [at], strict=True):
+                if rank in places:
+                    places[rank].append(some)
+                else:
+                    places[rank] = [some]
+                    heapq.heappush(heap, rank)
+
+        enter(inner)
+        while heap:
+            r = heapq.heappop(heap)
+            some = places.pop(r)
+            at = some[0] if len(some) == 1 else np.unique(np.concatenate(some))
+            at = at[pair[at] == r]
+            j = right[at]
+            if len(at) > 1 and (j[:-1] == at[1:]).any():  # a run of one id: pairs overlap, the left one goes first
+                keep, gone = [], -1
+                for p, q in zip(at.tolist(), j.tolist(), strict=True):
+                    if p != gone:
+                        keep.append(p)
+                        gone = q
+                at = np.array(keep)
+                j = right[at]
+            if not len(at):
+                continue
+            k = right[j]
+            ids[at], ids[j], pair[j], pair[at] = r, -1, -1, -1
+            right[at] = k
+            after = k >= 0
+            on = at[after]
+            left[k[after]] = on
+            pair[on] = self.of_pairs(ids[on], ids[right[on]])
+            h = left[at]  # as it is now: a left neighbour may have merged as well
+            h = h[h >= 0]
+            pair[h] = self.of_pairs(ids[h], ids[right[h]])
+            enter(np.concatenate([on, h]))
+        flat = ids[ids >= 0].astype("<i4").tobytes()
+        stops = (4 * np.cumsum(ids >= 0)[np.maximum(ends, 1) - 1]).tolist()
+        out, at = [], 0
+        for stop, length in zip(stops, lengths.tolist(), strict=True):
+            stop = stop if length else at
+            out.append(flat[at:stop])
+            at = stop
+        return out
+
+
+class Ranks(Merges):
     """The ranks of a file of lines "base64-of-token rank"."""
 
     def __init__(self, path: str):
@@ -37,66 +121,17 @@ class Ranks:
         self.token = [b""] * (max(self.rank.values(), default=-1) + 1)
         for token, i in self.rank.items():
             self.token[i] = token
-        self.byte = [self.rank[bytes([i])] for i in range(256)]
-        self.pair: dict[int, int] = {}
-
-    def of_pair(self, a: int, b: int) -> int:
-        """The rank of a neighbouring pair, -1 if it can't merge."""
-        key = a << 32 | b
-        r = self.pair.get(key)
-        if r is None:
-            r = self.rank.get(self.token[a] + self.token[b], -1)
-            if len(self.pair) < 2_000_000:
-                self.pair[key] = r
-        return r
-
-    def replay(self, words: list[bytes]) -> list[array]:
-        """The ids of each word."""
-        of_pair, byte = self.of_pair, self.byte
-        ids, right, left, starts = [], [], [], []
-        places: dict[int, list[int]] = {}
-        for word in words:
-            starts.append(at := len(ids))
-            whole = self.rank.get(word)
-            n = len(word)
-            if whole is not None and n > 1:  # a token as a whole: what the merges come to
-                ids.append(whole)
-                right.append(-1)
-                left.append(-1)
-                continue
-            ids.extend([byte[x] for x in word])
-            right.extend(range(at + 1, at + n))
-            if n:
-                right.append(-1)
-                left.append(-1)
-            left.extend(range(at, at + n - 1))
-            for i in range(at, at + n - 1):
-                if (r := of_pair(ids[i], ids[i + 1])) >= 0:
-                    places.setdefault(r, []).append(i)
-        heap = list(places)
-        heapq.heapify(heap)
-        while heap:
-            r = heapq.heappop(heap)
-            for i in sorted(places.pop(r)):
-                j = right[i]
-                if ids[i] < 0 or j < 0 or of_pair(ids[i], ids[j]) != r:
-                    continue
-                ids[i], ids[j] = r, -1
-                right[i] = k = right[j]
-                if k >= 0:
-                    left[k] = i
-                    if (s := of_pair(r, ids[k])) >= 0:
-                        if s not in places:
-                            places[s] = []
-                            heapq.heappush(heap, s)
-                        places[s].append(i)
-                if (h := left[i]) >= 0 and (s := of_pair(ids[h], r)) >= 0:
-                    if s not in places:
-                        places[s] = []
-                        heapq.heappush(heap, s)
-                    places[s].append(h)
-        starts.append(len(ids))
-        return [array("i", [x for x in ids[a:b] if x >= 0]) for a, b in zip(starts, starts[1:], strict=False)]
+        self.byte = np.array([self.rank[bytes([i])] for i in range(256)], np.int64)
+        pairs = {}
+        for token, r in self.rank.items():
+            for cut in range(1, len(token)):
+                a, b = self.rank.get(token[:cut]), self.rank.get(token[cut:])
+                if a is not None and b is not None:
+                    pairs[a, b] = r
+        super().__init__(pairs)
+
+    def of_words(self, words: list[bytes]) -> list[bytes]:
+        return self.replay(self.byte[np.frombuffer(b"".join(words), np.uint8)], np.array([len(w) for w in words], np.int64))
 
 
 class Encoder:
@@ -107,13 +142,14 @@ class Encoder:
         self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]"))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Native-endian 32-bit ids of each text."""
+        """Little-endian 32-bit ids of each text."""
         if len(self.known) > self.keep:
             self.known = {}
-        words = [self.pattern.findall(t) for t in texts]
-        new = list(set().union(*words) - self.known.keys()) if words else []
-        for word, ids in zip(new, self.ranks.replay([w.encode() for w in new]), strict=True):
-            self.known[word] = ids.tobytes()
+        one: dict[str, str] = {}  # a string for each distinct word, not for each match
+        words = [list(map(one.setdefault, w, w)) for w in map(self.pattern.findall, texts)]
+        new = [w for w in one if w not in self.known]
+        for word, ids in zip(new, self.ranks.of_words([w.encode() for w in new]), strict=True):
+            self.known[word] = ids
         get = self.known.__getitem__
         return [b"".join(map(get, w)) for w in words]
 
@@ -128,7 +164,7 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 4_000_000) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 8_000_000) -> DataFrame:
     """(doc_id, ids array<int>) of the whole texts, by the ranks of ``path``.
 
     Null and empty texts have no ids.  A null doc_id stays null; repeated rows
@@ -139,15 +175,15 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(doc_ids, texts):
             found = encoder(path, pattern).encode(texts)
-            flat = np.frombuffer(b"".join(found), np.int32)
+            flat = np.frombuffer(b"".join(found), "<i4")
             offsets = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)
             return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "ids"])
 
         for batch in batches:
             doc_ids, texts, size = [], [], 0
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                doc_ids.append(i)
-                texts.append(text)
+            for i, text in zip(batch.column(0), batch.column(1), strict=True):
+                doc_ids.append(i.as_py())
+                texts.append(text := text.as_py())
                 size += len(text)
                 if size >= block_chars:
                     yield out(doc_ids, texts)
@@ -169,8 +205,11 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decod
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = ranks(path).token
         for batch in batches:
-            ids = batch.column(len(others))
-            texts = [None if x is None else b"".join(map(token.__getitem__, x)) for x in ids.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(texts, pa.binary())], names=[*others, out_col])
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                ids = part.column(len(others))
+                flat, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy().tolist()
+                texts = [b"".join(map(token.__getitem__, flat[a:b].tolist())) if valid else None for a, b, valid in zip(ends, ends[1:], ids.is_valid().to_pylist(), strict=False)]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(others)], pa.array(texts, pa.binary())], names=[*others, out_col])
 
     return df.select(*others, ids_col).mapInArrow(run, schema)
