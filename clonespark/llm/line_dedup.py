@@ -62,7 +62,8 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
     lines = F.split(F.col(text_col), "\n", -1)
     kept = F.filter(lines, lambda _, i: ~F.exists("__g", lambda g: (i >= g["s"]) & (i < g["e"])))
     n = F.coalesce(F.size(lines), F.lit(1))
-    out = keyed.join(gone, ["__d", "__t"], "left")
+    # the rows of texts are many times the intervals: one plan for every size
+    out = keyed.join(gone.hint("merge"), ["__d", "__t"], "left")
     out = out.withColumn("__k", F.when(F.col("__g").isNotNull(), kept))
     names = {c: F.col(c) for c in others}
     names[text_col] = F.when(F.col("__k").isNotNull(), F.array_join("__k", "\n")).otherwise(F.col(text_col)).alias(text_col)
