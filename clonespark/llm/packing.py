@@ -11,12 +11,15 @@ queue keeps; windows of a power of two of ``min_exact`` ids or more are tried
 beside it.
 
 Documents stay in the order of the scan; nothing is shuffled.  A task holds one
-block of ``block_ids`` ids (or one longer document) at a time.
+block of ``block_ids`` ids (or one longer document) at a time, and makes ids
+for ``block_chars`` characters (or one longer text) at once.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,42 +28,78 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clonespark.llm.bpe import Merges
 from clonespark.llm.common import text_of
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_length long, cut string"
 
 
+#: Words of these characters only are normalised by lower-casing and nothing else.
+PLAIN = re.compile("[!-~\xa1-\u024f]+").fullmatch
+
+
 class Pieces:
-    """Ids of texts by a `tokenizers` file whose words end at white space.
+    """Ids of texts by a `tokenizers` file of a BPE with word ends.
 
     Ids are made once for each distinct stretch between blanks and line feeds
     (neither merges nor normalisation cross those) and kept, up to ``keep``.
+    Stretches of plain Latin are split by the file's pattern and all new pieces'
+    merges are replayed together; others go through the library.
     """
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.keep, self.known = keep, {"": b""}
-        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.keep, self.known, self.made = keep, {"": b""}, {}
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        vocab, end = told["model"]["vocab"], told["model"]["end_of_word_suffix"]
+        self.pattern = regex.compile(told["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        merges = [x if isinstance(x, list) else x.split(" ") for x in told["model"]["merges"]]
+        self.merges = Merges({(vocab[a], vocab[b]): vocab[a + b] for a, b in merges})
+        if sorted(self.merges.merged.tolist()) != [vocab[a + b] for a, b in merges]:
+            raise ValueError("the ids of merged tokens aren't in the order of the merges")
+        # bytes as the file writes them: printable ones as they are, others from U+0100 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = iter(range(256, 512))
+        sign = [chr(i) if i in plain else chr(next(others)) for i in range(256)]
+        self.byte = np.array([vocab[c] for c in sign], np.int64)
+        self.last_byte = np.array([vocab[c + end] for c in sign], np.int64)
         self.sentence_end = np.zeros(max(vocab.values()) + 1, bool)
         for word, i in vocab.items():
-            self.sentence_end[i] = word.removesuffix("</w>").endswith((".", "!", "?")) and word.endswith("</w>")
+            self.sentence_end[i] = word.endswith((f".{end}", f"!{end}", f"?{end}"))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.known) > self.keep:
-            self.known = {"": b""}
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*words) - self.known.keys()) if words else []
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+            self.known, self.made = {"": b""}, {}
+        unknown: set[str] = set()
+        for t in texts:  # split again below: the words of a block take more room than its texts
+            unknown.update(t.replace("\n", " ").split(" "))
+        unknown.difference_update(self.known)
+        split, rest = {}, []
+        for w in unknown:
+            if PLAIN(w):
+                split[w] = self.pattern.findall(w.lower())
+            else:
+                rest.append(w)
+        new = list({p for x in split.values() for p in x if p not in self.made})
+        raw = [p.encode() for p in new]
+        data, ends = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(x) for x in raw], dtype=np.int64)
+        ids = self.byte[data]
+        ids[ends - 1] = self.last_byte[data[ends - 1]]
+        self.made.update(zip(new, self.merges.replay(ids, np.diff(ends, prepend=0)), strict=True))
+        made = self.made.__getitem__
+        for w, x in split.items():
+            self.known[w] = made(x[0]) if len(x) == 1 else b"".join(map(made, x))
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.known[w] = np.array(e.ids, "<u4").tobytes()
+        known = self.known.__getitem__
+        return [b"".join(map(known, t.replace("\n", " ").split(" "))) for t in texts]
 
 
 @lru_cache(2)
@@ -123,7 +162,7 @@ def cut_places(ids: np.ndarray, ends: np.ndarray, sentence_end: np.ndarray, stri
 
 def pack(
     docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = 2048, id_col: str = "doc_id", text_col: str = "text",
-    sentence_penalty: float = 16, inside_penalty: float = 128, stride: int = 64, min_exact: int = 64, block_ids: int = 1_000_000,
+    sentence_penalty: float = 16, inside_penalty: float = 128, stride: int = 64, min_exact: int = 64, block_ids: int = 1_000_000, block_chars: int = 8_000_000,
 ) -> DataFrame:
     """Pack ``docs`` into sequences of at most ``size`` ids; a row for each piece.
 
@@ -171,15 +210,25 @@ def pack(
                 doc_ids, held, total = [], [], 0
                 yield out
 
+        def take(ids: list, texts: list[str]):
+            nonlocal total
+            for i, x in zip(ids, pieces(tokenizer).encode(texts), strict=True):
+                doc_ids.append(i)
+                held.append(x + end)
+                total += len(x) // 4 + 1
+                if total >= block_ids:
+                    yield from flush()
+
+        ids, texts, size_ = [], [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for i, x in zip(part.column(0).to_pylist(), pieces(tokenizer).encode(part.column(1).to_pylist()), strict=True):
-                    doc_ids.append(i)
-                    held.append(x + end)
-                    total += len(x) // 4 + 1
-                    if total >= block_ids:
-                        yield from flush()
+            for i, text in zip(batch.column(0), batch.column(1), strict=True):
+                ids.append(i.as_py())
+                texts.append(text.as_py())
+                size_ += len(texts[-1])
+                if size_ >= block_chars:
+                    yield from take(ids, texts)
+                    ids, texts, size_ = [], [], 0
+        yield from take(ids, texts)
         yield from flush()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, SCHEMA)
