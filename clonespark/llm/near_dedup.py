@@ -9,9 +9,10 @@
 3. Classes that agree on all registers of a band meet in a bucket.  Each is
    first verified against the bucket's hub, the member that meets most others,
    so a group of n near copies costs n pairs, and union-find joins them.
-4. What is left are buckets that still hold several components.  Their members
-   meet as blocks of bounded size, and pairs of different components whose
-   signatures leave a chance are verified too, so hubs lose no link.
+4. What is left are buckets that still hold several components.  Members beside
+   the hub's component meet all members as blocks of bounded size; pairs of
+   different components are verified there, so hubs lose no link, and only
+   links leave the task, never pairs.
 
 Links are confirmed on the full sets.  Candidates come from signatures: with
 28 bands of 5 registers a pair at a similarity of 0.8 shares no bucket with a
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clonespark.llm.common import cut, drop, text_of
@@ -111,7 +112,7 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
         if count >= width:
             out.append(np.unique(grams[start : end - width + 1]))
         elif count:
-            out.append(mix((words[start:end] * SALT[1 : 1 + count]).sum(keepdims=True, dtype=np.uint64) + U(count) * SALT[40]))
+            out.append(mix((words[start:end] * SALT[1 : 1 + count]).sum(keepdims=True, dtype=np.uint64) + U(count % 2**32) * SALT[40 : 41]))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -208,17 +209,19 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, items binary")
 
 
+def _linked(x: pa.Scalar, y: pa.Scalar, percent: int) -> bool:
+    p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+    at = np.searchsorted(q, p)
+    both = int((q[np.minimum(at, len(q) - 1)] == p).sum())
+    return 100 * both >= percent * (len(p) + len(q) - both)
+
+
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.searchsorted(q, p)
-                both = int((q[np.minimum(at, len(q) - 1)] == p).sum())
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
+            keep = [_linked(x, y, percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
 
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
@@ -267,7 +270,7 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
         features.where("n > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")),
         "classes",
     )
-    keys = classes.select("rep", "n", F.explode("bands").alias("key"))
+    keys = classes.select("rep", "n", F.posexplode("bands").alias("band", "key"))
     crowded = cut(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "crowded")
     members = cut(keys.join(crowded, "key"), "members")
 
@@ -283,21 +286,23 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     links = cut(verify(pairs, sets, percent), "links")
     roots = components(links)
 
-    # buckets of several components: what hubs could not settle
+    # buckets of several components: members beside the hub's component meet all members
     named = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    split = cut(named.where("c > 2").groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size"), "split")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    sigs = classes.select("rep", "n", "sig")
-    listed = (
-        named.join(split, "key").join(sigs, ["rep", "n"])
-        .groupBy("key", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("block"))
-        .agg(F.collect_list(F.struct("rep", "root", "n", "sig")).alias("members"))
-    )
-    listed = cut(listed, "blocks")
-    left = listed.withColumn("other", F.explode(F.sequence("block", F.col("blocks") - 1)))
-    right = listed.select("key", F.col("block").alias("other"), F.col("members").alias("others"))
-    more = cut(left.join(right, ["key", "other"]).select("members", "others").mapInArrow(_candidates(percent), "a long, b long").distinct(), "more")
-    links2 = cut(verify(more, sets, percent), "links")
+    of_hub = hubs.join(roots.withColumnRenamed("node", "hub"), "hub", "left").select("key", F.coalesce("root", "hub").alias("hub_root"))
+    named = named.where("c > 2").join(of_hub, "key").withColumn("minor", F.col("root") != F.col("hub_root"))
+    split = cut(named.where("minor").groupBy("key").agg(F.count("*").alias("minors")), "split")
+    met = cut(named.join(split, "key").select("key", "band", "rep", "n", "root", "minor", F.ceil(F.col("minors") / BLOCK).cast("int").alias("lb"), F.ceil(F.col("c") / BLOCK).cast("int").alias("rb")), "met")
+    data = classes.select("rep", "n", "sig").join(met.select("rep").distinct(), "rep", "left_semi").join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    told = met.join(cut(data, "data"), ["rep", "n"])
+    item = F.struct("rep", "root", "n", "minor", "sig", "items")
+
+    def in_block(of: str) -> Column:
+        return F.pmod(F.xxhash64("rep"), F.col(of)).cast("int")
+
+    left = told.where("minor").groupBy("key", "band", "rb", in_block("lb").alias("block")).agg(F.collect_list(item).alias("members"))
+    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("rb") - 1)))
+    right = told.groupBy("key", in_block("rb").alias("other")).agg(F.collect_list(item).alias("others"))
+    links2 = cut(left.join(right, ["key", "other"]).select("band", "members", "others").mapInArrow(_settled(percent), "a long, b long").distinct(), "links")
     if not links2.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links2))
 
@@ -307,25 +312,43 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _candidates(percent: int):
-    """Pairs of two blocks of different components whose sizes fit and whose
-    signatures agree as often as a link's would, less 4.4 standard deviations."""
+def _settled(percent: int):
+    """Links between two blocks of a bucket's members: a pair is looked at in
+    the first band that it shares, if its components differ, its sizes fit, and
+    its signatures agree as often as a link's would, less 4.4 standard
+    deviations; it is confirmed on the full sets unless links found here have
+    joined the two already."""
     share = percent / 100
     least = (share - 4.4 * (share * (1 - share) / REGISTERS) ** 0.5) * REGISTERS
 
-    def block(column, i) -> tuple[np.ndarray, ...]:
+    def block(column, i) -> tuple:
         items = column[i].values
-        ids, roots, n = (items.field(k).to_numpy(zero_copy_only=False) for k in ("rep", "root", "n"))
-        return ids, roots, n, np.frombuffer(b"".join(items.field("sig").to_pylist()), np.uint16).reshape(len(ids), REGISTERS)
+        ids, roots, n, minor = (items.field(k).to_numpy(zero_copy_only=False) for k in ("rep", "root", "n", "minor"))
+        return ids, roots, n, minor, np.frombuffer(b"".join(items.field("sig").to_pylist()), np.uint16).reshape(len(ids), REGISTERS), items.field("items")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                (x, rx, nx, sx), (y, ry, ny, sy) = block(batch.column(0), i), block(batch.column(1), i)
+                band = batch.column(0)[i].as_py()
+                (x, rx, nx, _, sx, ix), (y, ry, ny, my, sy, iy) = block(batch.column(1), i), block(batch.column(2), i)
                 fit = (rx[:, None] != ry) & (np.minimum(nx[:, None], ny) * 100 >= np.maximum(nx[:, None], ny) * percent)
+                fit &= ~my | (x[:, None] > y)  # two beside the hub's component meet from both sides
                 p, q = np.nonzero(fit)
-                near = (sx[p] == sy[q]).sum(1) >= least
-                a, b = x[p[near]], y[q[near]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b), pa.int64()), pa.array(np.minimum(a, b), pa.int64())], names=["a", "b"])
+                same = sx[p] == sy[q]
+                near = (same.sum(1) >= least) & (same.reshape(-1, BANDS, IN_BAND).all(2).argmax(1) == band)
+                of: dict[int, int] = {}
+
+                def find(r: int) -> int:
+                    while r in of:
+                        r = of[r]
+                    return r
+
+                out = []
+                for a, b in zip(p[near].tolist(), q[near].tolist(), strict=True):
+                    ra, rb = find(int(rx[a])), find(int(ry[b]))
+                    if ra != rb and _linked(ix[a], iy[b], percent):
+                        of[max(ra, rb)] = min(ra, rb)
+                        out.append((max(int(x[a]), int(y[b])), min(int(x[a]), int(y[b]))))
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], names=["a", "b"])
 
     return run
