@@ -1 +1 @@
-"""Immune-repertoire analytics on Spark."""
+"""Column functions: sequences, qualities, cigars, motifs and abundance thresholds."""

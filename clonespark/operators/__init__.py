@@ -1 +1 @@
-"""Immune-repertoire analytics on Spark."""
+"""Operators over reads: alignment, classification, extension, correction, annotation."""

@@ -1 +1 @@
-"""Immune-repertoire analytics on Spark."""
+"""The catalogue, parameters, and the plan of a whole run."""

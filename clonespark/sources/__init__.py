@@ -1 +1 @@
-"""Immune-repertoire analytics on Spark."""
+"""Reading sequencing files and reference tables, and writing results."""
