@@ -5,8 +5,10 @@ All readers split plain files; a gzip file is one task, as its format demands.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,21 +39,45 @@ def read_fasta(spark: SparkSession, path: str, sample_id: str = "", file_idx: in
 def read_fastq(spark: SparkSession, path: str, sample_id: str = "", file_idx: int = 1) -> DataFrame:
     """Reads of a four-line FASTQ file, plain or .gz.
 
-    Records are framed at "\\n@" where the third line starts with "+", so a file
-    splits; a quality line that starts with @ is put back to its record.
+    A file is split at each "\\n@", so its parts are read where they lie.  A
+    quality line that starts with @ comes apart from its record and is put back:
+    in its task, or, where the file's parts were cut between the two, by a join
+    of what such cuts left, a row or two for each part.
     """
-    piece = spark.read.option("lineSep", "\n@").text(path).withColumn("id", F.monotonically_increasing_id())
-    first = F.regexp_replace("value", r"^@", "")
-    # a piece is a whole record, or a head that ends at its "+" line, followed by its quality
-    lines = F.split(F.regexp_replace(first, r"\r", ""), "\n", -1)
-    head = (F.size(lines) == 3) & F.get(lines, F.lit(2)).startswith("+")
-    part = piece.select("id", lines.alias("l"), head.alias("head"), F.spark_partition_id().alias("task"))
-    later = F.lead(F.get("l", F.lit(0))).over(Window.partitionBy("task").orderBy("id"))
-    whole = part.withColumn("q", F.when(F.col("head"), F.concat(F.lit("@"), later)).otherwise(F.get("l", F.lit(3))))
-    rows = whole.where(F.get("l", F.lit(2)).startswith("+")).select(
-        F.regexp_extract(F.get("l", F.lit(0)), r"^(\S*)", 1).alias("qname"), F.upper(F.get("l", F.lit(1))).alias("seq"), F.col("q").alias("qual")
-    )
-    return _tagged(rows.where("length(seq) = length(qual)"), sample_id, file_idx)
+    piece = spark.read.option("lineSep", "\n@").text(path).select("value", "_metadata.file_path", F.col("_metadata.file_block_start").alias("start"))
+
+    def frame(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        head, at = None, None
+        for pdf in batches:
+            out = []
+            for value, file, start in zip(pdf["value"], pdf["file_path"], pdf["start"], strict=True):
+                if at != (file, start):
+                    if head:
+                        out.append((*head, None, *at))
+                    head, at = None, (file, start)
+                lines = value.replace("\r", "").split("\n")
+                if len(lines) >= 3 and lines[2].startswith("+"):
+                    if head:
+                        out.append((*head, None, *at))
+                    head = (lines[0].removeprefix("@").split(" ")[0].split("\t")[0], lines[1].upper())
+                    if len(lines) > 3:
+                        out.append((*head, lines[3], *at))
+                        head = None
+                elif value:
+                    name, seq = head or (None, None)
+                    out.append((name, seq, "@" + lines[0], *at))
+                    head = None
+            yield pd.DataFrame(out, columns=["qname", "seq", "qual", "file", "start"])
+        if head:
+            yield pd.DataFrame([(*head, None, *at)], columns=["qname", "seq", "qual", "file", "start"])
+
+    rows = piece.mapInPandas(frame, "qname string, seq string, qual string, file string, start long")
+    whole = rows.where("qname IS NOT NULL AND qual IS NOT NULL").select("qname", "seq", "qual")
+    # a part's open head goes with the next part's open tail
+    in_file = Window.partitionBy("file").orderBy("start", F.col("qname").isNotNull())
+    cut = rows.where("qname IS NULL OR qual IS NULL").withColumn("qual", F.lead("qual").over(in_file))
+    mended = cut.where("qname IS NOT NULL AND qual IS NOT NULL").select("qname", "seq", "qual")
+    return _tagged(whole.unionByName(mended).where("length(seq) = length(qual)"), sample_id, file_idx)
 
 
 def read_pairs(spark: SparkSession, first: str, second: str, sample_id: str = "") -> DataFrame:
