@@ -27,7 +27,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--bowsc", type=int, default=12, help="least alignment score")
     p.add_argument("--penality", type=int, default=1, help="accepted and not used")
     p.add_argument("--sc", action="store_true", help="single cell")
-    p.add_argument("--bam", action="store_true", help="inputs are alignments (SAM text)")
+    p.add_argument("--bam", action="store_true", help="inputs are alignments (.bam or .sam)")
     p.add_argument("--debug", action="store_true", help="log plans")
     p.add_argument("--proV", action="append", default=[], help="V alignments (SAM)")
     p.add_argument("--proJ", action="append", default=[], help="J alignments (SAM)")
@@ -51,10 +51,8 @@ def main(argv: list[str] | None = None) -> int:
         table = from_alignments(v, j, *segments, params, io.read_probabilities(spark, a.prob) if a.prob else None)
         io.write_clonotypes(table.drop("sample_id"), a.output[0], a.chain, a.region)
         return 0
-    if a.bam:
-        table_files = a.file
-        if any(not f.lower().removesuffix(".gz").endswith(".sam") for f in table_files):
-            raise SystemExit("binary alignments can't be read; turn them into SAM text")
+    if a.bam and not all(f.lower().removesuffix(".gz").endswith((".bam", ".sam")) for f in a.file):
+        raise SystemExit("--bam needs files that end in .bam or .sam")
     run(spark, a.f1 or a.file, a.output, params, a.resources, a.f2 or None, a.prob)
     return 0
 

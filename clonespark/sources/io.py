@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clonespark.functions.dna import FILLED
+from clonespark.sources.bam import read_bam
 
 READ_COLUMNS = ("sample_id", "file_idx", "qname", "seq", "qual")
 
@@ -94,12 +95,14 @@ def read_samples(spark: SparkSession, files: list[str], names: list[str], mates:
 
 
 def any_reads(spark: SparkSession, path: str, sample_id: str = "", file_idx: int = 1) -> DataFrame:
-    """Reads by the file's name: .fa/.fasta, .sam, else FASTQ; .gz after either."""
+    """Reads by the file's name: .fa/.fasta, .sam, .bam, else FASTQ; .gz after a text."""
     name = path.lower().removesuffix(".gz")
     if name.endswith((".fa", ".fasta", ".fna")):
         return read_fasta(spark, path, sample_id, file_idx)
     if name.endswith(".sam"):
         return sam_reads(read_sam(spark, path, "", sample_id, file_idx))
+    if name.endswith(".bam"):
+        return sam_reads(read_bam(spark, path, "", sample_id, file_idx))
     return read_fastq(spark, path, sample_id, file_idx)
 
 

@@ -2,6 +2,7 @@
 
 import gzip
 import random
+import struct
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from clonespark.plans import queries
 from clonespark.plans.catalogue import Catalogue, Chain, Params
 from clonespark.plans.repertoire import from_reads, run
 from clonespark.sources import io
+from clonespark.sources.bam import read_bam
 
 DRAW = random.Random(11)
 
@@ -51,6 +53,24 @@ def test_fasta_sam_prob(spark, tmp_path):
     assert (1, "A", 0.2) in {tuple(r) for r in io.read_probabilities(spark, str(tmp_path / "p.csv")).collect()}
 
 
+def test_bam(spark, tmp_path):
+    def record(name, flag, ref, pos, cigar, seq, qual, tags):
+        packed = bytearray((len(seq) + 1) // 2)
+        for i, c in enumerate(seq):
+            packed[i // 2] |= "=ACMGRSVTWYHKDBN".index(c) << (0 if i % 2 else 4)
+        body = struct.pack("<iiBBHHHiiii", ref, pos, len(name) + 1, 9, 0, len(cigar), flag, len(seq), -1, -1, 0) + name.encode() + b"\0"
+        body += b"".join(struct.pack("<I", n << 4 | "MIDNSHP=X".index(o)) for n, o in cigar) + bytes(packed) + bytes(ord(q) - 33 for q in qual) + tags
+        return struct.pack("<i", len(body)) + body
+
+    data = b"BAM\1" + struct.pack("<i", 3) + b"@HD" + struct.pack("<i", 1) + struct.pack("<i", 3) + b"g1\0" + struct.pack("<i", 99)
+    data += record("q1", 16, 0, 2, [(2, "S"), (5, "M")], "ACGTACG", "IIIIII5", b"XZZhey\0ASC\x0cNMs\x01\0XBBc\x02\0\0\0\1\2")
+    data += record("q2", 4, -1, -1, [], "ACN", "III", b"")
+    (tmp_path / "a.bam").write_bytes(gzip.compress(data[:40]) + gzip.compress(data[40:]))
+    rows = read_bam(spark, str(tmp_path / "a.bam"), "V").orderBy("qname").collect()
+    assert [tuple(r)[3:] for r in rows] == [("q1", 16, "g1", 3, "2S5M", 12, 1, "ACGTACG", "IIIIII5"), ("q2", 4, "*", 0, "*", None, None, "ACN", "III")]
+    assert {(r.qname, r.seq, r.qual) for r in io.any_reads(spark, str(tmp_path / "a.bam")).collect()} == {("q1", "CGTACGT", "5IIIIII"), ("q2", "ACN", "III")}
+
+
 def test_align_finds_gene_and_strand(spark):
     refs = [(f"V{i}", bases(80)) for i in range(20)]
     rows, want = [], {}
