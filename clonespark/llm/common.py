@@ -2,56 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Stands for a missing id inside an operator, so that keys join and order.
-NO_ID = -(2**63)
+from clonespark.staging import clean, cut, drop, shared_dir
 
+__all__ = ["NO_ID", "clean", "cut", "drop", "shared_dir", "table", "text_of"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; where
-    that is unset (local tests) a temporary folder, which is then set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="clonespark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table of the shared folder and read it again.
-
-    That cuts lineage: a lost executor costs a re-read, never a recomputation,
-    and ranks or ids given while writing stay what they are.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._clonespark_path = path
-    return out
-
-
-def drop(*tables: DataFrame) -> None:
-    """Delete tables made by :func:`cut` that nothing reads any more."""
-    for df in tables:
-        path = getattr(df, "_clonespark_path", None)
-        if path:
-            sc = df.sparkSession.sparkContext
-            jpath = sc._jvm.org.apache.hadoop.fs.Path(path)
-            jpath.getFileSystem(sc._jsc.hadoopConfiguration()).delete(jpath, True)
-
-
-def clean(spark: SparkSession) -> None:
-    """Delete every table that :func:`cut` left; for the end of a job, once
-    the operators' results have been written."""
-    sc = spark.sparkContext
-    jpath = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tables")
-    jpath.getFileSystem(sc._jsc.hadoopConfiguration()).delete(jpath, True)
+#: Stands for a missing id inside an operator, so that keys join and order.
+NO_ID = -(2**63)
 
 
 def text_of(col: str | Column = "text") -> Column:
