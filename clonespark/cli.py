@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import argparse
+import logging
 
 from pyspark.sql import SparkSession
 
 from clonespark.plans.catalogue import AUTO_K, Params
 from clonespark.plans.repertoire import from_alignments, run
 from clonespark.sources import io
+from clonespark.staging import clean
 
 
 def parser() -> argparse.ArgumentParser:
@@ -28,7 +30,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--penality", type=int, default=1, help="accepted and not used")
     p.add_argument("--sc", action="store_true", help="single cell")
     p.add_argument("--bam", action="store_true", help="inputs are alignments (.bam or .sam)")
-    p.add_argument("--debug", action="store_true", help="log plans")
+    p.add_argument("--debug", action="store_true", help="keep the tables between steps")
     p.add_argument("--proV", action="append", default=[], help="V alignments (SAM)")
     p.add_argument("--proJ", action="append", default=[], help="J alignments (SAM)")
     p.add_argument("--resources", required=True, help="folder of the gene segments")
@@ -43,6 +45,8 @@ def main(argv: list[str] | None = None) -> int:
     params = Params(species=a.species, chain=a.chain, region=a.region, kmer=a.kmer, min_score=a.bowsc, single_cell=a.sc, compat=a.compat)
     if a.catalogue:
         params.catalogue.load(a.catalogue)
+    logging.basicConfig(level=logging.INFO, format="[%(asctime)s] %(message)s")
+    logging.getLogger("py4j").setLevel(logging.WARNING)
     entry = params.entry()
     spark = SparkSession.builder.master(f"local[{a.thread}]").appName("clonespark").getOrCreate()
     if a.proV or a.proJ:
@@ -54,6 +58,8 @@ def main(argv: list[str] | None = None) -> int:
     if a.bam and not all(f.lower().removesuffix(".gz").endswith((".bam", ".sam")) for f in a.file):
         raise SystemExit("--bam needs files that end in .bam or .sam")
     run(spark, a.f1 or a.file, a.output, params, a.resources, a.f2 or None, a.prob)
+    if not a.debug:
+        clean(spark)
     return 0
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from clonespark.plans.catalogue import AUTO_K, Params
 from clonespark.sources import io
 from clonespark.staging import cut
 
+log = logging.getLogger(__name__)
+
 OUTPUT = ("AAseq", "NNseq", "Prob", "Vregion", "Jregion", "Dregion", "Frequency")
 
 
@@ -31,6 +35,7 @@ def from_alignments(v: DataFrame, j: DataFrame, v_segments: DataFrame, j_segment
     stats = cut(stats, "stats")
     reads = classify.classify(classify.with_segments(v, v_segments), classify.with_segments(j, j_segments), entry.motif, stats.select("sample_id", "k"))
     reads = cut(reads, "reads")
+    tell("candidates", reads, stats)
     found = None
     # k takes one of four values, or the one that was asked for
     for k in sorted(r["k"] for r in stats.select("k").distinct().limit(8).collect()):
@@ -43,6 +48,7 @@ def from_cdr3(reads: DataFrame, stats: DataFrame, params: Params, prob: DataFram
     """Clonotypes of reads with their CDR3s; ``stats``: (sample_id, error_rate)."""
     entry = params.entry()
     reads = cut(reads.select("sample_id", "v", "j", "cdr3", "cdr3_qual"), "cdr3s")
+    tell("with a CDR3 after extension", reads, stats)
     verdict = correct.correct(cut(correct.unique_cdr3(reads), "unique"), stats, params.single_cell, not params.compat)
     out = annotate.clonotypes(reads, verdict, params.corrected_nn)
     table = annotate.probability_table(prob) if prob is not None else {}
@@ -52,6 +58,14 @@ def from_cdr3(reads: DataFrame, stats: DataFrame, params: Params, prob: DataFram
     return out.select("sample_id", *[c for c in OUTPUT if c in out.columns])
 
 
+def tell(what: str, reads: DataFrame, stats: DataFrame) -> None:
+    """Log the reads of each sample, those with a CDR3, and its k and error rate; nothing is counted unless INFO is logged."""
+    if log.isEnabledFor(logging.INFO):
+        counts = reads.groupBy("sample_id").agg(F.count("*").alias("reads"), F.count("cdr3").alias("found"))
+        for r in counts.join(stats, "sample_id").orderBy("sample_id").limit(1000).collect():
+            log.info("%s: %s", what, r.asDict())
+
+
 def run(spark: SparkSession, files: list[str], outputs: list[str], params: Params, resources: str, mates: list[str] | None = None, prob_path: str | None = None) -> list[str]:
     """All samples in one job; one result for each output prefix."""
     entry = params.entry()
