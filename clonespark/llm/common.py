@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clonespark.staging import clean, cut, drop, shared_dir
 
-__all__ = ["NO_ID", "clean", "cut", "drop", "shared_dir", "table", "text_of"]
+__all__ = ["NO_ID", "clean", "cut", "drop", "hold", "shared_dir", "table", "text_of"]
 
 #: Stands for a missing id inside an operator, so that keys join and order.
 NO_ID = -(2**63)
@@ -20,3 +23,18 @@ def text_of(col: str | Column = "text") -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_held: dict[tuple, Any] = {}
+
+
+def hold(key: tuple, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, kept in this Python worker under ``key``.
+
+    Spark hands a worker from one operator to the next; it keeps the large
+    tables of the last one only, so they don't add up over a pipeline.
+    """
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clonespark.llm.common import cut, drop, text_of
+from clonespark.llm.common import cut, drop, hold, text_of
 
 BANDS, IN_BAND = 28, 5
 REGISTERS = BANDS * IN_BAND
@@ -60,20 +60,18 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_tables: list[np.ndarray] = []
-
-
 def _word_hashes(piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and first bytes of the words of a piece that cuts none."""
-    if not _tables or len(_tables[0]) < len(piece) + 1:
-        n = max(len(piece) + 1, PIECE * 2)
-        _tables[:] = [_powers(BASE, n), _powers(BASE_INVERSE, n)]
+    size = PIECE * 2
+    while size < len(piece):
+        size *= 2
+    up, down = hold(("powers", size), lambda: (_powers(BASE, size), _powers(BASE_INVERSE, size)))
     word = ~BLANK[piece]
     edge = np.flatnonzero(np.diff(word, prepend=False, append=False))
     starts, ends = edge[::2], edge[1::2]
     sums = np.zeros(len(piece) + 1, np.uint64)
-    np.cumsum(BYTE[piece] * _tables[0][: len(piece)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _tables[1][starts] + (ends - starts).astype(np.uint64) * SALT[0]), starts
+    np.cumsum(BYTE[piece] * up[: len(piece)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * SALT[0]), starts
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -124,8 +122,8 @@ def super_minhash(sets: list[np.ndarray], registers: int = REGISTERS) -> np.ndar
     out = np.full((len(sets), registers), full, np.uint64)
     visit = np.arange(1, registers + 1, dtype=np.uint64) * BASE
     todo = [i for i, s in enumerate(sets) if len(s)]
-    for at in range(0, len(todo), 512):
-        rows = todo[at : at + 512]
+    for at in range(0, len(todo), 128):
+        rows = todo[at : at + 128]
         items = np.concatenate([sets[i] for i in rows])
         owner = np.repeat(np.arange(len(rows)), [len(sets[i]) for i in rows])
         values = np.full((len(rows), registers), full, np.uint64)
@@ -185,12 +183,12 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, bands array<long>, sig binary")
 
 
-def _parts(batch: pa.RecordBatch, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Slices of about ``size`` bytes of text (or one longer text), 512 rows at most."""
+def _parts(batch: pa.RecordBatch, size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``size`` bytes of text (or one longer text), 256 rows at most."""
     lengths, at, held = np.diff(np.frombuffer(batch.column(1).buffers()[1], np.int32, batch.num_rows + 1 + batch.column(1).offset)[batch.column(1).offset :]), 0, 0
     for i, n in enumerate(lengths.tolist()):
         held += n
-        if held >= size or i + 1 - at >= 512:
+        if held >= size or i + 1 - at >= 256:
             yield batch.slice(at, i + 1 - at)
             at, held = i + 1, 0
     if at < batch.num_rows:
