@@ -21,7 +21,6 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clonespark.llm.bpe import Merges
-from clonespark.llm.common import text_of
+from clonespark.llm.common import hold, text_of
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_length long, cut string"
 
@@ -83,8 +82,16 @@ class Pieces:
         unknown.difference_update(self.known)
         split, rest = {}, []
         for w in unknown:
-            if PLAIN(w):
-                split[w] = self.pattern.findall(w.lower())
+            # letters are one piece, with a mark after them two
+            if w.isascii() or (PLAIN(w) and "\u0130" not in w):
+                if w.isalpha():
+                    split[w] = (w.lower(),)
+                elif w[:-1].isalpha() and w[-1] in ".,!?:;":
+                    split[w] = (w[:-1].lower(), w[-1])
+                elif PLAIN(w):
+                    split[w] = self.pattern.findall(w.lower())
+                else:
+                    rest.append(w)
             else:
                 rest.append(w)
         new = list({p for x in split.values() for p in x if p not in self.made})
@@ -102,9 +109,8 @@ class Pieces:
         return [b"".join(map(known, t.replace("\n", " ").split(" "))) for t in texts]
 
 
-@lru_cache(2)
 def pieces(path: str) -> Pieces:
-    return Pieces(path)
+    return hold(("pieces", path), lambda: Pieces(path))
 
 
 def best_cuts(places: np.ndarray, penalties: np.ndarray, size: int, min_exact: int = 64) -> list[int]:
