@@ -136,3 +136,19 @@ def test_pages_odd(spark):
     assert ("\n".join(["w"] * 20000)) in {r.text for r in got if r.page_id == 4}
     assert all(r.n_chars == len(r.text) for r in got)
     assert hx.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def texts(spark, pages, **more):
+    rows = [(i, f"https://{host}/{i}", h) for i, (host, h) in enumerate(pages)]
+    found = hx.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    return [r.text for r in sorted(found, key=lambda r: r.page_id)]
+
+
+def test_template_inside_the_article(spark):
+    made = [
+        f'<body><article><h1>Title {i}</h1><p>Own {i}, <i>really</i></p><div class="box"><p>Read on our app</p></div>' + (f"<blockquote>Said {i}</blockquote>" if i % 5 == 0 else "") + "<p>Thank you</p></article></body>"
+        for i in range(20)
+    ]
+    want = [f"Title {i}\nOwn {i}, really" + (f"\nSaid {i}" if i % 5 == 0 else "") for i in range(20)]
+    got = texts(spark, [("a.example", h) for h in made])
+    assert got == want
