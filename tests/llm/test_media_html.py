@@ -152,3 +152,17 @@ def test_template_inside_the_article(spark):
     want = [f"Title {i}\nOwn {i}, really" + (f"\nSaid {i}" if i % 5 == 0 else "") for i in range(20)]
     got = texts(spark, [("a.example", h) for h in made])
     assert got == want
+
+
+def test_templates_that_few_pages_use(spark):
+    story = '<body><div class="top">Site</div><div class="story"><h1>T {i}</h1><p>Text {i}</p></div></body>'
+    post = '<body><div class="top">Site</div><div class="post"><h1>T {i}</h1><p>Text {i}</p></div></body>'
+    broken = '<body><div class="top">Site</div><div class="a  story\n">T {i}</div></body>'
+    pages = [("a.example", (post if i in (7, 31) else story).format(i=i)) for i in range(40)] + [("b.example", broken.format(i=i)) for i in range(40, 46)]
+    assert texts(spark, pages) == [f"T {i}\nText {i}" for i in range(40)] + [f"T {i}" for i in range(40, 46)]
+
+
+def test_more_shapes_than_one_task_merges(spark, monkeypatch):
+    monkeypatch.setattr(hx, "BLOCKS", 3)
+    pages = [("a.example", '<body><div class="top">Site</div><div class="story">' + "".join(f"<{t}>{t} {i}</{t}>" for k, t in enumerate(("h1", "h2", "h3", "p", "pre")) if k == 0 or i >> k - 1 & 1) + "</div></body>") for i in range(32)]
+    assert texts(spark, pages) == ["\n".join(f"{t} {i}" for k, t in enumerate(("h1", "h2", "h3", "p", "pre")) if k == 0 or i >> k - 1 & 1) for i in range(32)]
