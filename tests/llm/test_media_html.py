@@ -166,3 +166,11 @@ def test_more_shapes_than_one_task_merges(spark, monkeypatch):
     monkeypatch.setattr(hx, "BLOCKS", 3)
     pages = [("a.example", '<body><div class="top">Site</div><div class="story">' + "".join(f"<{t}>{t} {i}</{t}>" for k, t in enumerate(("h1", "h2", "h3", "p", "pre")) if k == 0 or i >> k - 1 & 1) + "</div></body>") for i in range(32)]
     assert texts(spark, pages) == ["\n".join(f"{t} {i}" for k, t in enumerate(("h1", "h2", "h3", "p", "pre")) if k == 0 or i >> k - 1 & 1) for i in range(32)]
+
+
+def test_copies_support_no_template(spark):
+    one = "<body><div><h1>Title</h1><p>First</p><p>Second</p></div></body>"
+    same = "<body><div>" + "<p>again</p>" * 3 + "</div></body>"
+    near = ["<body><nav>{i}</nav><div><h1>Title</h1><p>First</p></div></body>".format(i=i) for i in range(3)]
+    got = texts(spark, [("a.example", one)] * 3 + [("b.example", same)] + [("c.example", h) for h in near])
+    assert got == ["Title\nFirst\nSecond"] * 3 + ["again\nagain\nagain"] + ["Title\nFirst"] * 3
