@@ -174,3 +174,22 @@ def test_copies_support_no_template(spark):
     near = ["<body><nav>{i}</nav><div><h1>Title</h1><p>First</p></div></body>".format(i=i) for i in range(3)]
     got = texts(spark, [("a.example", one)] * 3 + [("b.example", same)] + [("c.example", h) for h in near])
     assert got == ["Title\nFirst\nSecond"] * 3 + ["again\nagain\nagain"] + ["Title\nFirst"] * 3
+
+
+def test_long_streams_are_aligned():
+    draw = random.Random(5)
+    a, b = ([draw.choice("abcdefgh") for _ in range(n)] for n in (300, 250))
+    best = [[0] * 251 for _ in range(301)]
+    for i in range(299, -1, -1):
+        for j in range(249, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    pairs = hx.common(a, b)
+    assert len(pairs) == best[0][0] and all(a[i] == b[j] for i, j in pairs) and all(p < q and i < j for (p, i), (q, j) in zip(pairs, pairs[1:]))
+    a = [f"<p x{i}" for i in range(2500)]
+    assert len(hx.common(["<u", *a, "<v"], ["<w", *a, "<z"])) == 2500
+
+
+def test_repeats_of_any_length():
+    entry = "".join(f"<h{n}>t</h{n}><p>x</p><div>y</div>" for n in range(1, 7))
+    w = hx.infer([f"<body><div class='list'>{entry * n}</div></body>" for n in (1, 4)])
+    assert len([x for x in w if x[0] == "+"]) == 1 and "?" not in {x[0] for x in w}
