@@ -22,6 +22,8 @@ from clonespark.functions.dna import cigar_ops
 ALIGNMENT = "sample_id string, file_idx int, segment string, qname string, flag int, rname string, pos int, cigar string, as_score int, nm int, seq string, qual string"
 #: Bases of all segments together, at most.
 MAX_CATALOGUE = 20_000_000
+#: Segments, at most.
+MAX_SEGMENTS = 200_000
 MATCH, MISMATCH = 1, -2
 _BACK = str.maketrans("ACGTN", "TGCAN")
 
@@ -37,15 +39,27 @@ def best_stretch(same: np.ndarray) -> tuple[int, int, int]:
     return int(gain[stop]), start, stop
 
 
-def align(reads: DataFrame, segments: DataFrame, segment: str, min_score: int = 12, k: int = 10, candidates: int = 24) -> DataFrame:
+def most(overlap: int, seeds: int, k: int) -> int:
+    """The best score that ``overlap`` bases of which ``seeds`` windows of ``k``
+    agree can have: a mismatch spoils k windows at most, a base left out at an
+    end one."""
+    missing = max(0, overlap - k + 1) - seeds
+    if k < MATCH - MISMATCH:
+        return overlap
+    return overlap * MATCH - (MATCH - MISMATCH) * (missing // k) - min(MATCH - MISMATCH, missing % k * MATCH)
+
+
+def align(reads: DataFrame, segments: DataFrame, segment: str, min_score: int = 12, k: int = 10) -> DataFrame:
     """Best hit of each read among ``segments`` (name, seq), none below ``min_score``.
 
     Of equal scores the smaller name, then the forward strand, wins.  Of the
-    places that seeds point to, the ``candidates`` with most seeds are scored.
+    places that seeds point to, all are scored whose seeds allow the best score.
     Reads without a sequence have no hit.  Hits on the reverse strand come back
     turned, with flag 16.
     """
-    refs = sorted((r["name"], r["seq"].upper()) for r in segments.select("name", "seq").where("seq <> ''").limit(200_000).collect())
+    refs = sorted((r["name"], r["seq"].upper()) for r in segments.select("name", "seq").where("seq <> ''").limit(MAX_SEGMENTS + 1).collect())
+    if len(refs) > MAX_SEGMENTS:
+        raise ValueError("too many segments for a table on every task")
     if sum(len(s) for _, s in refs) > MAX_CATALOGUE:
         raise ValueError("too many bases in the segments for a table on every task")
     codes = [np.frombuffer(s.encode(), np.uint8) for _, s in refs]
@@ -58,6 +72,7 @@ def align(reads: DataFrame, segments: DataFrame, segment: str, min_score: int =
     def hit(seq: str) -> tuple | None:
         refs, codes, seeds = table.value
         best = None
+        places = []
         for flag, s in ((0, seq), (16, seq.translate(_BACK)[::-1])):
             votes: Counter = Counter()
             for at in range(len(s) - k + 1):
@@ -66,13 +81,17 @@ def align(reads: DataFrame, segments: DataFrame, segment: str, min_score: int =
             if not votes:
                 continue
             code = np.frombuffer(s.encode(), np.uint8)
-            for (i, shift), _ in sorted(votes.items(), key=lambda x: (-x[1], x[0]))[:candidates]:
+            for (i, shift), n in votes.items():
                 a, b = max(0, -shift), min(len(code), len(codes[i]) - shift)
-                same = code[a:b] == codes[i][a + shift : b + shift]
-                score, x, y = best_stretch(same)
-                key = (-score, refs[i][0], flag, shift)
-                if score >= min_score and (best is None or key < best[0]):
-                    best = (key, flag, refs[i][0], a + x + shift + 1, a + x, a + y, score, int((~same[x:y]).sum()), s)
+                places.append((-most(b - a, n, k), i, flag, shift, a, b, code, s))
+        for bound, i, flag, shift, a, b, code, s in sorted(places, key=lambda x: x[:4]):
+            if -bound < (min_score if best is None else -best[0][0]):
+                break
+            same = code[a:b] == codes[i][a + shift : b + shift]
+            score, x, y = best_stretch(same)
+            key = (-score, refs[i][0], flag, shift)
+            if score >= min_score and (best is None or key < best[0]):
+                best = (key, flag, refs[i][0], a + x + shift + 1, a + x, a + y, score, int((~same[x:y]).sum()), s)
         return best
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -4,6 +4,7 @@ import gzip
 import random
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +89,37 @@ def test_align_finds_gene_and_strand(spark):
     assert all(h.nm >= 1 for h in hits)
 
 
+def test_align_scores_every_place_that_may_be_best(spark):
+    draw = random.Random(3)
+    true = "".join(draw.choice("ACGT") for _ in range(80))
+    other = dict(zip("ACGT", "CGTA", strict=True))
+
+    def changed(*at):
+        return "".join(other[c] if i in at else c for i, c in enumerate(true))
+
+    # one mismatch in the middle: fewer seeds but a better score than two near the ends
+    refs = [("Z", changed(40))] + [(f"A{i:02}", changed(4, 8 + i % 2)) for i in range(30)]
+    assert align.most(80, 61, 10) == 77 and align.most(80, 62, 10) == 77
+    df = spark.createDataFrame([("s", 1, "q", true, "I" * 80)], "sample_id string, file_idx int, qname string, seq string, qual string")
+    hit = align.align(df, spark.createDataFrame(refs, "name string, seq string"), "V").collect()
+
+    def score(ref):
+        return align.best_stretch(np.array([a == b for a, b in zip(true, ref, strict=True)]))[0]
+
+    assert [(h.rname, h.as_score) for h in hit] == [min(((n, score(r)) for n, r in refs), key=lambda x: (-x[1], x[0]))] == [("Z", 77)]
+    for _ in range(200):
+        same = np.array([draw.random() < 0.9 for _ in range(draw.randint(10, 90))])
+        seeds = sum(same[i : i + 10].all() for i in range(len(same) - 9))
+        assert align.best_stretch(same)[0] <= align.most(len(same), int(seeds), 10)
+
+
+def test_align_refuses_a_catalogue_beyond_its_bound(spark, monkeypatch):
+    monkeypatch.setattr(align, "MAX_SEGMENTS", 3)
+    df = spark.createDataFrame([], "sample_id string, file_idx int, qname string, seq string, qual string")
+    with pytest.raises(ValueError, match="segments"):
+        align.align(df, spark.createDataFrame([(f"V{i}", "ACGT" * 5) for i in range(4)], "name string, seq string"), "V")
+
+
 def test_walks_follow_counts_and_stop(spark):
     k, genome = 7, bases(120)
     reads = [("s", "V", genome[i : i + 40]) for i in range(0, 80) for _ in range(3)]
