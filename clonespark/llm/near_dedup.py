@@ -257,10 +257,11 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     the smallest id that links reach; kept: whether it is the row's own.
 
     Null and empty texts and texts without words: no shingles, linked with
-    nothing.  Null id: linked with nothing, component_id null, kept.  Rows of
-    one id are one document: equal rows get equal results, and different texts
-    of one id are linked by it.  Only the two named columns are read.  An empty
-    table gives no rows.
+    nothing.  Null id: linked with nothing, component_id null, kept.  Equal rows
+    get equal results.  Different texts of one id are linked by it only where
+    none is equal to a text of a smaller id; to tell them apart, give each an id
+    of its own, as the pipeline does.  Only the two named columns are read.  An
+    empty table gives no rows.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(text_of(text_col), "UTF-8").alias("text"))
     features = cut(signatures(source, width), "signatures")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clonespark.llm import quality
-from clonespark.llm.common import cut, table
+from clonespark.llm.common import cut, table, text_of
 from clonespark.llm.line_dedup import dedup_lines
 from clonespark.llm.near_dedup import near_dedup
 from clonespark.llm.packing import pack
@@ -36,10 +36,21 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: 0.8 or more on shingles of
-    five words.  Documents without an id can't be grouped and stay."""
-    kept = cut(near_dedup(docs, width=5, percent=80).where("kept AND doc_id IS NOT NULL").select("doc_id"), "kept")
-    named = docs.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
+    five words.  Different texts of one id are documents of their own.
+    Documents without an id can't be grouped and stay."""
+    own = F.xxhash64(text_of("text"))
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), own.alias("__text"))
+    shared = cut(texts.groupBy("doc_id").agg(F.min("__text").alias("first"), F.max("__text").alias("last")).where("first <> last"), "shared-ids")
+    named = docs.where("doc_id IS NOT NULL").withColumn("__id", F.col("doc_id").cast("long"))
+    if not shared.isEmpty():
+        # one text keeps the id, the others get ids above all
+        top = texts.agg(F.max("doc_id")).first()[0]
+        others = texts.join(shared, "doc_id").where("__text <> first").select(F.col("doc_id").alias("__id"), "__text").distinct()
+        others = cut(others.withColumn("__new", F.lit(top) + 1 + F.monotonically_increasing_id()), "new-ids")
+        named = named.withColumn("__text", own).join(others, ["__id", "__text"], "left").withColumn("__id", F.coalesce("__new", "__id")).drop("__text", "__new")
+    kept = cut(near_dedup(named, width=5, percent=80, id_col="__id").where("kept").select(F.col("doc_id").alias("__id")), "kept")
+    alone = named.join(kept.hint("merge"), "__id", "left_semi").dropDuplicates(["__id"])
+    return alone.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -222,5 +222,19 @@ def test_pipeline_on_nothing(spark):
         assert stage(spark, docs, SF).count() == 0
 
 
+def test_pipeline_keeps_different_texts_of_one_id(spark):
+    import corpus_pipeline as cp
+
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcde")
+    rows = [(1, a, "en"), (5, a, "en"), (5, b, "en"), (7, c, "en"), (7, d, "en"), (7, c, "en"), (8, d + " more", "en"), (9, e, "en"), (None, e, "en"), (9, None, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = cp.one_of_each_group(spark, docs, "")
+    assert out.columns == docs.columns
+    got = sorted((tuple(r) for r in out.collect()), key=repr)
+    assert [r for r in got if r[0] is None] == [(None, e, "en")] and (1, a, "en") in got and (5, b, "en") in got and (5, a, "en") not in got
+    assert (9, e, "en") in got and (9, None, "en") in got and got.count((7, c, "en")) == 1
+    assert len([r for r in got if r[1] in (d, d + " more")]) == 1 and len(got) == 7
+
+
 def test_vocabularies_stay_outside():
     assert os.path.isfile(public_tokenizers.path("word_bpe_49k.json"))
