@@ -3,13 +3,11 @@
 ``decode`` reads any GIF87a or GIF89a: sub-blocks, LZW code streams (widths,
 clear codes, deferred clears), global and local palettes, interlace, frame
 rectangles, delays, disposal and transparency.  ``encode`` stores bytes as an
-animation of 8-bit samples under a grey palette, as literal codes with a clear
-code before the code width would grow.
+animation of 8-bit samples under a grey palette, each frame a code stream of its
+own with dictionary codes.
 
-LZW as copies: an entry made by a code is what that code wrote and one sample
-more, which stand next to each other in the output, so each code above the
-literals is one slice of the output so far.  Runs of literal codes between
-clears are read as arrays.
+The widths of the codes follow from their places since the last clear code, so
+codes are read and written as arrays; strings and entries are met one by one.
 """
 
 from __future__ import annotations
@@ -57,71 +55,99 @@ def lzw_literals(samples: bytes) -> bytes:
     return out.ravel()[: -(-n * 9 // 8)].tobytes()
 
 
-def literal_run(stream: np.ndarray, clear: int) -> bytes | None:
-    """The samples of a stream of 9-bit literals only that never widen; None if it isn't one."""
-    groups = -(-len(stream) // 9)
-    b = np.zeros((groups, 9), np.uint16)
-    b.ravel()[: len(stream)] = stream
-    codes = np.empty((groups, 8), np.uint16)
-    for k in range(8):
-        codes[:, k] = (b[:, k] >> k | b[:, k + 1] << (8 - k)) & 511
-    codes = codes.ravel()[: len(stream) * 8 // 9]
-    ends = np.flatnonzero(codes == clear + 1)
-    if not len(ends):
-        return None
-    codes = codes[: ends[0]]
-    clears = np.flatnonzero(codes >= clear)
-    if (codes[clears] != clear).any() or not len(clears) or clears[0] != 0 or np.diff(np.append(clears, len(codes))).max() > RUN + 1:
-        return None
-    return codes[codes < clear].astype(np.uint8).tobytes()
+def lzw_encode(samples: bytes) -> bytes:
+    """A code stream of 8-bit samples: every string that was met gets a code of
+    9 to 12 bits; a clear code when all 4,096 are given."""
+    codes = [256]
+    add, table, new = codes.append, {}, 258
+    get = table.get
+    rest = iter(samples)
+    now = next(rest, -1)
+    for x in rest:
+        key = now << 8 | x
+        known = get(key)
+        if known is not None:
+            now = known
+            continue
+        add(now)
+        if new < 4096:
+            table[key] = new
+            new += 1
+        else:
+            add(256)
+            table.clear()
+            new = 258
+        now = x
+    if now >= 0:
+        add(now)
+    add(257)
+    c = np.array(codes, np.int64)
+    # the reader has made an entry with each code but the first after a clear
+    places = np.arange(len(c))
+    clears = np.where(c == 256, places, -1)
+    since = places - np.concatenate([[-1], np.maximum.accumulate(clears)[:-1]]) - 1
+    entries = 258 + np.maximum(since - 1, 0)
+    widths = 9 + (entries >= 512) + (entries >= 1024) + (entries >= 2048)
+    ends = np.cumsum(widths)
+    starts = ends - widths
+    bits = c << (starts & 7)
+    at = starts >> 3
+    # codes have bits of their own, so that sums are unions
+    out = np.bincount(np.concatenate([at, at + 1, at + 2]), np.concatenate([bits & 255, bits >> 8 & 255, bits >> 16]))
+    return out.astype(np.uint8)[: int(ends[-1]) + 7 >> 3].tobytes()
 
 
 def lzw_decode(data: bytes, min_size: int, count: int) -> bytes:
     """``count`` samples at most of a GIF code stream; a broken stream gives what came before the break."""
+    if min_size > 8:
+        raise ValueError("not a GIF")
     clear = 1 << min_size
-    if min_size == 8 and len(data) > 1 and (fast := literal_run(np.frombuffer(data, np.uint8), clear)) is not None:
-        return fast[:count]
-    out = bytearray()
-    at, width, bits, n = 0, min_size + 1, 0, 0
-    starts, lengths = [0] * (clear + 2), [1] * (clear + 2)
-    last_start = last_length = -1
-    size = len(data)
-    while len(out) < count:
-        while n < width:
-            if at >= size:
-                return bytes(out[:count])
-            bits |= data[at] << n
-            at += 1
-            n += 8
-        code = bits & ((1 << width) - 1)
-        bits >>= width
-        n -= width
-        if code == clear:
-            del starts[clear + 2 :], lengths[clear + 2 :]
-            width, last_length = min_size + 1, -1
-            continue
-        if code == clear + 1:
-            break
-        new = len(out)
-        if last_length >= 0 and len(starts) < 4096:
-            starts.append(last_start)
-            lengths.append(last_length + 1)
-        if code < clear:
-            out.append(code)
-            length = 1
-        elif code < len(starts):
-            s, length = starts[code], lengths[code]
-            if s + length > new:  # the entry just made: its last sample is its first
-                out += out[s:new]
-                out.append(out[s])
+    stream = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.int64)
+    fresh = [bytes((i,)) for i in range(clear)] + [b"", b""]
+    table, last, since, at, have = fresh.copy(), b"", 0, 0, 0
+    out: list[bytes] = []
+    while have < count:
+        # codes up to the next clear: their widths follow from their places
+        n = 512 if since == 0 else 4096
+        size = clear + 2 + np.maximum(np.arange(since, since + n) - 1, 0)
+        widths = np.full(n, min_size + 1)
+        for w in range(min_size + 1, 12):
+            widths += size >= 1 << w
+        if since == 0:
+            widths[0] = min_size + 1
+        ends = at + np.cumsum(widths)
+        n = int(np.searchsorted(ends, len(data) * 8, "right"))
+        ends, widths = ends[:n], widths[:n]
+        starts = ends - widths
+        byte = starts >> 3
+        codes = (stream[byte] | stream[byte + 1] << 8 | stream[byte + 2] << 16) >> (starts & 7) & (1 << widths) - 1
+        stops = np.flatnonzero((codes == clear) | (codes == clear + 1))
+        stop = int(stops[0]) if len(stops) else n
+        told: list[bytes] = []
+        add, enter, size = told.append, table.append, len(table)
+        whole = True
+        for code in codes[:stop].tolist():
+            if code < size:
+                entry = table[code]
+            elif code == size and last:  # the entry just made: its last sample is its first
+                entry = last + last[:1]
             else:
-                out += out[s : s + length]
-        else:
+                whole = False
+                break
+            add(entry)
+            if last and size < 4096:
+                enter(last + entry[:1])
+                size += 1
+            last = entry
+        out += told
+        have += sum(map(len, told))
+        if not whole or n == 0 or stop < n and codes[stop] == clear + 1:
             break
-        last_start, last_length = new, length
-        if len(starts) == 1 << width and width < 12:
-            width += 1
-    return bytes(out[:count])
+        if stop < n:
+            table, last, since, at = fresh.copy(), b"", 0, int(ends[stop])
+        else:
+            since, at = since + n, int(ends[-1])
+    return b"".join(out)[:count]
 
 
 def sub_blocks(data: bytes) -> bytes:
@@ -145,7 +171,7 @@ def encode(payload: bytes, delay: int = 10) -> bytes:
         parts += [
             b"\x21\xf9\x04", struct.pack("<BHB", 1 << 2, delay, 0), b"\0",
             b"\x2c", struct.pack("<HHHHB", 0, 0, WIDTH, n, 0),
-            b"\x08", sub_blocks(lzw_literals(payload[top * WIDTH : (top + n) * WIDTH])),
+            b"\x08", sub_blocks(lzw_encode(payload[top * WIDTH : (top + n) * WIDTH])),
         ]
     return b"".join([*parts, b"\x3b"])
 

@@ -64,6 +64,17 @@ def test_literals_round_trip():
         assert gif.lzw_decode(gif.lzw_literals(data), 8, n) == data
 
 
+def test_stored_streams_have_dictionary_codes():
+    draw = random.Random(1)
+    for n in (0, 1, 2, 255, 5000, 60000):
+        for data in (bytes(draw.randrange(256) for _ in range(n)), b"the cat and the dog " * (n // 20), bytes(n)):
+            assert gif.lzw_decode(gif.lzw_encode(data), 8, len(data)) == data
+    text = b"the cat sat on the mat, and the dog sat by the cat. " * 240
+    text += b" " * (-len(text) % gif.WIDTH)
+    media = gif.encode(text)
+    assert len(media) < len(text) // 2 and b"".join(f.samples for f in gif.frames(media)) == text
+
+
 def test_frames_disposal_transparency_interlace():
     palette = bytes([255, 0, 0, 0, 255, 0, 0, 0, 255, 9, 9, 9])
     head = b"GIF89a" + struct.pack("<HHBBB", 2, 8, 0x81, 0, 0) + palette
