@@ -42,11 +42,17 @@ class Merges:
         return np.where(self.keys[at] == keys, self.merged[at], -1)
 
     def replay(self, ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
-        """The little-endian 32-bit ids of each word of ``lengths`` first ids, which change in place."""
+        """The little-endian 32-bit ids of each word, as :meth:`replay_all` makes them."""
+        counts, out = self.replay_all(ids, lengths)
+        flat, stops = out.astype("<i4").tobytes(), (4 * np.cumsum(counts)).tolist()
+        return [flat[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+
+    def replay_all(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and all of them, from the words' ``lengths`` first ids, which change in place."""
         ends = np.cumsum(lengths)
         n = len(ids)
         if not n:
-            return [b""] * len(lengths)
+            return np.zeros(len(lengths), np.int64), ids
         last = np.zeros(n, bool)
         last[ends[lengths > 0] - 1] = True
         right, left = np.arange(1, n + 1), np.arange(-1, n - 1)
@@ -102,14 +108,8 @@ class Merges:
             h = h[h >= 0]
             pair[h] = self.of_pairs(ids[h], ids[right[h]])
             enter(np.concatenate([on, h]))
-        flat = ids[ids >= 0].astype("<i4").tobytes()
-        stops = (4 * np.cumsum(ids >= 0)[np.maximum(ends, 1) - 1]).tolist()
-        out, at = [], 0
-        for stop, length in zip(stops, lengths.tolist(), strict=True):
-            stop = stop if length else at
-            out.append(flat[at:stop])
-            at = stop
-        return out
+        stops = np.concatenate([[0], np.cumsum(ids >= 0)])[ends]
+        return np.diff(stops, prepend=0), ids[ids >= 0]
 
 
 class Ranks(Merges):

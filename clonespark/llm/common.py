@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clonespark.staging import clean, cut, drop, shared_dir
 
-__all__ = ["NO_ID", "clean", "cut", "drop", "hold", "shared_dir", "table", "text_of"]
+__all__ = ["NO_ID", "clean", "cut", "drop", "hold", "shared_dir", "slices", "table", "text_of"]
 
 #: Stands for a missing id inside an operator, so that keys join and order.
 NO_ID = -(2**63)
@@ -32,9 +36,25 @@ def hold(key: tuple, make: Callable[[], Any]) -> Any:
     """What ``make`` gives, kept in this Python worker under ``key``.
 
     Spark hands a worker from one operator to the next; it keeps the large
-    tables of the last one only, so they don't add up over a pipeline.
+    tables of the last one only, so they don't add up over a pipeline, and what
+    was freed goes back to the system.
     """
     if key not in _held:
         _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+        if trim:
+            trim(0)
         _held[key] = make()
     return _held[key]
+
+
+def slices(lengths: np.ndarray, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """[a, b) of neighbouring rows of about ``size`` bytes, or one longer row."""
+    ends = np.cumsum(lengths, dtype=np.int64)
+    at, done = 0, 0
+    while at < len(ends):
+        to = min(len(ends), int(np.searchsorted(ends, done + size)) + 1)
+        yield at, to
+        at, done = to, int(ends[to - 1])

@@ -12,7 +12,7 @@ beside it.
 
 Documents stay in the order of the scan; nothing is shuffled.  A task holds one
 block of ``block_ids`` ids (or one longer document) at a time, and makes ids
-for ``block_chars`` characters (or one longer text) at once.
+for ``block_bytes`` of text (or one longer text) at once.
 """
 
 from __future__ import annotations
@@ -24,39 +24,49 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clonespark.llm.bpe import Merges
-from clonespark.llm.common import hold, text_of
+from clonespark.llm.common import hold, slices, text_of
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_length long, cut string"
 
 
 #: Words of these characters only are normalised by lower-casing and nothing else.
 PLAIN = re.compile("[!-~\xa1-\u024f]+").fullmatch
+#: Letters of these, with one mark after them or none.
+MARKS = ".,!?:;"
+LETTERS = f"^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+[{MARKS}]?$"
 
 
 class Pieces:
     """Ids of texts by a `tokenizers` file of a BPE with word ends.
 
-    Ids are made once for each distinct stretch between blanks and line feeds
-    (neither merges nor normalisation cross those) and kept, up to ``keep``.
-    Stretches of plain Latin are split by the file's pattern and all new pieces'
-    merges are replayed together; others go through the library.
+    Texts are cut at blanks and line feeds, which neither merges nor
+    normalisation cross.  Ids are made once for each distinct word of a block;
+    words and their ids are kept as arrays, up to ``keep`` words beside those of
+    the last block.  Words of plain Latin letters are one piece, with a mark
+    after them two; other plain ones are split by the file's pattern; the merges
+    of all new pieces are replayed together.  The rest, and words with a special
+    token of the file, go through the library.
     """
 
-    def __init__(self, path: str, keep: int = 1_000_000):
+    def __init__(self, path: str, keep: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.keep, self.known, self.made = keep, {"": b""}, {}
+        self.keep = keep
+        self.words, self.ids, self.ends = pa.array([""]), np.zeros(0, np.uint32), np.zeros(1, np.int64)
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
         vocab, end = told["model"]["vocab"], told["model"]["end_of_word_suffix"]
+        self.special = [t["content"] for t in told["added_tokens"]]
+        if any(" " in t or "\n" in t for t in self.special):
+            raise ValueError("special tokens with blanks can't be found within words")
         self.pattern = regex.compile(told["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         merges = [x if isinstance(x, list) else x.split(" ") for x in told["model"]["merges"]]
         self.merges = Merges({(vocab[a], vocab[b]): vocab[a + b] for a, b in merges})
@@ -68,45 +78,89 @@ class Pieces:
         sign = [chr(i) if i in plain else chr(next(others)) for i in range(256)]
         self.byte = np.array([vocab[c] for c in sign], np.int64)
         self.last_byte = np.array([vocab[c + end] for c in sign], np.int64)
-        self.sentence_end = np.zeros(max(vocab.values()) + 1, bool)
+        self.sentence_end = np.zeros(max([*vocab.values(), *(t["id"] for t in told["added_tokens"])]) + 1, bool)
         for word, i in vocab.items():
             self.sentence_end[i] = word.endswith((f".{end}", f"!{end}", f"?{end}"))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.known) > self.keep:
-            self.known, self.made = {"": b""}, {}
-        unknown: set[str] = set()
-        for t in texts:  # split again below: the words of a block take more room than its texts
-            unknown.update(t.replace("\n", " ").split(" "))
-        unknown.difference_update(self.known)
+    def replayed(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, one after the other, and how many each has."""
+        offsets = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset : pieces.offset + len(pieces) + 1].astype(np.int64)
+        data = np.frombuffer(pieces.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        ids = self.byte[data]
+        last = offsets[1:] - offsets[0] - 1
+        ids[last] = self.last_byte[data[last]]
+        return self.merges.replay_all(ids, np.diff(offsets))
+
+    def learn(self, words: pa.Array) -> None:
+        """Ids of words that aren't known, and that aren't empty."""
+        plain = pc.match_substring_regex(words, LETTERS)
+        easy = words.filter(plain)
+        lower = pc.utf8_lower(easy)
+        stem = pc.utf8_rtrim(lower, characters=MARKS)
+        coded = stem.dictionary_encode()
         split, rest = {}, []
-        for w in unknown:
-            # letters are one piece, with a mark after them two
-            if w.isascii() or (PLAIN(w) and "\u0130" not in w):
-                if w.isalpha():
-                    split[w] = (w.lower(),)
-                elif w[:-1].isalpha() and w[-1] in ".,!?:;":
-                    split[w] = (w[:-1].lower(), w[-1])
-                elif PLAIN(w):
-                    split[w] = self.pattern.findall(w.lower())
-                else:
-                    rest.append(w)
-            else:
+        for w in words.filter(pc.invert(plain)).to_pylist():
+            if not PLAIN(w) or "\u0130" in w or "<" in w and any(t in w for t in self.special):
                 rest.append(w)
-        new = list({p for x in split.values() for p in x if p not in self.made})
-        raw = [p.encode() for p in new]
-        data, ends = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(x) for x in raw], dtype=np.int64)
-        ids = self.byte[data]
-        ids[ends - 1] = self.last_byte[data[ends - 1]]
-        self.made.update(zip(new, self.merges.replay(ids, np.diff(ends, prepend=0)), strict=True))
-        made = self.made.__getitem__
-        for w, x in split.items():
-            self.known[w] = made(x[0]) if len(x) == 1 else b"".join(map(made, x))
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
-        known = self.known.__getitem__
-        return [b"".join(map(known, t.replace("\n", " ").split(" "))) for t in texts]
+            else:
+                split[w] = self.pattern.findall(w.lower())
+        number = {p: len(coded.dictionary) + i for i, p in enumerate(dict.fromkeys(p for x in split.values() for p in x))}
+        counts, flat = self.replayed(pa.concat_arrays([coded.dictionary, pa.array(number, pa.string())]))
+
+        ids, ends = gathered(flat, counts, coded.indices.to_numpy())
+        marked = (pc.binary_length(lower).to_numpy() > pc.binary_length(stem).to_numpy()).nonzero()[0]
+        marks = [ord(m) for m in pc.utf8_slice_codeunits(lower.take(pa.array(marked)), -1).to_pylist()]
+        each = np.diff(ends)
+        each[marked] += 1
+        self.add(easy, np.insert(ids, ends[marked + 1], self.last_byte[marks] if marks else []), each)
+        if split:
+            sizes = np.array([len(x) for x in split.values()], np.int64)
+            ids, ends = gathered(flat, counts, np.array([number[p] for x in split.values() for p in x], np.int64))
+            self.add(pa.array(split, pa.string()), ids, np.diff(ends[np.concatenate([[0], np.cumsum(sizes)])]))
+        if rest:
+            told = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+            self.add(pa.array(rest, pa.string()), np.array([i for x in told for i in x], np.uint32), np.array([len(x) for x in told], np.int64))
+
+    def add(self, words: pa.Array, ids: np.ndarray, counts: np.ndarray) -> None:
+        self.words = pa.concat_arrays([self.words, words])
+        self.ends = np.concatenate([self.ends, np.cumsum(counts) + len(self.ids)])
+        self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
+
+    def forget(self, kept: np.ndarray) -> None:
+        """All but the words at these places."""
+        counts = np.diff(self.ends, prepend=0)
+        ids, ends = gathered(self.ids, counts, kept)
+        self.words, self.ids, self.ends = self.words.take(pa.array(kept)), ids, ends[1:]
+
+    def encode(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(number of texts, their ids, how many each has) for slices of ``texts``, in order."""
+        words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        offsets = words.offsets.to_numpy()
+        coded = words.flatten().dictionary_encode()
+        del words
+        vocabulary, place = coded.dictionary, coded.indices.to_numpy()
+        at = pc.index_in(vocabulary, self.words)
+        if at.null_count:
+            if len(self.words) > self.keep:
+                self.forget(np.union1d(at.drop_null().to_numpy(), pc.index_in(pa.array([""]), self.words).to_numpy()))
+            self.learn(vocabulary.filter(at.is_null()))
+            at = pc.index_in(vocabulary, self.words)
+        place = at.to_numpy()[place]
+        del coded, vocabulary, at
+        counts = np.diff(self.ends, prepend=0)
+        for a, b in slices(np.diff(offsets), 200_000):
+            ids, ends = gathered(self.ids, counts, place[offsets[a] : offsets[b]])
+            yield b - a, ids, np.diff(ends[offsets[a : b + 1] - offsets[a]])
+
+
+def gathered(flat: np.ndarray, counts: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The items at ``place`` one after the other, and where they end, from 0 on;
+    item i of ``flat`` has ``counts[i]`` values."""
+    each = counts[place]
+    ends = np.concatenate([[0], np.cumsum(each)])
+    at = np.arange(ends[-1])
+    at += np.repeat((np.cumsum(counts) - counts)[place] - ends[:-1], each)
+    return flat[at], ends
 
 
 def pieces(path: str) -> Pieces:
@@ -168,7 +222,7 @@ def cut_places(ids: np.ndarray, ends: np.ndarray, sentence_end: np.ndarray, stri
 
 def pack(
     docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = 2048, id_col: str = "doc_id", text_col: str = "text",
-    sentence_penalty: float = 16, inside_penalty: float = 128, stride: int = 64, min_exact: int = 64, block_ids: int = 1_000_000, block_chars: int = 8_000_000,
+    sentence_penalty: float = 16, inside_penalty: float = 128, stride: int = 64, min_exact: int = 64, block_ids: int = 1_000_000, block_bytes: int = 8_000_000,
 ) -> DataFrame:
     """Pack ``docs`` into sequences of at most ``size`` ids; a row for each piece.
 
@@ -180,11 +234,10 @@ def pack(
     Null and empty texts are documents of one id, ``end_id``.  A null doc_id
     stays null.  Repeated rows are documents of their own.  Among equally cheap
     cuts the one with the longer window wins.  Only the two named columns are
-    read, so others cannot clash.  An empty table gives no rows.
+    read, so others cannot clash.  An empty table gives no rows.  A special token
+    that a text spells out is that token, as in the library's plain call.
     """
-    end = np.array([end_id], "<u4").tobytes()
-
-    def of_block(ids: np.ndarray, doc_ids: list, ends: np.ndarray, first: int) -> tuple[pa.RecordBatch, int]:
+    def of_block(ids: np.ndarray, doc_ids: pa.Array, ends: np.ndarray, first: int) -> tuple[pa.RecordBatch, int]:
         places, penalties = cut_places(ids, ends, pieces(tokenizer).sentence_end, stride, sentence_penalty, inside_penalty)
         chain = best_cuts(places, penalties, size, min_exact)
         cuts, kinds = places[chain], np.where(penalties[chain] == 0, 0, np.where(penalties[chain] == sentence_penalty, 1, 2))
@@ -193,11 +246,11 @@ def pack(
         doc = np.searchsorted(ends, starts, "right")
         seq = np.searchsorted(cuts, starts, "right") - 1
         doc_start = np.append(0, ends[:-1])
-        raw = memoryview(ids).cast("B")
         names = np.array(["document", "sentence", "inside"])
+        edges = (4 * np.append(starts, ends[-1])).astype(np.int64)
+        stored = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(ids)])
         columns = [
-            pa.array([doc_ids[i] for i in doc.tolist()], pa.int64()), pa.array(starts - doc_start[doc]), pa.array(stops - starts),
-            pa.array([raw[4 * a : 4 * b].tobytes() for a, b in zip(starts.tolist(), stops.tolist(), strict=True)], pa.binary()),
+            doc_ids.take(pa.array(doc)), pa.array(starts - doc_start[doc]), pa.array(stops - starts), stored.cast(pa.binary()),
             pa.array((ends - doc_start)[doc]), pa.array(first + seq), pa.array(starts - cuts[seq]), pa.array((cuts[1:] - cuts[:-1])[seq]), pa.array(names[kinds[1:]][seq]),
         ]
         return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SCHEMA.split(", ")]), first + len(cuts) - 1
@@ -206,35 +259,33 @@ def pack(
         from pyspark import TaskContext
 
         first = TaskContext.get().partitionId() << 36
-        doc_ids, held, total = [], [], 0
-
-        def flush():
-            nonlocal first, doc_ids, held, total
-            if held:
-                ends = np.cumsum([len(x) // 4 for x in held])
-                out, first = of_block(np.frombuffer(b"".join(held), "<u4"), doc_ids, ends, first)
-                doc_ids, held, total = [], [], 0
-                yield out
-
-        def take(ids: list, texts: list[str]):
-            nonlocal total
-            for i, x in zip(ids, pieces(tokenizer).encode(texts), strict=True):
-                doc_ids.append(i)
-                held.append(x + end)
-                total += len(x) // 4 + 1
-                if total >= block_ids:
-                    yield from flush()
-
-        ids, texts, size_ = [], [], 0
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
+        total = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal first, held, total
+            doc_ids = pa.concat_arrays([x[0] for x in held])
+            out, first = of_block(np.concatenate([x[1] for x in held]), doc_ids, np.cumsum(np.concatenate([x[2] for x in held])), first)
+            held, total = [], 0
+            return out
+
         for batch in batches:
-            for i, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids.append(i.as_py())
-                texts.append(text.as_py())
-                size_ += len(texts[-1])
-                if size_ >= block_chars:
-                    yield from take(ids, texts)
-                    ids, texts, size_ = [], [], 0
-        yield from take(ids, texts)
-        yield from flush()
+            for a, b in slices(pc.binary_length(batch.column(1)).to_numpy(), block_bytes):
+                doc_ids = batch.column(0)[a:b]
+                for n, ids, counts in pieces(tokenizer).encode(batch.column(1)[a:b]):
+                    stops = np.cumsum(counts + 1)
+                    ids = np.insert(ids, np.cumsum(counts), end_id)
+                    at = 0
+                    while at < n:  # a block ends with the document that fills it
+                        done = int(stops[at - 1]) if at else 0
+                        to = min(n, int(np.searchsorted(stops, done + block_ids - total)) + 1)
+                        held.append((doc_ids[at:to], ids[done : stops[to - 1]], counts[at:to] + 1))
+                        total += int(stops[to - 1]) - done
+                        at = to
+                        if total >= block_ids:
+                            yield flush()
+                    doc_ids = doc_ids[n:]
+        if held:
+            yield flush()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, SCHEMA)

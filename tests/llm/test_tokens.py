@@ -2,10 +2,14 @@
 
 import base64
 import random
+import re
+import unicodedata
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -16,6 +20,7 @@ from cases import ODD
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 BYTES = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+ENDS = [(i, "The end. <|endoftext|>" * (i * 7 % 90)) for i in range(60)]
 SIGNS = "aaaabA \n\t\x1c\x85　é'st.ΣİI漢字0011١__==😀ñréß|<>"
 
 
@@ -44,14 +49,25 @@ def test_bpe_operators(odd, empty):
     assert bpe.encode(empty, BYTES, public_tokenizers.PATTERN).count() == 0
 
 
-def test_pieces_as_the_library():
-    tok = Tokenizer.from_file(WORDS)
-    tok.encode_special_tokens = True
-    mine = packing.Pieces(WORDS)
-    some = texts(6000, 2) + ["<|endoftext|> Don't we'LL", "x" * 5000]
+@pytest.mark.parametrize("keep", [300, 500_000])
+def test_pieces_as_the_library(keep):
+    tok, mine = Tokenizer.from_file(WORDS), packing.Pieces(WORDS, keep=keep)
+    draw = random.Random(4)
+    some = texts(6000, 2) + ["<|endoftext|> Don't we'LL", "x" * 5000, "hello <|endoftext|> world <|startoftext|>x", "a<|startoftext|>İ<|ENDOFTEXT|>.", ""]
+    some += [" ".join(draw.choice(["The", "the,", "Ünd", "naïve.", "é!?", "ŉ", "A.B", "ab.", ",", "word:"]) for _ in range(9)) for _ in range(300)]
     for a in range(0, len(some), 100):
-        for t, x in zip(some[a : a + 100], mine.encode(some[a : a + 100]), strict=True):
-            assert np.frombuffer(x, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+        got = []
+        for n, ids, counts in mine.encode(pa.array(some[a : a + 100])):
+            assert n == len(counts) and len(ids) == counts.sum()
+            got += np.split(ids, np.cumsum(counts)[:-1])
+        for t, x in zip(some[a : a + 100], got, strict=True):
+            assert x.tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_letters_that_only_change_case():
+    some = [c for c in map(chr, range(0x250)) if re.match(packing.LETTERS, c)]
+    assert len(some) > 400 and all(unicodedata.category(c)[0] == "L" and unicodedata.normalize("NFC", c) == c for c in some)
+    assert pc.utf8_lower(pa.array(some)).to_pylist() == [c.lower() for c in some]
 
 
 def test_cuts_are_the_cheapest():
@@ -75,8 +91,7 @@ def test_cuts_are_the_cheapest():
 @pytest.mark.parametrize("block", [50, 1_000_000])
 def test_every_id_is_in_one_piece(table, odd, empty, block):
     tok = Tokenizer.from_file(WORDS)
-    tok.encode_special_tokens = True
-    for df, rows in ((odd, ODD), (table([(i, "The end. " * (i * 7 % 90)) for i in range(60)]), [(i, "The end. " * (i * 7 % 90)) for i in range(60)])):
+    for df, rows in ((odd, ODD), (table(ENDS), ENDS)):
         out = packing.pack(df, WORDS, size=256, block_ids=block).collect()
         seqs = defaultdict(list)
         for r in out:
