@@ -2,23 +2,28 @@
 
 Tokens are runs of letters, digits and ``+/_.-``; every other visible character
 is a token of its own.  The field tags each token as secret begin, inside or
-outside, from its shape (length, kinds of characters, changes between letters
-and digits, hexadecimal only), from its neighbours (a naming word up to three
-tokens before, an assignment sign or quote next to it) and from the file (how
-much of it looks like settings or has digits), and is decoded by Viterbi.
+outside, from its shape (length, kinds of characters, changes of kind, shares of
+digits and vowels, longest run without a vowel, hexadecimal only), from its neighbours (the two words before,
+by a hash of their last part, so that ``db_password`` and ``clientSecret`` are
+told by ``password`` and ``secret``; an assignment sign or quote next to it) and
+from the file (how much of it looks like settings or has digits), and is decoded
+by Viterbi.
 
 It is trained where it is used, by maximum likelihood over lines that
-:func:`training_lines` invents, so it depends on no corpus.  A token whose
-outside score leads by more than transitions could ever repay is outside on
-every best path; chains are cut there, which makes decoding exact and cheap.
+:func:`training_lines` invents, so it depends on no corpus.  Transitions are
+fitted within ``+-BOUND``: a token whose outside score leads by more than they
+could ever repay is outside on every best path; chains are cut there, which
+makes decoding exact and cheap.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +38,6 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "crf")
-NAMING = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "key", "auth", "bearer", "credential", "credentials", "private_key", "access_key")
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
@@ -63,25 +67,19 @@ _KIND[128] = 6
 _KIND[[ord(c) for c in ":="]] = 7
 _KIND[[ord(c) for c in "\"'`"]] = 8
 _LENGTHS = np.array([2, 4, 8, 12, 16, 20, 32, 64])
-_PRIME = np.uint64(0x100000001B3)
+_VOWEL = np.isin(np.arange(129), [ord(c) for c in "aeiouyAEIOUY"])
+_PRIME = 0x100000001B3
+#: By place in a word's last part; later places don't count.
+_POWERS = np.array([*(pow(_PRIME, i + 1, 2**64) for i in range(24)), 0], np.uint64)
+#: Hashes of words, and none.
+WORDS = 1024
+BOUND = 4.0
 
 #: Number of values of each feature; a token has one value of each.
-SIZES = (len(_LENGTHS) + 1, 32, 5, 4, 2, 4, 3, 3, 3, 2, 2)
+SIZES = (len(_LENGTHS) + 1, 32, 5, 4, 2, 4, 3, 3, 2, 2, 4, 5, 5, WORDS + 1, WORDS + 1)
 OFFSETS = np.concatenate([[0], np.cumsum(SIZES)[:-1]])
 
 
-def _name_hash(codes: np.ndarray) -> np.uint64:
-    h = np.uint64(0)
-    for c in codes.astype(np.uint64):
-        h = h * _PRIME + c
-    return h
-
-
-_NAME_POWERS = np.array([pow(int(_PRIME), i, 2**64) for i in range(17)], np.uint64)
-with np.errstate(over="ignore"):
-    _NAMES = np.array(sorted(int(_name_hash(np.array([ord(c) for c in w]))) for w in NAMING), np.uint64)
-
-
 def tokens_of(code: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     """(starts, stops, document, features) of the tokens of several texts.
 
@@ -115,21 +113,34 @@ def tokens_of(code: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     changes = count(change)
     punct = np.where(is_run, 0, np.where(kind[starts] == 7, 1, np.where(kind[starts] == 8, 2, 3)))
 
-    naming = np.zeros(n, bool)
-    some = np.flatnonzero(is_run & (length >= 3) & (length <= 16) & (digit == 0) & (beyond == 0))
-    lower = np.where(kind == 3, code + 32, code).astype(np.uint64)
-    hashes = np.zeros(len(some), np.uint64)
-    for i in range(16):
-        on = length[some] > i
-        hashes[on] = hashes[on] * _PRIME + lower[starts[some[on]] + i]
-    naming[some] = np.isin(hashes, _NAMES)
+    # the last part of a word: after a joining sign, or from a capital letter that follows a small one
+    small, capital = (kind == 1) | (kind == 2), kind == 3
+    turn = np.zeros(len(code), bool)
+    turn[1:] = capital[1:] & small[:-1]
+    turns = count(turn) - turn[starts]
+    opens = turn.copy()
+    opens[1:] |= (kind[:-1] == 5) & (kind[1:] != 5)
+    opens[starts] = True
+    place = np.arange(len(code))
+    first = np.maximum.accumulate(np.where(opens, place, 0))
+    lower = np.where(capital, code + 32, code).astype(np.uint64)
+    sums = np.zeros(len(code) + 1, np.uint64)
+    np.cumsum(np.where((kind >= 1) & (kind <= 3), lower * _POWERS[np.minimum(place - first, 24)], np.uint64(0)), out=sums[1:])
+    hashes = sums[stops] - sums[first[stops - 1]]
+    own = ((hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(54)).astype(np.int32) + 1
+    own[hashes == 0] = 0
 
     doc = np.searchsorted(ends, starts, "right")
     same = lambda k: doc[k:] == doc[:-k]
-    named = np.zeros(n, np.int32)
-    for k in (1, 2, 3, 4):
-        if n > k:
-            named[k:] = np.where((named[k:] == 0) & naming[:-k] & same(k), 1 if k <= 2 else 2, named[k:])
+    # the nearest two words before the token, up to six tokens back
+    words = np.where(is_run & (hashes != 0), np.arange(n), -1)
+    last = np.maximum.accumulate(words)
+    previous = np.full((2, n), -1)
+    previous[0, 1:] = last[:-1]
+    known = previous[0] >= 0
+    previous[1, known] = previous[0, previous[0, known]]
+    near = (previous >= 0) & (np.arange(n) - previous <= 6) & (doc[previous] == doc)
+    named = np.where(near, own[previous], 0)
     signed, before, after = np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32)
     for k in (1, 2):
         if n > k:
@@ -142,6 +153,11 @@ def tokens_of(code: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     settings = np.bincount(doc, punct == 1, docs) / per > 0.04
     digits = np.bincount(doc, digit > 0, docs) / per > 0.15
     share = digit / length
+    letters = np.maximum(low_hex + low + up, 1)
+    vowel = _VOWEL[np.minimum(code, 128)]
+    vowels = count(vowel) / letters
+    hard = place - np.maximum.accumulate(np.where(letter & ~vowel, -1, place))
+    hard = np.maximum.reduceat(hard, starts)
     features = np.stack(
         [
             np.searchsorted(_LENGTHS, length, "right"),
@@ -149,61 +165,115 @@ def tokens_of(code: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
             np.searchsorted([1e-9, 0.15, 0.4, 0.9], share, "right"),
             np.searchsorted([1, 2, 4], changes, "right"),
             (is_run & (low_hex + digit == length)).astype(np.int32),
-            punct, named, signed, before + 0, settings[doc].astype(np.int32), digits[doc].astype(np.int32),
+            punct, signed, np.maximum(before, after), settings[doc].astype(np.int32), digits[doc].astype(np.int32),
+            np.searchsorted([1, 2, 4], turns, "right"), np.searchsorted([1e-9, 0.15, 0.3, 0.5], vowels, "right"),
+            np.searchsorted([2, 4, 5, 7], hard, "right"), named[0], named[1],
         ],
         axis=1,
     ).astype(np.int32)
-    features[:, 8] = np.maximum(before, after)
     return starts, stops, doc, features
 
 
-def training_lines(n: int = 1000, seed: int = 7) -> list[tuple[str, list[tuple[int, int]]]]:
+#: Words that name a secret in the invented lines, and some that stand before them.
+NAMES = (
+    "password", "passwd", "pwd", "pass", "passphrase", "secret", "secrets", "token", "apikey", "api_key", "api key", "key", "auth", "authorization", "bearer", "basic",
+    "credential", "credentials", "private_key", "access_key", "secret_key", "client_secret", "access_token", "refresh_token", "auth_token", "signature", "sig", "pin", "cookie", "session", "license_key", "encryption_key", "pw",
+)
+OWNERS = ("db", "aws", "user", "admin", "my", "app", "service", "root", "client", "account", "smtp", "mail", "redis", "master", "github", "cloud", "prod", "test", "web", "server")
+
+
+def training_lines(n: int = 2400, seed: int = 7) -> list[tuple[str, list[tuple[int, int]]]]:
     """Invented lines, and where their secrets are."""
     draw = random.Random(seed)
-    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    lower, upper, digits, hexa = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
+    both = lower + upper + digits
     pick = lambda chars, a, b: "".join(draw.choice(chars) for _ in range(draw.randint(a, b)))
+    sound = lambda a, b: "".join(draw.choice("bcdfghjklmnprstvw") + draw.choice("aeiou") + draw.choice(["", "", "n", "r", "st"]) for _ in range(draw.randint(a, b)))
 
     def word() -> str:
-        w = pick(lower, 1, 14)
+        w = draw.choice([sound(1, 4), sound(1, 3), pick(lower, 1, 3)])
         return draw.choice([w, w, w, w, w.capitalize(), w.upper(), w + draw.choice(".,"), "é" + w, w + draw.choice(["###", "$$$", "%%%", "!!"])])
 
+    def identifier() -> str:
+        parts = [sound(1, 2) for _ in range(draw.randint(2, 4))]
+        return draw.choice(["_".join(parts), "-".join(parts), ".".join(parts), "_".join(parts).upper(), parts[0] + "".join(p.capitalize() for p in parts[1:]), "/".join(["", *parts]), "_".join(parts) + pick(digits, 1, 2)])
+
+    def name() -> str:
+        w = draw.choice(NAMES)
+        if draw.random() < 0.4:
+            w = f"{draw.choice([*OWNERS, sound(1, 2)])}_{w}"
+        parts = w.replace(" ", "_").split("_")
+        return draw.choice([w, w, w.upper(), w.replace("_", "-"), parts[0] + "".join(p.capitalize() for p in parts[1:]), w.replace("_", " "), ".".join(parts)])
+
     def plain() -> str:
         return draw.choice([
-            lambda: f"{pick(lower, 2, 9)}.{pick(lower, 2, 9)}{draw.randint(1, 99)}@{pick(lower, 3, 9)}.com",
+            lambda: f"{sound(1, 3)}.{sound(1, 3)}{draw.randint(1, 99)}@{sound(1, 3)}.com",
             lambda: f"+{draw.randint(1, 99)} ({draw.randint(100, 999)}) {draw.randint(100, 999)}-{draw.randint(1000, 9999)}",
             lambda: ".".join(str(draw.randint(0, 255)) for _ in range(4)),
-            lambda: f"https://{pick(lower, 3, 9)}.example.com/{pick(lower, 2, 9)}/{draw.randint(1, 9999)}",
-            lambda: f"{draw.randint(1990, 2030)}-{draw.randint(1, 12):02}-{draw.randint(1, 28):02}",
-            lambda: pick(digits, 1, 16), lambda: f"{pick(digits, 1, 3)}.{pick(digits, 1, 4)}", lambda: f"Version {draw.randint(1, 9)}.0.",
-            lambda: f"{pick(lower, 3, 8)}_{pick(lower, 3, 8)}", lambda: pick(lower, 3, 6) + pick(upper, 1, 1) + pick(lower, 3, 8),
-            lambda: f"{pick(lower, 3, 9)} = {pick(digits, 1, 5)}", lambda: f"{pick(lower, 3, 9)}: {pick(lower, 3, 12)}",
-            lambda: "CC-BY-NC-" + pick(digits, 1, 1), lambda: f"{draw.choice(['the', 'a', 'your'])} {draw.choice(NAMING[:5])} {pick(lower, 2, 9)}",
-            lambda: " ".join(pick(digits, 4, 4) for _ in range(4)), lambda: pick(lower, 15, 40), lambda: pick(upper, 4, 14),
+            lambda: f"https://{sound(1, 3)}.example.com/{sound(1, 3)}/{draw.randint(1, 9999)}?{sound(1, 1)}={pick(digits, 1, 6)}",
+            lambda: f"https://{sound(1, 3)}.org/{sound(1, 3)}/{sound(1, 3)}-{sound(1, 3)}_{sound(1, 2)}.html",
+            lambda: f"{draw.randint(1990, 2030)}-{draw.randint(1, 12):02}-{draw.randint(1, 28):02}T{draw.randint(0, 23):02}:{draw.randint(0, 59):02}:00Z",
+            lambda: pick(digits, 1, 16), lambda: f"{pick(digits, 1, 3)}.{pick(digits, 1, 4)}", lambda: f"Version {draw.randint(1, 9)}.{draw.randint(0, 20)}.{draw.randint(0, 9)}-beta{draw.randint(1, 9)}",
+            identifier, identifier, lambda: f"{identifier()}({identifier()}, {word()}={draw.choice([pick(digits, 1, 4), identifier()])})", lambda: f"{identifier()} = {identifier()}",
+            lambda: f"{sound(1, 3)} = {pick(digits, 1, 5)}", lambda: f"{sound(1, 3)}: {sound(1, 4)}", lambda: f'"{sound(1, 3)}": "{draw.choice([sound(1, 4), identifier(), pick(digits, 1, 9)])}",',
+            lambda: f"{sound(1, 2)}_{pick(digits, 8, 8)}_{pick(digits, 4, 6)}.jpg", lambda: f"/{sound(1, 2)}/{sound(1, 2)}3.{draw.randint(1, 20)}/{sound(1, 2)}-{sound(1, 2)}/{sound(2, 3)}.so.{draw.randint(1, 9)}",
+            lambda: "CC-BY-NC-" + pick(digits, 1, 1), lambda: f"{pick(upper, 2, 4)}-{pick(digits, 3, 5)}{pick(upper, 0, 1)}", lambda: f"{pick(upper, 1, 2)}{pick(digits, 1, 3)}{pick(upper, 0, 2)}",
+            lambda: " ".join(pick(digits, 4, 4) for _ in range(4)), lambda: sound(5, 12), lambda: pick(upper, 4, 14), lambda: pick(hexa, 6, 8), lambda: "0x" + pick(hexa, 2, 8),
+            lambda: "-".join(pick(hexa, k, k) for k in (8, 4, 4, 4, 12)),
+            lambda: "".join(sound(1, 2).capitalize() for _ in range(draw.randint(2, 4))) + draw.choice(["", "()", "(", "[", ","]), lambda: f"{sound(1, 2)}{pick(digits, 1, 2)}{draw.choice(['', sound(1, 2)])}",
+            lambda: f"{sound(1, 2)}={draw.choice(['', chr(34), chr(39)])}{draw.choice([identifier(), sound(1, 2) + pick(digits, 1, 3)])}", lambda: f"<{sound(1, 1)} {draw.choice(['name', 'key', 'id'])}='{draw.choice([identifier, name])()}' value='{draw.choice([sound(1, 3), identifier(), pick(digits, 1, 5)])}'/>",
+            lambda: f"{sound(1, 2)}://{sound(1, 3)}:{pick(digits, 2, 5)}/{sound(1, 2)}", lambda: f"{sound(1, 2)}:{sound(1, 2)}@{sound(1, 2)}",
+            # names of secrets without one
+            lambda: f"{draw.choice(['the', 'a', 'your', 'this', 'no'])} {name()} {draw.choice([sound(1, 3), 'is', 'was', 'of'])} {word()}",
+            lambda: f"{name()}{draw.choice([' = ', ': ', '=', ' '])}{draw.choice(['None', 'null', 'true', 'required', 'string', identifier(), identifier() + '()', '', pick(digits, 1, 4), '<' + sound(1, 2) + '>', '${' + identifier() + '}', sound(2, 4)])}",
+            lambda: f"{name()} {draw.choice(['limit', 'must be', 'for', 'and', 'in'])} {pick(digits, 1, 4)} {word()}",
         ])()
 
-    def secret() -> str:
-        both = lower + upper + digits
+    def strong() -> str:
         return draw.choice([
-            lambda: pick(digits + "abcdef", 24, 64), lambda: "AKIA" + pick(upper + digits, 16, 16), lambda: pick(both, 20, 44), lambda: pick(both + "+/_-", 20, 64),
-            lambda: draw.choice(["ghp_", "sk-", "xoxb-", "pk_live_"]) + pick(both, 16, 40), lambda: ".".join(pick(both + "_-", 20, 40) for _ in range(3)),
+            lambda: pick(hexa, 24, 64), lambda: pick(hexa.upper(), 24, 64), lambda: "AKIA" + pick(upper + digits, 16, 16), lambda: pick(both, 20, 44), lambda: pick(both + "+/", 24, 88) + draw.choice(["", "=", "=="]),
+            lambda: draw.choice([pick(lower, 2, 4), pick(lower, 2, 4) + "_" + pick(lower, 2, 4)]) + draw.choice("_-") + pick(both, 16, 40), lambda: ".".join(pick(both + "_-", 20, 40) for _ in range(3)), lambda: pick(lower + digits, 24, 40), lambda: pick(upper + digits, 20, 40), lambda: pick(lower, 3, 6) + "-" + pick(both + "_-", 20, 30),
+        ])()
+
+    def weak() -> str:
+        """Told from words by their names only."""
+        return draw.choice([
+            lambda: pick(both, 8, 20), lambda: sound(1, 2).capitalize() + pick(digits, 2, 4) + draw.choice(["", "!", "#" + pick(both, 1, 3), "$" + pick(both, 2, 4), "@" + pick(digits, 1, 3)]),
+            lambda: sound(1, 2) + draw.choice("-_.") + sound(1, 2) + pick(digits, 2, 4), lambda: pick(both, 4, 8) + draw.choice("!#%&*") + pick(both, 3, 8), lambda: pick(lower, 3, 6) + pick(digits, 2, 6) + pick(lower, 0, 4),
         ])()
 
     out = []
     for _ in range(n):
         text, spans = "", []
-        for _ in range(draw.randint(1, 8)):
+
+        def put(before: str, value: str, after: str) -> None:
+            nonlocal text
+            text += before
+            spans.append((len(text), len(text) + len(value)))
+            text += value + after + draw.choice([" ", " ", "\n"])
+
+        for _ in range(draw.randint(1, 4)):
             roll = draw.random()
-            if roll < 0.12:
-                lead = draw.choice([f"{draw.choice(NAMING)} = ", f"{draw.choice(NAMING)}: ", f"{draw.choice(NAMING)}=", f"{draw.choice(NAMING)} "])
-                if draw.random() < 0.3:
-                    lead = ""
+            if roll < 0.16:
                 quote = draw.choice(['"', "'", "", ""])
-                s = secret()
-                text += lead + quote
-                spans.append((len(text), len(text) + len(s)))
-                text += s + quote + " "
-            elif roll < 0.3:
-                text += plain() + " "
+                before = draw.choice([" = ", ": ", "=", ":", " := ", " => ", " is ", " "])
+                kind = draw.random()
+                if kind < 0.5:
+                    put(name() + before + quote, draw.choice([weak, strong])() if before not in (" ", " is ") else strong(), quote)
+                elif kind < 0.6:
+                    put(f'"{name()}": "', draw.choice([weak, strong])(), '",')
+                elif kind < 0.7:
+                    put(f"{sound(1, 2)}://{sound(1, 2)}:", draw.choice([weak, strong])(), f"@{sound(1, 3)}:{pick(digits, 2, 4)}/{sound(1, 2)}")
+                elif kind < 0.8:
+                    put(f"{draw.choice(['Authorization: ', '-H ', ''])}{draw.choice(['Bearer', 'bearer', 'Token', 'Basic', 'token'])} ", strong(), quote)
+                elif kind < 0.84:
+                    put(f"<{sound(1, 1)} {draw.choice(['name', 'key', 'id'])}={quote}{name()}{quote} value='", draw.choice([weak, strong])(), "'/>")
+                elif kind < 0.92:
+                    put(f"{draw.choice(['--', '-', ';', '&', '?'])}{name()}{draw.choice(['=', ' ', '='])}", draw.choice([weak, strong])(), draw.choice(["", ";", "&"]))
+                else:
+                    put(quote, strong(), quote)
+            elif roll < 0.45:
+                text += plain() + draw.choice([" ", "\n"])
             else:
                 text += " ".join(word() for _ in range(draw.randint(1, 8))) + draw.choice([" ", " ", " | ", "\n"])
         out.append((text, spans))
@@ -216,7 +286,7 @@ def _code(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 @lru_cache(1)
-def model(steps: int = 80) -> tuple[np.ndarray, np.ndarray]:
+def model(steps: int = 70) -> tuple[np.ndarray, np.ndarray]:
     """(emission weights by feature value and tag, transitions); tags: outside, begin, inside."""
     lines = training_lines()
     code, ends = _code([t for t, _ in lines])
@@ -236,7 +306,7 @@ def model(steps: int = 80) -> tuple[np.ndarray, np.ndarray]:
     there[doc, place] = True
     weights, moves = np.zeros((sum(SIZES), 3)), np.zeros((3, 3))
     state = [np.zeros_like(x) for x in (weights, weights, moves, moves)]
-    one = np.eye(3)
+    one, flat = np.eye(3), columns.ravel()
     follows = (place[1:] > 0).nonzero()[0]
     for step in range(1, steps + 1):
         e = np.zeros((n, t, 3))
@@ -254,15 +324,15 @@ def model(steps: int = 80) -> tuple[np.ndarray, np.ndarray]:
         share = np.exp(alpha + beta - z[:, None, None])[doc, place]
         both = np.exp(alpha[:, :-1, :, None] + moves + (e + beta)[:, 1:, None, :] - z[:, None, None, None]) * there[:, 1:, None, None]
         miss = one[gold] - share
-        g = np.zeros_like(weights)
-        np.add.at(g, columns.ravel(), np.repeat(miss, columns.shape[1], 0))
+        g = np.stack([np.bincount(flat, np.repeat(miss[:, k], columns.shape[1]), len(weights)) for k in range(3)], 1)
         h = -both.sum((0, 1))
         np.add.at(h, (gold[follows], gold[follows + 1]), 1)
         for x, grad, m, v in ((weights, g / n - 1e-3 * weights, state[0], state[1]), (moves, h / n - 1e-3 * moves, state[2], state[3])):
             m += 0.1 * (grad - m)
             v += 0.01 * (grad * grad - v)
             x += 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return weights, np.clip(moves, -4, 4)
+        np.clip(moves, -BOUND, BOUND, out=moves)
+    return weights, moves
 
 
 def viterbi(scores: np.ndarray, moves: np.ndarray) -> np.ndarray:
@@ -320,7 +390,8 @@ def all_spans(texts: list[str], weights: np.ndarray, moves: np.ndarray) -> list[
     out = []
     for text, added in zip(texts, field_spans(texts, weights, moves), strict=True):
         base = base_spans(text)
-        new = [("crf", a, b) for a, b in added if not any(a < y and x < b for _, x, y in base)]
+        starts, reach = [x for _, x, _ in base], [0, *accumulate((y for _, _, y in base), max)]
+        new = [("crf", a, b) for a, b in added if reach[bisect_left(starts, b)] <= a]
         out.append(sorted([*base, *new], key=lambda s: (s[1], KINDS.index(s[0]))))
     return out
 

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cases import ODD
+from planted_secrets import clean, planted
 from clonespark.llm import quality
 from clonespark.llm import secret_scan as ss
 from clonespark.llm.queries import OP10_SQL, oracle_sql, queries
@@ -109,12 +110,36 @@ def test_base_spans():
         assert ss.base_spans(text) == base_by_hand(text), repr(text)
 
 
-def test_field_on_lines_it_has_not_seen():
+def test_field_on_secrets_it_was_not_made_for():
+    """Formats of real tools among real words; the field alone, without the patterns."""
     w, m = ss.model()
-    lines = ss.training_lines(800, seed=123)
+    lines = planted(800, seed=123)
     found = ss.field_spans([t for t, _ in lines], w, m)
-    hit = sum(len(set(a) & set(b)) for a, (_, b) in zip(found, lines, strict=True))
-    assert hit / sum(map(len, found)) > 0.95 and hit / sum(len(b) for _, b in lines) > 0.95
+    meets = lambda s, others: any(s[0] < b and a < s[1] for a, b in others)
+    caught = [meets(s, f) for f, (_, gold) in zip(found, lines, strict=True) for s in gold]
+    right = [meets(s, gold) for f, (_, gold) in zip(found, lines, strict=True) for s in f]
+    covered = sum(max(0, min(b, d) - max(a, c)) for f, (_, gold) in zip(found, lines, strict=True) for a, b in gold for c, d in f)
+    assert np.mean(caught) >= 0.9 and np.mean(right) >= 0.9
+    assert covered >= 0.9 * sum(b - a for _, gold in lines for a, b in gold)
+    # what the patterns miss is where the field adds
+    added = [s for (t, gold), spans in zip(lines, ss.all_spans([t for t, _ in lines], w, m), strict=True) for s in spans if s[0] == "crf" and meets(s[1:], gold)]
+    missed = sum(not meets(g, [(a, b) for _, a, b in ss.base_spans(t)]) for t, gold in lines for g in gold)
+    assert missed > 300 and len(added) >= 0.85 * missed
+
+
+def test_field_on_texts_without_secrets():
+    w, m = ss.model()
+    texts = clean()
+    assert 5000 * sum(map(len, ss.field_spans(texts, w, m))) <= sum(map(len, texts))
+
+
+def test_added_spans_meet_no_base_span():
+    w, m = ss.model()
+    for text, _ in planted(200, seed=8):
+        text = text * 3
+        base = ss.base_spans(text)
+        want = [("crf", a, b) for a, b in ss.field_spans([text], w, m)[0] if not any(a < y and x < b for _, x, y in base)]
+        assert [s for s in ss.all_spans([text], w, m)[0] if s[0] == "crf"] == want
 
 
 def test_decoding_is_exact():
