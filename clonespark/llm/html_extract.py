@@ -36,8 +36,9 @@ from pyspark.sql import functions as F
 
 from clonespark.llm.common import cut, text_of
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|[^<]+|<", re.S)
-RAW = re.compile(r"<(/?)(script|style|noscript|template|svg|iframe|textarea)\b", re.I)
+NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+STOP = re.compile("[>\"']")
+RAW = frozenset("script style noscript template svg iframe textarea".split())
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is never part of the article.
@@ -62,28 +63,83 @@ SUPPORT = 3
 BLOCKS = 64
 
 
+class Ends:
+    """Where tags end: the first ``>`` outside quotes.  What has no end is
+    remembered, so that a page is looked over once however many tags lack one."""
+
+    def __init__(self, page: str):
+        self.page, self.dead, self.none_from = page, set(), len(page)
+
+    def close(self, at: int) -> int:
+        """The place after the next ``>``, or -1."""
+        if at >= self.none_from:
+            return -1
+        found = self.page.find(">", at)
+        if found < 0:
+            self.none_from = at
+        return found + 1 or -1
+
+    def tag(self, at: int) -> int:
+        seen = []
+        while at < self.none_from:
+            m = STOP.search(self.page, at)
+            if not m:
+                self.none_from = at
+                break
+            if m.start() in self.dead:
+                break
+            if m[0] == ">":
+                return m.end()
+            seen.append(m.start())
+            at = self.page.find(m[0], m.end()) + 1
+            if not at:
+                break
+        self.dead.update(seen)
+        return -1
+
+
 def tokens(page: str) -> list[tuple[str, str, bool]]:
     """("<name", "</name" or "#", text or class words, whether it is boilerplate)."""
-    out, at = [], 0
+    out, said, at, ends = [], [], 0, Ends(page)
+
+    def tell(token: tuple[str, str, bool]) -> None:
+        if said:
+            out.append(("#", "".join(said), False))
+            said.clear()
+        out.append(token)
+
     while at < len(page):
-        m = TOKEN.match(page, at)
-        at = m.end()
-        if m[2]:
-            name = m[2].lower()
-            if m[1]:
-                out.append((f"</{name}", "", False))
-                continue
-            marks = " ".join(next(filter(None, x[1:]), "") for x in ATTRIBUTE.findall(m[3])) if "=" in m[3] else ""
-            out.append((f"<{name}", marks, name in OUTSIDE or bool(marks and NOTICE.search(marks))))
-            if RAW.match(m[0]) and not m[3].endswith("/"):
-                end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
-                out.append((f"</{name}", "", False))
-        elif page[m.start()] != "<" or m[0] == "<":
-            if out and out[-1][0] == "#":
-                out[-1] = ("#", out[-1][1] + m[0], False)
-            else:
-                out.append(("#", m[0], False))
+        start = at
+        if page[at] != "<":
+            at = page.find("<", at) % (len(page) + 1)
+            said.append(page[start:at])
+            continue
+        if page.startswith("<!--", at):
+            at = page.find("-->", at + 4)
+            at = at + 3 if at >= 0 else len(page)
+            continue
+        m = NAME.match(page, at)
+        stop = ends.tag(m.end()) if m else ends.close(at) if page[at + 1 : at + 2] in ("!", "?") else -1
+        if stop < 0:
+            said.append("<")
+            at += 1
+            continue
+        at = stop
+        if not m:
+            continue
+        name, attributes = m[2].lower(), page[m.end() : stop - 1]
+        if m[1]:
+            tell((f"</{name}", "", False))
+            continue
+        marks = " ".join(next(filter(None, x[1:]), "") for x in ATTRIBUTE.findall(attributes)) if "=" in attributes else ""
+        tell((f"<{name}", marks, name in OUTSIDE or bool(marks and NOTICE.search(marks))))
+        if name in RAW and not attributes.endswith("/"):
+            end = re.compile(rf"</{name}\b", re.I).search(page, at)
+            at = ends.close(end.end()) if end else -1
+            at = len(page) if at < 0 else at
+            tell((f"</{name}", "", False))
+    if said:
+        out.append(("#", "".join(said), False))
     return out
 
 
@@ -177,15 +233,39 @@ def tree(all_tokens: list[tuple[str, str, bool]]) -> list:
     return root
 
 
+def square(codes: np.ndarray, size: int) -> bool:
+    """Whether a stretch of ``size`` is followed by its equal.  Such a stretch
+    holds a multiple of ``size``, so only those are looked at more closely."""
+    ahead, here = codes[size:], codes[: len(codes) - size]
+    for k in (np.flatnonzero(here[::size] == ahead[::size]) * size).tolist():
+        run = 0
+        for x, y in ((here[k:][:size], ahead[k:][:size]), (here[max(0, k - size) : k][::-1], ahead[max(0, k - size) : k][::-1])):
+            at, step = 0, 16
+            while at < len(x):
+                differ = np.flatnonzero(x[at : at + step] != y[at : at + step])
+                if len(differ):
+                    at += int(differ[0])
+                    break
+                at, step = min(len(x), at + step), 2 * step
+            run += at
+        if run >= size:
+            return True
+    return False
+
+
 def fold(items: list[list]) -> list[list]:
     """Neighbouring equal groups, shortest first, become repeats; texts that differ become slots."""
-    size = 1
+    size, codes = 1, None
     while 2 * size <= len(items):
-        keys = [x[KEY] for x in items]
-        number = {k: i for i, k in enumerate(dict.fromkeys(keys))}
-        if len(number) == len(keys):
-            break
-        codes = np.array([number[k] for k in keys])
+        if codes is None:
+            keys = [x[KEY] for x in items]
+            number = {k: i for i, k in enumerate(dict.fromkeys(keys))}
+            if len(number) == len(keys):
+                break
+            codes = np.array([number[k] for k in keys])
+        if size > 32 and not square(codes, size):
+            size += 1
+            continue
         same = np.concatenate([[0], np.cumsum(codes[:-size] == codes[size:])])
         at_all = same[size:] - same[:-size] == size  # the group here equals the next
         if not at_all.any():
@@ -205,7 +285,7 @@ def fold(items: list[list]) -> list[list]:
             else:
                 out.append(items[at])
                 at += 1
-        items = out
+        items, codes = out, None
         size += 1
     return items
 

@@ -204,3 +204,38 @@ def test_repeats_of_any_length():
     entry = "".join(f"<h{n}>t</h{n}><p>x</p><div>y</div>" for n in range(1, 7))
     w = hx.infer([f"<body><div class='list'>{entry * n}</div></body>" for n in (1, 4)])
     assert len([x for x in w if x[0] == "+"]) == 1 and "?" not in {x[0] for x in w}
+
+
+@pytest.mark.parametrize("part", ['<a "', "<a ", "<", "<!x", "</script", "<a \"'", "<script></script", '<p class="x" '])
+def test_pages_of_unclosed_tags_take_linear_time(part):
+    import time
+
+    took = []
+    for n in (20_000, 160_000):
+        start = time.process_time()
+        hx.extract(part * n, None)
+        took.append(time.process_time() - start)
+    assert took[1] < 32 * took[0] + 0.5  # 64 times as much if it were quadratic
+
+
+def test_tags_end_outside_quotes():
+    told = hx.tokens("""a<b c="x>y" d='">'>t<e "f<!-- <i> -->g<script>1<2</SCRIPT x><!doctype z><?q>h<j""")
+    assert told == [("#", "a", False), ("<b", "", False), ("#", 't<e "fg', False), ("<script", "", True), ("</script", "", False), ("#", "h<j", False)]
+
+
+def test_equal_neighbours_are_found():
+    draw = random.Random(4)
+    for _ in range(2000):
+        codes, size = np.array([draw.randrange(3) for _ in range(draw.randrange(2, 40))]), draw.randrange(1, 12)
+        if len(codes) >= 2 * size:
+            want = any((codes[i : i + size] == codes[i + size : i + 2 * size]).all() for i in range(len(codes) - 2 * size + 1))
+            assert hx.square(codes, size) == want
+
+
+def test_extra_columns(spark):
+    from pyspark.sql import functions as F
+
+    pages = spark.createDataFrame([(1, "http://h/1", "<body><p>own words here</p></body>")], "page_id long, url string, html string")
+    for c in ("host", "told", "h", "n", "text", "n_chars"):
+        pages = pages.withColumn(c, F.lit(1))
+    assert [tuple(r) for r in hx.extract_pages(pages).collect()] == [(1, "http://h/1", "own words here", 14)]
