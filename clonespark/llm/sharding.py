@@ -9,12 +9,14 @@ large go on; rows hold an id's hash and a byte count, never the text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clonespark.llm.common import cut, text_of
 
 BITS, STEP = 60, 8
+#: Rows of one page that are dealt out together.
+CHUNK = 10_000
 
 
 def shard(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -25,7 +27,8 @@ def shard(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "
     document.  Such a document above the limit stays outside the directory, at
     depth BITS.  Rows that share a hash (a repeated id) cannot be split by it:
     if they exceed the limit, they are at depth BITS too and dealt to pages of
-    that shard, each within the limit; ``page`` is the string 0 elsewhere.
+    that shard, each within the limit and of rows of one size, named by it and a
+    number; ``page`` is the string 0 elsewhere.
 
     Null text: 0 bytes.  Null id: hashed as the word null.  Repeated rows: a
     row each.  Only the two named columns are read.  An empty table: no rows.
@@ -53,12 +56,12 @@ def shard(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "
         active, base = found.where("depth IS NULL").drop("depth"), bits
         if active.isEmpty():
             break
-    rest = rows.where(F.col("n_bytes") > limit).unionByName(active)
+    # equal rows are counted and dealt out again, so that no task holds all of them
+    rest = rows.where(F.col("n_bytes") > limit).unionByName(active).groupBy("doc_id", "n_bytes", "h").agg(F.count("*").alias("c"))
+    rest = rest.withColumn("first", F.explode(F.sequence(F.lit(0), F.col("c") - 1, F.lit(CHUNK)))).repartition("h", "n_bytes", "first")
+    rest = rest.withColumn("i", F.explode(F.sequence("first", F.least(F.col("first") + CHUNK, "c") - 1)))
     in_page = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest("n_bytes", F.lit(1))))
-    task = F.spark_partition_id()
-    number = F.row_number().over(Window.partitionBy("h", "n_bytes", "task").orderBy("doc_id")) - 1
-    rest = rest.withColumn("task", task).withColumn("part", F.floor(number / in_page)).withColumn("depth", F.lit(BITS))
-    rest = rest.withColumn("page", F.concat_ws("-", "task", "n_bytes", "part"))
+    rest = rest.withColumn("depth", F.lit(BITS)).withColumn("page", F.concat_ws("-", "n_bytes", F.floor(F.col("i") / in_page)))
     out = None
     for part in [*placed, rest]:
         part = part.select(

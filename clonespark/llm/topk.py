@@ -27,9 +27,9 @@ PROBE = 8
 
 
 class Shard:
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+    def __init__(self, keys: np.ndarray, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, rows = ids[order], vectors[order]
+        self.keys, self.ids, rows = keys[order], ids[order], vectors[order]
         # float64 holds sums of products exactly below 2**53
         bound = float(np.abs(rows.astype(float)).max(initial=0))
         self.exact = bound * bound * max(1, rows.shape[1]) < 2.0**53
@@ -37,7 +37,7 @@ class Shard:
         self.low, self.high = self.columns.min(1, initial=0), self.columns.max(1, initial=0)
 
     def best(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best rows but ``own``, ties to smaller ids."""
+        """(ids, scores) of the k best rows but that of key ``own``, ties to smaller ids."""
         d = max(len(query), len(self.columns))
         if len(query) < d:
             query = np.pad(query, (0, d - len(query)))
@@ -49,7 +49,7 @@ class Shard:
         ends = np.stack([query * self.low, query * self.high])
         upper, lower = ends.max(0), ends.min(0)
         terms = np.argsort(lower - upper, kind="stable")
-        alive = np.flatnonzero(self.ids != own)
+        alive = np.flatnonzero(self.keys != own)
         if not len(alive):
             return self.ids[:0], np.zeros(0, np.int64)
         rest_upper = np.append(np.cumsum(upper[terms][::-1])[::-1], 0)  # of terms[j:]
@@ -80,55 +80,58 @@ class Shard:
 def integer_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, v array<long>): floor(256 x) of each component.
 
-    Rows with a null id, a null vector, or null or non-finite components go.  Of rows
-    that share an id the greatest vector, as arrays order, stands for it.
+    Rows with a null id, a null vector, or null or non-finite components go.
     """
     finite = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     ints = F.transform(vector_col, lambda x: F.floor(x.cast("double") * 256))
-    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col)).where(F.col("vec_id").isNotNull() & F.col(vector_col).isNotNull() & finite)
-    return rows.groupBy("vec_id").agg(F.max(ints).alias("v"))
+    rows = df.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & finite)
+    return rows.select(F.col(id_col).cast("long").alias("vec_id"), ints.alias("v"))
 
 
-def top_k(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", rows_in_shard: int = 4096, queries_in_block: int = 512) -> DataFrame:
+def top_k(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", rows_in_shard: int = 4096, queries_in_block: int = 2048) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` highest integer inner products.
 
-    ``is_query``: a condition on ``vec_id``.  Candidates: all rows but those of
-    the query's id; fewer than k candidates: all.  Ties go to the smaller id.
-    Missing trailing components count as 0.  An empty table gives no rows.
+    ``is_query``: a condition on ``vec_id``.  Each row that meets it is a query
+    and has ranks of its own.  Candidates: all rows but the query's own; fewer
+    than k candidates: all.  Ties go to the smaller id.  Repeated rows and rows
+    that share an id are queries and candidates of their own.  Missing trailing
+    components count as 0.  Columns but the two named ones are not read.  An
+    empty table gives no rows.
     """
-    rows = cut(integer_vectors(df, id_col, vector_col), "vectors")
+    # written with a key for each row, so that it stays the row's own
+    rows = cut(integer_vectors(df, id_col, vector_col).withColumn("key", F.monotonically_increasing_id()), "vectors")
     n, m = rows.count(), rows.where(is_query).count()
     shards, blocks = max(1, -(-n // rows_in_shard)), max(1, -(-m // queries_in_block))
-    packed = F.collect_list(F.struct("vec_id", "v"))
-    by_shard = rows.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard")).agg(packed.alias("rows"))
+    packed = F.collect_list(F.struct("key", "vec_id", "v"))
+    by_shard = rows.groupBy(F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard")).agg(packed.alias("rows"))
     asked = (
-        rows.where(is_query).groupBy(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block")).agg(packed.alias("queries"))
+        rows.where(is_query).groupBy(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(blocks)).cast("int").alias("block")).agg(packed.alias("queries"))
         .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     )
 
-    def matrix(column, i) -> tuple[np.ndarray, np.ndarray]:
+    def matrix(column, i) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         items = column[i].values
-        ids, vectors = items.field("vec_id").to_numpy(zero_copy_only=False), items.field("v")
+        keys, ids, vectors = items.field("key").to_numpy(zero_copy_only=False), items.field("vec_id").to_numpy(zero_copy_only=False), items.field("v")
         counts = np.diff(vectors.offsets.to_numpy())
         flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         if len(set(counts.tolist())) <= 1:
-            return ids, flat.reshape(len(ids), -1)
+            return keys, ids, flat.reshape(len(ids), -1)
         out = np.zeros((len(ids), int(counts.max())), np.int64)
         out[np.arange(out.shape[1]) < counts[:, None]] = flat
-        return ids, out
+        return keys, ids, out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 shard = Shard(*matrix(batch.column(0), i))
-                ids, queries = matrix(batch.column(1), i)
-                found = [shard.best(q, own, k) for own, q in zip(ids.tolist(), queries, strict=True)]
+                keys, ids, queries = matrix(batch.column(1), i)
+                found = [shard.best(q, own, k) for own, q in zip(keys.tolist(), queries, strict=True)]
                 counts = [len(x[0]) for x in found]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(ids, counts), pa.int64()), pa.array(np.concatenate([x[0] for x in found]), pa.int64()), pa.array(np.concatenate([x[1] for x in found]), pa.int64())],
-                    names=["query_id", "vec_id", "score"],
+                    [pa.array(np.repeat(keys, counts), pa.int64()), pa.array(np.repeat(ids, counts), pa.int64()), pa.array(np.concatenate([x[0] for x in found]), pa.int64()), pa.array(np.concatenate([x[1] for x in found]), pa.int64())],
+                    names=["key", "query_id", "vec_id", "score"],
                 )
 
-    pairs = asked.join(by_shard, "shard").select("rows", "queries").mapInArrow(run, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    pairs = asked.join(by_shard, "shard").select("rows", "queries").mapInArrow(run, "key long, query_id long, vec_id long, score long")
+    best = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -183,16 +183,17 @@ def test_top_k(spark, dims, big):
     draw = np.random.default_rng(dims)
     vectors = np.floor(draw.normal(size=(230, dims)) * 40) / 256 * big
     vectors[100:130] = vectors[7]
-    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(5, vectors[5].tolist())] * 3
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(5, vectors[5].tolist())] * 3 + [(50, vectors[9].tolist())] * 2 + [(100, vectors[100].tolist())]
     odd = [(500, None), (550, [None] * dims), (600, [float("nan")] * dims), (650, [float("inf")] * dims), (None, vectors[0].tolist()), (700, [])]
-    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").withColumn("shard", F.lit(1))
-    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in top_k(df, F.col("vec_id") % 50 == 0, rows_in_shard=64, queries_in_block=3).collect()}
-    ints = {i: [int(np.floor(x * 256)) for x in v] for i, v in enumerate(vectors)} | {700: []}
-    want = {}
-    for q in [i for i in ints if i % 50 == 0]:
-        scored = sorted((-sum(a * b for a, b in zip(ints[q], v, strict=False)), i) for i, v in ints.items() if i != q)[:5]
-        want |= {(q, k + 1): (i, -s) for k, (s, i) in enumerate(scored)}
-    assert got == want
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").selectExpr("*", "1 AS shard", "2 AS key", "3 AS v", "4 AS `rows`", "5 AS block")
+    got = sorted(tuple(r) for r in top_k(df, F.col("vec_id") % 50 == 0, rows_in_shard=64, queries_in_block=3).collect())
+    ints = [(i, [int(np.floor(x * 256)) for x in v]) for i, v in rows] + [(700, [])]
+    want = []
+    for own, (q, u) in enumerate(ints):
+        if q % 50 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(u, v, strict=False)), i) for key, (i, v) in enumerate(ints) if key != own)[:5]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored)]
+    assert got == sorted(want)
 
 
 def test_top_k_few_and_none(spark):
