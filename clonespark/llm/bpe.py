@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clonespark.llm.common import hold, text_of
+from clonespark.llm.common import hold, mapped, text_of
 
 #: White space as Unicode's property has it; the property of a Python pattern has four controls more.
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -190,7 +190,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             if texts:
                 yield out(doc_ids, texts)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return mapped(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")), run, "doc_id long, ids array<int>")
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -211,4 +211,4 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decod
                 texts = [b"".join(map(token.__getitem__, flat[a:b].tolist())) if valid else None for a, b, valid in zip(ends, ends[1:], ids.is_valid().to_pylist(), strict=False)]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(others)], pa.array(texts, pa.binary())], names=[*others, out_col])
 
-    return df.select(*others, ids_col).mapInArrow(run, schema)
+    return mapped(df.select(*others, ids_col), run, schema)

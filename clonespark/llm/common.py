@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from clonespark.staging import clean, cut, drop, shared_dir
 
-__all__ = ["NO_ID", "clean", "cut", "drop", "hold", "shared_dir", "slices", "table", "text_of"]
+__all__ = ["NO_ID", "clean", "cut", "drop", "free_name", "give_back", "hold", "mapped", "shared_dir", "slices", "table", "text_of"]
 
 #: Stands for a missing id inside an operator, so that keys join and order.
 NO_ID = -(2**63)
@@ -25,10 +25,39 @@ def text_of(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores after it as keep it apart from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Free memory of this process goes to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim:
+        trim(0)
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` whose workers, which wait for other tasks beside the
+    executor, keep no free memory after theirs."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(task, schema)
+
+
 _held: dict[tuple, Any] = {}
 
 
@@ -42,10 +71,7 @@ def hold(key: tuple, make: Callable[[], Any]) -> Any:
     if key not in _held:
         _held.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
-        if trim:
-            trim(0)
+        give_back()
         _held[key] = make()
     return _held[key]
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clonespark.llm.common import text_of
+from clonespark.llm.common import mapped, text_of
 
 #: Samples in a row of the images that ``encode`` makes; rows in a frame at most.
 WIDTH, ROWS = 192, 64
@@ -287,7 +287,7 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(text_of(text_col), "UTF-8").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return mapped(rows, run, "doc_id long, n_bytes long, media binary")
 
 
 def decode_media(df: DataFrame, media_col: str = "media") -> DataFrame:
@@ -324,4 +324,4 @@ def decode_media(df: DataFrame, media_col: str = "media") -> DataFrame:
                 shown = [None if x[1] is None else [dict(zip(names, y, strict=True)) for y in x[1]] for x in found]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x[0] for x in found], pa.binary()), pa.array(shown, frame_type)], names=[*kept, "samples", "frames"])
 
-    return df.select(*kept).mapInArrow(run, schema)
+    return mapped(df.select(*kept), run, schema)

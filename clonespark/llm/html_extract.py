@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clonespark.llm.common import cut, text_of
+from clonespark.llm.common import cut, mapped, text_of
 
 NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
 STOP = re.compile("[>\"']")
@@ -573,7 +573,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
         return pd.DataFrame({"host": [group["host"].iloc[0]], "h": [group["h"].min()], "told": [joined(group)]})
 
     kind = "host string, h long, told string"
-    shapes = rows.select("host", "html").mapInArrow(learn, kind)
+    shapes = mapped(rows.select("host", "html"), learn, kind)
     # a template that every task meets: some of its rows first, so that no task sees them all
     shapes = shapes.groupBy("host", "h", F.pmod(F.xxhash64("told"), F.lit(16))).applyInPandas(of_shape, kind)
     parts = cut(shapes.groupBy("host", "h").applyInPandas(of_shape, kind), "shapes")
@@ -601,5 +601,5 @@ def extract_pages(pages: DataFrame) -> DataFrame:
                 texts.append(extract(page.as_py(), held[told]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    found = rows.join(wrappers, "host", "left").select("page_id", "url", "html", "told").mapInArrow(run, "page_id long, url string, text string")
+    found = mapped(rows.join(wrappers, "host", "left").select("page_id", "url", "html", "told"), run, "page_id long, url string, text string")
     return found.withColumn("n_chars", F.length("text").cast("long"))

@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clonespark.llm.common import NO_ID, cut, drop, text_of
+from clonespark.llm.common import NO_ID, cut, drop, free_name, text_of
 
 #: Words are what white space of ASCII separates.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -51,26 +51,27 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
     table gives an empty result.
     """
     others = [c for c in docs.columns if c not in (text_col, "n_lines", "n_removed")]
+    d, t, g, k = (free_name(docs, name) for name in ("d", "t", "gone", "kept"))
     keyed = docs.select(
         *[F.col(c) for c in others],
         F.col(text_col),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("__d"),
-        F.xxhash64(text_of(text_col)).alias("__t"),
+        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias(d),
+        F.xxhash64(text_of(text_col)).alias(t),
     )
-    gone = repeated_intervals(keyed.select(F.col("__d").alias("d"), F.col("__t").alias("t"), text_of(text_col).alias("text")), min_words)
-    gone = gone.select(F.col("d").alias("__d"), F.col("t").alias("__t"), F.col("gone").alias("__g"))
+    gone = repeated_intervals(keyed.select(F.col(d).alias("d"), F.col(t).alias("t"), text_of(text_col).alias("text")), min_words)
+    gone = gone.select(F.col("d").alias(d), F.col("t").alias(t), F.col("gone").alias(g))
     lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.filter(lines, lambda _, i: ~F.exists("__g", lambda g: (i >= g["s"]) & (i < g["e"])))
+    kept = F.filter(lines, lambda _, i: ~F.exists(g, lambda x: (i >= x["s"]) & (i < x["e"])))
     n = F.coalesce(F.size(lines), F.lit(1))
     # the rows of texts are many times the intervals: one plan for every size
-    out = keyed.join(gone.hint("merge"), ["__d", "__t"], "left")
-    out = out.withColumn("__k", F.when(F.col("__g").isNotNull(), kept))
+    out = keyed.join(gone.hint("merge"), [d, t], "left")
+    out = out.withColumn(k, F.when(F.col(g).isNotNull(), kept))
     names = {c: F.col(c) for c in others}
-    names[text_col] = F.when(F.col("__k").isNotNull(), F.array_join("__k", "\n")).otherwise(F.col(text_col)).alias(text_col)
+    names[text_col] = F.when(F.col(k).isNotNull(), F.array_join(k, "\n")).otherwise(F.col(text_col)).alias(text_col)
     return out.select(
         *[names[c] for c in docs.columns if c in names],
         F.when(F.col(text_col).isNull(), 1).otherwise(n).cast("int").alias("n_lines"),
-        F.when(F.col("__k").isNotNull(), n - F.size("__k")).otherwise(0).cast("int").alias("n_removed"),
+        F.when(F.col(k).isNotNull(), n - F.size(k)).otherwise(0).cast("int").alias("n_removed"),
     )
 
 

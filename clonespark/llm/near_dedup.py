@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clonespark.llm.common import cut, drop, hold, text_of
+from clonespark.llm.common import cut, drop, hold, mapped, text_of
 
 BANDS, IN_BAND = 28, 5
 REGISTERS = BANDS * IN_BAND
@@ -180,10 +180,10 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                     names=["doc_id", "n", "f1", "f2", "bands", "sig"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, bands array<long>, sig binary")
+    return mapped(docs, run, "doc_id long, n long, f1 long, f2 long, bands array<long>, sig binary")
 
 
-def _parts(batch: pa.RecordBatch, size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def _parts(batch: pa.RecordBatch, size: int = 500_000) -> Iterator[pa.RecordBatch]:
     """Slices of about ``size`` bytes of text (or one longer text), 256 rows at most."""
     lengths, at, held = np.diff(np.frombuffer(batch.column(1).buffers()[1], np.int32, batch.num_rows + 1 + batch.column(1).offset)[batch.column(1).offset :]), 0, 0
     for i, n in enumerate(lengths.tolist()):
@@ -204,7 +204,7 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
                 sets = shingle_sets(part.column(1).to_pylist(), width)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "items"])
 
-    return docs.mapInArrow(run, "doc_id long, items binary")
+    return mapped(docs, run, "doc_id long, items binary")
 
 
 def _linked(x: pa.Scalar, y: pa.Scalar, percent: int) -> bool:
@@ -223,7 +223,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
 
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return mapped(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -301,7 +301,7 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     left = told.where("minor").groupBy("key", "band", "rb", in_block("lb").alias("block")).agg(F.collect_list(item).alias("members"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("rb") - 1)))
     right = told.groupBy("key", in_block("rb").alias("other")).agg(F.collect_list(item).alias("others"))
-    links2 = cut(left.join(right, ["key", "other"]).select("band", "members", "others").mapInArrow(_settled(percent), "a long, b long").distinct(), "links")
+    links2 = cut(mapped(left.join(right, ["key", "other"]).select("band", "members", "others"), _settled(percent), "a long, b long").distinct(), "links")
     if not links2.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links2))
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clonespark.llm.bpe import Merges
-from clonespark.llm.common import hold, slices, text_of
+from clonespark.llm.common import give_back, hold, mapped, slices, text_of
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_length long, cut string"
 
@@ -222,7 +222,7 @@ def cut_places(ids: np.ndarray, ends: np.ndarray, sentence_end: np.ndarray, stri
 
 def pack(
     docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = 2048, id_col: str = "doc_id", text_col: str = "text",
-    sentence_penalty: float = 16, inside_penalty: float = 128, stride: int = 64, min_exact: int = 64, block_ids: int = 1_000_000, block_bytes: int = 8_000_000,
+    sentence_penalty: float = 16, inside_penalty: float = 128, stride: int = 64, min_exact: int = 64, block_ids: int = 1_000_000, block_bytes: int = 6_000_000,
 ) -> DataFrame:
     """Pack ``docs`` into sequences of at most ``size`` ids; a row for each piece.
 
@@ -285,7 +285,8 @@ def pack(
                         if total >= block_ids:
                             yield flush()
                     doc_ids = doc_ids[n:]
+                give_back()
         if held:
             yield flush()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    return mapped(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")), run, SCHEMA)

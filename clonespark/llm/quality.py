@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clonespark.llm.common import text_of
+from clonespark.llm.common import free_name, mapped, text_of
 from clonespark.llm.near_dedup import BLANK, word_hashes
 
 PASSAGE = 1000
@@ -169,7 +169,7 @@ def _parts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch,
         for x in batch.column(column).slice(start):
             texts.append(x.as_py())
             size += len(texts[-1])
-            if size > 1_000_000:
+            if size > 300_000:
                 break
         yield batch.slice(start, len(texts)), texts
         start += len(texts)
@@ -202,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, max_documents: int = 2000) -> Atte
 
     # at most max_documents short rows on one side
     texts = docs.select("doc_id", F.encode(text_of(), "UTF-8").alias("text")).join(F.broadcast(asked), "doc_id").select("doc_id", "y", "text")
-    rows = sorted(texts.mapInArrow(run, "doc_id long, y int, x binary").collect(), key=lambda r: (r["doc_id"], bytes(r["x"])))
+    rows = sorted(mapped(texts, run, "doc_id long, y int, x binary").collect(), key=lambda r: (r["doc_id"], bytes(r["x"])))
     bags = [np.frombuffer(r["x"], np.float32).reshape(-1, MEASURES) for r in rows]
     x = np.concatenate(bags) if bags else np.zeros((0, MEASURES), np.float32)
     return fit(x, np.array([len(b) for b in bags], np.int64), np.array([r["y"] for r in rows], np.int64))
@@ -226,4 +226,4 @@ def score(docs: DataFrame, net: Attention, text_col: str = "text", out_col: str
                 y = net.forward(x.astype(np.float64), counts)["score"]
                 yield pa.RecordBatch.from_arrays([*part.columns[:at], pa.array(np.round(y, 9))], names=[*kept, out_col])
 
-    return docs.select(*kept, F.encode(text_of(text_col), "UTF-8").alias("__text")).mapInArrow(run, schema)
+    return mapped(docs.select(*kept, F.encode(text_of(text_col), "UTF-8").alias(free_name(docs, "text"))), run, schema)

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clonespark.llm.common import text_of
+from clonespark.llm.common import mapped, text_of
 
 #: The patterns of the three kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -434,7 +434,7 @@ def _scanned(docs: DataFrame, text_col: str, mark: str | None, added: list[T.Str
                     columns[at] = pa.array([redacted(t, s) for t, s in zip(texts, spans, strict=True)], pa.string())
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in x] for x in spans], kind)], names=[*kept, "spans"])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return mapped(docs.select(*kept), run, schema)
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clonespark.llm.common import cut
+from clonespark.llm.common import cut, mapped
 
 PROBE = 8
 
@@ -132,6 +132,6 @@ def top_k(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_co
                     names=["key", "query_id", "vec_id", "score"],
                 )
 
-    pairs = asked.join(by_shard, "shard").select("rows", "queries").mapInArrow(run, "key long, query_id long, vec_id long, score long")
+    pairs = mapped(asked.join(by_shard, "shard").select("rows", "queries"), run, "key long, query_id long, vec_id long, score long")
     best = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -11,7 +11,7 @@ def table(spark):
         if extra:
             from pyspark.sql import functions as F
 
-            for name in ("n", "seg", "pos", "ids", "score", "key", "rep"):
+            for name in ("n", "seg", "pos", "ids", "score", "key", "rep", "d", "T", "gone", "kept", "__d", "__t", "__g", "__k", "__text", "shard", "h", "items"):
                 df = df.withColumn(name, F.lit(1))
         return df
 
