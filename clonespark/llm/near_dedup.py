@@ -5,14 +5,15 @@
    permutation of its own: the j-th register it visits gets j plus a fraction.
    Once all registers are below j the rest cannot matter and the document is
    done, so long documents take a visit or two an element.
-2. Equal sets are one class, named by its smallest id; only classes go on.
+2. Equal sets are one class, which has the smallest of its ids as its node; only
+   classes go on.  Texts that share an id are linked by it.
 3. Classes that agree on all registers of a band meet in a bucket.  Each is
    first verified against the bucket's hub, the member that meets most others,
    so a group of n near copies costs n pairs, and union-find joins them.
 4. What is left are buckets that still hold several components.  Members beside
-   the hub's component meet all members as blocks of bounded size; pairs of
-   different components are verified there, so hubs lose no link, and only
-   links leave the task, never pairs.
+   the bucket's largest component meet all members as blocks of bounded size;
+   pairs of different components are verified there, so hubs lose no link, and
+   only links leave the task, never pairs.
 
 Links are confirmed on the full sets.  Candidates come from signatures: with
 28 bands of 5 registers a pair at a similarity of 0.8 shares no bucket with a
@@ -157,7 +158,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, f1, f2, bands, sig) of (doc_id, text): set size, fingerprint, band keys, low 16 bits of the registers."""
+    """(doc_id, th, n, f1, f2, bands, sig) of (doc_id, text, th): set size, fingerprint, band keys, low 16 bits of the registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,14 +174,14 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 low = values.astype(np.uint16)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(_signed(one)), pa.array(_signed(two)),
+                        part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(_signed(one)), pa.array(_signed(two)),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(_signed(keys.reshape(-1)))),
                         pa.array([x.tobytes() for x in low], pa.binary()),
                     ],
-                    names=["doc_id", "n", "f1", "f2", "bands", "sig"],
+                    names=["doc_id", "th", "n", "f1", "f2", "bands", "sig"],
                 )
 
-    return mapped(docs, run, "doc_id long, n long, f1 long, f2 long, bands array<long>, sig binary")
+    return mapped(docs, run, "doc_id long, th long, n long, f1 long, f2 long, bands array<long>, sig binary")
 
 
 def _parts(batch: pa.RecordBatch, size: int = 500_000) -> Iterator[pa.RecordBatch]:
@@ -195,16 +196,16 @@ def _parts(batch: pa.RecordBatch, size: int = 500_000) -> Iterator[pa.RecordBatc
         yield batch.slice(at)
 
 
-def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, items): the sorted set as bytes of unsigned 64-bit numbers."""
+def full_sets(texts: DataFrame, width: int) -> DataFrame:
+    """(class, items) of (class, text): the sorted set as bytes of unsigned 64-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _parts(batch):
                 sets = shingle_sets(part.column(1).to_pylist(), width)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "items"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "items"])
 
-    return mapped(docs, run, "doc_id long, items binary")
+    return mapped(texts, run, "class long, items binary")
 
 
 def _linked(x: pa.Scalar, y: pa.Scalar, percent: int) -> bool:
@@ -215,15 +216,19 @@ def _linked(x: pa.Scalar, y: pa.Scalar, percent: int) -> bool:
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union."""
+    """(a, b): the nodes of the pairs of classes (x, y) with 100 * intersection >= percent * union.
+
+    ``pairs``: x and y, structs of class and node.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [_linked(x, y, percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
+            keep = pa.array([_linked(x, y, percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    left, right = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
-    return mapped(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), run, "a long, b long")
+    left, right = sets.select(F.col("class").alias("cx"), F.col("items").alias("sx")), sets.select(F.col("class").alias("cy"), F.col("items").alias("sy"))
+    flat = pairs.select(F.col("x.class").alias("cx"), F.col("x.node").alias("a"), F.col("y.class").alias("cy"), F.col("y.node").alias("b"))
+    return mapped(flat.join(left, "cx").join(right, "cy").select("a", "b", "sx", "sy"), run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -258,45 +263,55 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
 
     Null and empty texts and texts without words: no shingles, linked with
     nothing.  Null id: linked with nothing, component_id null, kept.  Equal rows
-    get equal results.  Different texts of one id are linked by it only where
-    none is equal to a text of a smaller id; to tell them apart, give each an id
-    of its own, as the pipeline does.  Only the two named columns are read.  An
-    empty table gives no rows.
+    get equal results.  Different texts of one id are one document's and linked
+    by it, those without shingles apart.  Only the two named columns are read.
+    An empty table gives no rows.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(text_of(text_col), "UTF-8").alias("text"))
+    text = text_of(text_col)
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(text, "UTF-8").alias("text"), F.xxhash64(text).alias("th"))
     features = cut(signatures(source, width), "signatures")
+    said = features.where("n > 0 AND doc_id IS NOT NULL")
     classes = cut(
-        features.where("n > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")),
+        said.groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "th")).alias("r"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+        .select("f1", "f2", "n", F.col("r.doc_id").alias("node"), F.col("r.th").alias("th"), "bands", "sig", F.monotonically_increasing_id().alias("class")),
         "classes",
-    )
-    keys = classes.select("rep", "n", F.posexplode("bands").alias("band", "key"))
+    )
+    keys = classes.select("class", "node", "n", F.posexplode("bands").alias("band", "key"))
     crowded = cut(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "crowded")
     members = cut(keys.join(crowded, "key"), "members")
 
-    weight = cut(members.groupBy("rep").agg(F.sum("c").alias("w")), "weight")
-    hubs = cut(
-        members.join(weight, "rep").groupBy("key").agg(F.max(F.struct("w", (-F.col("rep")).alias("rep"), "n")).alias("h")).select("key", (-F.col("h.rep")).alias("hub"), F.col("h.n").alias("hub_n")),
-        "hubs",
-    )
+    weight = cut(members.groupBy("class").agg(F.sum("c").alias("w")), "weight")
+    best = F.struct("w", (-F.col("node")).alias("last"), "class", "node", "n")
+    hubs = members.join(weight, "class").groupBy("key").agg(F.max(best).alias("h")).select("key", F.struct("h.class", "h.node").alias("hub"), F.col("h.n").alias("hub_n"))
+    hubs = cut(hubs, "hubs")
     fits = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent
-    pairs = cut(members.join(hubs, "key").where((F.col("rep") != F.col("hub")) & fits).select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct(), "pairs")
-    needed = source.join(weight.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").distinct()
-    sets = cut(full_sets(needed, width), "sets")
-    links = cut(verify(pairs, sets, percent), "links")
-    roots = components(links)
-
-    # buckets of several components: members beside the hub's component meet all members
-    named = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    of_hub = hubs.join(roots.withColumnRenamed("node", "hub"), "hub", "left").select("key", F.coalesce("root", "hub").alias("hub_root"))
-    named = named.where("c > 2").join(of_hub, "key").withColumn("minor", F.col("root") != F.col("hub_root"))
-    split = cut(named.where("minor").groupBy("key").agg(F.count("*").alias("minors")), "split")
-    met = cut(named.join(split, "key").select("key", "band", "rep", "n", "root", "minor", F.ceil(F.col("minors") / BLOCK).cast("int").alias("lb"), F.ceil(F.col("c") / BLOCK).cast("int").alias("rb")), "met")
-    data = classes.select("rep", "n", "sig").join(met.select("rep").distinct(), "rep", "left_semi").join(sets.withColumnRenamed("doc_id", "rep"), "rep")
-    told = met.join(cut(data, "data"), ["rep", "n"])
-    item = F.struct("rep", "root", "n", "minor", "sig", "items")
+    own = F.struct("class", "node")
+    met = members.join(hubs, "key").where((F.col("node") != F.col("hub.node")) & fits)
+    pairs = cut(met.select(F.greatest(own, F.col("hub")).alias("x"), F.least(own, F.col("hub")).alias("y")).distinct(), "pairs")
+    needed = classes.join(weight, "class", "left_semi").select("class", F.col("node").alias("doc_id"), "th")
+    sets = cut(full_sets(source.join(needed, ["doc_id", "th"]).select("class", "text").dropDuplicates(["class"]), width), "sets")
+    links = verify(pairs, sets, percent)
+    # ids that have texts of several classes
+    kind = F.struct("f1", "f2", "n")
+    shared = cut(said.groupBy("doc_id").agg(F.min(kind).alias("lo"), F.max(kind).alias("hi")).where("lo <> hi").select("doc_id"), "shared")
+    if not shared.isEmpty():
+        by_id = said.join(shared, "doc_id").join(classes.select("f1", "f2", "n", "node"), ["f1", "f2", "n"]).select("doc_id", "node").distinct()
+        links = links.unionByName(by_id.where("node <> doc_id").select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
+    roots = components(cut(links, "links"))
+
+    # buckets of several components: members beside the largest one meet all members
+    named = members.where("c > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    parts = named.groupBy("key", "root").agg(F.count("*").alias("k"))
+    split = parts.groupBy("key").agg(F.max(F.struct("k", (-F.col("root")).alias("last"))).alias("most"), F.sum("k").alias("c")).where("most.k < c")
+    split = cut(split.select("key", (-F.col("most.last")).alias("major"), (F.col("c") - F.col("most.k")).alias("minors")), "split")
+    told = named.join(split, "key").withColumn("minor", F.col("root") != F.col("major"))
+    told = cut(told.select("key", "band", "class", "node", "n", "root", "minor", F.ceil(F.col("minors") / BLOCK).cast("int").alias("lb"), F.ceil(F.col("c") / BLOCK).cast("int").alias("rb")), "met")
+    data = classes.select("class", "sig").join(told.select("class").distinct(), "class", "left_semi").join(sets, "class")
+    told = told.join(cut(data, "data"), "class")
+    item = F.struct("node", "root", "n", "minor", "sig", "items")
 
     def in_block(of: str) -> Column:
-        return F.pmod(F.xxhash64("rep"), F.col(of)).cast("int")
+        return F.pmod(F.xxhash64("class"), F.col(of)).cast("int")
 
     left = told.where("minor").groupBy("key", "band", "rb", in_block("lb").alias("block")).agg(F.collect_list(item).alias("members"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("rb") - 1)))
@@ -305,10 +320,10 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     if not links2.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links2))
 
-    named = features.select("doc_id", F.col("n").alias("n_shingles"), "f1", "f2").join(classes.select("f1", "f2", F.col("n").alias("n_shingles"), "rep"), ["f1", "f2", "n_shingles"], "left")
-    named = named.withColumn("rep", F.coalesce("rep", "doc_id")).join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep"))
-    return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    whole = features.select("doc_id", F.col("n").alias("n_shingles"), "f1", "f2").join(classes.select("f1", "f2", F.col("n").alias("n_shingles"), "node"), ["f1", "f2", "n_shingles"], "left")
+    whole = whole.join(roots, "node", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "node", "doc_id"))
+    return whole.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def _settled(percent: int):
@@ -322,7 +337,7 @@ def _settled(percent: int):
 
     def block(column, i) -> tuple:
         items = column[i].values
-        ids, roots, n, minor = (items.field(k).to_numpy(zero_copy_only=False) for k in ("rep", "root", "n", "minor"))
+        ids, roots, n, minor = (items.field(k).to_numpy(zero_copy_only=False) for k in ("node", "root", "n", "minor"))
         return ids, roots, n, minor, np.frombuffer(b"".join(items.field("sig").to_pylist()), np.uint16).reshape(len(ids), REGISTERS), items.field("items")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,7 +346,7 @@ def _settled(percent: int):
                 band = batch.column(0)[i].as_py()
                 (x, rx, nx, _, sx, ix), (y, ry, ny, my, sy, iy) = block(batch.column(1), i), block(batch.column(2), i)
                 fit = (rx[:, None] != ry) & (np.minimum(nx[:, None], ny) * 100 >= np.maximum(nx[:, None], ny) * percent)
-                fit &= ~my | (x[:, None] > y)  # two beside the hub's component meet from both sides
+                fit &= ~my | (x[:, None] > y)  # two beside the largest component meet from both sides
                 p, q = np.nonzero(fit)
                 same = sx[p] == sy[q]
                 near = (same.sum(1) >= least) & (same.reshape(-1, BANDS, IN_BAND).all(2).argmax(1) == band)

@@ -91,6 +91,30 @@ def test_near(spark, table, seed, width):
     assert len(set(map(find, sets))) < len(sets) - 20
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_near_with_repeated_ids(table, seed):
+    """Documents are ids: rows of one id are linked, unless they have no shingles."""
+    draw = random.Random(seed)
+    rows = [(d // draw.choice([1, 1, 1, 2, 7]), t) for d, t in copies(seed)] + [(3, "a b c"), (90, "a b c"), (90, "d e f"), (90, ""), (91, "d e f"), (None, "a b c")]
+    sets = [next(iter(sets_of([row], 2).values())) for row in rows]
+    root = {d: d for d, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for (a, _), s in zip(rows, sets, strict=True):
+        for (b, _), t in zip(rows, sets, strict=True):
+            if a is not None and b is not None and s and t and 100 * len(s & t) >= 80 * len(s | t):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    want = [(d, len(s), None if d is None else find(d) if s else d) for (d, _), s in zip(rows, sets, strict=True)]
+    got = nd.near_dedup(table(rows), 2).collect()
+    assert sorted(map(repr, want)) == sorted(repr((r.doc_id, r.n_shingles, r.component_id)) for r in got)
+    assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in got)
+
+
 def test_large_group_of_near_copies(spark, table):
     draw = random.Random(4)
     base = [f"w{i}" for i in range(150)]
