@@ -1,15 +1,15 @@
 """Assigning reads to gene segments, and what is measured on the assignments.
 
-``align`` finds, for each read, the segment with the best ungapped local
-alignment (match +1, mismatch -2, seeds of ``k`` bases, both strands).  Segments
-are a catalogue of a few hundred short sequences whose size is checked; their
-seed table goes to every task, so reads are aligned where they lie, without a
-shuffle.
+``align`` finds, for each read, the segment with the best local alignment (match
++1, mismatch -2, a gap of n bases -6 - n, both strands).  An alignment consists of
+stretches of diagonals that hold a seed of ``k`` equal bases.  Segments are a
+catalogue of a few hundred short sequences whose size is checked; their seed
+table goes to every task, so reads are aligned where they lie, without a
+shuffle.  A task works on whole batches of reads as arrays.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,29 +24,215 @@ ALIGNMENT = "sample_id string, file_idx int, segment string, qname string, flag
 MAX_CATALOGUE = 20_000_000
 #: Segments, at most.
 MAX_SEGMENTS = 200_000
-MATCH, MISMATCH = 1, -2
+#: The scores of a match, of a mismatch, and of a gap, at its start and for each base.
+MATCH, MISMATCH, OPEN, EXTEND = 1, -2, 6, 1
+#: Seed hits and cells of the score matrix that a task holds at once.
+HITS, CELLS = 4_000_000, 4_000_000
+FAR = -(10**6)
 _BACK = str.maketrans("ACGTN", "TGCAN")
+_CODE = np.full(256, 4, np.uint8)
+_CODE[np.frombuffer(b"ACGT", np.uint8)] = range(4)
 
 
-def best_stretch(same: np.ndarray) -> tuple[int, int, int]:
-    """(score, start, stop) of the best stretch, the first of several; stop is exclusive."""
-    steps = np.where(same, MATCH, MISMATCH)
-    total = np.concatenate([[0], np.cumsum(steps)])
-    low = np.minimum.accumulate(total)
-    gain = total - low
-    stop = int(gain.argmax())
-    start = int(np.flatnonzero(total[: stop + 1] == low[stop])[-1])
-    return int(gain[stop]), start, stop
+def coded(text: str) -> np.ndarray:
+    """0 to 3 for A, C, G and T, 4 for other signs."""
+    return _CODE[np.frombuffer(text.encode("ascii", "replace"), np.uint8)]
+
 
+def rolled(code: np.ndarray, k: int) -> np.ndarray:
+    """The number of the k bases that start at each place, -1 if they aren't all known."""
+    n = max(0, len(code) - k + 1)
+    out = np.zeros(n, np.int64)
+    for i in range(k):
+        out = 4 * out + code[i : i + n]
+    unknown = np.concatenate([[0], np.cumsum(code > 3)])
+    return np.where(unknown[k : k + n] > unknown[:n], -1, out)
 
-def most(overlap: int, seeds: int, k: int) -> int:
+
+def most(overlap: np.ndarray, seeds: np.ndarray, k: int) -> np.ndarray:
     """The best score that ``overlap`` bases of which ``seeds`` windows of ``k``
     agree can have: a mismatch spoils k windows at most, a base left out at an
     end one."""
-    missing = max(0, overlap - k + 1) - seeds
+    missing = np.maximum(0, overlap - k + 1) - seeds
     if k < MATCH - MISMATCH:
-        return overlap
-    return overlap * MATCH - (MATCH - MISMATCH) * (missing // k) - min(MATCH - MISMATCH, missing % k * MATCH)
+        return np.asarray(overlap)
+    return overlap * MATCH - (MATCH - MISMATCH) * (missing // k) - np.minimum(MATCH - MISMATCH, missing % k * MATCH)
+
+
+def stretches(steps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(score, start, stop) of each row's best stretch, the first and shortest of several; stop is exclusive."""
+    total = np.zeros((len(steps), steps.shape[1] + 1), np.int32)
+    np.cumsum(steps, axis=1, out=total[:, 1:])
+    low = np.minimum.accumulate(total, axis=1)
+    gain = total - low
+    stop = gain.argmax(1)
+    rows = np.arange(len(steps))
+    place = np.arange(total.shape[1])
+    start = np.where((total == low[rows, stop][:, None]) & (place <= stop[:, None]), place, 0).max(1)
+    return gain[rows, stop], start, stop
+
+
+def chained(steps: np.ndarray, shifts: np.ndarray) -> tuple[int, list[tuple[int, int, int]]]:
+    """(score, [(diagonal, start, stop)]): the best chain of stretches of several diagonals.
+
+    ``steps``: scores by diagonal and place in the read, FAR where a diagonal
+    isn't; ``shifts``, ascending: place in the segment less place in the read.
+    Each round allows one gap more, until none pays.
+    """
+    n = steps.shape[1]
+    total = np.zeros((len(steps), n + 1), np.int64)
+    np.cumsum(steps, axis=1, out=total[:, 1:])
+    entry, rounds = np.zeros_like(total), []
+    while True:
+        run = np.maximum.accumulate(np.maximum(entry, 0) - total, axis=1)
+        ends = run + total
+        if rounds and (ends <= rounds[-1][1]).all():
+            break
+        rounds.append((entry, ends, run))
+        entry = np.full_like(total, FAR)
+        for j, to in enumerate(shifts.tolist()):
+            for i, of in enumerate(shifts.tolist()):
+                cost, skip = OPEN + EXTEND * abs(to - of), max(0, of - to)
+                if i != j and skip <= n:
+                    np.maximum(entry[j, skip:], ends[i, : n + 1 - skip] - cost, out=entry[j, skip:])
+    g = len(rounds) - 1
+    j, stop = np.unravel_index(int(rounds[g][1].argmax()), total.shape)
+    score, parts = int(rounds[g][1][j, stop]), []
+    while True:
+        entry, ends, run = rounds[g]
+        gains = np.maximum(entry[j, : stop + 1], 0) - total[j, : stop + 1]
+        start = int(np.flatnonzero(gains == run[j, stop])[-1])
+        parts.append((int(j), start, int(stop)))
+        if entry[j, start] <= 0:
+            return score, parts[::-1]
+        g -= 1
+        for i, of in enumerate(shifts.tolist()):
+            skip = max(0, of - int(shifts[j]))
+            if i != j and start >= skip and rounds[g][1][i, start - skip] - OPEN - EXTEND * abs(int(shifts[j]) - of) == entry[j, start]:
+                j, stop = i, start - skip
+                break
+
+
+class Segments:
+    """Segments and where their seeds are."""
+
+    def __init__(self, refs: list[tuple[str, str]], k: int):
+        self.k, self.names = k, [n for n, _ in refs]
+        self.length = np.array([len(s) for _, s in refs], np.int64)
+        self.code = coded("".join(s + "N" for _, s in refs))
+        self.begin = np.cumsum(self.length + 1) - self.length - 1
+        words = rolled(self.code, k)
+        at = np.flatnonzero(words >= 0)
+        at = at[np.argsort(words[at], kind="stable")]
+        self.words, self.first, self.count = np.unique(words[at], return_index=True, return_counts=True)
+        self.segment = np.searchsorted(self.begin, at, "right") - 1
+        self.place = at - self.begin[self.segment]
+
+    def best(self, reads: list[str], min_score: int) -> dict[int, tuple]:
+        """Read -> (score, segment, strand, [(shift, start, stop)]) of its best alignment.
+
+        Of equal scores the smaller name, then the forward strand, then the smaller shift wins.
+        """
+        n, k = len(reads), self.k
+        fore = coded("".join(s + "N" for s in reads))
+        code = np.concatenate([fore, np.where(fore < 4, 3 - fore, 4)[::-1]])
+        length = np.array([len(s) for s in reads], np.int64)
+        begin = np.cumsum(length + 1) - length - 1
+        # the sides of a read: itself, and turned; sides in the order of their places
+        sides = np.concatenate([begin, (2 * len(fore) - begin - length)[::-1]])
+        number = np.concatenate([2 * np.arange(n), 2 * np.arange(n)[::-1] + 1])
+        words = rolled(code, k)
+        known = np.flatnonzero(words >= 0)
+        slot = np.minimum(np.searchsorted(self.words, words[known]), max(0, len(self.words) - 1))
+        known, slot = (x[self.words[slot] == words[known]] for x in (known, slot)) if len(self.words) else (known[:0], slot[:0])
+        count = self.count[slot]
+        if n > 1 and count.sum() > HITS:
+            half = n // 2
+            return self.best(reads[:half], min_score) | {half + i: x for i, x in self.best(reads[half:], min_score).items()}
+        if not len(known):
+            return {}
+        at = np.searchsorted(sides, known, "right") - 1
+        hit = np.repeat(self.first[slot] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        spread = int(length.max() + self.length.max()) + 1
+        shift = self.place[hit] - np.repeat(known - sides[at], count) + int(length.max())
+        keys, votes = np.unique((np.repeat(number[at], count) * len(self.names) + self.segment[hit]) * spread + shift, return_counts=True)
+        group, shift = keys // spread, keys % spread - int(length.max())
+        side, segment = group // len(self.names), group % len(self.names)
+        start = np.empty(2 * n, np.int64)
+        start[number] = sides
+        read = side // 2
+        a, b = np.maximum(0, -shift), np.minimum(length[read], self.length[segment] - shift)
+        bound = most(b - a, votes, k)
+
+        def steps_of(places: np.ndarray) -> np.ndarray:
+            """A row for each place, from its first base on."""
+            width = np.arange(int((b - a)[places].max()))
+            inside = width < (b - a)[places][:, None]
+            x = code[np.minimum((start[side] + a)[places][:, None] + width, len(code) - 1)]
+            y = self.code[np.minimum((self.begin[segment] + a + shift)[places][:, None] + width, len(self.code) - 1)]
+            return np.where(inside & (x == y) & (x < 4), MATCH, MISMATCH).astype(np.int32)
+
+        score, x, y = (np.full(len(keys), v, np.int64) for v in (FAR, 0, 0))
+        limit = np.full(n, min_score, np.int64)
+
+        def settle(places: np.ndarray) -> None:
+            rows = max(1, CELLS // int((b - a).max()))
+            for i in range(0, len(places), rows):
+                some = places[i : i + rows]
+                score[some], x[some], y[some] = stretches(steps_of(some))
+            np.maximum.at(limit, read[places], score[places])
+
+        # the place that promises most of each read, then all that may be as good
+        order = np.lexsort((-bound, read))
+        top = order[np.flatnonzero(np.diff(read[order], prepend=-1))]
+        settle(top)
+        settle(np.flatnonzero((bound >= limit[read]) & (score == FAR)))
+        order = np.lexsort((shift, side % 2, segment, -score, read))
+        order = order[np.flatnonzero(np.diff(read[order], prepend=-1))]
+        found = {int(read[i]): (int(score[i]), int(segment[i]), int(side[i] % 2), [(int(shift[i]), int(a[i] + x[i]), int(a[i] + y[i]))]) for i in order.tolist() if score[i] >= min_score}
+
+        # several diagonals of one segment may be better together
+        edges = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(group))
+        together = np.minimum(np.add.reduceat(bound, edges[:-1]), np.minimum(length[read], self.length[segment])[edges[:-1]]) - OPEN - EXTEND
+        for g in np.flatnonzero((np.diff(edges) > 1) & (together >= limit[read[edges[:-1]]])).tolist():
+            places = np.arange(edges[g], edges[g + 1])
+            r = int(read[places[0]])
+            if together[g] < limit[r]:
+                continue
+            steps = np.full((len(places), int(length[r])), FAR, np.int64)
+            for row, i, told in zip(steps, places.tolist(), steps_of(places), strict=True):
+                row[a[i] : b[i]] = told[: b[i] - a[i]]
+            total, parts = chained(steps, shift[places])
+            if len(parts) < 2 or total < limit[r]:
+                continue
+            one = (total, int(segment[places[0]]), int(side[places[0]] % 2), [(int(shift[places[j]]), p, q) for j, p, q in parts])
+            order_of = lambda z: (-z[0], z[1], z[2], z[3][0][0])
+            if r not in found or order_of(one) < order_of(found[r]):
+                found[r] = one
+            limit[r] = max(limit[r], total)
+        return found
+
+    def told(self, seq: str, qual: str | None, hit: tuple) -> tuple:
+        """(flag, rname, pos, cigar, as_score, nm, seq, qual) of a read's alignment."""
+        score, segment, back, parts = hit
+        s, q = seq, qual if isinstance(qual, str) else "G" * len(seq)
+        if back:
+            s, q = s.translate(_BACK)[::-1], q[::-1]
+        code, ref = coded(s), self.code[self.begin[segment] :]
+        cigar, nm, before = "", 0, None
+        for shift, x, y in parts:
+            if before is not None:
+                gap = shift - before
+                cigar += f"{abs(gap)}{'D' if gap > 0 else 'I'}"
+                nm += abs(gap)
+            elif x:
+                cigar += f"{x}S"
+            cigar += f"{y - x}M"
+            nm += int((code[x:y] != ref[x + shift : y + shift]).sum())
+            before = shift
+        if y < len(s):
+            cigar += f"{len(s) - y}S"
+        return 16 if back else 0, self.names[segment], parts[0][0] + parts[0][1] + 1, cigar, score, nm, s, q
 
 
 def align(reads: DataFrame, segments: DataFrame, segment: str, min_score: int = 12, k: int = 10) -> DataFrame:
@@ -54,56 +240,28 @@ def align(reads: DataFrame, segments: DataFrame, segment: str, min_score: int =
 
     Of equal scores the smaller name, then the forward strand, wins.  Of the
     places that seeds point to, all are scored whose seeds allow the best score.
-    Reads without a sequence have no hit.  Hits on the reverse strand come back
-    turned, with flag 16.
+    Signs other than A, C, G and T match nothing.  Reads without a sequence have
+    no hit.  Hits on the reverse strand come back turned, with flag 16.
     """
     refs = sorted((r["name"], r["seq"].upper()) for r in segments.select("name", "seq").where("seq <> ''").limit(MAX_SEGMENTS + 1).collect())
     if len(refs) > MAX_SEGMENTS:
         raise ValueError("too many segments for a table on every task")
     if sum(len(s) for _, s in refs) > MAX_CATALOGUE:
         raise ValueError("too many bases in the segments for a table on every task")
-    codes = [np.frombuffer(s.encode(), np.uint8) for _, s in refs]
-    seeds: dict[str, list[tuple[int, int]]] = defaultdict(list)
-    for i, (_, s) in enumerate(refs):
-        for at in range(len(s) - k + 1):
-            seeds[s[at : at + k]].append((i, at))
-    table = reads.sparkSession.sparkContext.broadcast((refs, codes, dict(seeds)))
-
-    def hit(seq: str) -> tuple | None:
-        refs, codes, seeds = table.value
-        best = None
-        places = []
-        for flag, s in ((0, seq), (16, seq.translate(_BACK)[::-1])):
-            votes: Counter = Counter()
-            for at in range(len(s) - k + 1):
-                for i, ref_at in seeds.get(s[at : at + k], ()):
-                    votes[i, ref_at - at] += 1
-            if not votes:
-                continue
-            code = np.frombuffer(s.encode(), np.uint8)
-            for (i, shift), n in votes.items():
-                a, b = max(0, -shift), min(len(code), len(codes[i]) - shift)
-                places.append((-most(b - a, n, k), i, flag, shift, a, b, code, s))
-        for bound, i, flag, shift, a, b, code, s in sorted(places, key=lambda x: x[:4]):
-            if -bound < (min_score if best is None else -best[0][0]):
-                break
-            same = code[a:b] == codes[i][a + shift : b + shift]
-            score, x, y = best_stretch(same)
-            key = (-score, refs[i][0], flag, shift)
-            if score >= min_score and (best is None or key < best[0]):
-                best = (key, flag, refs[i][0], a + x + shift + 1, a + x, a + y, score, int((~same[x:y]).sum()), s)
-        return best
+    table = reads.sparkSession.sparkContext.broadcast(Segments(refs, k))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for sample, idx, qname, seq, qual in zip(pdf["sample_id"], pdf["file_idx"], pdf["qname"], pdf["seq"], pdf["qual"], strict=True):
-                found = hit(seq.upper()) if isinstance(seq, str) and len(seq) >= k else None
-                if found:
-                    _, flag, name, pos, x, y, score, nm, s = found
-                    cigar = (f"{x}S" if x else "") + f"{y - x}M" + (f"{len(s) - y}S" if y < len(s) else "")
-                    q = qual if isinstance(qual, str) else "G" * len(s)
-                    out.append((sample, idx, segment, qname, flag, name, pos, cigar, score, nm, s, q[::-1] if flag else q))
+            for at in range(0, len(pdf), 1000):
+                part = pdf.iloc[at : at + 1000]
+                part = part[part["seq"].map(lambda s: isinstance(s, str) and len(s) >= k)]
+                seqs = [s.upper() for s in part["seq"]]
+                found = table.value.best(seqs, min_score) if seqs else {}
+                rows = list(zip(part["sample_id"], part["file_idx"], part["qname"], part["qual"], strict=True))
+                for i in sorted(found):
+                    sample, idx, qname, qual = rows[i]
+                    out.append((sample, idx, segment, qname, *table.value.told(seqs[i], qual, found[i])))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in ALIGNMENT.split(", ")])
 
     return reads.select("sample_id", "file_idx", "qname", "seq", "qual").mapInPandas(run, ALIGNMENT)

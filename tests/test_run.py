@@ -2,6 +2,7 @@
 
 import gzip
 import random
+import re
 import struct
 
 import numpy as np
@@ -104,13 +105,75 @@ def test_align_scores_every_place_that_may_be_best(spark):
     hit = align.align(df, spark.createDataFrame(refs, "name string, seq string"), "V").collect()
 
     def score(ref):
-        return align.best_stretch(np.array([a == b for a, b in zip(true, ref, strict=True)]))[0]
+        return align.stretches(np.array([[1 if a == b else -2 for a, b in zip(true, ref, strict=True)]]))[0][0]
 
     assert [(h.rname, h.as_score) for h in hit] == [min(((n, score(r)) for n, r in refs), key=lambda x: (-x[1], x[0]))] == [("Z", 77)]
     for _ in range(200):
         same = np.array([draw.random() < 0.9 for _ in range(draw.randint(10, 90))])
         seeds = sum(same[i : i + 10].all() for i in range(len(same) - 9))
-        assert align.best_stretch(same)[0] <= align.most(len(same), int(seeds), 10)
+        assert align.stretches(np.where(same, 1, -2)[None, :])[0][0] <= align.most(len(same), int(seeds), 10)
+
+
+def test_many_near_identical_segments(spark):
+    """The best of 41 alleles is found whatever its name."""
+    true = bases(114)
+    refs = [(f"V{i:02}", true[:60] + ("A" if true[60] != "A" else "C") + true[61 : 70 + i % 3] + bases(41 - i % 3)) for i in range(40)] + [("V99", true)]
+    df = spark.createDataFrame([("s", 1, "q", bases(20) + true, None)], "sample_id string, file_idx int, qname string, seq string, qual string")
+    hit = align.align(df, spark.createDataFrame(refs, "name string, seq string"), "V").collect()
+    assert [(h.rname, h.as_score, h.cigar, h.nm) for h in hit] == [("V99", 114, "20S114M", 0)]
+
+
+def gapped_score(x, y):
+    """The best local alignment with affine gaps, cell by cell."""
+    best, low = 0, -(10**9)
+    h, e = [0] * (len(y) + 1), [low] * (len(y) + 1)
+    for a in x:
+        new, f = [0] * (len(y) + 1), low
+        for j in range(1, len(y) + 1):
+            e[j] = max(h[j] - 7, e[j] - 1)
+            f = max(new[j - 1] - 7, f - 1)
+            new[j] = max(0, h[j - 1] + (1 if a == y[j - 1] else -2), e[j], f)
+        h, best = new, max(best, *new)
+    return best
+
+
+def test_gaps(spark):
+    refs = [(f"V{i}", bases(100)) for i in range(5)]
+    rows, want = [], {}
+    for i in range(60):
+        name, ref = refs[i % 5]
+        cuts = [(33, 2), (66, 1)][: 1 + i % 2]
+        s = ref
+        for at, n in cuts:
+            s = s[:at] + s[at + n :] if i % 3 else s[:at] + bases(n) + s[at:]
+        s = bases(i % 4) + s
+        rows.append(("s", 1, f"q{i}", s.translate(str.maketrans("ACGT", "TGCA"))[::-1] if i % 7 == 0 else s, "I" * len(s)))
+        want[f"q{i}"] = (name, gapped_score(s, ref), 16 * (i % 7 == 0))
+    df = spark.createDataFrame(rows, "sample_id string, file_idx int, qname string, seq string, qual string")
+    hits = align.align(df, spark.createDataFrame(refs, "name string, seq string"), "V").collect()
+    assert {h.qname: (h.rname, h.as_score, h.flag) for h in hits} == want
+    for h in hits:  # the cigar tells the score and the mismatches
+        ref, x, y, score, nm = dict(refs)[h.rname], 0, h.pos - 1, 0, 0
+        for n, op in re.findall(r"(\d+)([A-Z])", h.cigar):
+            n = int(n)
+            if op == "M":
+                wrong = sum(a != b for a, b in zip(h.seq[x : x + n], ref[y : y + n], strict=True))
+                score, nm = score + n - 3 * wrong, nm + wrong
+            elif op in "ID":
+                score, nm = score - 6 - n, nm + n
+            x, y = x + n * (op in "SMI"), y + n * (op in "MD")
+        assert (x, score, nm) == (len(h.seq), h.as_score, h.nm) and any(op in h.cigar for op in "ID")
+
+
+def test_align_splits_work_that_is_too_large(spark, monkeypatch):
+    refs = [(f"V{i}", bases(80)) for i in range(9)]
+    seqs = [dict(refs)[f"V{i % 9}"][i % 20 :] + bases(9) for i in range(40)]
+    table = align.Segments(refs, 10)
+    whole = table.best(seqs, 12)
+    monkeypatch.setattr(align, "HITS", 100)
+    monkeypatch.setattr(align, "CELLS", 1)
+    assert table.best(seqs, 12) == whole and len(whole) == 40
+    assert align.Segments([], 10).best(seqs, 12) == {} and table.best(["N" * 40, "A"], 12) == {}
 
 
 def test_align_refuses_a_catalogue_beyond_its_bound(spark, monkeypatch):
