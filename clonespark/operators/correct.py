@@ -5,13 +5,17 @@ is within reach of one root is an error of it if the root's budget holds; of
 none, a CDR3 of its own; of several, dropped.  The rest are kept if their
 quality is good and no leaf or root is near.
 
-Sequences within d mismatches share at least one of d + 1 equal parts, so
-neighbours are found by an equi-join on (sample, length, part, bases), not by
-comparing all pairs of a length.
+Sequences within d mismatches agree on at least one of d + 1 parts, so
+neighbours are found by an equi-join on (sample, length, part, bases), with as
+many parts as the root's own reach asks for.  A part takes every (d + 1)-th
+base, so that none consists of the germline's constant ends alone.  Sequences
+are compared as packed numbers within the join; only neighbours leave it, each
+once.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,14 +30,12 @@ GROUP = ["sample_id", "len"]
 
 def unique_cdr3(reads: DataFrame) -> DataFrame:
     """(sample_id, len, cdr3, qual, cnt): counts, and the best sign at each place up to the shortest quality."""
-    kept = reads.where(F.length("cdr3").between(SHORTEST, LONGEST)).groupBy("sample_id", "cdr3", "cdr3_qual").agg(F.count("*").alias("n"))
-    key = ["sample_id", "cdr3"]
-    counts = kept.groupBy(*key).agg(F.sum("n").alias("cnt"), F.min(F.length("cdr3_qual")).alias("shortest"))
-    signs = kept.select(*key, F.posexplode(F.split("cdr3_qual", "")).alias("at", "sign")).where("sign <> ''")
-    best = signs.groupBy(*key, "at").agg(F.max("sign").alias("sign"))
-    joined = best.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "sign"))), lambda x: x["sign"]), "").alias("q"))
-    out = counts.join(joined, key, "left").withColumn("len", F.length("cdr3"))
-    return out.select("sample_id", "len", "cdr3", F.left(F.coalesce("q", F.lit("")), F.coalesce("shortest", F.lit(0))).alias("qual"), "cnt")
+    kept = reads.where(F.length("cdr3").between(SHORTEST, LONGEST)).select("sample_id", "cdr3", F.coalesce("cdr3_qual", F.lit("")).alias("q"))
+    # a number for each place: one row a CDR3 is shuffled, whatever its reads
+    signs = [F.max(F.ascii(F.substring("q", i + 1, 1)).cast("byte")).alias(f"s{i}") for i in range(LONGEST)]
+    out = kept.groupBy("sample_id", "cdr3").agg(F.count("*").alias("cnt"), F.min(F.length("q")).alias("shortest"), *signs)
+    best = F.left(F.concat(*[F.char(F.coalesce(f"s{i}", F.lit(0)).cast("long")) for i in range(LONGEST)]), F.least("shortest", F.lit(LONGEST)))
+    return out.select("sample_id", F.length("cdr3").alias("len"), "cdr3", best.alias("qual"), "cnt")
 
 
 def bands(uniq: DataFrame, rates: DataFrame) -> DataFrame:
@@ -55,22 +57,49 @@ def bands(uniq: DataFrame, rates: DataFrame) -> DataFrame:
     )
 
 
-def neighbours(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
-    """Pairs (sample_id, len, a, b) within ``most`` mismatches, ENDS left out.
+#: Bases in one number, 3 bits each; numbers for the longest sequence's inner bases.
+PACKED = 21
+NUMBERS = -(-(LONGEST - 2 * ENDS) // PACKED)
+ONES = int("1" * PACKED, 8)
 
-    ``left`` and ``right``: (sample_id, len, a) and (sample_id, len, b).
+
+def packed(seq: str) -> Column:
+    """The inner bases as numbers; letters beside A, C, G, T and N count as equal."""
+    digits = F.regexp_replace(F.translate(F.col(seq), "ACGTN", "01234"), "[^0-4]", "5")
+    inner = F.substring(digits, F.lit(ENDS + 1), F.length(seq) - 2 * ENDS)
+    return F.array(*[F.coalesce(F.conv(F.nullif(F.substring(inner, F.lit(1 + PACKED * i), F.lit(PACKED)), F.lit("")), 8, 10).cast("long"), F.lit(0)) for i in range(NUMBERS)])
+
+
+def mismatches(x: str, y: str) -> Column:
+    """Places at which two packed sequences differ."""
+    out = F.lit(0)
+    for i in range(NUMBERS):
+        differ = F.col(x)[i].bitwiseXOR(F.col(y)[i])
+        out = out + F.bit_count(differ.bitwiseOR(F.shiftright(differ, 1)).bitwiseOR(F.shiftright(differ, 2)).bitwiseAND(F.lit(ONES)))
+    return out
+
+
+def neighbours(left: DataFrame, right: DataFrame, most: int | None = None) -> DataFrame:
+    """Pairs (sample_id, len, a, b, d) within ``most`` mismatches, ENDS left out.
+
+    ``left`` and ``right``: (sample_id, len, a) and (sample_id, len, b), distinct;
+    without ``most``, ``right`` has a column ``most`` for each of its rows.
     """
+    right = right.select(*GROUP, "b", (F.col("most") if most is None else F.lit(most)).cast("int").alias("most"))
     inner = F.col("len") - 2 * ENDS
-    at = F.sequence(F.lit(0), F.lit(most))
 
     def parts(seq: str) -> Column:
-        start = lambda i: F.floor(inner * i / (most + 1)).cast("int")
-        return F.transform(at, lambda i: F.struct(i.alias("part"), F.substring(F.col(seq), start(i) + ENDS + 1, start(i + 1) - start(i)).alias("bases")))
+        n = F.col("most") + 1
+        bases = lambda i: F.array_join(F.transform(F.sequence(i + ENDS + 1, F.greatest(inner + ENDS, i + ENDS + 1), n), lambda k: F.substring(F.col(seq), k, F.lit(1))), "")
+        return F.transform(F.sequence(F.lit(0), F.col("most")), bases)
 
-    x = left.select(*GROUP, "a", F.explode(parts("a")).alias("k")).select(*GROUP, "a", "k.part", "k.bases")
-    y = right.select(*GROUP, "b", F.explode(parts("b")).alias("k")).select(*GROUP, "b", "k.part", "k.bases")
-    met = x.join(y, [*GROUP, "part", "bases"]).select(*GROUP, "a", "b").distinct()
-    return met.withColumn("d", hamming("a", "b", ENDS)).where(F.col("d") <= most)
+    # each sequence of the left with the parts that some row of its group asks for
+    x = left.select(*GROUP, "a").join(right.select(*GROUP, "most").distinct(), GROUP).withColumn("x", packed("a")).withColumn("xs", parts("a"))
+    y = right.withColumn("y", packed("b")).withColumn("ys", parts("b"))
+    x, y = x.select("*", F.posexplode("xs").alias("part", "bases")), y.select("*", F.posexplode("ys").alias("part", "bases"))
+    first = F.array_position(F.zip_with("xs", "ys", lambda u, v: u == v), F.lit(True)) == F.col("part") + 1
+    met = x.join(y, [*GROUP, "most", "part", "bases"]).where((mismatches("x", "y") <= F.col("most")) & first)
+    return met.select(*GROUP, "a", "b", hamming("a", "b", ENDS).alias("d"), "most").where("d <= most").drop("most")
 
 
 def root_reach(roots: DataFrame) -> DataFrame:
@@ -88,20 +117,31 @@ def reach_of(up: Column, cnt: Column) -> Column:
     return F.array_position(gaps, F.array_min(gaps)).cast("int")
 
 
-def absorb(leaves: Column, budget: Column) -> Column:
-    """array<struct<cdr3, taken>>: leaves (struct<weight, cnt, cdr3>) in
-    descending weight, taken while the rest of the budget holds them; one that
-    doesn't fit is passed over."""
-    start = F.struct(budget.cast("long").alias("rest"), F.array().cast("array<struct<cdr3:string,taken:boolean>>").alias("out"))
+def widest_reach(roots: DataFrame, leaves: DataFrame) -> DataFrame:
+    """``roots`` with ``most``: the mismatches at which any leaf of the group may be.  Roots of groups without leaves go."""
+    counts = leaves.select(*GROUP, "cnt").distinct().groupBy(*GROUP).agg(F.collect_list("cnt").alias("counts"))
+    return roots.join(counts, GROUP).withColumn("most", F.array_max(F.transform("counts", lambda c: reach_of(F.col("up"), c)))).drop("counts")
+
 
-    def step(s: Column, x: Column) -> Column:
-        fits = x["cnt"] <= s["rest"]
-        return F.struct(F.when(fits, s["rest"] - x["cnt"]).otherwise(s["rest"]).alias("rest"), F.concat(s["out"], F.array(F.struct(x["cdr3"].alias("cdr3"), fits.alias("taken")))).alias("out"))
+def absorb(attached: DataFrame, key: list[str], name: str = "cdr3") -> DataFrame:
+    """``attached`` (key, name, weight, cnt, budget) with ``taken``: leaves in
+    descending weight, then count, then name, are taken while the rest of the
+    budget holds them; one that doesn't fit is passed over.
+
+    Leaves above the whole budget never fit and stay out of the groups.
+    """
 
-    def order(a: Column, b: Column) -> Column:
-        return F.when(a["weight"] > b["weight"], -1).when(a["weight"] < b["weight"], 1).when(a["cnt"] > b["cnt"], -1).when(a["cnt"] < b["cnt"], 1).when(a["cdr3"] < b["cdr3"], -1).when(a["cdr3"] > b["cdr3"], 1).otherwise(0)
+    def fold(group: pd.DataFrame) -> pd.DataFrame:
+        rest, taken = int(group["budget"].iloc[0]), []
+        group = group.sort_values(["weight", "cnt", name], ascending=[False, False, True])
+        for n in group["cnt"].tolist():
+            taken.append(n <= rest)
+            rest -= n if taken[-1] else 0
+        return group.assign(taken=taken)
 
-    return F.aggregate(F.array_sort(leaves, order), start, step, lambda s: s["out"])
+    schema = attached.withColumn("taken", F.lit(True)).schema
+    fits = F.col("cnt") <= F.col("budget")
+    return attached.where(fits).groupBy(*key).applyInPandas(fold, schema).unionByName(attached.where(~fits).withColumn("taken", F.lit(False)))
 
 
 def leaf_weights(attached: DataFrame) -> DataFrame:
@@ -122,6 +162,30 @@ def leaf_weights(attached: DataFrame) -> DataFrame:
     return attached.join(product, [*key, "cdr3"]).withColumn("weight", F.col("cnt") * F.col("product"))
 
 
+def near_roots(told: DataFrame) -> DataFrame:
+    """(sample_id, len, a, roots, b, budget): for each leaf that has roots in reach how many, and the first."""
+    roots, leaves = told.where("root"), told.where("leaf")
+    reach = widest_reach(root_reach(roots.select(*GROUP, "cdr3", "cnt", "p")), leaves)
+    pairs = neighbours(leaves.select(*GROUP, F.col("cdr3").alias("a")), reach.select(*GROUP, F.col("cdr3").alias("b"), "most"))
+    return (
+        pairs.join(leaves.select(*GROUP, F.col("cdr3").alias("a"), F.col("cnt").alias("leaf_cnt")), [*GROUP, "a"])
+        .join(reach.select(*GROUP, F.col("cdr3").alias("b"), "up", "budget"), [*GROUP, "b"])
+        .where(F.col("d") <= reach_of(F.col("up"), F.col("leaf_cnt")))
+        .groupBy(*GROUP, "a").agg(F.count("*").alias("roots"), F.min(F.struct("b", "budget")).alias("r"))
+        .select(*GROUP, "a", "roots", "r.b", "r.budget")
+    )
+
+
+def rescues(told: DataFrame, rescue_quality: bool = True) -> DataFrame:
+    """Those of the lowest band, in groups with a root, that have a good quality and no leaf or root near."""
+    has_root = told.groupBy(*GROUP).agg(F.max("root").alias("any")).where("any").select(*GROUP)
+    good = told.where("maybe").join(has_root, GROUP, "left_semi")
+    good = good.where(phred_errors("qual") < 1) if rescue_quality else good
+    sure = told.where("leaf OR root").select(*GROUP, F.col("cdr3").alias("b"))
+    close = neighbours(good.select(*GROUP, F.col("cdr3").alias("a")), sure, TO_NEAR).select(*GROUP, F.col("a").alias("cdr3")).distinct()
+    return good.join(close, [*GROUP, "cdr3"], "left_anti")
+
+
 def correct(uniq: DataFrame, rates: DataFrame, single_cell: bool = False, rescue_quality: bool = True) -> DataFrame:
     """(sample_id, len, cdr3, status, root): the CDR3s that stay.
 
@@ -134,33 +198,13 @@ def correct(uniq: DataFrame, rates: DataFrame, single_cell: bool = False, rescue
     out = lambda df, status, root=none: df.select(*GROUP, "cdr3", F.lit(status).alias("status"), root.alias("root"))
     if single_cell:
         return out(told.where(F.col("cnt") > F.col("top")), "kept")
-    roots, leaves, maybes = told.where("root"), told.where("leaf"), told.where("maybe")
-    has_root = told.groupBy(*GROUP).agg(F.max("root").alias("any")).where("any").select(*GROUP)
-
-    reach = root_reach(roots.select(*GROUP, "cdr3", "cnt", "p"))
-    pairs = neighbours(leaves.select(*GROUP, F.col("cdr3").alias("a")), roots.select(*GROUP, F.col("cdr3").alias("b")), TO_ROOT)
-    near = (
-        pairs.join(leaves.select(*GROUP, F.col("cdr3").alias("a"), F.col("cnt").alias("leaf_cnt")), [*GROUP, "a"])
-        .join(reach.select(*GROUP, F.col("cdr3").alias("b"), "up", "budget"), [*GROUP, "b"])
-        .where(F.col("d") <= reach_of(F.col("up"), F.col("leaf_cnt")))
-        .groupBy(*GROUP, "a").agg(F.count("*").alias("roots"), F.min(F.struct("b", "budget")).alias("r"))
-    )
-    near = cut(near, "near")
-    placed = leaves.join(near.select(*GROUP, F.col("a").alias("cdr3"), "roots", F.col("r.b").alias("to"), F.col("r.budget").alias("budget")), [*GROUP, "cdr3"], "left")
+    near = cut(near_roots(told).withColumnRenamed("a", "cdr3"), "near")
+    placed = told.where("leaf").join(near, [*GROUP, "cdr3"], "left")
     free = placed.where("roots IS NULL")
-    attached = cut(placed.where("roots = 1").select(*GROUP, F.col("to").alias("root"), "cdr3", "qual", "cnt", "budget"), "attached")
-    taken = (
-        leaf_weights(attached).groupBy(*GROUP, "root").agg(F.collect_list(F.struct("weight", "cnt", "cdr3")).alias("l"), F.first("budget").alias("budget"))
-        .select(*GROUP, "root", F.explode(absorb(F.col("l"), F.col("budget"))).alias("x")).select(*GROUP, "root", "x.cdr3", "x.taken")
-    )
+    attached = cut(placed.where("roots = 1").select(*GROUP, F.col("b").alias("root"), "cdr3", "qual", "cnt", "budget"), "attached")
+    taken = absorb(leaf_weights(attached).select(*GROUP, "root", "cdr3", "weight", "cnt", "budget"), [*GROUP, "root"])
     settled = taken.select(*GROUP, "cdr3", F.when(F.col("taken"), "absorbed").otherwise("leaf").alias("status"), F.when(F.col("taken"), F.col("root")).alias("root"))
-
-    good = maybes.join(has_root, GROUP, "left_semi")
-    good = good.where(phred_errors("qual") < 1) if rescue_quality else good
-    sure = told.where("leaf OR root").select(*GROUP, F.col("cdr3").alias("b"))
-    close = neighbours(good.select(*GROUP, F.col("cdr3").alias("a")), sure, TO_NEAR).select(*GROUP, F.col("a").alias("cdr3")).distinct()
-    rescued = good.join(close, [*GROUP, "cdr3"], "left_anti")
-    every = out(roots, "root").unionByName(out(free, "leaf")).unionByName(settled).unionByName(out(rescued, "rescued"))
+    every = out(told.where("root"), "root").unionByName(out(free, "leaf")).unionByName(settled).unionByName(out(rescues(told, rescue_quality), "rescued"))
     # bands can overlap: an absorbed one is translated by its root, else roots come first
     rank = F.when(F.col("status") == "absorbed", 0).when(F.col("status") == "root", 1).when(F.col("status") == "leaf", 2).otherwise(3)
     best = every.groupBy(*GROUP, "cdr3").agg(F.min(F.struct(rank.alias("rank"), "status", "root")).alias("b"))

@@ -6,95 +6,42 @@ expressions in Spark and in SQL.  That exercises operators, not biology.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clonespark.functions import dna, motif
-from clonespark.operators import align, annotate, classify, correct, extend, search
+from clonespark.operators import align, annotate, classify, extend, search
+from clonespark.plans import correction_queries as _correction_queries  # noqa: F401 - registers its queries
 from clonespark.plans.catalogue import Chain, Params
-from clonespark.plans.repertoire import from_cdr3, from_reads
+from clonespark.plans.repertoire import from_reads
+from clonespark.plans.registry import HEX, MOTIF, QUERIES, SIGNS, SQL, dna_of, dna_sql, hamming_sql, peptide_sql, query, read, sense, starts_sql
 from clonespark.staging import cut
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-HEX, BASES = "0123456789abcdef", "ACGTACGTACGTACGT"
-SIGNS = "5678ABCDEFGHIJKL"
-#: Sense codons for hex digits, so that inserts have no stop in frame.
-SENSE = ("GCA", "TGC", "GAC", "GAG", "TTC", "GGA", "CAC", "ATC", "AAG", "CTC", "ATG", "AAC", "CCA", "CAG", "AGA", "TCA")
-MOTIF = motif.Motif("(LR|YF|YI|YL|YQ|YR)C(A|S|T|V|G|R|P|D)", "[FTYH]{1}FG[ADENPQS]{1}G", 2, 1, "(CAS|CSA|CAW|CAT|CSV|CAI|CAR)")
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
-
-
-def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
-
-def _dna(x: str) -> Column:
-    return F.expr(f"translate(md5({x}), '{HEX}', '{BASES}')")
-
-
-def _dna_sql(x: str) -> str:
-    return f"translate(md5({x}), '{HEX}', '{BASES}')"
-
-
-def _sense(x: str) -> str:
-    """An expression of both dialects: 96 bases without a stop in frame."""
-    out = f"md5({x})"
-    for digit, codon in zip(HEX, SENSE, strict=True):
-        # digits and lower-case letters go in, upper-case ones come out
-        out = f"replace({out}, '{digit}', '{codon}')"
-    return out
-
-
-def _peptide_sql(seq: str, frame: str) -> str:
-    at = lambda k: f"(instr('TCAG', substr({seq}, CAST({frame} + 3 * i + {k} AS BIGINT), 1)) - 1)"
-    return f"array_to_string(list_transform(range(0, (length({seq}) - {frame} + 1) // 3), lambda i: substr('{dna.AMINO_ACIDS}', CAST(16 * {at(0)} + 4 * {at(1)} + {at(2)} + 1 AS BIGINT), 1)), '')"
-
-
-def _starts_sql(text: str, pattern: str, offset: int) -> str:
-    m, g = f"regexp_extract_all({text}, '{pattern}')", f"string_split_regex({text}, '{pattern}')"
-    return f"list_transform(range(1, len({m}) + 1), lambda i: CAST(1 + {offset} + length(array_to_string(list_slice({g}, 1, i), '')) + length(array_to_string(list_slice({m}, 1, i - 1), '')) AS INTEGER))"
-
-
-def _hamming_sql(a: str, b: str, skip: int) -> str:
-    return f"len(list_filter(range({skip + 1}, least(length({a}), length({b})) - {skip} + 1), lambda i: substr({a}, i, 1) <> substr({b}, i, 1)))"
-
+__all__ = ["QUERIES", "SQL", "entry"]
 
 # --- sequences ------------------------------------------------------------------
 
 
 @query("translate_frames", f"""
-WITH d AS (SELECT doc_id, {_dna_sql("text")} AS seq FROM documents)
-SELECT doc_id, {_peptide_sql("seq", "1")} AS frame1, {_peptide_sql("seq", "2")} AS frame2, {_peptide_sql("seq", "3")} AS frame3 FROM d
+WITH d AS (SELECT doc_id, {dna_sql("text")} AS seq FROM documents)
+SELECT doc_id, {peptide_sql("seq", "1")} AS frame1, {peptide_sql("seq", "2")} AS frame2, {peptide_sql("seq", "3")} AS frame3 FROM d
 """)
 def translate_frames(spark, sf):
-    d = _read(spark, sf, "documents").select("doc_id", _dna("text").alias("seq"))
+    d = read(spark, sf, "documents").select("doc_id", dna_of("text").alias("seq"))
     return d.select("doc_id", *[dna.translate("seq", k).alias(f"frame{k}") for k in (1, 2, 3)])
 
 
-@query("reverse_complement", f"SELECT doc_id, reverse(translate({_dna_sql('text')}, 'ACGT', 'TGCA')) AS seq FROM documents")
+@query("reverse_complement", f"SELECT doc_id, reverse(translate({dna_sql('text')}, 'ACGT', 'TGCA')) AS seq FROM documents")
 def reverse_complement(spark, sf):
-    return _read(spark, sf, "documents").select("doc_id", dna.reverse_complement(_dna("text")).alias("seq"))
+    return read(spark, sf, "documents").select("doc_id", dna.reverse_complement(dna_of("text")).alias("seq"))
 
 
 @query("hamming_predicate", f"""
-WITH d AS (SELECT doc_id, {_dna_sql("text")} AS a, {_dna_sql("lang || text")} AS b FROM documents)
-SELECT doc_id, CAST({_hamming_sql("a", "b", 0)} AS INTEGER) AS d0, CAST({_hamming_sql("a", "b", 3)} AS INTEGER) AS d3 FROM d
+WITH d AS (SELECT doc_id, {dna_sql("text")} AS a, {dna_sql("lang || text")} AS b FROM documents)
+SELECT doc_id, CAST({hamming_sql("a", "b", 0)} AS INTEGER) AS d0, CAST({hamming_sql("a", "b", 3)} AS INTEGER) AS d3 FROM d
 """)
 def hamming_predicate(spark, sf):
-    d = _read(spark, sf, "documents").select("doc_id", _dna("text").alias("a"), _dna("lang || text").alias("b"))
+    d = read(spark, sf, "documents").select("doc_id", dna_of("text").alias("a"), dna_of("lang || text").alias("b"))
     return d.select("doc_id", dna.hamming("a", "b").alias("d0"), dna.hamming("a", "b", 3).alias("d3"))
 
 
@@ -104,7 +51,7 @@ SELECT event_id, round(list_sum(list_transform(range(1, 33), lambda i: pow(10.0,
 """)
 def phred_errors(spark, sf):
     q = F.expr(f"translate(md5(cast(event_id AS string)), '{HEX}', '{SIGNS}')")
-    return _read(spark, sf, "events").select("event_id", F.round(dna.phred_errors(q), 9).alias("errors"))
+    return read(spark, sf, "events").select("event_id", F.round(dna.phred_errors(q), 9).alias("errors"))
 
 
 @query("quality_max", f"""
@@ -114,7 +61,7 @@ SELECT event_id, array_to_string(list_transform(range(1, 21), lambda i: greatest
 def quality_max(spark, sf):
     a = F.expr(f"translate(md5(cast(event_id AS string)), '{HEX}', '{SIGNS}')")
     b = F.expr(f"substr(translate(md5(event_type || cast(user_id AS string)), '{HEX}', '{SIGNS}'), 1, 20)")
-    return _read(spark, sf, "events").select("event_id", dna.quality_max(a, b).alias("q"))
+    return read(spark, sf, "events").select("event_id", dna.quality_max(a, b).alias("q"))
 
 
 _CIGAR = "l_linenumber || 'S' || CAST(l_suppkey % 60 + 1 AS {s}) || 'M' || CAST(l_partkey % 5 AS {s}) || 'I' || CAST(l_orderkey % 9 + 1 AS {s}) || 'M3S'"
@@ -124,7 +71,7 @@ _CIGAR = "l_linenumber || 'S' || CAST(l_suppkey % 60 + 1 AS {s}) || 'M' || CAST(
 SELECT l_orderkey, l_linenumber, CAST(l_linenumber + 1 AS INTEGER) AS start, CAST(l_linenumber + l_suppkey % 60 + 1 AS INTEGER) AS stop, 5 AS ops FROM lineitem
 """)
 def cigar_segment(spark, sf):
-    df = _read(spark, sf, "lineitem").withColumn("cigar", F.expr(_CIGAR.format(s="string")))
+    df = read(spark, sf, "lineitem").withColumn("cigar", F.expr(_CIGAR.format(s="string")))
     return df.select("l_orderkey", "l_linenumber", dna.cigar_span("cigar")["start"].alias("start"), dna.cigar_span("cigar")["stop"].alias("stop"), F.size(dna.cigar_ops("cigar")).alias("ops"))
 
 
@@ -136,24 +83,24 @@ _ANCHORED = (
 
 
 def _anchored(key: str, salt: str, kind: str) -> str:
-    return _ANCHORED.format(id=key, insert=_sense(f"{salt} || CAST({key} AS {kind})"))
+    return _ANCHORED.format(id=key, insert=sense(f"{salt} || CAST({key} AS {kind})"))
 
 
 @query("motif_offsets", f"""
-WITH d AS (SELECT doc_id, {_peptide_sql("seq", "1")} AS aa FROM (SELECT doc_id, {_anchored("doc_id", "lang", "VARCHAR")} AS seq FROM documents))
-SELECT doc_id, array_to_string({_starts_sql("aa", MOTIF.cmotif, MOTIF.coffset)}, ',') AS c, array_to_string({_starts_sql("aa", "[A-F]+", 0)}, ',') AS runs FROM d
+WITH d AS (SELECT doc_id, {peptide_sql("seq", "1")} AS aa FROM (SELECT doc_id, {_anchored("doc_id", "lang", "VARCHAR")} AS seq FROM documents))
+SELECT doc_id, array_to_string({starts_sql("aa", MOTIF.cmotif, MOTIF.coffset)}, ',') AS c, array_to_string({starts_sql("aa", "[A-F]+", 0)}, ',') AS runs FROM d
 """)
 def motif_offsets(spark, sf):
-    d = _read(spark, sf, "documents").select("doc_id", dna.translate(F.expr(_anchored("doc_id", "lang", "string"))).alias("aa"))
+    d = read(spark, sf, "documents").select("doc_id", dna.translate(F.expr(_anchored("doc_id", "lang", "string"))).alias("aa"))
     told = lambda p, o: F.array_join(motif.match_starts("aa", p, o).cast("array<string>"), ",")
     return d.select("doc_id", told(MOTIF.cmotif, MOTIF.coffset).alias("c"), told("[A-F]+", 0).alias("runs"))
 
 
 def _cdr3_sql(seq: str, m: motif.Motif, source: str) -> str:
     return f"""
-p AS (SELECT id, frame, seq, {_peptide_sql("seq", "frame")} AS aa FROM (SELECT id, {seq} AS seq FROM {source}) AS x, range(1, 4) AS r(frame)),
-m AS (SELECT *, {_starts_sql("aa", m.cmotif, m.coffset)} AS c0, {_starts_sql("aa", m.fmotif, m.foffset)} AS f0,
-        {_starts_sql("aa", m.inner_c, 0)} AS c1, {_starts_sql("aa", m.inner_f, 2)} AS f1 FROM p),
+p AS (SELECT id, frame, seq, {peptide_sql("seq", "frame")} AS aa FROM (SELECT id, {seq} AS seq FROM {source}) AS x, range(1, 4) AS r(frame)),
+m AS (SELECT *, {starts_sql("aa", m.cmotif, m.coffset)} AS c0, {starts_sql("aa", m.fmotif, m.foffset)} AS f0,
+        {starts_sql("aa", m.inner_c, 0)} AS c1, {starts_sql("aa", m.inner_f, 2)} AS f1 FROM p),
 a AS (SELECT id, frame, seq, aa, (len(c0) = 0) <> (len(f0) = 0) AS one,
         CASE WHEN len(c0) = 0 AND len(f0) > 0 THEN c1 ELSE c0 END AS cs, CASE WHEN len(f0) = 0 AND len(c0) > 0 THEN f1 ELSE f0 END AS fs FROM m),
 c AS (SELECT *, unnest(cs) AS xc, generate_subscripts(cs, 1) AS i FROM a),
@@ -169,7 +116,7 @@ WITH d AS (SELECT doc_id AS id, lang FROM documents),{_cdr3_sql(_anchored("id",
 SELECT id AS doc_id, able, cdr3 FROM found
 """)
 def cdr3_extract(spark, sf):
-    d = _read(spark, sf, "documents").select("doc_id", F.expr(_anchored("doc_id", "lang", "string")).alias("seq"))
+    d = read(spark, sf, "documents").select("doc_id", F.expr(_anchored("doc_id", "lang", "string")).alias("seq"))
     m = d.withColumn("m", motif.find_cdr3("seq", F.lit(""), MOTIF.first_pass()))
     return m.select("doc_id", "m.able", "m.cdr3")
 
@@ -179,12 +126,12 @@ def cdr3_extract(spark, sf):
 
 @query("primary_filter", "SELECT l_orderkey, l_linenumber, CAST(l_partkey * 37 % 4096 AS INTEGER) AS flag FROM lineitem WHERE (CAST(l_partkey * 37 % 4096 AS INTEGER) & 2308) = 0")
 def primary_filter(spark, sf):
-    df = _read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.expr("cast(l_partkey * 37 % 4096 AS int)").alias("flag"))
+    df = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.expr("cast(l_partkey * 37 % 4096 AS int)").alias("flag"))
     return align.primary(df)
 
 
 def _hits(spark, sf):
-    return _read(spark, sf, "lineitem").select(
+    return read(spark, sf, "lineitem").select(
         F.lit("s").alias("sample_id"), F.lit(1).alias("file_idx"), F.lit("V").alias("segment"), F.col("l_orderkey").cast("string").alias("qname"), F.lit(0).alias("flag"),
         F.concat(F.lit("G"), (F.col("l_partkey") % 40).cast("string")).alias("rname"), F.col("l_linenumber").alias("pos"), F.lit("30M").alias("cigar"),
         (F.col("l_quantity") % 10).cast("int").alias("as_score"), (F.col("l_suppkey") % 4).cast("int").alias("nm"), F.lit("A").alias("seq"), F.lit("G").alias("qual"),
@@ -205,7 +152,7 @@ SELECT 'src' || CAST(doc_id % 6 AS VARCHAR) AS sample_id, avg(n_chars) AS mean_l
 FROM documents GROUP BY 1
 """)
 def sample_stats(spark, sf):
-    hits = _read(spark, sf, "documents").select(
+    hits = read(spark, sf, "documents").select(
         F.expr("'src' || cast(doc_id % 6 AS string)").alias("sample_id"), F.col("text").alias("seq"), (F.col("doc_id") % 3).alias("nm"), F.expr("'4S' || cast(20 + doc_id % 50 AS string) || 'M'").alias("cigar")
     )
     out = align.sample_stats(hits)
@@ -214,16 +161,16 @@ def sample_stats(spark, sf):
 
 @query("name_intersect", "SELECT o_orderkey AS qname FROM orders WHERE o_custkey % 3 <> 0 INTERSECT SELECT l_orderkey FROM lineitem WHERE l_quantity > 30")
 def name_intersect(spark, sf):
-    v = _read(spark, sf, "orders").where("o_custkey % 3 <> 0").select(F.col("o_orderkey").alias("qname"))
-    return v.intersect(_read(spark, sf, "lineitem").where("l_quantity > 30").select(F.col("l_orderkey").alias("qname")))
+    v = read(spark, sf, "orders").where("o_custkey % 3 <> 0").select(F.col("o_orderkey").alias("qname"))
+    return v.intersect(read(spark, sf, "lineitem").where("l_quantity > 30").select(F.col("l_orderkey").alias("qname")))
 
 
 @query("route_reads", """
 SELECT o_orderkey AS qname, CASE WHEN EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45) THEN 'VJ' ELSE 'V' END AS part FROM orders
 """)
 def route_reads(spark, sf):
-    v = _read(spark, sf, "orders").select(F.col("o_orderkey").alias("qname"))
-    j = _read(spark, sf, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("qname"))
+    v = read(spark, sf, "orders").select(F.col("o_orderkey").alias("qname"))
+    j = read(spark, sf, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("qname"))
     return v.join(j, "qname", "left_semi").withColumn("part", F.lit("VJ")).unionByName(v.join(j, "qname", "left_anti").withColumn("part", F.lit("V")))
 
 
@@ -232,8 +179,8 @@ SELECT o_orderkey AS qname, l_linenumber AS stop, substr(md5(CAST(o_orderkey AS
 FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity - o_custkey % 5 >= 15
 """)
 def pair_merge(spark, sf):
-    v = _read(spark, sf, "orders").select(F.col("o_orderkey").alias("qname"), (F.col("o_custkey") % 5).alias("s"), F.md5(F.col("o_orderkey").cast("string").cast("binary")).alias("seq"))
-    j = _read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("qname"), F.col("l_linenumber").alias("stop"), F.col("l_quantity").alias("t"))
+    v = read(spark, sf, "orders").select(F.col("o_orderkey").alias("qname"), (F.col("o_custkey") % 5).alias("s"), F.md5(F.col("o_orderkey").cast("string").cast("binary")).alias("seq"))
+    j = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("qname"), F.col("l_linenumber").alias("stop"), F.col("l_quantity").alias("t"))
     n = F.col("t") - F.col("s")
     return v.join(j, "qname").where(n >= 15).select("qname", "stop", F.substring(F.col("seq"), F.col("s").cast("int") + 1, n.cast("int")).alias("seq"))
 
@@ -242,7 +189,7 @@ def pair_merge(spark, sf):
 SELECT user_id, event_id, event_type FROM (SELECT *, lead(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) WHERE n IS NULL OR n <> event_type
 """)
 def run_boundaries(spark, sf):
-    e = _read(spark, sf, "events").select(F.col("user_id").alias("sample_id"), "event_id", "event_type")
+    e = read(spark, sf, "events").select(F.col("user_id").alias("sample_id"), "event_id", "event_type")
     return extend.run_boundaries(e, "event_id", "event_type").select(F.col("sample_id").alias("user_id"), "event_id", "event_type")
 
 
@@ -251,14 +198,14 @@ WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL)
 SELECT user_id, event_type, n FROM c QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) = 1 AND count(*) OVER (PARTITION BY user_id) > 1
 """)
 def mode_region(spark, sf):
-    return extend.mode_of(_read(spark, sf, "events"), "user_id", "event_type")
+    return extend.mode_of(read(spark, sf, "events"), "user_id", "event_type")
 
 
 # --- k-mer graph --------------------------------------------------------------------
 
 _POOL_K = 6
 _POOL_SQL = f"""
-reads AS (SELECT 's' || CAST(doc_id % 2 AS VARCHAR) AS sample_id, right({_dna_sql("text")}, {_POOL_K + 10}) AS e FROM documents),
+reads AS (SELECT 's' || CAST(doc_id % 2 AS VARCHAR) AS sample_id, right({dna_sql("text")}, {_POOL_K + 10}) AS e FROM documents),
 pool AS (SELECT sample_id, kmer, count(*) AS n FROM (SELECT sample_id, unnest(list_transform(range(1, 12), lambda i: substr(e, i, {_POOL_K}))) AS kmer FROM reads)
   WHERE kmer NOT IN ('AAAAAA', 'CCCCCC', 'GGGGGG', 'TTTTTT') GROUP BY ALL)"""
 _SUCC_SQL = """
@@ -268,7 +215,7 @@ succ AS (SELECT a.sample_id, a.kmer, b.kmer AS next, right(b.kmer, 1) AS base FR
 
 
 def _pool(spark, sf):
-    reads = _read(spark, sf, "documents").select(F.expr("'s' || cast(doc_id % 2 AS string)").alias("sample_id"), F.lit("V").alias("part"), _dna("text").alias("seq"))
+    reads = read(spark, sf, "documents").select(F.expr("'s' || cast(doc_id % 2 AS string)").alias("sample_id"), F.lit("V").alias("part"), dna_of("text").alias("seq"))
     return extend.kmer_pool(reads, _POOL_K)
 
 
@@ -292,97 +239,6 @@ def kmer_extend(spark, sf):
     return extend.paths(extend.successors(_pool(spark, sf), _POOL_K), 40)
 
 
-# --- error correction ------------------------------------------------------------------
-
-
-@query("abundance_thresholds", """
-WITH x AS (SELECT p_partkey, CAST(p_size AS DOUBLE) * 10 AS n, 0.0031 AS p, 39.0 AS l FROM part),
-y AS (SELECT *, pow((3 * sqrt(p * (1 - p)) + sqrt(9 * p * (1 - p) + 4 * pow(1 - p, l) * n)) / (2 * pow(1 - p, l)), 2) AS parent,
-  l * (l - 1) / 2 * pow(p, 2) * pow(1 - p, l - 2) AS ps FROM x),
-z AS (SELECT *, ps * floor(parent) + 3.0 * sqrt(floor(parent) * ps * (1 - ps)) AS copies FROM y)
-SELECT p_partkey, round(parent, 6) AS parent, round(copies, 6) AS copies,
-  round(CASE WHEN parent < 1 THEN 0 ELSE greatest(parent / 117 + 3.291 * sqrt(parent / 117 * (1 - 1 / 117.0)), 1) END, 6) AS share FROM z
-""")
-def abundance_thresholds(spark, sf):
-    p, n, length = F.lit(0.0031), F.col("p_size").cast("double") * 10, F.lit(39.0)
-    parent = dna.largest_parent(p, length, n)
-    copies = dna.expected_copies(p, length, F.floor(parent), 2)
-    return _read(spark, sf, "part").select("p_partkey", F.round(parent, 6).alias("parent"), F.round(copies, 6).alias("copies"), F.round(dna.share_of(parent, F.lit(117)), 6).alias("share"))
-
-
-def _cells(spark, sf):
-    """Reads of a few hundred CDR3s, with substitutions in some."""
-    e = _read(spark, sf, "events")
-    seq = f"translate(md5(cast(user_id % 17 AS string)), '{HEX}', '{BASES}')"
-    other = f"overlay({seq} PLACING substr('ACGT', cast(event_id % 4 + 1 AS int), 1) FROM cast(event_id % 24 + 5 AS int) FOR 1)"
-    return e.select(
-        F.lit("s").alias("sample_id"), F.expr(f"CASE WHEN event_id % 11 = 0 THEN {other} ELSE {seq} END").alias("cdr3"),
-        F.expr(f"translate(md5(cast(event_id AS string)), '{HEX}', '{SIGNS}')").alias("cdr3_qual"),
-        F.expr("'V' || cast(user_id % 5 AS string)").alias("v"), F.expr("'J' || cast(user_id % 3 AS string)").alias("j"),
-    )
-
-
-_SEQ_SQL = _dna_sql("CAST(user_id % 17 AS VARCHAR)")
-_CELLS_SQL = f"""
-cells AS (SELECT CASE WHEN event_id % 11 = 0 THEN substr({_SEQ_SQL}, 1, event_id % 24 + 4) || substr('ACGT', event_id % 4 + 1, 1) || substr({_SEQ_SQL}, event_id % 24 + 6) ELSE {_SEQ_SQL} END AS cdr3,
-  translate(md5(CAST(event_id AS VARCHAR)), '{HEX}', '{SIGNS}') AS qual, 'V' || CAST(user_id % 5 AS VARCHAR) AS v, 'J' || CAST(user_id % 3 AS VARCHAR) AS j FROM events)"""
-
-
-@query("quality_merge", f"""
-WITH {_CELLS_SQL}, best AS (SELECT cdr3, i, max(substr(qual, i, 1)) AS s FROM cells, range(1, 33) AS r(i) GROUP BY ALL)
-SELECT cdr3, string_agg(s, '' ORDER BY i) AS qual, (SELECT count(*) FROM cells c WHERE c.cdr3 = best.cdr3) AS cnt FROM best GROUP BY cdr3
-""")
-def quality_merge(spark, sf):
-    return correct.unique_cdr3(_cells(spark, sf)).select("cdr3", "qual", "cnt")
-
-
-def _bound_sql(count: str) -> str:
-    p, n = "0.0031", "26"
-    parent = f"floor(pow((3 * sqrt({p} * (1 - {p})) + sqrt(9 * {p} * (1 - {p}) + 4 * pow(1 - {p}, {n}) * {count})) / (2 * pow(1 - {p}, {n})), 2))"
-    ps = f"({n} * {p} * pow(1 - {p}, {n} - 1))"
-    copies = f"({ps} * {parent} + 3.0 * sqrt({parent} * {ps} * (1 - {ps})))"
-    return f"(CASE WHEN {copies} < 1 THEN 0 ELSE greatest({copies} / 78.0 + 3.291 * sqrt({copies} / 78.0 * (1 - 1 / 78.0)), 1) END)"
-
-
-@query("abundance_bands", f"""
-WITH {_CELLS_SQL}, u AS (SELECT cdr3, count(*) AS cnt FROM cells GROUP BY 1),
-t AS (SELECT cdr3, cnt, floor({_bound_sql("(SELECT max(cnt) FROM u)")}) AS top FROM u), l AS (SELECT *, {_bound_sql("top")} AS low FROM t)
-SELECT cdr3, cnt, CAST(top AS BIGINT) AS top, round(low, 6) AS low, cnt <= low AS maybe, cnt > low AND cnt < top AS leaf, cnt >= top AS root FROM l
-""")
-def abundance_bands(spark, sf):
-    told = correct.bands(correct.unique_cdr3(_cells(spark, sf)), spark.sql("SELECT 's' AS sample_id, double(0.0031) AS error_rate"))
-    return told.select("cdr3", "cnt", F.col("top").cast("long").alias("top"), F.round("low", 6).alias("low"), "maybe", "leaf", "root")
-
-
-@query("hamming_neighbours", f"""
-WITH {_CELLS_SQL}, u AS (SELECT cdr3, count(*) AS cnt FROM cells GROUP BY 1)
-SELECT a.cdr3 AS a, b.cdr3 AS b, CAST({_hamming_sql("a.cdr3", "b.cdr3", 3)} AS INTEGER) AS d FROM u a JOIN u b ON a.cnt < 5 AND b.cnt >= 5 WHERE {_hamming_sql("a.cdr3", "b.cdr3", 3)} <= 7
-""")
-def hamming_neighbours(spark, sf):
-    u = correct.unique_cdr3(_cells(spark, sf))
-    pairs = correct.neighbours(u.where("cnt < 5").select("sample_id", "len", F.col("cdr3").alias("a")), u.where("cnt >= 5").select("sample_id", "len", F.col("cdr3").alias("b")), 7)
-    return pairs.select("a", "b", "d")
-
-
-@query("greedy_absorb", """
-WITH RECURSIVE l AS (SELECT user_id, event_id, CAST(floor(value) AS BIGINT) % 50 + 1 AS cnt, row_number() OVER (PARTITION BY user_id ORDER BY CAST(floor(value) AS BIGINT) % 50 + 1 DESC, event_id) AS i FROM events WHERE value IS NOT NULL),
-w AS (SELECT user_id, event_id, cnt, i, cnt <= 100 AS taken, 100 - CASE WHEN cnt <= 100 THEN cnt ELSE 0 END AS rest FROM l WHERE i = 1
-  UNION ALL SELECT l.user_id, l.event_id, l.cnt, l.i, l.cnt <= w.rest, w.rest - CASE WHEN l.cnt <= w.rest THEN l.cnt ELSE 0 END FROM w JOIN l ON l.user_id = w.user_id AND l.i = w.i + 1)
-SELECT user_id, lpad(CAST(event_id AS VARCHAR), 12, '0') AS leaf, taken FROM w
-""")
-def greedy_absorb(spark, sf):
-    cnt = F.floor("value") % 50 + 1
-    leaf = F.struct(cnt.cast("double").alias("weight"), cnt.alias("cnt"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("cdr3"))
-    e = _read(spark, sf, "events").where("value IS NOT NULL").groupBy("user_id").agg(F.collect_list(leaf).alias("l"))
-    return e.select("user_id", F.explode(correct.absorb(F.col("l"), F.lit(100))).alias("x")).select("user_id", F.col("x.cdr3").alias("leaf"), "x.taken")
-
-
-@query("error_correction")
-def error_correction(spark, sf):
-    """All of the correction; restated in Python by the tests."""
-    return correct.correct(correct.unique_cdr3(_cells(spark, sf)), spark.sql("SELECT 's' AS sample_id, double(0.0031) AS error_rate"))
-
-
 # --- annotation ---------------------------------------------------------------------
 
 # even tenths: no product of six ends in a 5 at the sixth digit, where the dialects round differently
@@ -391,13 +247,13 @@ _PROB_SQL = ", ".join(f"({c}, '{a}', {p})" for (c, a), p in sorted(_PROB.items()
 
 
 @query("prob_product", f"""
-WITH d AS (SELECT doc_id, {_peptide_sql("seq", "1")} AS aa FROM (SELECT doc_id, {_sense("lang || CAST(doc_id AS VARCHAR)")} AS seq FROM documents)),
+WITH d AS (SELECT doc_id, {peptide_sql("seq", "1")} AS aa FROM (SELECT doc_id, {sense("lang || CAST(doc_id AS VARCHAR)")} AS seq FROM documents)),
 pr(c, a, p) AS (VALUES {_PROB_SQL}),
 places AS (SELECT doc_id, aa, c, substr(aa, CASE WHEN c > 0 THEN c + 1 ELSE length(aa) + c + 1 END, 1) AS a FROM d, (SELECT DISTINCT c FROM pr))
 SELECT doc_id, round(product(CAST(coalesce(p, 0) AS DOUBLE)), 5) AS prob FROM places LEFT JOIN pr USING (c, a) GROUP BY doc_id
 """)
 def prob_product(spark, sf):
-    d = _read(spark, sf, "documents").select("doc_id", dna.translate(F.expr(_sense("lang || cast(doc_id AS string)"))).alias("aa"))
+    d = read(spark, sf, "documents").select("doc_id", dna.translate(F.expr(sense("lang || cast(doc_id AS string)"))).alias("aa"))
     return d.select("doc_id", annotate.end_probability("aa", _PROB).alias("prob"))
 
 
@@ -405,31 +261,21 @@ def prob_product(spark, sf):
 def d_gene(spark, sf):
     """The best D gene of each sequence; restated by the tests."""
     genes = (("D1", "GGGACAGGGGGC"), ("D2", "GGGACTAGCGGGGGGG"))
-    d = _read(spark, sf, "documents").select("doc_id", F.expr("CASE WHEN doc_id % 2 = 0 THEN 'TGTGCCGGGACAGGGGGCTTC' ELSE substr(translate(md5(text), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 30) END").alias("NNseq"))
+    d = read(spark, sf, "documents").select("doc_id", F.expr("CASE WHEN doc_id % 2 = 0 THEN 'TGTGCCGGGACAGGGGGCTTC' ELSE substr(translate(md5(text), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 30) END").alias("NNseq"))
     return annotate.with_d_gene(d, genes)
 
 
-@query("clonotype_count", f"""
-WITH {_CELLS_SQL}
-SELECT {_peptide_sql("cdr3", "1")} AS "AAseq", cdr3 AS "NNseq", v AS "Vregion", j AS "Jregion", count(*) AS "Frequency" FROM cells GROUP BY ALL
-""")
-def clonotype_count(spark, sf):
-    cells = _cells(spark, sf)
-    verdict = cells.select("sample_id", "cdr3").distinct().withColumn("root", F.lit(None).cast("string"))
-    return annotate.clonotypes(cells, verdict).drop("sample_id")
-
-
 _FLAGSHIP = _anchored("(event_id % 997)", "''", "{s}")
 
 
 @query("clonotypes_of_reads", f"""
 WITH d AS (SELECT event_id AS id, user_id FROM events),{_cdr3_sql(_anchored("(id % 997)", "''", "VARCHAR"), MOTIF.first_pass(), "d")}
-SELECT {_peptide_sql("cdr3", "1")} AS "AAseq", cdr3 AS "NNseq", 'V' || CAST(user_id % 4 AS VARCHAR) AS "Vregion", count(*) AS "Frequency"
+SELECT {peptide_sql("cdr3", "1")} AS "AAseq", cdr3 AS "NNseq", 'V' || CAST(user_id % 4 AS VARCHAR) AS "Vregion", count(*) AS "Frequency"
 FROM found JOIN d USING (id) WHERE cdr3 IS NOT NULL GROUP BY ALL
 """)
 def clonotypes_of_reads(spark, sf):
     """Flagship: reads to frames, to CDR3s, to clonotypes."""
-    reads = _read(spark, sf, "events").select(F.expr(_FLAGSHIP.format(s="string")).alias("seq"), F.expr("'V' || cast(user_id % 4 AS string)").alias("Vregion"))
+    reads = read(spark, sf, "events").select(F.expr(_FLAGSHIP.format(s="string")).alias("seq"), F.expr("'V' || cast(user_id % 4 AS string)").alias("Vregion"))
     # equal reads are searched once
     cells = reads.groupBy("seq", "Vregion").agg(F.count("*").alias("n"))
     found = cells.withColumn("NNseq", search.find_cdr3("seq", F.lit(""), MOTIF.first_pass())["cdr3"]).where("NNseq IS NOT NULL")
@@ -438,10 +284,10 @@ def clonotypes_of_reads(spark, sf):
 
 def synthetic_run(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, Params]:
     """Reads made of V segment, insert and J segment by the events' keys, and the segments."""
-    v = spark.range(6).select(F.concat(F.lit("V"), "id").alias("name"), F.concat(_dna("'v' || cast(id AS string)"), _dna("'w' || cast(id AS string)"), F.lit("TATTTCTGCGCC")).alias("seq"))
-    j = spark.range(4).select(F.concat(F.lit("J"), "id").alias("name"), F.concat(F.lit("TTCTTCGGCGAAGGC"), _dna("'j' || cast(id AS string)")).alias("seq"))
-    e = _read(spark, sf, "events")
-    insert = F.expr(f"substr({_sense('cast(user_id % 23 AS string)')}, 1, cast(user_id % 9 + 5 AS int) * 3)")
+    v = spark.range(6).select(F.concat(F.lit("V"), "id").alias("name"), F.concat(dna_of("'v' || cast(id AS string)"), dna_of("'w' || cast(id AS string)"), F.lit("TATTTCTGCGCC")).alias("seq"))
+    j = spark.range(4).select(F.concat(F.lit("J"), "id").alias("name"), F.concat(F.lit("TTCTTCGGCGAAGGC"), dna_of("'j' || cast(id AS string)")).alias("seq"))
+    e = read(spark, sf, "events")
+    insert = F.expr(f"substr({sense('cast(user_id % 23 AS string)')}, 1, cast(user_id % 9 + 5 AS int) * 3)")
     made = (
         e.join(v.select(F.col("name").alias("vn"), F.col("seq").alias("vs")), F.expr("vn = 'V' || cast(user_id % 6 AS string)"))
         .join(j.select(F.col("name").alias("jn"), F.col("seq").alias("js")), F.expr("jn = 'J' || cast(user_id % 4 AS string)"))
@@ -477,12 +323,5 @@ def classify_reads(spark, sf):
     return classify.classify(classify.with_segments(vh, v), classify.with_segments(jh, j), params.entry().motif, k)
 
 
-@query("single_cell")
-def single_cell(spark, sf):
-    """Correction of single cells: CDR3s above the threshold."""
-    _, _, _, params = synthetic_run(spark, sf)
-    return from_cdr3(_cells(spark, sf), spark.sql("SELECT 's' AS sample_id, double(0.0031) AS error_rate"), params.with_(single_cell=True))
-
-
 def entry(spark: SparkSession, sf: str) -> DataFrame:
     return clonotypes_of_reads(spark, sf).orderBy(F.desc("Frequency"), "NNseq", "Vregion")
