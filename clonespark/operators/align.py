@@ -294,14 +294,19 @@ def adaptive_k(mean_length: Column, chosen: int | None = None) -> Column:
     return F.when(mean_length >= 150, 25).when(mean_length >= 100, 23).when(mean_length >= 75, 19).otherwise(15)
 
 
-def sample_stats(v_hits: DataFrame, default_error_rate: float = 0.0031) -> DataFrame:
+def sample_stats(v_hits: DataFrame, j_hits: DataFrame | None = None, default_error_rate: float = 0.0031) -> DataFrame:
     """(sample_id, mean_length, error_rate): of a sample's V hits.
 
     error_rate: mismatches over bases of M, I, = and X; the default where no
-    hit tells, 0 where there are no such bases.
+    hit tells, 0 where there are no such bases.  Samples with J hits only have
+    the J reads' mean length and the default rate.
     """
     ops = cigar_ops("cigar")
     mapped = F.aggregate(F.filter(ops, lambda x: x["op"].isin("M", "I", "=", "X")), F.lit(0), lambda s, x: s + x["n"])
     out = v_hits.groupBy("sample_id").agg(F.avg(F.length("seq")).alias("mean_length"), F.sum("nm").alias("nm"), F.sum(mapped).alias("mapped"))
     rate = F.when(F.col("nm").isNull(), F.lit(default_error_rate)).when(F.col("mapped") == 0, 0.0).otherwise(F.col("nm") / F.col("mapped"))
-    return out.select("sample_id", "mean_length", rate.alias("error_rate"))
+    out = out.select("sample_id", "mean_length", rate.alias("error_rate"))
+    if j_hits is None:
+        return out
+    others = j_hits.groupBy("sample_id").agg(F.avg(F.length("seq")).alias("mean_length")).join(out, "sample_id", "left_anti")
+    return out.unionByName(others.withColumn("error_rate", F.lit(default_error_rate)))

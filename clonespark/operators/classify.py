@@ -52,6 +52,27 @@ def assign_j(aln: DataFrame) -> DataFrame:
     return kept.select("sample_id", "file_idx", "qname", seq.alias("seq"), qual.alias("qual"), F.col("rname").alias("j"))
 
 
+KEY = ["sample_id", "file_idx", "qname"]
+
+
+def paired(v: DataFrame, j: DataFrame) -> DataFrame:
+    """Reads with a hit of both kinds: (sample_id, file_idx, qname, seq, qual, s, v, jseq, jt, j)."""
+    return v.select(*KEY, "seq", "qual", "s", F.col("rname").alias("v")).join(j.select(*KEY, F.col("seq").alias("jseq"), F.col("t").alias("jt"), F.col("rname").alias("j")), KEY)
+
+
+def alone(hits: DataFrame, others: DataFrame) -> DataFrame:
+    """Hits of reads that have none among the others."""
+    return hits.join(others.select(*KEY), KEY, "left_anti")
+
+
+def merged(v: DataFrame, j: DataFrame, stats: DataFrame) -> DataFrame:
+    """Reads of both hits from V's start to J's stop: on one strand, k bases at least."""
+    n = F.col("jt") - F.col("s") + 1
+    cut = lambda c: F.substring(F.col(c), F.col("s"), n)
+    fits = (F.col("seq") == F.col("jseq")) & (n >= F.col("k"))
+    return paired(v, j).join(stats, "sample_id").where(fits).select(*KEY, F.lit("VJ").alias("part"), "v", "j", cut("seq").alias("seq"), cut("qual").alias("qual"), "k")
+
+
 def classify(v: DataFrame, j: DataFrame, motif: Motif, stats: DataFrame) -> DataFrame:
     """Candidate reads: sample_id, file_idx, qname, part (V, J, VJ), v, j, seq,
     qual, cdr3, cdr3_qual, k.
@@ -61,17 +82,11 @@ def classify(v: DataFrame, j: DataFrame, motif: Motif, stats: DataFrame) -> Data
     needs the same strand, at least k bases from V's start to J's stop, and no N.
     ``stats``: (sample_id, k).
     """
-    key = ["sample_id", "file_idx", "qname"]
-    both = v.select(*key, "seq", "qual", "s", F.col("rname").alias("v")).join(j.select(*key, F.col("seq").alias("jseq"), F.col("t").alias("jt"), F.col("rname").alias("j")), key)
-    n = F.col("jt") - F.col("s") + 1
-    cut = lambda c: F.substring(F.col(c), F.col("s"), n)
-    full = both.join(stats, "sample_id").where((F.col("seq") == F.col("jseq")) & (n >= F.col("k"))).select(
-        *key, F.lit("VJ").alias("part"), "v", "j", cut("seq").alias("seq"), cut("qual").alias("qual"), "k"
-    )
-    v_only = assign_v(v.join(j.select(*key), key, "left_anti")).withColumn("j", F.lit(None).cast("string")).withColumn("part", F.lit("V"))
-    j_only = assign_j(j.join(v.select(*key), key, "left_anti")).withColumn("v", F.lit(None).cast("string")).withColumn("part", F.lit("J"))
+    none = F.lit(None).cast("string")
+    v_only = assign_v(alone(v, j)).withColumn("j", none).withColumn("part", F.lit("V"))
+    j_only = assign_j(alone(j, v)).withColumn("v", none).withColumn("part", F.lit("J"))
     single = v_only.unionByName(j_only).join(stats, "sample_id").where(F.length("seq") > F.col("k"))
-    reads = single.unionByName(full).where(~F.col("seq").contains("N"))
+    reads = single.unionByName(merged(v, j, stats)).where(~F.col("seq").contains("N"))
     # the first pass uses the same inner anchors for every chain
     found = reads.withColumn("m", find_cdr3("seq", "qual", motif.first_pass())).where("m.able")
-    return found.select(*key, "part", "v", "j", "seq", "qual", F.col("m.cdr3").alias("cdr3"), F.col("m.qual").alias("cdr3_qual"), "k")
+    return found.select(*KEY, "part", "v", "j", "seq", "qual", F.col("m.cdr3").alias("cdr3"), F.col("m.qual").alias("cdr3_qual"), "k")

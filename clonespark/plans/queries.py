@@ -14,7 +14,7 @@ from clonespark.operators import align, annotate, classify, extend, search
 from clonespark.plans import correction_queries as _correction_queries  # noqa: F401 - registers its queries
 from clonespark.plans.catalogue import Chain, Params
 from clonespark.plans.repertoire import from_reads
-from clonespark.plans.registry import HEX, MOTIF, QUERIES, SIGNS, SQL, dna_of, dna_sql, hamming_sql, peptide_sql, query, read, sense, starts_sql
+from clonespark.plans.registry import BASES, HEX, MOTIF, QUERIES, SIGNS, SQL, dna_of, dna_sql, hamming_sql, peptide_sql, query, read, sense, starts_sql
 from clonespark.staging import cut
 
 __all__ = ["QUERIES", "SQL", "entry"]
@@ -82,45 +82,57 @@ _ANCHORED = (
 )
 
 
-def _anchored(key: str, salt: str, kind: str) -> str:
+def anchored(key: str, salt: str, kind: str) -> str:
     return _ANCHORED.format(id=key, insert=sense(f"{salt} || CAST({key} AS {kind})"))
 
 
 @query("motif_offsets", f"""
-WITH d AS (SELECT doc_id, {peptide_sql("seq", "1")} AS aa FROM (SELECT doc_id, {_anchored("doc_id", "lang", "VARCHAR")} AS seq FROM documents))
+WITH d AS (SELECT doc_id, {peptide_sql("seq", "1")} AS aa FROM (SELECT doc_id, {anchored("doc_id", "lang", "VARCHAR")} AS seq FROM documents))
 SELECT doc_id, array_to_string({starts_sql("aa", MOTIF.cmotif, MOTIF.coffset)}, ',') AS c, array_to_string({starts_sql("aa", "[A-F]+", 0)}, ',') AS runs FROM d
 """)
 def motif_offsets(spark, sf):
-    d = read(spark, sf, "documents").select("doc_id", dna.translate(F.expr(_anchored("doc_id", "lang", "string"))).alias("aa"))
+    d = read(spark, sf, "documents").select("doc_id", dna.translate(F.expr(anchored("doc_id", "lang", "string"))).alias("aa"))
     told = lambda p, o: F.array_join(motif.match_starts("aa", p, o).cast("array<string>"), ",")
     return d.select("doc_id", told(MOTIF.cmotif, MOTIF.coffset).alias("c"), told("[A-F]+", 0).alias("runs"))
 
 
-def _cdr3_sql(seq: str, m: motif.Motif, source: str) -> str:
+def cdr3_sql(seq: str, m: motif.Motif, source: str, t: str = "") -> str:
+    """CTEs up to ``found{t}`` (id, able, cdr3, start) of the CDR3s in ``source`` (id, ...)."""
     return f"""
-p AS (SELECT id, frame, seq, {peptide_sql("seq", "frame")} AS aa FROM (SELECT id, {seq} AS seq FROM {source}) AS x, range(1, 4) AS r(frame)),
-m AS (SELECT *, {starts_sql("aa", m.cmotif, m.coffset)} AS c0, {starts_sql("aa", m.fmotif, m.foffset)} AS f0,
-        {starts_sql("aa", m.inner_c, 0)} AS c1, {starts_sql("aa", m.inner_f, 2)} AS f1 FROM p),
-a AS (SELECT id, frame, seq, aa, (len(c0) = 0) <> (len(f0) = 0) AS one,
-        CASE WHEN len(c0) = 0 AND len(f0) > 0 THEN c1 ELSE c0 END AS cs, CASE WHEN len(f0) = 0 AND len(c0) > 0 THEN f1 ELSE f0 END AS fs FROM m),
-c AS (SELECT *, unnest(cs) AS xc, generate_subscripts(cs, 1) AS i FROM a),
-f AS (SELECT *, unnest(fs) AS xf FROM c),
-ok AS (SELECT * FROM f WHERE xf - xc BETWEEN 6 AND 34 AND (i = 1 OR NOT xf - cs[i - 1] BETWEEN 7 AND 35) AND instr(substr(aa, xc, xf - xc + 1), '*') = 0),
-hit AS (SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY id ORDER BY frame, xc, xf) = 1),
-able AS (SELECT id, bool_or(one OR EXISTS (SELECT 1 FROM ok WHERE ok.id = a.id AND ok.frame = a.frame)) AS able FROM a GROUP BY id),
-found AS (SELECT able.id, able, substr(seq, 3 * (xc - 1) + CAST(frame AS INTEGER), 3 * (xf - xc + 1)) AS cdr3 FROM able LEFT JOIN hit ON able.id = hit.id)"""
+p{t} AS (SELECT id, frame, seq, {peptide_sql("seq", "frame")} AS aa FROM (SELECT id, {seq} AS seq FROM {source}) AS x, range(1, 4) AS r(frame)),
+m{t} AS (SELECT *, {starts_sql("aa", m.cmotif, m.coffset)} AS c0, {starts_sql("aa", m.fmotif, m.foffset)} AS f0,
+        {starts_sql("aa", m.inner_c, 0)} AS c1, {starts_sql("aa", m.inner_f, 2)} AS f1 FROM p{t}),
+a{t} AS (SELECT id, frame, seq, aa, (len(c0) = 0) <> (len(f0) = 0) AS one,
+        CASE WHEN len(c0) = 0 AND len(f0) > 0 THEN c1 ELSE c0 END AS cs, CASE WHEN len(f0) = 0 AND len(c0) > 0 THEN f1 ELSE f0 END AS fs FROM m{t}),
+c{t} AS (SELECT *, unnest(cs) AS xc, generate_subscripts(cs, 1) AS i FROM a{t}),
+f{t} AS (SELECT *, unnest(fs) AS xf FROM c{t}),
+ok{t} AS (SELECT * FROM f{t} WHERE xf - xc BETWEEN 6 AND 34 AND (i = 1 OR NOT xf - cs[i - 1] BETWEEN 7 AND 35) AND instr(substr(aa, xc, xf - xc + 1), '*') = 0),
+hit{t} AS (SELECT * FROM ok{t} QUALIFY row_number() OVER (PARTITION BY id ORDER BY frame, xc, xf) = 1),
+able{t} AS (SELECT id, bool_or(one OR EXISTS (SELECT 1 FROM ok{t} WHERE ok{t}.id = a{t}.id AND ok{t}.frame = a{t}.frame)) AS able FROM a{t} GROUP BY id),
+found{t} AS (SELECT able{t}.id, able, substr(seq, 3 * (xc - 1) + CAST(frame AS INTEGER), 3 * (xf - xc + 1)) AS cdr3, 3 * (xc - 1) + frame AS start FROM able{t} LEFT JOIN hit{t} ON able{t}.id = hit{t}.id)"""
 
 
 @query("cdr3_extract", f"""
-WITH d AS (SELECT doc_id AS id, lang FROM documents),{_cdr3_sql(_anchored("id", "lang", "VARCHAR"), MOTIF.first_pass(), "d")}
+WITH d AS (SELECT doc_id AS id, lang FROM documents),{cdr3_sql(anchored("id", "lang", "VARCHAR"), MOTIF.first_pass(), "d")}
 SELECT id AS doc_id, able, cdr3 FROM found
 """)
 def cdr3_extract(spark, sf):
-    d = read(spark, sf, "documents").select("doc_id", F.expr(_anchored("doc_id", "lang", "string")).alias("seq"))
+    d = read(spark, sf, "documents").select("doc_id", F.expr(anchored("doc_id", "lang", "string")).alias("seq"))
     m = d.withColumn("m", motif.find_cdr3("seq", F.lit(""), MOTIF.first_pass()))
     return m.select("doc_id", "m.able", "m.cdr3")
 
 
+@query("cdr3_second_pass", f"""
+WITH d AS (SELECT doc_id AS id, lang FROM documents),{cdr3_sql(anchored("id", "lang", "VARCHAR"), MOTIF, "d")}
+SELECT id AS doc_id, able, cdr3, CASE WHEN cdr3 IS NOT NULL THEN substr(repeat('{SIGNS}', 12), CAST(start AS BIGINT), length(cdr3)) END AS qual FROM found
+""")
+def cdr3_second_pass(spark, sf):
+    """The chain's own inner anchors, as reads have them after extension."""
+    d = read(spark, sf, "documents").select("doc_id", F.expr(anchored("doc_id", "lang", "string")).alias("seq"))
+    m = d.withColumn("m", search.find_cdr3("seq", F.left(F.lit(SIGNS * 12), F.length("seq")), MOTIF))
+    return m.select("doc_id", "m.able", "m.cdr3", "m.qual")
+
+
 # --- joins, filters and windows ------------------------------------------------------
 
 
@@ -159,32 +171,6 @@ def sample_stats(spark, sf):
     return out.select("sample_id", "mean_length", F.round("error_rate", 12).alias("error_rate"), align.adaptive_k(F.col("mean_length")).alias("k"))
 
 
-@query("name_intersect", "SELECT o_orderkey AS qname FROM orders WHERE o_custkey % 3 <> 0 INTERSECT SELECT l_orderkey FROM lineitem WHERE l_quantity > 30")
-def name_intersect(spark, sf):
-    v = read(spark, sf, "orders").where("o_custkey % 3 <> 0").select(F.col("o_orderkey").alias("qname"))
-    return v.intersect(read(spark, sf, "lineitem").where("l_quantity > 30").select(F.col("l_orderkey").alias("qname")))
-
-
-@query("route_reads", """
-SELECT o_orderkey AS qname, CASE WHEN EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45) THEN 'VJ' ELSE 'V' END AS part FROM orders
-""")
-def route_reads(spark, sf):
-    v = read(spark, sf, "orders").select(F.col("o_orderkey").alias("qname"))
-    j = read(spark, sf, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("qname"))
-    return v.join(j, "qname", "left_semi").withColumn("part", F.lit("VJ")).unionByName(v.join(j, "qname", "left_anti").withColumn("part", F.lit("V")))
-
-
-@query("pair_merge", """
-SELECT o_orderkey AS qname, l_linenumber AS stop, substr(md5(CAST(o_orderkey AS VARCHAR)), CAST(1 + o_custkey % 5 AS BIGINT), CAST(l_quantity - o_custkey % 5 AS BIGINT)) AS seq
-FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity - o_custkey % 5 >= 15
-""")
-def pair_merge(spark, sf):
-    v = read(spark, sf, "orders").select(F.col("o_orderkey").alias("qname"), (F.col("o_custkey") % 5).alias("s"), F.md5(F.col("o_orderkey").cast("string").cast("binary")).alias("seq"))
-    j = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("qname"), F.col("l_linenumber").alias("stop"), F.col("l_quantity").alias("t"))
-    n = F.col("t") - F.col("s")
-    return v.join(j, "qname").where(n >= 15).select("qname", "stop", F.substring(F.col("seq"), F.col("s").cast("int") + 1, n.cast("int")).alias("seq"))
-
-
 @query("run_boundaries", """
 SELECT user_id, event_id, event_type FROM (SELECT *, lead(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) WHERE n IS NULL OR n <> event_type
 """)
@@ -239,6 +225,62 @@ def kmer_extend(spark, sf):
     return extend.paths(extend.successors(_pool(spark, sf), _POOL_K), 40)
 
 
+@query("kmer_extend_left", f"""
+WITH RECURSIVE {_POOL_SQL},
+succ AS (SELECT a.sample_id, a.kmer, b.kmer AS next, left(b.kmer, 1) AS base FROM pool a JOIN pool b
+  ON a.sample_id = b.sample_id AND substr(a.kmer, 1, 5) = substr(b.kmer, 2) AND a.kmer <> b.kmer AND greatest(a.n, b.n) <= 10 * least(a.n, b.n)
+  QUALIFY row_number() OVER (PARTITION BY a.sample_id, a.kmer ORDER BY b.n DESC, b.kmer) = 1),
+walk AS (SELECT sample_id, kmer, next AS at, base AS path FROM succ
+  UNION ALL SELECT w.sample_id, w.kmer, s.next, w.path || s.base FROM walk w JOIN succ s ON w.sample_id = s.sample_id AND w.at = s.kmer WHERE length(w.path) < 40)
+SELECT sample_id, kmer, max_by(path, length(path)) AS path FROM walk GROUP BY ALL
+""")
+def kmer_extend_left(spark, sf):
+    return extend.paths(extend.successors(_pool(spark, sf), _POOL_K, right=False), 40)
+
+
+#: Four reads of each of many stretches of 96 bases, the last one from its J end.
+_TILES = {
+    "qname": "CAST(event_id AS {s})",
+    "stretch": "CAST(CAST(floor(event_id / 4.0) AS INT) AS {s})",
+    "part": "CASE WHEN event_id % 4 = 3 THEN 'J' ELSE 'V' END",
+    "seq": f"substr(translate(md5('a' || stretch) || md5('b' || stretch) || md5('c' || stretch), '{HEX}', '{BASES}'), CAST(event_id % 4 * 10 + 1 AS INT), 40)",
+}
+
+
+def extension_sql(k: int, reads: str = "reads") -> str:
+    """CTEs up to ``grown`` (sample_id, qname, seq, more), from ``reads`` and ``missing`` (sample_id, qname, part, seq)."""
+    sides = {"r": (f"substr(a.kmer, 2) = substr(b.kmer, 1, {k - 1})", "right(b.kmer, 1)"), "l": (f"substr(a.kmer, 1, {k - 1}) = substr(b.kmer, 2)", "left(b.kmer, 1)")}
+    out = f"""
+ends AS (SELECT sample_id, CASE WHEN part = 'J' THEN left(seq, {k + 10}) ELSE right(seq, {k + 10}) END AS e FROM {reads} WHERE part <> 'VJ'),
+pool AS (SELECT sample_id, kmer, count(*) AS n FROM (SELECT sample_id, substr(e, i, {k}) AS kmer FROM ends, range(1, 12) AS r(i) WHERE i + {k - 1} <= length(e))
+  WHERE kmer NOT IN ({", ".join(f"'{b * k}'" for b in "ACGT")}) GROUP BY ALL)"""
+    for t, (meets, base) in sides.items():
+        start = f"right(seq, {k})" if t == "r" else f"left(seq, {k})"
+        out += f""",
+succ_{t} AS (SELECT a.sample_id, a.kmer, b.kmer AS next, {base} AS base FROM pool a JOIN pool b
+  ON a.sample_id = b.sample_id AND {meets} AND a.kmer <> b.kmer AND greatest(a.n, b.n) <= 10 * least(a.n, b.n) QUALIFY row_number() OVER (PARTITION BY a.sample_id, a.kmer ORDER BY b.n DESC, b.kmer) = 1),
+walk_{t} AS (SELECT sample_id, qname, 150 - length(seq) AS room, {start} AS at, '' AS path FROM missing WHERE part {"<>" if t == "r" else "="} 'J' AND length(seq) < 150
+  UNION ALL SELECT w.sample_id, w.qname, w.room, s.next, w.path || s.base FROM walk_{t} w JOIN succ_{t} s ON w.sample_id = s.sample_id AND w.at = s.kmer WHERE length(w.path) < w.room),
+more_{t} AS (SELECT sample_id, qname, max_by(path, length(path)) AS path FROM walk_{t} GROUP BY ALL)"""
+    return out + """,
+grown AS (SELECT m.sample_id, m.qname, coalesce(reverse(l.path), '') || m.seq || coalesce(r.path, '') AS seq, coalesce(length(l.path), 0) AS before, coalesce(length(r.path), 0) AS after
+  FROM missing m LEFT JOIN more_r r USING (sample_id, qname) LEFT JOIN more_l l USING (sample_id, qname))"""
+
+
+@query("extend_reads", f"""
+WITH RECURSIVE reads AS (SELECT 's' AS sample_id, {", ".join(f"{x.format(s='VARCHAR')} AS {n}" for n, x in _TILES.items())} FROM events),
+missing AS (SELECT * FROM reads),{extension_sql(15)}
+SELECT qname, seq, repeat('G', before) || repeat('I', 40) || repeat('G', after) AS qual FROM grown
+""")
+def extend_reads(spark, sf):
+    """V reads grown to the right and J reads to the left, at a k of 15 and up to 150 bases."""
+    reads = read(spark, sf, "events").withColumn("sample_id", F.lit("s"))
+    for name, x in _TILES.items():
+        reads = reads.withColumn(name, F.expr(x.format(s="string")))
+    reads = cut(reads.select("sample_id", "qname", "part", "seq", F.repeat(F.lit("I"), F.length("seq")).alias("qual")), "reads")
+    return extend.extend(reads, extend.kmer_pool(reads, 15), 15).select("qname", "seq", "qual")
+
+
 # --- annotation ---------------------------------------------------------------------
 
 # even tenths: no product of six ends in a 5 at the sixth digit, where the dialects round differently
@@ -257,19 +299,37 @@ def prob_product(spark, sf):
     return d.select("doc_id", annotate.end_probability("aa", _PROB).alias("prob"))
 
 
-@query("d_gene")
+_GENES = (("D1", "GGGACAGGGGGC"), ("D2", "GGGACTAGCGGGGGGG"))
+_D_SEQ = "CASE WHEN doc_id % 3 = 0 THEN 'TGTGCC' || substr(translate(md5(text), '{0}', '{1}'), 1, CAST(doc_id % 9 AS INT)) || 'GGGACAGGGGGC' || substr(translate(md5(text), '{0}', '{1}'), 9, CAST(doc_id % 7 AS INT)) || 'TTC' WHEN doc_id % 3 = 1 THEN 'TGT' || substr('GGGACTAGCGGGGGGG', CAST(doc_id % 5 + 1 AS INT), 12) || substr(translate(md5(text), '{0}', '{1}'), 1, CAST(doc_id % 20 AS INT)) ELSE translate(md5(text), '{0}', '{1}') END".format(HEX, BASES)
+
+
+def _gene_sql() -> str:
+    """Global alignment with affine gaps, a row of the matrix a step: best, and best that ends in a gap of the gene."""
+    match = "CASE WHEN substr(g, j, 1) = substr(s, i + 1, 1) THEN 5 ELSE -3 END"
+    return f"""
+WITH RECURSIVE d AS (SELECT DISTINCT {_D_SEQ} AS s FROM documents), genes(k, name, g) AS (VALUES {", ".join(f"({i}, '{n}', '{g}')" for i, (n, g) in enumerate(_GENES))}),
+dp AS (SELECT s, k, g, 0 AS i, list_prepend(0, list_transform(range(1, length(g) + 1), lambda j: -4 - j)) AS best, list_transform(range(0, length(g) + 1), lambda j: -1000000) AS down FROM d, genes
+  UNION ALL SELECT s, k, g, i + 1,
+    list_transform(range(1, length(g) + 2), lambda j: greatest(fresh[j], CASE WHEN j = 1 THEN -1000000 ELSE list_max(list_transform(range(1, j), lambda h: fresh[h] - 4 - (j - h))) END)), lower
+  FROM (SELECT *, list_prepend(-4 - (i + 1), list_transform(range(1, length(g) + 1), lambda j: greatest(best[j] + {match}, lower[j + 1]))) AS fresh
+    FROM (SELECT *, list_transform(range(1, length(g) + 2), lambda j: greatest(down[j] - 1, best[j] - 5)) AS lower FROM dp WHERE i < length(s)))),
+scored AS (SELECT s, k, name, best[length(dp.g) + 1] AS score, length(s) - length(dp.g) AS more FROM dp JOIN genes USING (k) WHERE i = length(s)),
+first AS (SELECT * FROM scored WHERE score + more + 4 > 35 QUALIFY row_number() OVER (PARTITION BY s ORDER BY score DESC, k) = 1)
+SELECT doc_id, x.s AS "NNseq", coalesce(name, 'None') AS "Dregion" FROM (SELECT doc_id, {_D_SEQ} AS s FROM documents) x LEFT JOIN first USING (s)
+"""
+
+
+@query("d_gene", _gene_sql())
 def d_gene(spark, sf):
-    """The best D gene of each sequence; restated by the tests."""
-    genes = (("D1", "GGGACAGGGGGC"), ("D2", "GGGACTAGCGGGGGGG"))
-    d = read(spark, sf, "documents").select("doc_id", F.expr("CASE WHEN doc_id % 2 = 0 THEN 'TGTGCCGGGACAGGGGGCTTC' ELSE substr(translate(md5(text), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 30) END").alias("NNseq"))
-    return annotate.with_d_gene(d, genes)
+    """The best D gene of each sequence."""
+    return annotate.with_d_gene(read(spark, sf, "documents").select("doc_id", F.expr(_D_SEQ).alias("NNseq")), _GENES)
 
 
-_FLAGSHIP = _anchored("(event_id % 997)", "''", "{s}")
+_FLAGSHIP = anchored("event_id", "''", "{s}")
 
 
 @query("clonotypes_of_reads", f"""
-WITH d AS (SELECT event_id AS id, user_id FROM events),{_cdr3_sql(_anchored("(id % 997)", "''", "VARCHAR"), MOTIF.first_pass(), "d")}
+WITH d AS (SELECT event_id AS id, user_id FROM events),{cdr3_sql(anchored("id", "''", "VARCHAR"), MOTIF.first_pass(), "d")}
 SELECT {peptide_sql("cdr3", "1")} AS "AAseq", cdr3 AS "NNseq", 'V' || CAST(user_id % 4 AS VARCHAR) AS "Vregion", count(*) AS "Frequency"
 FROM found JOIN d USING (id) WHERE cdr3 IS NOT NULL GROUP BY ALL
 """)

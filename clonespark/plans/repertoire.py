@@ -29,7 +29,7 @@ def from_alignments(v: DataFrame, j: DataFrame, v_segments: DataFrame, j_segment
     entry = params.entry()
     v, j = align.best_hit(align.primary(v)), align.best_hit(align.primary(j))
     v, j = cut(v, "v-hits"), cut(j, "j-hits")
-    stats = align.sample_stats(v, params.default_error_rate)
+    stats = align.sample_stats(v, j, params.default_error_rate)
     chosen = None if params.kmer == AUTO_K else params.kmer
     stats = stats.withColumn("k", align.adaptive_k(F.col("mean_length"), chosen))
     stats = cut(stats, "stats")
