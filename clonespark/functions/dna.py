@@ -57,8 +57,9 @@ def hamming(a: Column | str, b: Column | str, skip: int = 0) -> Column:
     """Places that differ, ``skip`` at either end left out, up to the shorter length."""
     a, b = _col(a), _col(b)
     n = F.least(F.length(a), F.length(b))
-    at = F.sequence(F.lit(1 + skip), n - skip)
-    differ = F.size(F.filter(at, lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1))))
+    # arrays of signs, so that each sequence is computed once and not once a place
+    signs = lambda x: F.slice(F.split(x, ""), skip + 1, F.greatest(n - 2 * skip, F.lit(0)))
+    differ = F.size(F.filter(F.zip_with(signs(a), signs(b), lambda x, y: x != y), lambda x: x))
     return F.when(n > 2 * skip, differ).when(n.isNotNull(), F.lit(0))
 
 

@@ -18,8 +18,9 @@ J_LEAD, V_ALLOWANCE, J_ALLOWANCE, OPEN_END = 5, 3, 9, 9
 def with_segments(aln: DataFrame, segments: DataFrame) -> DataFrame:
     """Alignments with their segment's sequence (``ref``) and the first M run in the read (``s``, ``t``)."""
     named = segments.select(F.col("name").alias("rname"), F.col("seq").alias("ref")).dropDuplicates(["rname"])
-    span = cigar_span("cigar")
-    return aln.join(named, "rname").withColumn("span", span).where("span IS NOT NULL").withColumn("s", F.col("span.start")).withColumn("t", F.col("span.stop")).drop("span")
+    # a generator's columns are computed once, however often later steps name them
+    told = aln.join(named, "rname").select("*", F.inline(F.array(cigar_span("cigar"))).alias("s", "t"))
+    return told.where("s IS NOT NULL")
 
 
 def fits_segment(allowance: int) -> Column:

@@ -81,13 +81,14 @@ def _share(copies: str, ways: str) -> str:
     return f"(CASE WHEN {copies} < 1 THEN 0.0 ELSE greatest({copies} / ({ways}) + 3.291 * sqrt({copies} / ({ways}) * (1 - 1.0 / ({ways}))), 1.0) END)"
 
 
-_CELLS = "cells AS (SELECT " + ", ".join(f"{x.format(s='VARCHAR')} AS {name}" for name, x in _STEPS.items()) + " FROM events)"
-_UNIQUE = f"""{_CELLS},
+_CELLS = f"""rates(sample_id, p) AS (VALUES {", ".join(f"('{n}', CAST({p} AS DOUBLE))" for n, p in _RATES)}),
+cells AS (SELECT {", ".join(f"{x.format(s='VARCHAR')} AS {name}" for name, x in _STEPS.items())} FROM events)"""
+#: From ``cells`` (sample_id, cdr3, cdr3_qual, v, j) and ``rates`` (sample_id, p) on.
+_UNIQUE = """
 u AS (SELECT sample_id, CAST(length(cdr3) AS INTEGER) AS len, cdr3, count(*) AS cnt, min(length(cdr3_qual)) AS shortest FROM cells WHERE length(cdr3) BETWEEN 21 AND 105 GROUP BY ALL),
 signs AS (SELECT sample_id, cdr3, i, max(substr(cdr3_qual, i, 1)) AS s FROM cells, range(1, 106) AS r(i) WHERE i <= length(cdr3_qual) GROUP BY ALL),
 uniq AS (SELECT sample_id, len, cdr3, cnt, left(string_agg(s, '' ORDER BY i), any_value(shortest)) AS qual FROM u JOIN signs USING (sample_id, cdr3) GROUP BY ALL)"""
 _BANDS = f"""{_UNIQUE},
-rates(sample_id, p) AS (VALUES {", ".join(f"('{n}', CAST({p} AS DOUBLE))" for n, p in _RATES)}),
 g AS (SELECT sample_id, len, p, CAST(len - 6 AS DOUBLE) AS n, max(cnt) AS most FROM uniq JOIN rates USING (sample_id) GROUP BY ALL),
 g1 AS (SELECT *, {_parent("most")} AS nt FROM g), g2 AS (SELECT *, {_copies("nt", 1, 3.0)} AS c1 FROM g1), g3 AS (SELECT *, floor({_share("c1", "3 * n")}) AS top FROM g2),
 g4 AS (SELECT *, {_parent("top")} AS nt2 FROM g3), g5 AS (SELECT *, {_copies("nt2", 1, 3.0)} AS c2 FROM g4), g6 AS (SELECT *, {_share("c2", "3 * n")} AS low FROM g5),
@@ -110,19 +111,19 @@ good AS (SELECT * FROM bands m WHERE maybe AND EXISTS (SELECT 1 FROM bands r WHE
 rescued AS (SELECT * FROM good m WHERE NOT EXISTS (SELECT 1 FROM bands s WHERE (s.leaf OR s.root) AND s.sample_id = m.sample_id AND s.len = m.len AND {hamming_sql("m.cdr3", "s.cdr3", 3)} <= 3))"""
 
 
-@query("quality_merge", f"WITH {_UNIQUE} SELECT sample_id, len, cdr3, qual, cnt FROM uniq")
+@query("quality_merge", f"WITH {_CELLS},{_UNIQUE} SELECT sample_id, len, cdr3, qual, cnt FROM uniq")
 def quality_merge(spark, sf):
     return correct.unique_cdr3(cells(spark, sf))
 
 
-@query("abundance_bands", f"WITH {_BANDS} SELECT sample_id, len, cdr3, cnt, CAST(top AS BIGINT) AS top, round(low, 6) AS low, maybe, leaf, root FROM bands")
+@query("abundance_bands", f"WITH {_CELLS},{_BANDS} SELECT sample_id, len, cdr3, cnt, CAST(top AS BIGINT) AS top, round(low, 6) AS low, maybe, leaf, root FROM bands")
 def abundance_bands(spark, sf):
     told = correct.bands(unique(spark, sf), rates(spark))
     return told.select("sample_id", "len", "cdr3", "cnt", F.col("top").cast("long").alias("top"), F.round("low", 6).alias("low"), "maybe", "leaf", "root")
 
 
 @query("hamming_neighbours", f"""
-WITH {_UNIQUE}
+WITH {_CELLS},{_UNIQUE}
 SELECT a.sample_id, a.cdr3 AS a, b.cdr3 AS b, CAST({hamming_sql("a.cdr3", "b.cdr3", 3)} AS INTEGER) AS d FROM uniq a JOIN uniq b
 ON a.sample_id = b.sample_id AND a.len = b.len AND a.cnt < 5 AND b.cnt >= 5 WHERE {hamming_sql("a.cdr3", "b.cdr3", 3)} <= 7
 """)
@@ -132,14 +133,14 @@ def hamming_neighbours(spark, sf):
     return correct.neighbours(left, right, correct.TO_ROOT).select("sample_id", "a", "b", "d")
 
 
-@query("leaf_reach", f"WITH {_NEAR} SELECT sample_id, a AS leaf, roots, b AS root, CAST(budget AS BIGINT) AS budget FROM near")
+@query("leaf_reach", f"WITH {_CELLS},{_NEAR} SELECT sample_id, a AS leaf, roots, b AS root, CAST(budget AS BIGINT) AS budget FROM near")
 def leaf_reach(spark, sf):
     """Leaves with the roots that are in reach."""
     near = correct.near_roots(cut(correct.bands(unique(spark, sf), rates(spark)), "bands"))
     return near.select("sample_id", F.col("a").alias("leaf"), "roots", F.col("b").alias("root"), F.col("budget").cast("long").alias("budget"))
 
 
-@query("leaf_weights", f"WITH {_WEIGHTS} SELECT sample_id, root, cdr3, cnt, weight > 0 AS positive, CASE WHEN weight <> 0 THEN round(ln(abs(weight)), 6) END AS size FROM weights")
+@query("leaf_weights", f"WITH {_CELLS},{_WEIGHTS} SELECT sample_id, root, cdr3, cnt, weight > 0 AS positive, CASE WHEN weight <> 0 THEN round(ln(abs(weight)), 6) END AS size FROM weights")
 def leaf_weights(spark, sf):
     """Weights of the leaves that have one root, by their errors' chances."""
     told = cut(correct.bands(unique(spark, sf), rates(spark)), "bands")
@@ -160,13 +161,13 @@ def greedy_absorb(spark, sf):
     return correct.absorb(leaves.withColumn("weight", F.col("cnt").cast("double")).withColumn("budget", F.lit(40)), ["user_id"], "leaf").select("user_id", "leaf", "taken")
 
 
-@query("rescued_cdr3s", f"WITH {_RESCUED} SELECT sample_id, cdr3, cnt FROM rescued")
+@query("rescued_cdr3s", f"WITH {_CELLS},{_RESCUED} SELECT sample_id, cdr3, cnt FROM rescued")
 def rescued_cdr3s(spark, sf):
     """Rare CDR3s of good quality without a neighbour."""
     return correct.rescues(cut(correct.bands(unique(spark, sf), rates(spark)), "bands")).select("sample_id", "cdr3", "cnt")
 
 
-_VERDICT = f"""{_WEIGHTS},{_RESCUED.removeprefix(_BANDS + ",")},
+VERDICT = f"""{_WEIGHTS},{_RESCUED.removeprefix(_BANDS + ",")},
 queue AS (SELECT *, row_number() OVER (PARTITION BY sample_id, root ORDER BY weight DESC, cnt DESC, cdr3) AS i FROM weights WHERE cnt <= budget),
 walk AS (SELECT sample_id, len, root, cdr3, i, true AS taken, budget - cnt AS rest FROM queue WHERE i = 1
   UNION ALL SELECT q.sample_id, q.len, q.root, q.cdr3, q.i, q.cnt <= w.rest, w.rest - CASE WHEN q.cnt <= w.rest THEN q.cnt ELSE 0 END FROM walk w JOIN queue q ON q.sample_id = w.sample_id AND q.root = w.root AND q.i = w.i + 1),
@@ -177,24 +178,24 @@ every AS (SELECT sample_id, len, cdr3, 0 AS rank, 'absorbed' AS status, root AS
 verdict AS (SELECT sample_id, len, cdr3, status, root FROM every QUALIFY row_number() OVER (PARTITION BY sample_id, cdr3 ORDER BY rank) = 1)"""
 
 
-@query("error_correction", f"WITH RECURSIVE {_VERDICT} SELECT sample_id, len, cdr3, status, root FROM verdict")
+@query("error_correction", f"WITH RECURSIVE {_CELLS},{VERDICT} SELECT sample_id, len, cdr3, status, root FROM verdict")
 def error_correction(spark, sf):
     """All of the correction."""
     return correct.correct(unique(spark, sf), rates(spark))
 
 
-_COUNTED = f"""SELECT sample_id, {peptide_sql("fixed", "1")} AS "AAseq", cdr3 AS "NNseq", v AS "Vregion", j AS "Jregion", count(*) AS "Frequency"
+COUNTED = f"""SELECT sample_id, {peptide_sql("fixed", "1")} AS "AAseq", cdr3 AS "NNseq", v AS "Vregion", j AS "Jregion", count(*) AS "Frequency"
 FROM (SELECT c.*, coalesce(root, c.cdr3) AS fixed FROM cells c JOIN verdict w ON c.sample_id = w.sample_id AND c.cdr3 = w.cdr3) GROUP BY ALL"""
 
 
-@query("clonotype_count", f"WITH RECURSIVE {_VERDICT} {_COUNTED}")
+@query("clonotype_count", f"WITH RECURSIVE {_CELLS},{VERDICT} {COUNTED}")
 def clonotype_count(spark, sf):
     """Corrected reads counted."""
     reads = cells(spark, sf)
     return annotate.clonotypes(reads, correct.correct(unique(spark, sf), rates(spark)))
 
 
-@query("single_cell", f"WITH {_BANDS}, verdict AS (SELECT sample_id, cdr3, NULL AS root FROM bands WHERE cnt > top) {_COUNTED}")
+@query("single_cell", f"WITH {_CELLS},{_BANDS}, verdict AS (SELECT sample_id, cdr3, NULL AS root FROM bands WHERE cnt > top) {COUNTED}")
 def single_cell(spark, sf):
     """Correction of single cells: CDR3s above the threshold."""
     params = Params(species="synthetic", single_cell=True)

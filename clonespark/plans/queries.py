@@ -10,10 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clonespark.functions import dna, motif
-from clonespark.operators import align, annotate, classify, extend, search
-from clonespark.plans import correction_queries as _correction_queries  # noqa: F401 - registers its queries
-from clonespark.plans.catalogue import Chain, Params
-from clonespark.plans.repertoire import from_reads
+from clonespark.operators import align, annotate, extend, search
 from clonespark.plans.registry import BASES, HEX, MOTIF, QUERIES, SIGNS, SQL, dna_of, dna_sql, hamming_sql, peptide_sql, query, read, sense, starts_sql
 from clonespark.staging import cut
 
@@ -342,45 +339,8 @@ def clonotypes_of_reads(spark, sf):
     return found.groupBy("NNseq", "Vregion").agg(F.sum("n").alias("Frequency")).select(dna.translate("NNseq").alias("AAseq"), "NNseq", "Vregion", "Frequency")
 
 
-def synthetic_run(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, Params]:
-    """Reads made of V segment, insert and J segment by the events' keys, and the segments."""
-    v = spark.range(6).select(F.concat(F.lit("V"), "id").alias("name"), F.concat(dna_of("'v' || cast(id AS string)"), dna_of("'w' || cast(id AS string)"), F.lit("TATTTCTGCGCC")).alias("seq"))
-    j = spark.range(4).select(F.concat(F.lit("J"), "id").alias("name"), F.concat(F.lit("TTCTTCGGCGAAGGC"), dna_of("'j' || cast(id AS string)")).alias("seq"))
-    e = read(spark, sf, "events")
-    insert = F.expr(f"substr({sense('cast(user_id % 23 AS string)')}, 1, cast(user_id % 9 + 5 AS int) * 3)")
-    made = (
-        e.join(v.select(F.col("name").alias("vn"), F.col("seq").alias("vs")), F.expr("vn = 'V' || cast(user_id % 6 AS string)"))
-        .join(j.select(F.col("name").alias("jn"), F.col("seq").alias("js")), F.expr("jn = 'J' || cast(user_id % 4 AS string)"))
-        .select(F.lit("s").alias("sample_id"), F.lit(1).alias("file_idx"), F.col("event_id").cast("string").alias("qname"), F.concat("vs", insert, "js").alias("whole"), "event_id")
-    )
-    part = F.expr("CASE event_id % 4 WHEN 0 THEN left(whole, length(whole) - 40) WHEN 1 THEN substr(whole, 73, 200) ELSE whole END")
-    reads = made.select("sample_id", "file_idx", "qname", F.when(F.col("event_id") % 5 == 0, dna.reverse_complement(part)).otherwise(part).alias("seq"))
-    reads = cut(reads.withColumn("qual", F.repeat(F.lit("I"), F.length("seq"))), "reads")
-    params = Params()
-    params.catalogue.register("synthetic", "TRB", "CDR3", Chain("", "", MOTIF))
-    return reads, v, j, params.with_(species="synthetic")
-
-
-@query("repertoire_run")
-def repertoire_run(spark, sf):
-    """All stages, from reads to the clonotype table; checked by the tests against what was planted."""
-    return from_reads(*synthetic_run(spark, sf))
-
-
-@query("assign_segments")
-def assign_segments(spark, sf):
-    """Best V hit of each read with its place, score and mismatches."""
-    reads, v, _, params = synthetic_run(spark, sf)
-    return align.align(reads, v, "V", params.min_score)
-
-
-@query("classify_reads")
-def classify_reads(spark, sf):
-    """Reads by part, with the CDR3 of the first pass."""
-    reads, v, j, params = synthetic_run(spark, sf)
-    vh, jh = (cut(align.best_hit(align.align(reads, x, name)), "hits") for x, name in ((v, "V"), (j, "J")))
-    k = spark.sql("SELECT 's' AS sample_id, 15 AS k")
-    return classify.classify(classify.with_segments(vh, v), classify.with_segments(jh, j), params.entry().motif, k)
+# these register their queries, and build on the SQL above
+from clonespark.plans import correction_queries, read_queries, source_queries  # noqa: E402, F401
 
 
 def entry(spark: SparkSession, sf: str) -> DataFrame:
