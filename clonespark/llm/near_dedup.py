@@ -288,7 +288,7 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     own = F.struct("class", "node")
     met = members.join(hubs, "key").where((F.col("node") != F.col("hub.node")) & fits)
     pairs = cut(met.select(F.greatest(own, F.col("hub")).alias("x"), F.least(own, F.col("hub")).alias("y")).distinct(), "pairs")
-    needed = classes.join(weight, "class", "left_semi").select("class", F.col("node").alias("doc_id"), "th")
+    needed = cut(classes.join(weight, "class", "left_semi").select("class", F.col("node").alias("doc_id"), "th"), "needed")
     sets = cut(full_sets(source.join(needed, ["doc_id", "th"]).select("class", "text").dropDuplicates(["class"]), width), "sets")
     links = verify(pairs, sets, percent)
     # ids that have texts of several classes
