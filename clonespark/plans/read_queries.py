@@ -190,7 +190,10 @@ cells AS (SELECT sample_id, cdr3, cdr3_qual, coalesce(v, 'None') AS v, coalesce(
 rates AS (SELECT 's' AS sample_id, sum(nm) / CAST(sum(76 - 2 * CAST(event_id % 53 = 0 AS INTEGER)) AS DOUBLE) AS p FROM hits)"""
 
 
-@query("repertoire_run", f"WITH RECURSIVE {_RUN},{VERDICT} {COUNTED}")
+RUN = f"WITH RECURSIVE {_RUN},{VERDICT} {COUNTED}"
+
+
+@query("repertoire_run", RUN)
 def repertoire_run(spark, sf):
     """All stages, from reads to the clonotype table."""
     return from_reads(*synthetic_run(spark, sf)).drop("Prob")
