@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import logging
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import SparkSession
 
 from clonespark.plans.catalogue import AUTO_K, Params
@@ -13,6 +14,7 @@ from clonespark.sources import io
 from clonespark.staging import clean
 
 
+# Names and defaults of the options down to --proJ.
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="clonespark", description="T- and B-cell receptor CDR3s of sequencing reads")
     one = p.add_mutually_exclusive_group()
@@ -36,24 +38,36 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--resources", required=True, help="folder of the gene segments")
     p.add_argument("--prob", help="table of residues' probabilities")
     p.add_argument("--catalogue", help="JSON of further chains")
+    p.add_argument("--impute", action="store_true", help="give reads of one segment the other by their end's k-mers")
     p.add_argument("--compat", action="store_true")
     return p
 
 
+def session(threads: int) -> SparkSession:
+    """The session of the cluster that the program was submitted to, else a local one."""
+    SparkContext._ensure_initialized()
+    builder = SparkSession.builder.appName("clonespark")
+    return (builder if SparkConf().contains("spark.master") else builder.master(f"local[{threads}]")).getOrCreate()
+
+
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
-    params = Params(species=a.species, chain=a.chain, region=a.region, kmer=a.kmer, min_score=a.bowsc, single_cell=a.sc, compat=a.compat)
+    params = Params(species=a.species, chain=a.chain, region=a.region, kmer=a.kmer, min_score=a.bowsc, single_cell=a.sc, compat=a.compat, impute=a.impute)
     if a.catalogue:
         params.catalogue.load(a.catalogue)
     logging.basicConfig(level=logging.INFO, format="[%(asctime)s] %(message)s")
     logging.getLogger("py4j").setLevel(logging.WARNING)
     entry = params.entry()
-    spark = SparkSession.builder.master(f"local[{a.thread}]").appName("clonespark").getOrCreate()
+    spark = session(a.thread)
     if a.proV or a.proJ:
+        if len(a.output) != 1:
+            raise SystemExit("alignments of one sample have one output")
         segments = [io.read_fasta_records(spark, f"{a.resources}/{f}") for f in (entry.v_file, entry.j_file)]
         v, j = (_all_sam(spark, paths, s) for paths, s in ((a.proV, "V"), (a.proJ, "J")))
         table = from_alignments(v, j, *segments, params, io.read_probabilities(spark, a.prob) if a.prob else None)
         io.write_clonotypes(table.drop("sample_id"), a.output[0], a.chain, a.region)
+        if not a.debug:
+            clean(spark)
         return 0
     if a.bam and not all(f.lower().removesuffix(".gz").endswith((".bam", ".sam")) for f in a.file):
         raise SystemExit("--bam needs files that end in .bam or .sam")

@@ -8,7 +8,7 @@ no driver loop over reads and no table on one machine.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clonespark.functions.dna import FILLED, first_bases, kmers, last_bases, ratio_ok
@@ -95,7 +95,27 @@ def mode_of(df: DataFrame, key: str, value: str) -> DataFrame:
     return best.where("kinds > 1").select(key, F.col(f"b.{value}").alias(value), (-F.col("b.n")).alias("n"))
 
 
-def run_boundaries(df: DataFrame, order: str, value: str) -> DataFrame:
-    """Rows after which ``value`` changes, within partitions of the sample."""
-    w = Window.partitionBy("sample_id").orderBy(order)
-    return df.withColumn("next_value", F.lead(value).over(w)).where("next_value IS NULL OR next_value <> " + value).drop("next_value")
+def leaders(reads: DataFrame, k: int) -> DataFrame:
+    """(sample_id, part, kmer, region): the segment that most reads have which
+    begin with a k-mer (V) or end with it (J), of k-mers with several segments."""
+    ends = F.when(F.col("part") == "J", F.struct(last_bases("seq", k).alias("kmer"), F.col("j").alias("region"))).otherwise(F.struct(first_bases("seq", k).alias("kmer"), F.col("v").alias("region")))
+    told = reads.where("part <> 'VJ'").select(F.struct("sample_id", "part", ends["kmer"].alias("kmer")).alias("key"), ends["region"].alias("region"))
+    return mode_of(told, "key", "region").select("key.*", "region")
+
+
+def impute(reads: DataFrame, known: DataFrame, k: int, reach: int = 6) -> DataFrame:
+    """``reads`` (with v and j) whose missing segment is the leading k-mers' own:
+    a V read's J by the k-mers up to ``reach`` bases before its end, a J read's V
+    by those after its start; the nearest to the end decides."""
+    missing = F.when(F.col("part") == "V", F.lit("J")).when(F.col("part") == "J", F.lit("V"))
+    start = lambda i: F.when(F.col("part") == "V", F.length("seq") - k - i + 1).otherwise(i + 1)
+    words = F.transform(F.sequence(F.lit(0), F.least(F.length("seq") - k, F.lit(reach))), lambda i: F.struct(i.alias("i"), F.substring(F.col("seq"), start(i), F.lit(k)).alias("kmer")))
+    end = F.when(F.col("part") == "V", F.right("seq", F.lit(k + reach))).otherwise(F.left("seq", F.lit(k + reach)))
+    # equal ends are looked up once
+    ends = reads.where((F.length("seq") >= k) & missing.isNotNull()).select("sample_id", missing.alias("other"), end.alias("end"), words.alias("words")).dropDuplicates(["sample_id", "other", "end"])
+    named = known.withColumnRenamed("part", "other")
+    told = ends.select("sample_id", "other", "end", F.inline("words")).join(named, ["sample_id", "other", "kmer"]).groupBy("sample_id", "other", "end").agg(F.min(F.struct("i", "region"))["region"].alias("region"))
+    told = told.select("sample_id", F.when(F.col("other") == "J", "V").otherwise("J").alias("part"), "end", "region")
+    out = reads.withColumn("end", end).join(told, ["sample_id", "part", "end"], "left")
+    j, v = F.when(F.col("part") == "V", F.coalesce("j", "region")).otherwise(F.col("j")), F.when(F.col("part") == "J", F.coalesce("v", "region")).otherwise(F.col("v"))
+    return out.select(*[x.alias(c) if (x := {"v": v, "j": j}.get(c)) is not None else F.col(c) for c in reads.columns])

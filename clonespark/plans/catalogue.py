@@ -88,7 +88,8 @@ AUTO_K = 10000
 
 @dataclass(frozen=True)
 class Params:
-    """A run's parameters.  ``compat`` keeps the homopolymer rule and the
+    """A run's parameters.  ``impute`` gives reads of one segment the other by
+    the k-mers of their end.  ``compat`` keeps the homopolymer rule and the
     quality rule of rescues as they have always been (see the README)."""
 
     species: str = "hs"
@@ -99,6 +100,7 @@ class Params:
     single_cell: bool = False
     max_length: int = 150
     compat: bool = False
+    impute: bool = False
     corrected_nn: bool = False
     default_error_rate: float = 0.0031
     catalogue: Catalogue = field(default_factory=Catalogue)

@@ -168,14 +168,6 @@ def sample_stats(spark, sf):
     return out.select("sample_id", "mean_length", F.round("error_rate", 12).alias("error_rate"), align.adaptive_k(F.col("mean_length")).alias("k"))
 
 
-@query("run_boundaries", """
-SELECT user_id, event_id, event_type FROM (SELECT *, lead(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) WHERE n IS NULL OR n <> event_type
-""")
-def run_boundaries(spark, sf):
-    e = read(spark, sf, "events").select(F.col("user_id").alias("sample_id"), "event_id", "event_type")
-    return extend.run_boundaries(e, "event_id", "event_type").select(F.col("sample_id").alias("user_id"), "event_id", "event_type")
-
-
 @query("mode_region", """
 WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL)
 SELECT user_id, event_type, n FROM c QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) = 1 AND count(*) OVER (PARTITION BY user_id) > 1
@@ -278,6 +270,26 @@ def extend_reads(spark, sf):
     return extend.extend(reads, extend.kmer_pool(reads, 15), 15).select("qname", "seq", "qual")
 
 
+@query("impute_genes", f"""
+WITH reads AS (SELECT CAST(event_id AS VARCHAR) AS qname, CASE WHEN event_id % 3 = 0 THEN 'J' ELSE 'V' END AS part, 'V' || CAST(event_id % 5 AS VARCHAR) AS vn, 'J' || CAST(event_id % 4 AS VARCHAR) AS jn,
+  substr(translate(md5(CAST(user_id AS VARCHAR)), '{HEX}', '{BASES}'), CAST(event_id % 13 + 1 AS INT), 19) AS seq FROM events),
+r AS (SELECT qname, part, seq, CASE WHEN part = 'V' THEN vn END AS v, CASE WHEN part = 'J' THEN jn END AS j FROM reads),
+votes AS (SELECT part, CASE WHEN part = 'V' THEN left(seq, 15) ELSE right(seq, 15) END AS kmer, coalesce(v, j) AS region, count(*) AS n FROM r GROUP BY ALL),
+known AS (SELECT * FROM votes QUALIFY count(*) OVER (PARTITION BY part, kmer) > 1 AND row_number() OVER (PARTITION BY part, kmer ORDER BY n DESC, region) = 1),
+words AS (SELECT qname, CASE WHEN part = 'V' THEN 'J' ELSE 'V' END AS part, i, CASE WHEN part = 'V' THEN substr(seq, length(seq) - 14 - i, 15) ELSE substr(seq, i + 1, 15) END AS kmer FROM r, range(0, 5) AS t(i)),
+told AS (SELECT qname, arg_min(region, i) AS region FROM words JOIN known USING (part, kmer) GROUP BY qname)
+SELECT qname, part, CASE WHEN part = 'J' THEN region ELSE v END AS v, CASE WHEN part = 'V' THEN region ELSE j END AS j FROM r LEFT JOIN told USING (qname)
+""")
+def impute_genes(spark, sf):
+    """The missing segment of reads by the k-mers at their other end."""
+    part = F.expr("CASE WHEN event_id % 3 = 0 THEN 'J' ELSE 'V' END")
+    seq = F.expr(f"substr(translate(md5(cast(user_id AS string)), '{HEX}', '{BASES}'), cast(event_id % 13 + 1 AS int), 19)")
+    name = lambda letter, n: F.when(part == letter, F.concat(F.lit(letter), (F.col("event_id") % n).cast("string")))
+    reads = read(spark, sf, "events").select(F.lit("s").alias("sample_id"), F.col("event_id").cast("string").alias("qname"), part.alias("part"), name("V", 5).alias("v"), name("J", 4).alias("j"), seq.alias("seq"))
+    reads = cut(reads, "reads")
+    return extend.impute(reads, extend.leaders(reads, 15), 15).select("qname", "part", "v", "j")
+
+
 # --- annotation ---------------------------------------------------------------------
 
 # even tenths: no product of six ends in a 5 at the sixth digit, where the dialects round differently

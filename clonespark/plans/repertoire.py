@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from clonespark.operators import align, annotate, classify, correct, extend
@@ -34,21 +34,31 @@ def from_alignments(v: DataFrame, j: DataFrame, v_segments: DataFrame, j_segment
     stats = stats.withColumn("k", align.adaptive_k(F.col("mean_length"), chosen))
     stats = cut(stats, "stats")
     reads = classify.classify(classify.with_segments(v, v_segments), classify.with_segments(j, j_segments), entry.motif, stats.select("sample_id", "k"))
-    reads = cut(reads, "reads")
-    tell("candidates", reads, stats)
+    seen = Observation("first pass")
+    reads = cut(reads.observe(seen, F.count("*").alias("reads"), F.count("cdr3").alias("found")), "reads")
+    first = seen.get
+    log.info("search range: %d reads; found: %d; left: %d", first["reads"], first["found"], first["reads"] - first["found"])
+    if log.isEnabledFor(logging.INFO):
+        for r in stats.orderBy("sample_id").toLocalIterator():
+            log.info("%s: k %d, error rate %s", r["sample_id"], r["k"], r["error_rate"])
     found = None
     # k takes one of four values, or the one that was asked for
     for k in sorted(r["k"] for r in stats.select("k").distinct().limit(8).collect()):
-        part = extend.rescue(reads.where(F.col("k") == k), entry.motif, k, params.compat)
+        own = reads.where(F.col("k") == k)
+        part = extend.rescue(own, entry.motif, k, params.compat)
+        if params.impute:
+            part = extend.impute(cut(part, "found"), cut(extend.leaders(own, k), "leaders"), k)
         found = part if found is None else found.unionByName(part)
-    return from_cdr3(reads.where("cdr3 IS NOT NULL") if found is None else found, stats, params, prob)
+    return from_cdr3(reads.where("cdr3 IS NOT NULL") if found is None else found, stats, params, prob, first["found"])
 
 
-def from_cdr3(reads: DataFrame, stats: DataFrame, params: Params, prob: DataFrame | None = None) -> DataFrame:
-    """Clonotypes of reads with their CDR3s; ``stats``: (sample_id, error_rate)."""
+def from_cdr3(reads: DataFrame, stats: DataFrame, params: Params, prob: DataFrame | None = None, before: int = 0) -> DataFrame:
+    """Clonotypes of reads with their CDR3s; ``stats``: (sample_id, error_rate);
+    ``before``: reads that had one before extension, for the log."""
     entry = params.entry()
-    reads = cut(reads.select("sample_id", "v", "j", "cdr3", "cdr3_qual"), "cdr3s")
-    tell("with a CDR3 after extension", reads, stats)
+    seen = Observation("all passes")
+    reads = cut(reads.select("sample_id", "v", "j", "cdr3", "cdr3_qual").observe(seen, F.count("*").alias("reads")), "cdr3s")
+    log.info("reads with a CDR3: %d; rescued: %d", seen.get["reads"], seen.get["reads"] - before)
     verdict = correct.correct(cut(correct.unique_cdr3(reads), "unique"), stats, params.single_cell, not params.compat)
     out = annotate.clonotypes(reads, verdict, params.corrected_nn)
     table = annotate.probability_table(prob) if prob is not None else {}
@@ -58,14 +68,6 @@ def from_cdr3(reads: DataFrame, stats: DataFrame, params: Params, prob: DataFram
     return out.select("sample_id", *[c for c in OUTPUT if c in out.columns])
 
 
-def tell(what: str, reads: DataFrame, stats: DataFrame) -> None:
-    """Log the reads of each sample, those with a CDR3, and its k and error rate; nothing is counted unless INFO is logged."""
-    if log.isEnabledFor(logging.INFO):
-        counts = reads.groupBy("sample_id").agg(F.count("*").alias("reads"), F.count("cdr3").alias("found"))
-        for r in counts.join(stats, "sample_id").orderBy("sample_id").limit(1000).collect():
-            log.info("%s: %s", what, r.asDict())
-
-
 def run(spark: SparkSession, files: list[str], outputs: list[str], params: Params, resources: str, mates: list[str] | None = None, prob_path: str | None = None) -> list[str]:
     """All samples in one job; one result for each output prefix."""
     entry = params.entry()

@@ -3,8 +3,6 @@ the shared folder and read back."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,12 +11,12 @@ from clonespark.plans.read_queries import RUN, synthetic_run
 from clonespark.plans.registry import BASES, HEX, SIGNS, query, read
 from clonespark.plans.repertoire import from_alignments
 from clonespark.sources import io
-from clonespark.staging import cut, shared_dir
+from clonespark.staging import cut, scratch
 
 
 def _file(df: DataFrame, line: str) -> str:
     """The folder of a text file with ``line``, an expression, for each row."""
-    path = f"{shared_dir(df.sparkSession)}/tables/file-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, "file")
     df.selectExpr(f"{line} AS value").write.text(path)
     return path
 
@@ -96,7 +94,7 @@ def sam_reads(spark, sf):
 SELECT CAST(c AS INTEGER) AS pos, chr(CAST(65 + n_nationkey AS INTEGER)) AS aa, CAST(n_nationkey * abs(c) % 7 AS DOUBLE) / 10 AS p FROM nation, (SELECT unnest([-4, -3, -2, 1, 2, 3, 8]) AS c)
 """)
 def read_probabilities(spark, sf):
-    path = f"{shared_dir(spark)}/tables/file-{uuid.uuid4().hex}"
+    path = scratch(spark, "file")
     wide = read(spark, sf, "nation").select(F.char(F.col("n_nationkey").cast("long") + 65).alias("AA"), *[(F.col("n_nationkey") * abs(c) % 7 / 10.0).alias(str(c)) for c in (-4, -3, -2, 1, 2, 3, 8)])
     wide.coalesce(1).write.option("header", True).csv(path)
     return io.read_probabilities(spark, path)
@@ -108,7 +106,7 @@ SELECT c_name AS "AAseq", c_mktsegment AS "Vregion", CAST(c_custkey % 40 AS BIGI
 def write_clonotypes(spark, sf):
     """The result's rows, most frequent first, with their place in the file."""
     rows = read(spark, sf, "customer").select(F.col("c_name").alias("AAseq"), F.col("c_mktsegment").alias("Vregion"), (F.col("c_custkey") % 40).alias("Frequency"))
-    path = io.write_clonotypes(rows, f"{shared_dir(spark)}/tables/file-{uuid.uuid4().hex}", "TRB", "CDR3")
+    path = io.write_clonotypes(rows, scratch(spark, "file"), "TRB", "CDR3")
     return spark.read.option("header", True).schema("AAseq string, Vregion string, Frequency long").csv(path).withColumn("place", F.monotonically_increasing_id())
 
 

@@ -39,7 +39,7 @@ def _tags(data: bytes) -> dict[str, int]:
 
 
 def records(content: bytes) -> Iterator[tuple]:
-    """The alignments of a file's bytes; what is cut off at its end is left out."""
+    """The alignments of a file's bytes; one that ends within an alignment is an error."""
     with gzip.GzipFile(fileobj=io.BytesIO(content)) as f:
         if f.read(4) != b"BAM\1":
             raise ValueError("not a BAM file")
@@ -48,11 +48,11 @@ def records(content: bytes) -> Iterator[tuple]:
         for _ in range(struct.unpack("<i", f.read(4))[0]):
             names.append(f.read(struct.unpack("<i", f.read(4))[0])[:-1].decode())
             f.read(4)
-        while len(head := f.read(4)) == 4:
-            size = struct.unpack("<i", head)[0]
+        while head := f.read(4):
+            size = struct.unpack("<i", head)[0] if len(head) == 4 else 32
             data = f.read(size)
-            if len(data) < size:
-                return
+            if len(head) < 4 or len(data) < size:
+                raise ValueError("the BAM file ends within an alignment")
             ref, pos, l_name, _, _, n_cigar, flag, l_seq = struct.unpack_from("<iiBBHHHi", data)
             at = 32
             name = data[at : at + l_name - 1].decode()

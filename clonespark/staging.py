@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where that is unset (local tests) a temporary
-    folder, which is then set."""
+    """``spark.checkpoint.dir``; where that is unset in local mode a temporary
+    folder, which is then set.  Executors of a cluster share no such folder, so
+    there it must be given."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="clonespark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -30,6 +33,11 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([folder, *paths])
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, which :func:`clean` deletes."""
+    return f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table of the shared folder and read it again.
 
@@ -37,7 +45,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     and what was computed once is planned once.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._clonespark_path = path

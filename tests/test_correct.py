@@ -4,6 +4,8 @@ import random
 from collections import defaultdict
 from math import comb, floor, log, prod, sqrt
 
+import numpy as np
+
 from clonespark.operators import correct
 
 
@@ -108,3 +110,35 @@ def test_no_errors_keeps_all(spark):
 
 def test_single_cell(spark):
     assert check(spark, 4, 0.02, True) == {"kept"}
+
+
+def test_neighbours_of_many_cdr3s_that_share_both_ends(spark):
+    """20,000 leaves and 300 roots of one length, with reaches of 1 to 7."""
+    draw = np.random.default_rng(5)
+    letters, n = np.frombuffer(b"ACGT", np.uint8), 36
+    ends = np.frombuffer(b"TGTGCCAGCAGCTTTGGCGAACAGTACTTC", np.uint8)
+
+    def join(middle):
+        return [bytes(np.concatenate([ends[:15], letters[m], ends[15:]])[:n]).decode() for m in middle]
+
+    roots = draw.integers(0, 4, (300, 12))
+    leaves = roots[draw.integers(0, 300, 20_000)].copy()
+    for _ in range(3):
+        at = draw.integers(0, 12, len(leaves))
+        leaves[np.arange(len(leaves)), at] = draw.integers(0, 4, len(leaves))
+    a, b = sorted(set(join(leaves))), sorted(set(join(roots)))
+    most = {x: 1 + i % 7 for i, x in enumerate(b)}
+    left = spark.createDataFrame([("s", n, x) for x in a], "sample_id string, len int, a string")
+    right = spark.createDataFrame([("s", n, x, most[x]) for x in b], "sample_id string, len int, b string, most int")
+    got = {(r.a, r.b): r.d for r in correct.neighbours(left, right).collect()}
+    x, y = (np.array([list(s[3:-3].encode()) for s in side], np.uint8) for side in (a, b))
+    d = (x[:, None] != y).sum(2)
+    i, j = np.nonzero(d <= np.array([most[s] for s in b]))
+    assert got == {(a[p], b[q]): int(d[p, q]) for p, q in zip(i, j, strict=True)} and len(got) > 20_000
+
+
+def test_letters_beside_the_four(spark):
+    rows = [("s", 30, "ACGTN" * 6), ("s", 30, "ACGTR" * 6), ("s", 30, "ACGTY" * 6)]
+    df = spark.createDataFrame(rows, "sample_id string, len int, a string")
+    got = {(r.a[4], r.b[4]): r.d for r in correct.neighbours(df, df.withColumnRenamed("a", "b"), 5).collect()}
+    assert got == {(c, e): 0 if c == e else 5 for c in "NRY" for e in "NRY"}

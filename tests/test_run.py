@@ -1,6 +1,7 @@
 """Sources, alignment, extension, annotation and whole runs."""
 
 import gzip
+import json
 import random
 import re
 import struct
@@ -9,13 +10,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clonespark.cli import parser
+from clonespark import staging
+from clonespark.cli import main, parser
 from clonespark.operators import align, annotate, extend
 from clonespark.plans import queries
 from clonespark.plans.catalogue import Catalogue, Chain, Params
 from clonespark.plans.repertoire import from_reads, run
 from clonespark.sources import io
-from clonespark.sources.bam import read_bam
+from clonespark.sources.bam import read_bam, records
 
 DRAW = random.Random(11)
 
@@ -71,6 +73,9 @@ def test_bam(spark, tmp_path):
     rows = read_bam(spark, str(tmp_path / "a.bam"), "V").orderBy("qname").collect()
     assert [tuple(r)[3:] for r in rows] == [("q1", 16, "g1", 3, "2S5M", 12, 1, "ACGTACG", "IIIIII5"), ("q2", 4, "*", 0, "*", None, None, "ACN", "III")]
     assert {(r.qname, r.seq, r.qual) for r in io.any_reads(spark, str(tmp_path / "a.bam")).collect()} == {("q1", "CGTACGT", "5IIIIII"), ("q2", "ACN", "III")}
+    for n in (1, 9, len(data) - 45):  # cut within the last alignment, and within the first
+        with pytest.raises(ValueError, match="ends within"):
+            list(records(gzip.compress(data[:-n])))
 
 
 def test_align_finds_gene_and_strand(spark):
@@ -252,6 +257,61 @@ def test_whole_run_finds_what_was_planted(spark, tmp_path):
     assert rows[0].asDict().keys() == {"AAseq", "NNseq", "Prob", "Vregion", "Jregion", "Dregion", "Frequency"}
 
 
+def test_command_line_from_alignments(spark, tmp_path, caplog):
+    """--proV and --proJ: SAM files in, one result out; so do reads, which are logged."""
+    v, j = bases(70) + "TATTTCTGCGCC", "TTCTTCGGCGAAGGC" + bases(40)
+    whole = v + "GCAGACAAGCTC" + j
+    (tmp_path / "v.fa").write_text(f">V1\n{v}\n")
+    (tmp_path / "j.fa").write_text(f">J1\n{j}\n")
+    (tmp_path / "c.json").write_text(json.dumps([{"species": "hs", "chain": "IGL", "v_file": "v.fa", "j_file": "j.fa", "motif": vars(queries.MOTIF)}]))
+    (tmp_path / "r.fq").write_text("".join(f"@q{i}\n{whole}\n+\n{'I' * len(whole)}\n" for i in range(9)))
+    for part, name, at, n in (("v", "V1", 1, len(v)), ("j", "J1", len(v) + 13, len(j))):
+        clip = f"{at - 1}S" if at > 1 else ""
+        tail = f"{len(whole) - at + 1 - n}S" if len(whole) >= at + n else ""
+        lines = [f"q{i}\t0\t{name}\t1\t60\t{clip}{n}M{tail}\t*\t0\t0\t{whole}\t{'I' * len(whole)}\tNM:i:0\tAS:i:{n}\n" for i in range(9)]
+        (tmp_path / f"{part}.sam").write_text("@HD\tVN:1.6\n" + "".join(lines))
+    common = ["--chain", "IGL", "--resources", str(tmp_path), "--catalogue", str(tmp_path / "c.json"), "--debug"]
+    want = [("TGCGCCGCAGACAAGCTCTTCTTC", "V1", "J1", "9")]
+    with caplog.at_level("INFO", "clonespark"):
+        assert main(["--proV", str(tmp_path / "v.sam"), "--proJ", str(tmp_path / "j.sam"), "-o", str(tmp_path / "a"), *common]) == 0
+        assert main(["-f", str(tmp_path / "r.fq"), "-o", str(tmp_path / "b"), "--impute", *common]) == 0
+    for out in "ab":
+        rows = spark.read.option("header", True).csv(str(tmp_path / f"{out}.IGL.CDR3.csv")).collect()
+        assert [(r.NNseq, r.Vregion, r.Jregion, r.Frequency) for r in rows] == want
+    assert caplog.text.count("search range: 9 reads; found: 9; left: 0") == 2 and caplog.text.count("reads with a CDR3: 9; rescued: 0") == 2
+    with pytest.raises(SystemExit):
+        main(["--proV", "v", "-o", "a", "-o", "b", *common])
+
+
+def test_imputed_segments(spark):
+    """Reads that end before J get the J of the k-mers that they grew into."""
+    j = {f"J{i}": bases(60) for i in range(2)}
+    rows = [("s", "J", None, n, s[-40:]) for n, s in j.items() for _ in range(3 + (n == "J1"))] + [("s", "J", None, "J9", j["J0"][-40:])]
+    rows += [("s", "V", "V1", None, bases(30) + j["J0"][:-i] if i else bases(30) + j["J0"]) for i in range(8)] + [("s", "VJ", "V1", "J1", bases(40)), ("s", "V", "V1", None, "ACGT")]
+    reads = spark.createDataFrame(rows, "sample_id string, part string, v string, j string, seq string")
+    known = extend.leaders(reads, 15)
+    assert [(r.part, r.region) for r in known.collect()] == [("J", "J0")]
+    got = extend.impute(reads, known, 15).collect()
+    assert len(got) == len(rows)
+    assert sorted((len(r.seq), r.j) for r in got if r.part == "V" and len(r.seq) > 4) == [(83 + i, None) for i in range(7)] + [(90, "J0")]
+
+
+def test_samples_with_j_hits_only(spark):
+    v = spark.createDataFrame([("a", 1, "q", "A" * 80, "80M", 2)], "sample_id string, file_idx int, qname string, seq string, cigar string, nm int")
+    j = v.unionByName(v.withColumn("sample_id", F.lit("b")))
+    got = {r.sample_id: (r.mean_length, r.error_rate) for r in align.sample_stats(v, j).collect()}
+    assert got == {"a": (80.0, 0.025), "b": (80.0, 0.0031)}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Session:
+        conf = {}
+        sparkContext = type("Context", (), {"master": "yarn"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        staging.shared_dir(Session)
+
+
 def test_unknown_chain_names_the_known():
     with pytest.raises(KeyError, match="hs-TRB-CDR3"):
         Params(chain="IGL").entry()
