@@ -302,31 +302,33 @@ def model(steps: int = 70) -> tuple[np.ndarray, np.ndarray]:
     columns = features + OFFSETS
     place = np.arange(len(doc)) - np.searchsorted(doc, doc)
     n, t = len(lines), int(place.max()) + 1
-    there = np.zeros((n, t), bool)
-    there[doc, place] = True
+    there = np.zeros((t, n, 1), bool)
+    there[place, doc] = True
     weights, moves = np.zeros((sum(SIZES), 3)), np.zeros((3, 3))
     state = [np.zeros_like(x) for x in (weights, weights, moves, moves)]
     one, flat = np.eye(3), columns.ravel()
     follows = (place[1:] > 0).nonzero()[0]
+    told = np.zeros((3, 3))
+    np.add.at(told, (gold[follows], gold[follows + 1]), 1)
     for step in range(1, steps + 1):
-        e = np.zeros((n, t, 3))
-        e[doc, place] = weights[columns].sum(1)
-        alpha, beta = np.zeros((n, t, 3)), np.zeros((n, t, 3))
-        alpha[:, 0] = e[:, 0]
-        for k in range(1, t):
-            x = alpha[:, k - 1, :, None] + moves
-            new = np.logaddexp.reduce(x, 1) + e[:, k]
-            alpha[:, k] = np.where(there[:, k, None], new, alpha[:, k - 1])
+        e = weights[columns].sum(1)
+        chance = np.ones((t, n, 3))  # of the tags by their scores alone, 1 beyond a line's end
+        chance[place, doc] = np.exp(e - e.max(1, keepdims=True))
+        pass_on = np.exp(moves)
+        alpha, beta, scale = np.zeros((t, n, 3)), np.ones((t, n, 3)), np.ones((t, n, 1))
+        for k in range(t):
+            new = (alpha[k - 1] @ pass_on if k else 1) * chance[k]
+            scale[k] = new.sum(1, keepdims=True)
+            alpha[k] = np.where(there[k], new / scale[k], alpha[k - 1]) if k else new / scale[k]
+        expected = np.zeros((3, 3))
         for k in range(t - 2, -1, -1):
-            x = moves + (e[:, k + 1] + beta[:, k + 1])[:, None, :]
-            beta[:, k] = np.where(there[:, k + 1, None], np.logaddexp.reduce(x, 2), 0)
-        z = np.logaddexp.reduce(alpha[:, -1], 1)
-        share = np.exp(alpha + beta - z[:, None, None])[doc, place]
-        both = np.exp(alpha[:, :-1, :, None] + moves + (e + beta)[:, 1:, None, :] - z[:, None, None, None]) * there[:, 1:, None, None]
+            ahead = np.where(there[k + 1], chance[k + 1] * beta[k + 1] / scale[k + 1], 0)
+            beta[k] = np.where(there[k + 1], ahead @ pass_on.T, 1)
+            expected += alpha[k].T @ ahead
+        share = (alpha * beta)[place, doc]
         miss = one[gold] - share
         g = np.stack([np.bincount(flat, np.repeat(miss[:, k], columns.shape[1]), len(weights)) for k in range(3)], 1)
-        h = -both.sum((0, 1))
-        np.add.at(h, (gold[follows], gold[follows + 1]), 1)
+        h = told - expected * pass_on
         for x, grad, m, v in ((weights, g / n - 1e-3 * weights, state[0], state[1]), (moves, h / n - 1e-3 * moves, state[2], state[3])):
             m += 0.1 * (grad - m)
             v += 0.01 * (grad * grad - v)
