@@ -47,13 +47,16 @@ def paths(succ: DataFrame, steps: int = MAX_LENGTH) -> DataFrame:
     length = 1
     while length < steps:
         on = now.select("sample_id", F.col("kmer").alias("next"), F.col("next").alias("next2"), F.col("path").alias("path2"))
-        longer = now.join(on, ["sample_id", "next"], "left").select(
+        # walks that have ended are only carried on
+        longer = now.where("next IS NOT NULL").join(on, ["sample_id", "next"], "left").select(
             "sample_id", "kmer", F.col("next2").alias("next"), F.left(F.concat("path", F.coalesce("path2", F.lit(""))), F.lit(steps)).alias("path")
         )
         # each round reads the last one twice; without the cut the plan would double as well
-        last, now = now, cut(longer, "paths")
+        last, now = now, cut(longer.unionByName(now.where("next IS NULL")), "paths")
         drop(last)
         length *= 2
+        if now.where("next IS NOT NULL").isEmpty():
+            break
     return now.select("sample_id", "kmer", "path")
 
 

@@ -38,15 +38,13 @@ def _patterns(m: Motif) -> tuple[re.Pattern, ...]:
     return tuple(re.compile(p) for p in (m.cmotif, m.fmotif, m.inner_c, m.inner_f))
 
 
-def locate(peptide: str, m: Motif) -> tuple[int, int, int]:
-    """(status, start, stop) as the Column expression has it."""
-    cm, fm, ic, if_ = _patterns(m)
-    cs = [x.start() + 1 + m.coffset for x in cm.finditer(peptide)]
-    fs = [x.start() + 1 + m.foffset for x in fm.finditer(peptide)]
+def pair(peptide: str, cs: list[int], fs: list[int], m: Motif) -> tuple[int, int, int]:
+    """(status, start, stop) as the Column expression has it, from where both anchors match."""
     if bool(cs) == bool(fs):
         status = 0
     else:
         status = 2
+        _, _, ic, if_ = _patterns(m)
         if cs:
             fs = [x.start() + 3 for x in if_.finditer(peptide)]
         else:
@@ -59,17 +57,44 @@ def locate(peptide: str, m: Motif) -> tuple[int, int, int]:
     return status, 0, 0
 
 
+def _matches(pattern: re.Pattern, peptides: list[str], text: str, starts: np.ndarray, offset: int) -> dict[int, list[int]]:
+    """Peptide -> where the pattern matches it, plus ``offset``; ``text``: all peptides, a line each."""
+    out: dict[int, list[int]] = {}
+    if re.search(r"\[\^|\\[SWDnsxu]|[$^]|\(\?", pattern.pattern):  # may match a line's end or tell one
+        for i, peptide in enumerate(peptides):
+            if at := [x.start() + 1 + offset for x in pattern.finditer(peptide)]:
+                out[i] = at
+        return out
+    at = np.fromiter((x.start() for x in pattern.finditer(text)), np.int64)
+    line = np.searchsorted(starts, at, "right") - 1
+    for i, place in zip(line.tolist(), (at - starts[line] + 1 + offset).tolist(), strict=True):
+        out.setdefault(i, []).append(place)
+    return out
+
+
 def find(seqs: list[str | None], quals: list[str | None], m: Motif) -> list[tuple[str | None, str | None, bool | None]]:
     """(cdr3, qual, able) of each read; a null read has nulls."""
-    joined, out, at = residues([s or "" for s in seqs]), [], 0
-    for seq, qual in zip(seqs, quals, strict=True):
+    joined, peptides, at = residues([s or "" for s in seqs]), [], 0
+    for seq in seqs:
+        n = len(seq or "")
+        peptides += [joined[at + frame : at + n - 2 : 3] if n > 2 else "" for frame in range(3)]
+        at += n
+    starts = np.cumsum([0, *(len(p) + 1 for p in peptides[:-1])])
+    text = "\n".join(peptides)
+    cm, fm, _, _ = _patterns(m)
+    all_c, all_f = _matches(cm, peptides, text, starts, m.coffset), _matches(fm, peptides, text, starts, m.foffset)
+    out: list[tuple[str | None, str | None, bool | None]] = []
+    for i, (seq, qual) in enumerate(zip(seqs, quals, strict=True)):
         if seq is None:
             out.append((None, None, None))
             continue
         cdr3 = sign = None
         able = False
         for frame in range(3):
-            status, c, f = locate(joined[at + frame : at + len(seq) - 2 : 3] if len(seq) > 2 else "", m)
+            cs, fs = all_c.get(3 * i + frame), all_f.get(3 * i + frame)
+            if not cs and not fs:
+                continue
+            status, c, f = pair(peptides[3 * i + frame], cs or [], fs or [], m)
             able |= status > 0
             if status == 3:
                 a, b = 3 * (c - 1) + frame, 3 * f + frame
@@ -77,7 +102,6 @@ def find(seqs: list[str | None], quals: list[str | None], m: Motif) -> list[tupl
                 sign = None if qual is None else qual.ljust(len(seq), FILLED)[a:b]
                 break
         out.append((cdr3, sign, able))
-        at += len(seq)
     return out
 
 
