@@ -8,9 +8,10 @@ gated attention gives it a weight, softmax over the document of
 w . (tanh(V h) * sigmoid(U h)); the score is a logistic function of the weighted
 mean of the h.  Only documents have labels; the weights are learned from them.
 
-Training takes at most ``max_documents`` labelled rows, those of smallest hash,
-and runs on the driver on their passages' measures; scoring is one pass over
-all texts and shuffles nothing.
+Training takes at most ``max_documents`` labelled ids, those of smallest hash,
+one text of each and at most ``max_passages`` evenly spaced passages of it, and
+runs on the driver on the passages' measures; scoring is one pass over all whole
+texts and shuffles nothing.
 """
 
 from __future__ import annotations
@@ -82,8 +83,10 @@ def measures(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     capital = np.bincount(of, _KIND[data[a]] == 2, n) / words if len(a) else np.zeros(n)
     marked = np.bincount(of, last >= 5, n) / words
     hashes, _ = word_hashes(texts)
+    if len(hashes) != len(a):
+        raise AssertionError("words are counted in two ways that must agree")
     distinct = np.zeros(n)
-    if len(hashes) == len(a) and len(a):
+    if len(a):
         order = np.lexsort((hashes, of))
         h, o = hashes[order], of[order]
         new = np.append(True, (h[1:] != h[:-1]) | (o[1:] != o[:-1]))
@@ -180,11 +183,13 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
 
 
-def train(docs: DataFrame, labels: DataFrame, max_documents: int = 2000) -> Attention:
+def train(docs: DataFrame, labels: DataFrame, max_documents: int = 2000, max_passages: int = 500) -> Attention:
     """Learn from ``labels.quality`` of rows that aren't held out.
 
-    At most ``max_documents`` labelled ids, those of smallest hash; conflicting
-    labels of an id count as their mean, rounded up from a half.  Null ids and labels are left out.
+    At most ``max_documents`` labelled ids, those of smallest hash, so the driver
+    gets ``max_documents * max_passages`` rows of MEASURES numbers at most.  Of
+    several texts of an id the one of smallest hash is taken; conflicting labels
+    of an id count as their mean, rounded up from a half.  Null ids and labels are left out.
     """
     asked = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out())
@@ -197,11 +202,16 @@ def train(docs: DataFrame, labels: DataFrame, max_documents: int = 2000) -> Atte
             for part, texts in _parts(batch, 2):
                 x, counts = measures(texts)
                 stops = np.cumsum(counts)
-                rows = [x[b - n : b].tobytes() for b, n in zip(stops.tolist(), counts.tolist(), strict=True)]
+                rows = []
+                for b, n in zip(stops.tolist(), counts.tolist(), strict=True):
+                    some = np.unique(np.linspace(b - n, b - 1, min(n, max_passages)).astype(np.int64))
+                    rows.append(x[some].tobytes())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rows, pa.binary())], names=["doc_id", "y", "x"])
 
     # at most max_documents short rows on one side
-    texts = docs.select("doc_id", F.encode(text_of(), "UTF-8").alias("text")).join(F.broadcast(asked), "doc_id").select("doc_id", "y", "text")
+    texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(asked), "doc_id")
+    one = F.min(F.struct(F.xxhash64("text"), "text"))["text"]
+    texts = texts.groupBy("doc_id", "y").agg(F.encode(one, "UTF-8").alias("text"))
     rows = sorted(mapped(texts, run, "doc_id long, y int, x binary").collect(), key=lambda r: (r["doc_id"], bytes(r["x"])))
     bags = [np.frombuffer(r["x"], np.float32).reshape(-1, MEASURES) for r in rows]
     x = np.concatenate(bags) if bags else np.zeros((0, MEASURES), np.float32)

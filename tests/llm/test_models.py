@@ -262,5 +262,33 @@ def test_pipeline_keeps_different_texts_of_one_id(spark):
     assert len([r for r in got if r[1] in (d, d + " more")]) == 1 and len(got) == 7
 
 
+@needs_tables
+def test_pipeline_bears_odd_rows(spark):
+    """Nulls, empty and long texts and repeated rows pass all stages beside real documents."""
+    import corpus_pipeline as cp
+
+    real = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame([(d, t, None, "odd", len(t or "")) for d, t in ODD], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = real.unionByName(odd.withColumn("n_chars", F.col("n_chars").cast(real.schema["n_chars"].dataType)))
+    for _, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and out.schema.simpleString() == docs.schema.simpleString()
+        assert out.select("doc_id").distinct().subtract(docs.select("doc_id").distinct()).count() == 0
+        docs = spark.createDataFrame(out.collect(), docs.schema)
+    pieces = cp.STAGES[-1][1](spark, docs.unionByName(odd.withColumn("n_chars", F.lit(0).cast(real.schema["n_chars"].dataType))), SF).collect()
+    rows = docs.count() + len(ODD)
+    assert sum(r.start == 0 for r in pieces) == rows and sum(r.start + r.length == r.doc_tokens for r in pieces) == rows
+
+
+def test_training_is_bounded(spark, monkeypatch):
+    """One text of each id and so many passages of it reach the driver."""
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, counts, y: seen.append((len(x), counts.tolist(), y.tolist())))
+    docs = spark.createDataFrame([(1, "a b\n" * 900), (1, "a b\n" * 900), (1, "c\n" * 40), (3, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int")
+    quality.train(docs, labels, max_passages=7)
+    assert seen[0][2] in ([1, 0], [1], [0]) and all(n <= 7 for n in seen[0][1]) and len(seen[0][1]) == len(seen[0][2]) <= 2
+
+
 def test_vocabularies_stay_outside():
     assert os.path.isfile(public_tokenizers.path("word_bpe_49k.json"))
