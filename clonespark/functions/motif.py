@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from clonespark.functions.dna import FILLED, _col, translate
 
-#: A pattern that matches no peptide.
-NEVER = "place_holder"
 
 #: The inner anchors of the first pass, the same for all chains.
 FIRST_PASS_C = "(CAS|CSA|CAW|CAT|CSV|CAI|CAR|CAG|CSG)"
@@ -22,14 +20,15 @@ NEAREST, FARTHEST = 6, 34
 
 @dataclass(frozen=True)
 class Motif:
-    """Patterns of both anchors, and what is added to where they match."""
+    """Patterns of both anchors, and what is added to where they match; inner
+    patterns are looked for where only the other anchor matches, if there are any."""
 
     cmotif: str
     fmotif: str
     coffset: int
     foffset: int
-    inner_c: str = NEVER
-    inner_f: str = NEVER
+    inner_c: str | None = None
+    inner_f: str | None = None
 
     def first_pass(self) -> Motif:
         return Motif(self.cmotif, self.fmotif, self.coffset, self.foffset, FIRST_PASS_C, FIRST_PASS_F)
@@ -82,9 +81,10 @@ def locate(peptide: Column | str, motif: Motif) -> Column:
 
     def refilled(text: Column, a: Column) -> Column:
         only_f, only_c = (F.size(a["c"]) == 0) & (F.size(a["f"]) > 0), (F.size(a["f"]) == 0) & (F.size(a["c"]) > 0)
+        inner = lambda pattern, offset: match_starts(text, pattern, offset) if pattern else F.array().cast("array<int>")
         return F.struct(
-            F.when(only_f, match_starts(text, motif.inner_c)).otherwise(a["c"]).alias("c"),
-            F.when(only_c, match_starts(text, motif.inner_f, 2)).otherwise(a["f"]).alias("f"),
+            F.when(only_f, inner(motif.inner_c, 0)).otherwise(a["c"]).alias("c"),
+            F.when(only_c, inner(motif.inner_f, 2)).otherwise(a["f"]).alias("f"),
             (only_f | only_c).alias("one"),
         )
 

@@ -34,8 +34,8 @@ def residues(seqs: list[str]) -> str:
 
 
 @lru_cache(64)
-def _patterns(m: Motif) -> tuple[re.Pattern, ...]:
-    return tuple(re.compile(p) for p in (m.cmotif, m.fmotif, m.inner_c, m.inner_f))
+def _patterns(m: Motif) -> tuple[re.Pattern | None, ...]:
+    return tuple(re.compile(p) if p else None for p in (m.cmotif, m.fmotif, m.inner_c, m.inner_f))
 
 
 def pair(peptide: str, cs: list[int], fs: list[int], m: Motif) -> tuple[int, int, int]:
@@ -46,9 +46,9 @@ def pair(peptide: str, cs: list[int], fs: list[int], m: Motif) -> tuple[int, int
         status = 2
         _, _, ic, if_ = _patterns(m)
         if cs:
-            fs = [x.start() + 3 for x in if_.finditer(peptide)]
+            fs = [x.start() + 3 for x in if_.finditer(peptide)] if if_ else []
         else:
-            cs = [x.start() + 1 for x in ic.finditer(peptide)]
+            cs = [x.start() + 1 for x in ic.finditer(peptide)] if ic else []
     for i, xc in enumerate(cs):
         for xf in fs:
             near = i and NEAREST + 1 <= xf - cs[i - 1] <= FARTHEST + 1
@@ -72,6 +72,13 @@ def _matches(pattern: re.Pattern, peptides: list[str], text: str, starts: np.nda
     return out
 
 
+def locate(peptide: str, m: Motif) -> tuple[int, int, int]:
+    """(status, start, stop) of one peptide."""
+    cm, fm, _, _ = _patterns(m)
+    at = np.zeros(1, np.int64)
+    return pair(peptide, *(_matches(p, [peptide], peptide, at, offset).get(0, []) for p, offset in ((cm, m.coffset), (fm, m.foffset))), m)
+
+
 def find(seqs: list[str | None], quals: list[str | None], m: Motif) -> list[tuple[str | None, str | None, bool | None]]:
     """(cdr3, qual, able) of each read; a null read has nulls."""
     joined, peptides, at = residues([s or "" for s in seqs]), [], 0

@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field, replace
 
-from clonespark.functions.motif import NEVER, Motif
+from clonespark.functions.motif import Motif
 
 
 @dataclass(frozen=True)
@@ -52,7 +52,7 @@ _CHAINS: dict[tuple[str, str, str], Chain] = {
     ),
     ("pig", "TRB", "CDR3"): Chain(
         "TR/pig/TRBV-gai1-DNA.fa", "TR/pig/TRBJ-gai1-DNA.fa",
-        Motif("(FF|FL|LF|YF|YL|YV)C", "[HILTYFM]{1}FG[ADEGLPS]{1}G", 2, 1, NEVER, "(LH|LI|LT|LY|QH|QI|QY|RY|VF|YN)F"),
+        Motif("(FF|FL|LF|YF|YL|YV)C", "[HILTYFM]{1}FG[ADEGLPS]{1}G", 2, 1, None, "(LH|LI|LT|LY|QH|QI|QY|RY|VF|YN)F"),
         (("TRBD1*01", "GGGACAGGGGGGC"), ("TRBD2*01", "GGAGCTATGGGGGGGG"), ("TRBD3*01", "GGAGCTATGGGGGGGGG")),
     ),
 }

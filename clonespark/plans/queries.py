@@ -98,7 +98,7 @@ def cdr3_sql(seq: str, m: motif.Motif, source: str, t: str = "") -> str:
     return f"""
 p{t} AS (SELECT id, frame, seq, {peptide_sql("seq", "frame")} AS aa FROM (SELECT id, {seq} AS seq FROM {source}) AS x, range(1, 4) AS r(frame)),
 m{t} AS (SELECT *, {starts_sql("aa", m.cmotif, m.coffset)} AS c0, {starts_sql("aa", m.fmotif, m.foffset)} AS f0,
-        {starts_sql("aa", m.inner_c, 0)} AS c1, {starts_sql("aa", m.inner_f, 2)} AS f1 FROM p{t}),
+        {starts_sql("aa", m.inner_c, 0) if m.inner_c else "CAST([] AS INTEGER[])"} AS c1, {starts_sql("aa", m.inner_f, 2) if m.inner_f else "CAST([] AS INTEGER[])"} AS f1 FROM p{t}),
 a{t} AS (SELECT id, frame, seq, aa, (len(c0) = 0) <> (len(f0) = 0) AS one,
         CASE WHEN len(c0) = 0 AND len(f0) > 0 THEN c1 ELSE c0 END AS cs, CASE WHEN len(f0) = 0 AND len(c0) > 0 THEN f1 ELSE f0 END AS fs FROM m{t}),
 c{t} AS (SELECT *, unnest(cs) AS xc, generate_subscripts(cs, 1) AS i FROM a{t}),

@@ -93,6 +93,21 @@ def test_find_cdr3_column_equals_udf(spark):
     assert any(r.a.cdr3 for r in rows)
 
 
+@pytest.mark.parametrize("cmotif", ["YFC[A-Z]", "YFC[^P]", "(YF|FC)C?A", "YFC(?=A)."])
+def test_batches_are_searched_as_single_reads(cmotif):
+    """Patterns that may match a line's end are searched peptide by peptide."""
+    m = motif.Motif(cmotif, TRB.fmotif, 2, 1, TRB.inner_c, "LFF")
+    seqs = ["".join(DRAW.choice(["TATTTCTGC", "GCC", "CCA", "TTCTTCGGCGAAGGC", "CTG", "A"]) for _ in range(DRAW.randint(0, 14))) for _ in range(300)] + [None, "", "TATTTCTGC"]
+    found = search.find(seqs, [None] * len(seqs), m)
+    assert found == [search.find([s], [None], m)[0] for s in seqs] and sum(bool(x[0]) for x in found) > 5
+    joined = search.residues([s or "" for s in seqs])
+    at = 0
+    for s, x in zip(seqs, found, strict=True):
+        if s:
+            assert x[2] == any(search.locate(joined[at + f : at + len(s) - 2 : 3], m)[0] > 0 for f in range(3)) or x[0]
+            at += len(s)
+
+
 def test_thresholds(spark):
     p, n, k = 0.0031, 33, 5
     x = spark.range(1).select(
