@@ -50,30 +50,41 @@ def probability_table(long: DataFrame) -> dict[tuple[int, str], float]:
     return {(r["pos"], r["aa"]): r["p"] for r in rows}
 
 
-def global_score(a: str, b: str) -> int:
-    """The best global alignment's score with affine gaps: a gap of n costs OPEN + n * EXTEND."""
-    x, y = np.frombuffer(a.upper().encode(), np.uint8), np.frombuffer(b.upper().encode(), np.uint8)
-    low = -(10**9)
-    best = np.array([0] + [OPEN + EXTEND * j for j in range(1, len(y) + 1)], np.int64)
-    down = np.full(len(y) + 1, low, np.int64)
+def global_scores(seqs: list[str], ref: str) -> np.ndarray:
+    """The best global alignment's score of each sequence with affine gaps: a gap
+    of n costs OPEN + n * EXTEND.  All sequences take a row of their matrix at once."""
+    y = np.frombuffer(ref.upper().encode("ascii", "replace"), np.uint8)
+    raw = [s.upper().encode("ascii", "replace") for s in seqs]
+    length = np.array([len(s) for s in raw], np.int64)
+    x = np.zeros((len(raw), int(length.max(initial=0))), np.uint8)
+    x[np.arange(x.shape[1]) < length[:, None]] = np.frombuffer(b"".join(raw), np.uint8)
     steps = EXTEND * np.arange(len(y) + 1)
-    for i in range(1, len(x) + 1):
+    best = np.tile(steps + OPEN * (steps != 0), (len(raw), 1)).astype(np.int64)
+    down = np.full_like(best, -(10**9))
+    out = best[:, -1].copy()
+    for i in range(1, x.shape[1] + 1):
         down = np.maximum(down + EXTEND, best + OPEN + EXTEND)
         new = np.empty_like(best)
-        new[0] = OPEN + EXTEND * i
-        new[1:] = np.maximum(best[:-1] + np.where(y == x[i - 1], MATCH, MISMATCH), down[1:])
+        new[:, 0] = OPEN + EXTEND * i
+        new[:, 1:] = np.maximum(best[:, :-1] + np.where(y == x[:, i - 1 : i], MATCH, MISMATCH), down[:, 1:])
         # a gap along the row: the best start so far, less what its length costs
-        start = np.maximum.accumulate(new - steps)
-        new[1:] = np.maximum(new[1:], start[:-1] + steps[1:] + OPEN)
+        start = np.maximum.accumulate(new - steps, axis=1)
+        new[:, 1:] = np.maximum(new[:, 1:], start[:, :-1] + steps[1:] + OPEN)
         best = new
-    return int(best[-1])
+        ended = length == i
+        out[ended] = best[ended, -1]
+    return out
 
 
-def best_d_gene(seq: str, genes: tuple[tuple[str, str], ...]) -> str:
-    """The D gene of the best score that passes, the first of equals; else None, as a word."""
-    scored = [(global_score(seq, ref), ref, name) for name, ref in genes]
-    passed = [x for x in scored if x[0] + len(seq) - len(x[1]) + BONUS > LEAST]
-    return max(passed, key=lambda x: x[0])[2] if passed else "None"
+def best_d_genes(seqs: list[str], genes: tuple[tuple[str, str], ...]) -> list[str]:
+    """The D gene of the best score that passes, the first of equals, for each sequence; else None, as a word."""
+    out, most = np.array(["None"] * len(seqs), object), np.full(len(seqs), -(10**9))
+    length = np.array([len(s) for s in seqs])
+    for name, ref in genes:
+        score = global_scores(seqs, ref)
+        better = (score + length - len(ref) + BONUS > LEAST) & (score > most) & (length > 0)
+        out[better], most[better] = name, score[better]
+    return out.tolist()
 
 
 def with_d_gene(df: DataFrame, genes: tuple[tuple[str, str], ...], seq_col: str = "NNseq") -> DataFrame:
@@ -81,7 +92,7 @@ def with_d_gene(df: DataFrame, genes: tuple[tuple[str, str], ...], seq_col: str
 
     @F.pandas_udf("string")
     def find(seqs: pd.Series) -> pd.Series:
-        return seqs.map(lambda s: best_d_gene(s, genes) if s else "None")
+        return pd.Series(best_d_genes([s or "" for s in seqs], genes))
 
     told = df.select(seq_col).distinct().withColumn("Dregion", find(seq_col))
     return df.join(told, seq_col, "left")
