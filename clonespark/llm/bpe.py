@@ -5,7 +5,8 @@ block of texts.  An inverted index leads from the rank of a mergeable pair to
 all its places in those words; ranks are replayed in order, each merge at all
 its places at once, and only the two touched neighbours get new entries.  A
 merge that makes a pair of lower rank puts that rank next.  So every word sees
-its pairs merged lowest rank first, leftmost first, as in plain BPE.
+its pairs merged lowest rank first, leftmost first, as in plain BPE.  A block is
+the corpus of one replay; the README has the figures of one replay for all.
 """
 
 from __future__ import annotations
