@@ -1,5 +1,6 @@
 """GIF columns and HTML extraction."""
 
+import os
 import random
 import struct
 
@@ -239,3 +240,58 @@ def test_extra_columns(spark):
     for c in ("host", "told", "h", "n", "text", "n_chars"):
         pages = pages.withColumn(c, F.lit(1))
     assert [tuple(r) for r in hx.extract_pages(pages).collect()] == [(1, "http://h/1", "own words here", 14)]
+
+
+def read_plainly(page):
+    """The article's blocks by the standard library's parser: what stands in <article>, without elements of their own kind in it."""
+    from html.parser import HTMLParser
+
+    blocks = "address article aside blockquote body dd div dl dt figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tbody td tfoot th thead tr ul".split()
+    lines, words, state = [], [], {"article": 0, "skip": []}
+
+    def end():
+        text = " ".join("".join(words).split())
+        if text:
+            lines.append(text)
+        words.clear()
+
+    class Reader(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            if tag in blocks:
+                end()
+            if state["skip"]:
+                state["skip"] += [tag] * (tag == state["skip"][0])
+            elif tag in ("nav", "aside", "footer", "form", "script", "style", "button", "select", "noscript", "iframe", "svg") or {"ad", "comments", "share", "related"} & set((dict(attrs).get("class") or "").split()):
+                state["skip"].append(tag)
+            elif tag == "article":
+                state["article"] += 1
+            elif tag == "br":
+                words.append(" ")
+
+        def handle_endtag(self, tag):
+            if tag in blocks:
+                end()
+            if state["skip"]:
+                if tag == state["skip"][0]:
+                    state["skip"].pop()
+            elif tag == "article":
+                state["article"] -= 1
+
+        def handle_data(self, data):
+            if state["article"] and not state["skip"]:
+                words.append(data)
+
+    reader = Reader(convert_charrefs=True)
+    reader.feed(page)
+    reader.close()
+    end()
+    return "\n".join(lines)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the test tables")
+def test_pages_of_the_tables_as_a_plain_parser_reads_them(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    html = {r.page_id: r.html or "" for r in pages.collect()}
+    got = {r.page_id: r.text for r in hx.extract_pages(pages).collect()}
+    assert got.keys() == html.keys() and sum(map(len, got.values())) > 10_000
+    assert {i for i in html if "<article" in html[i] and got[i] != read_plainly(html[i])} == set()
