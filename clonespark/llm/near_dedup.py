@@ -36,6 +36,8 @@ REGISTERS = BANDS * IN_BAND
 BLOCK = 64
 #: Bytes of a text that are hashed at once.
 PIECE = 1 << 20
+#: Rows of 64 bits of a table that marks ids, at most; 16 bytes each.
+MARKS = 1 << 17
 
 U = np.uint64
 _draw = np.random.Generator(np.random.PCG64(20240229))
@@ -196,6 +198,17 @@ def _parts(batch: pa.RecordBatch, size: int = 500_000) -> Iterator[pa.RecordBatc
         yield batch.slice(at)
 
 
+def marked(source: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``source`` whose doc_id is in ``ids``, and some others: those
+    whose hash meets a mark.  The marks are a table of at most MARKS rows, so it is
+    broadcast, and texts that aren't needed stay where they are read."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(64 * MARKS))
+    word, bit = F.shiftright(slot, 6).alias("word"), slot.bitwiseAND(63).cast("int").alias("bit")
+    marks = ids.select(word, bit).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("marks"))
+    found = source.select("*", word, bit).join(F.broadcast(marks), "word").where("shiftright(marks, bit) & 1 = 1")
+    return found.select(*source.columns)
+
+
 def full_sets(texts: DataFrame, width: int) -> DataFrame:
     """(class, items) of (class, text): the sorted set as bytes of unsigned 64-bit numbers."""
 
@@ -289,7 +302,9 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     met = members.join(hubs, "key").where((F.col("node") != F.col("hub.node")) & fits)
     pairs = cut(met.select(F.greatest(own, F.col("hub")).alias("x"), F.least(own, F.col("hub")).alias("y")).distinct(), "pairs")
     needed = cut(classes.join(weight, "class", "left_semi").select("class", F.col("node").alias("doc_id"), "th"), "needed")
-    sets = cut(full_sets(source.join(needed, ["doc_id", "th"]).select("class", "text").dropDuplicates(["class"]), width), "sets")
+    # rows that repeat an id and a text are one before they meet
+    once = marked(source, needed).dropDuplicates(["doc_id", "th"])
+    sets = cut(full_sets(once.join(needed, ["doc_id", "th"]).select("class", "text"), width), "sets")
     links = verify(pairs, sets, percent)
     # ids that have texts of several classes
     kind = F.struct("f1", "f2", "n")

@@ -141,6 +141,15 @@ def test_large_group_of_near_copies(spark, table):
     assert got == {i: find(i) for i in range(400)} and 1 < len(set(got.values())) < 300
 
 
+def test_marks_lose_no_row(spark, monkeypatch):
+    source = spark.range(3000).selectExpr("id AS doc_id", "cast(id AS string) AS text").unionByName(spark.sql("SELECT cast(null AS long) AS doc_id, 'x' AS text"))
+    ids = spark.range(0, 3000, 37).selectExpr("id AS doc_id")
+    assert {r.doc_id for r in nd.marked(source, ids).collect()} == set(range(0, 3000, 37))
+    monkeypatch.setattr(nd, "MARKS", 2)  # full: others come too, none is lost
+    got = nd.marked(source, ids)
+    assert got.columns == source.columns and set(range(0, 3000, 37)) < {r.doc_id for r in got.collect()}
+
+
 def test_signature_agrees_with_similarity():
     draw = np.random.default_rng(1)
     a = draw.integers(0, 2**63, 300).astype(np.uint64)
