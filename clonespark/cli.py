@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import logging
+import os
 
 from pyspark import SparkConf, SparkContext
 from pyspark.sql import SparkSession
@@ -44,10 +45,14 @@ def parser() -> argparse.ArgumentParser:
 
 
 def session(threads: int) -> SparkSession:
-    """The session of the cluster that the program was submitted to, else a local one."""
+    """The session of the cluster that the program was submitted to, or that
+    Spark's own configuration names; else a local one."""
+    submitted = "PYSPARK_GATEWAY_PORT" in os.environ
     SparkContext._ensure_initialized()
     builder = SparkSession.builder.appName("clonespark")
-    return (builder if SparkConf().contains("spark.master") else builder.master(f"local[{threads}]")).getOrCreate()
+    if not submitted and SparkConf().get("spark.master", "local[*]") == "local[*]":  # what Spark takes if nothing is said
+        builder = builder.master(f"local[{threads}]")
+    return builder.getOrCreate()
 
 
 def main(argv: list[str] | None = None) -> int:
