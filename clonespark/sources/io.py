@@ -1,6 +1,6 @@
 """FASTQ, FASTA, SAM and tables as DataFrames; clonotypes as CSV.
 
-All readers split plain files; a gzip file is one task, as its format demands.
+All readers split plain files and BAM files; a gzip file is one task, as its format demands.
 """
 
 from __future__ import annotations

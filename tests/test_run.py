@@ -5,6 +5,7 @@ import json
 import random
 import re
 import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -78,6 +79,48 @@ def test_bam(spark, tmp_path):
             list(records(gzip.compress(data[:-n])))
 
 
+def bgzf(data, size):
+    """Blocks of ``size`` bytes of data each, and the empty block at the end."""
+    out = b""
+    for part in [data[i : i + size] for i in range(0, len(data), size)] + [b""]:
+        c = zlib.compressobj(0 if len(out) % 3 == 0 else 6, zlib.DEFLATED, -15)
+        body = c.compress(part) + c.flush()
+        out += b"\x1f\x8b\x08\x04" + struct.pack("<IBBHBBHH", 0, 0, 255, 6, 66, 67, 2, len(body) + 25) + body + struct.pack("<II", zlib.crc32(part), len(part))
+    return out
+
+
+def bam(n, seed):
+    """A BAM file's data: alignments of all lengths, some with the bytes that a block starts with."""
+    draw = random.Random(seed)
+    data = b"BAM\1" + struct.pack("<i", 600) + b"@CO\t" + b"x" * 596 + struct.pack("<i", 40) + b"".join(struct.pack("<i", 5) + f"g{i:03}\0".encode() + struct.pack("<i", 999) for i in range(40))
+    for i in range(n):
+        name, l_seq = f"read{i}" * draw.randint(1, 4), draw.choice([0, 1, 30, 151, 900])
+        body = struct.pack("<iiBBHHHiiii", draw.randint(-1, 39), draw.randint(-1, 900), len(name) + 1, 9, 0, 1, draw.choice([0, 16, 4]), l_seq, -1, -1, 0) + name.encode() + b"\0" + struct.pack("<I", l_seq << 4)
+        body += bytes(draw.choice([0x11, 0x24, 0x88]) for _ in range((l_seq + 1) // 2)) + bytes(draw.randrange(2, 40) for _ in range(l_seq)) + b"ASC" + bytes([i % 200]) + b"XZZ" + draw.choice([b"", b"\x1f\x8b\x08\x04", b"plain"]) + b"\0"
+        data += struct.pack("<i", len(body)) + body
+    return data
+
+
+@pytest.mark.parametrize("size,part", [(300, 700), (4000, 5000), (4000, 900), (60_000, 30_000), (500, 10_000_000)])
+def test_bam_in_parts(spark, tmp_path, monkeypatch, size, part):
+    """Blocks and parts end anywhere within alignments."""
+    data = bam(400, size)
+    (tmp_path / "a.bam").write_bytes(bgzf(data, size))
+    want = sorted(map(repr, records(gzip.compress(data))))
+    assert len(want) == 400
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(part))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = read_bam(spark, str(tmp_path / "a.bam"), "V")
+        assert sorted(repr(tuple(r)[3:]) for r in got.collect()) == want
+        (tmp_path / "b.bam").write_bytes(bgzf(data[:-20], size))
+        with pytest.raises(Exception, match="ends within an alignment"):
+            read_bam(spark, str(tmp_path / "b.bam"), "V").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_align_finds_gene_and_strand(spark):
     refs = [(f"V{i}", bases(80)) for i in range(20)]
     rows, want = [], {}
