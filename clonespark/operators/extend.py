@@ -67,9 +67,12 @@ def _grown(room: Column) -> Column:
 def extend(reads: DataFrame, pool: DataFrame, k: int, max_length: int = MAX_LENGTH) -> DataFrame:
     """V reads grow at their right end, J reads at their left, up to ``max_length``."""
     room = F.lit(max_length) - F.length("seq")
+    # both directions are doubled together, as samples of their own
+    steps = [successors(pool, k, right).withColumn("sample_id", F.struct("sample_id", F.lit(right).alias("right"))) for right in (True, False)]
+    walks = paths(steps[0].unionByName(steps[1]), max_length)
 
     def side(part: DataFrame, end: Column, right: bool) -> DataFrame:
-        walk = paths(successors(pool, k, right), max_length)
+        walk = walks.where(F.col("sample_id.right") == right).select(F.col("sample_id.sample_id").alias("sample_id"), "kmer", "path")
         out = part.withColumn("kmer", end).join(walk, ["sample_id", "kmer"], "left").withColumn("more", _grown(room))
         new, filler = (F.col("more"), F.repeat(F.lit(FILLED), F.length("more"))) if right else (F.reverse("more"), F.repeat(F.lit(FILLED), F.length("more")))
         seq = F.concat("seq", new) if right else F.concat(new, "seq")
