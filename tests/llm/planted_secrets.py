@@ -15,8 +15,9 @@ PROSE = (
 ).split()
 
 
-def planted(n, seed):
-    """(text, [(start, stop)]) of the planted values."""
+def planted(n, seed, blind=False):
+    """(text, [(start, stop)]) of the planted values; ``blind``: formats that were
+    written after the field was finished, and measured once."""
     draw = random.Random(seed)
     pick = lambda chars, k: "".join(draw.choice(chars) for _ in range(k))
 
@@ -43,6 +44,16 @@ def planted(n, seed):
         lambda: ("export SESSION_KEY='", pick(string.hexdigits[:16].upper(), 40), "'"), lambda: ("signing secret is ", pick(string.ascii_lowercase + string.digits, 32), "."),
         lambda: ("sshpass -p ", password(), " ssh deploy@10.0.0.7"),
     ]
+    if blind:
+        b64 = lambda n: base64.b64encode(pick(ALNUM, n).encode()).decode()
+        formats = [
+            lambda: ("define('DB_PASSWORD', '", password(), "');"), lambda: ("spring.datasource.password=", password(), ""), lambda: ("PGPASSWORD=", password(), " psql -h db -U app"),
+            lambda: ("db.example.net:5432:shop:app:", password(), ""), lambda: ("Authorization: Basic ", b64(18), ""), lambda: ('"auths": {"registry.example.org": {"auth": "', b64(24), '"}}'),
+            lambda: ("x-api-key: ", pick(ALNUM, 40), ""), lambda: ("shopify ", "shpat_" + pick(string.hexdigits[:16].lower(), 32), ""), lambda: ("DO_TOKEN dop_v1_", pick("0123456789abcdef", 64), ""),
+            lambda: ("bot", pick(string.digits, 9) + ":" + pick(ALNUM + "-_", 35), "/sendMessage"), lambda: ("mailgun key-", pick(string.ascii_lowercase + string.digits, 32), ""),
+            lambda: ("?sv=2022-11-02&sig=", pick(ALNUM + "+/", 43) + "=", "&se=2024"), lambda: ("requirepass ", password(), ""), lambda: ("IDENTIFIED BY '", password(), "';"),
+            lambda: ("master_key: ", pick(string.hexdigits[:16].lower(), 32), ""), lambda: ("    token: ", jwt(), ""), lambda: ("LDAP_BIND_PW = '", password(), "'"), lambda: ("openssl enc -k ", password(), " -in a"),
+        ]
     out = []
     for _ in range(n):
         text, spans = "", []
