@@ -1,4 +1,4 @@
-"""Lines with planted secrets, made apart from the ones that the field is trained on: formats of real tools and services, real words."""
+"""Lines with planted secrets, made by other means than the ones that the field is trained on: formats of real tools and services, real words."""
 
 import base64
 import inspect
