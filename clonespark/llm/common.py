@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from clonespark.staging import clean, cut, drop, shared_dir
 
-__all__ = ["NO_ID", "clean", "cut", "drop", "free_name", "give_back", "hold", "mapped", "shared_dir", "slices", "table", "text_of"]
+__all__ = ["NO_ID", "bytes_of", "clean", "cut", "drop", "free_name", "give_back", "hold", "mapped", "others", "shared_dir", "slices", "table", "text_of"]
 
 #: Stands for a missing id inside an operator, so that keys join and order.
 NO_ID = -(2**63)
@@ -84,3 +84,19 @@ def slices(lengths: np.ndarray, size: int = 1 << 20) -> Iterator[tuple[int, int]
         to = min(len(ends), int(np.searchsorted(ends, done + size)) + 1)
         yield at, to
         at, done = to, int(ends[to - 1])
+
+
+def others(df: DataFrame, *names: str) -> list[str]:
+    """The columns of ``df`` but for those named; as in Spark, case doesn't matter."""
+    gone = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 of all texts (null: empty) in one array, and where each begins; one end more."""
+    texts = texts.fill_null("")
+    _, ends, data = texts.buffers()
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    at = np.frombuffer(ends, kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    held = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return held[at[0] : at[-1]], at - at[0]

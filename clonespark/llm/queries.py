@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from clonespark.llm import bpe, gif, quality
 from clonespark.llm.common import table
+from clonespark.llm.fim import fill_in_middle, restored
+from clonespark.llm.filter_audit import audit
 from clonespark.llm.html_extract import extract_pages
 from clonespark.llm.line_dedup import dedup_lines
 from clonespark.llm.near_dedup import near_dedup
@@ -153,6 +155,57 @@ FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 QUALIFY rank <
 """
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text cut in three and written in another order, and what it is restored to."""
+    out = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(), 256).alias("restored_sha256"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, CAST(length(coalesce(text, '')) AS BIGINT) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+k AS (SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2, CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM d),
+f AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN n = 0 OR regexp_matches(t, '<[PSM]>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM k),
+p AS (SELECT *, substr(t, 1, a) AS pre, substr(t, a + 1, b - a) AS mid, substr(t, b + 1) AS suf FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in all their orders, by language."""
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT w.part, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS bad, len(ws) < 200 AS a, 100 * len(list_distinct(ws)) < 50 * len(ws) AS b,
+    100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+    coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY t), false) AS e FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+k AS (
+  SELECT part, good, bad, list_filter(['A', 'B', 'C', 'D', 'E'], lambda f: [a, b, c, d, e][ascii(f) - 64]) AS fails, count(*) AS n FROM m GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+o AS (
+  SELECT f1.f || f2.f || f3.f || f4.f || f5.f AS filter_order FROM x f1, x f2, x f3, x f4, x f5
+  WHERE len(list_distinct([f1.f, f2.f, f3.f, f4.f, f5.f])) = 5),
+s AS (
+  SELECT part, filter_order, step, filter_order[step] AS f, fails, good, bad, n, list_contains(fails, filter_order[step]) AS failing,
+    len(list_filter(fails, lambda g: instr(filter_order, g) < step)) > 0 AS gone FROM k, o, range(1, 6) AS r(step)),
+g AS (
+  SELECT part, filter_order, step, f, sum(n) FILTER (NOT gone AND NOT failing) AS kept, sum(n) FILTER (failing AND NOT gone) AS removed, sum(n) FILTER (failing AND gone) AS redundant,
+    sum(n) FILTER (fails = [f]) AS unique_fails, sum(n) FILTER (failing AND NOT gone AND good) AS good_lost, sum(n) FILTER (failing AND NOT gone AND bad) AS toxic_lost FROM s GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+  CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost,
+  CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(coalesce(sum(removed) OVER (PARTITION BY part, f), 0) AS BIGINT) AS shapley FROM g
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -165,8 +218,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": op8_secret_scan,
         "op9_html_extraction": op9_html_extraction,
         "op10_top_k": op10_top_k,
+        "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op3_sharding": OP3_SQL, "op7_minhash_near_dedup": OP7_SQL, "op10_top_k": OP10_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op3_sharding": OP3_SQL, "op7_minhash_near_dedup": OP7_SQL, "op10_top_k": OP10_SQL, "op12_fill_in_middle": OP12_SQL, "op13_filter_audit": OP13_SQL}
