@@ -18,6 +18,7 @@ from clonespark.llm.near_dedup import near_dedup
 from clonespark.llm.packing import pack
 from clonespark.llm.secret_scan import scan_digest
 from clonespark.llm.sharding import shard
+from clonespark.llm.suffix_dedup import dedup_substrings
 from clonespark.llm.topk import top_k
 
 
@@ -155,6 +156,12 @@ FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 QUALIFY rank <
 """
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every text that a document with a smaller id has in strings of 50."""
+    out = dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"), length=50)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text cut in three and written in another order, and what it is restored to."""
     out = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -218,6 +225,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": op8_secret_scan,
         "op9_html_extraction": op9_html_extraction,
         "op10_top_k": op10_top_k,
+        "op11_suffix_dedup": op11_suffix_dedup,
         "op12_fill_in_middle": op12_fill_in_middle,
         "op13_filter_audit": op13_filter_audit,
     }
