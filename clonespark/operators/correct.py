@@ -165,7 +165,8 @@ def leaf_weights(attached: DataFrame) -> DataFrame:
 def near_roots(told: DataFrame) -> DataFrame:
     """(sample_id, len, a, roots, b, budget): for each leaf that has roots in reach how many, and the first."""
     roots, leaves = told.where("root"), told.where("leaf")
-    reach = widest_reach(root_reach(roots.select(*GROUP, "cdr3", "cnt", "p")), leaves)
+    # stored, as lambdas and both joins would compute the bounds again and again
+    reach = cut(widest_reach(cut(root_reach(roots.select(*GROUP, "cdr3", "cnt", "p")), "root-reach"), leaves), "reach")
     pairs = neighbours(leaves.select(*GROUP, F.col("cdr3").alias("a")), reach.select(*GROUP, F.col("cdr3").alias("b"), "most"))
     return (
         pairs.join(leaves.select(*GROUP, F.col("cdr3").alias("a"), F.col("cnt").alias("leaf_cnt")), [*GROUP, "a"])

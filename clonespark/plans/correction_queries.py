@@ -53,18 +53,19 @@ _RATES = (("s0", 0.0031), ("s1", 0.01))
 
 
 def cells(spark: SparkSession, sf: str) -> DataFrame:
+    """The reads, stored: as nested expressions of the aggregates they would be too large to compile."""
     e = read(spark, sf, "events")
     for name, x in _STEPS.items():
         e = e.withColumn(name, F.expr(x.format(s="string")))
-    return e.select("sample_id", "cdr3", "cdr3_qual", "v", "j")
+    return cut(e.select("sample_id", "cdr3", "cdr3_qual", "v", "j"), "cells")
 
 
 def rates(spark: SparkSession) -> DataFrame:
     return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{n}', double({p}))" for n, p in _RATES) + " AS r(sample_id, error_rate)")
 
 
-def unique(spark: SparkSession, sf: str) -> DataFrame:
-    return cut(correct.unique_cdr3(cells(spark, sf)), "unique")
+def unique(reads: DataFrame) -> DataFrame:
+    return cut(correct.unique_cdr3(reads), "unique")
 
 
 def _parent(n: str) -> str:
@@ -118,7 +119,7 @@ def quality_merge(spark, sf):
 
 @query("abundance_bands", f"WITH {_CELLS},{_BANDS} SELECT sample_id, len, cdr3, cnt, CAST(top AS BIGINT) AS top, round(low, 6) AS low, maybe, leaf, root FROM bands")
 def abundance_bands(spark, sf):
-    told = correct.bands(unique(spark, sf), rates(spark))
+    told = correct.bands(unique(cells(spark, sf)), rates(spark))
     return told.select("sample_id", "len", "cdr3", "cnt", F.col("top").cast("long").alias("top"), F.round("low", 6).alias("low"), "maybe", "leaf", "root")
 
 
@@ -128,7 +129,7 @@ SELECT a.sample_id, a.cdr3 AS a, b.cdr3 AS b, CAST({hamming_sql("a.cdr3", "b.cdr
 ON a.sample_id = b.sample_id AND a.len = b.len AND a.cnt < 5 AND b.cnt >= 5 WHERE {hamming_sql("a.cdr3", "b.cdr3", 3)} <= 7
 """)
 def hamming_neighbours(spark, sf):
-    u = unique(spark, sf)
+    u = unique(cells(spark, sf))
     left, right = (u.where(c).select("sample_id", "len", F.col("cdr3").alias(n)) for c, n in (("cnt < 5", "a"), ("cnt >= 5", "b")))
     return correct.neighbours(left, right, correct.TO_ROOT).select("sample_id", "a", "b", "d")
 
@@ -136,14 +137,14 @@ def hamming_neighbours(spark, sf):
 @query("leaf_reach", f"WITH {_CELLS},{_NEAR} SELECT sample_id, a AS leaf, roots, b AS root, CAST(budget AS BIGINT) AS budget FROM near")
 def leaf_reach(spark, sf):
     """Leaves with the roots that are in reach."""
-    near = correct.near_roots(cut(correct.bands(unique(spark, sf), rates(spark)), "bands"))
+    near = correct.near_roots(cut(correct.bands(unique(cells(spark, sf)), rates(spark)), "bands"))
     return near.select("sample_id", F.col("a").alias("leaf"), "roots", F.col("b").alias("root"), F.col("budget").cast("long").alias("budget"))
 
 
 @query("leaf_weights", f"WITH {_CELLS},{_WEIGHTS} SELECT sample_id, root, cdr3, cnt, weight > 0 AS positive, CASE WHEN weight <> 0 THEN round(ln(abs(weight)), 6) END AS size FROM weights")
 def leaf_weights(spark, sf):
     """Weights of the leaves that have one root, by their errors' chances."""
-    told = cut(correct.bands(unique(spark, sf), rates(spark)), "bands")
+    told = cut(correct.bands(unique(cells(spark, sf)), rates(spark)), "bands")
     near = correct.near_roots(told).where("roots = 1").select("sample_id", "len", F.col("a").alias("cdr3"), F.col("b").alias("root"))
     weighed = correct.leaf_weights(told.where("leaf").select("sample_id", "len", "cdr3", "qual", "cnt").join(near, ["sample_id", "len", "cdr3"]))
     return weighed.select("sample_id", "root", "cdr3", "cnt", (F.col("weight") > 0).alias("positive"), F.round(F.log(F.abs("weight")), 6).alias("size"))
@@ -164,7 +165,7 @@ def greedy_absorb(spark, sf):
 @query("rescued_cdr3s", f"WITH {_CELLS},{_RESCUED} SELECT sample_id, cdr3, cnt FROM rescued")
 def rescued_cdr3s(spark, sf):
     """Rare CDR3s of good quality without a neighbour."""
-    return correct.rescues(cut(correct.bands(unique(spark, sf), rates(spark)), "bands")).select("sample_id", "cdr3", "cnt")
+    return correct.rescues(cut(correct.bands(unique(cells(spark, sf)), rates(spark)), "bands")).select("sample_id", "cdr3", "cnt")
 
 
 VERDICT = f"""{_WEIGHTS},{_RESCUED.removeprefix(_BANDS + ",")},
@@ -181,7 +182,7 @@ verdict AS (SELECT sample_id, len, cdr3, status, root FROM every QUALIFY row_num
 @query("error_correction", f"WITH RECURSIVE {_CELLS},{VERDICT} SELECT sample_id, len, cdr3, status, root FROM verdict")
 def error_correction(spark, sf):
     """All of the correction."""
-    return correct.correct(unique(spark, sf), rates(spark))
+    return correct.correct(unique(cells(spark, sf)), rates(spark))
 
 
 COUNTED = f"""SELECT sample_id, {peptide_sql("fixed", "1")} AS "AAseq", cdr3 AS "NNseq", v AS "Vregion", j AS "Jregion", count(*) AS "Frequency"
@@ -192,7 +193,7 @@ FROM (SELECT c.*, coalesce(root, c.cdr3) AS fixed FROM cells c JOIN verdict w ON
 def clonotype_count(spark, sf):
     """Corrected reads counted."""
     reads = cells(spark, sf)
-    return annotate.clonotypes(reads, correct.correct(unique(spark, sf), rates(spark)))
+    return annotate.clonotypes(reads, correct.correct(unique(reads), rates(spark)))
 
 
 @query("single_cell", f"WITH {_CELLS},{_BANDS}, verdict AS (SELECT sample_id, cdr3, NULL AS root FROM bands WHERE cnt > top) {COUNTED}")

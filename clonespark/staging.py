@@ -35,7 +35,12 @@ def ship(spark: SparkSession) -> None:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder, which :func:`clean` deletes."""
-    return f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    return f"{_own_tables(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _own_tables(spark: SparkSession) -> str:
+    """Several applications may share the folder."""
+    return f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -61,9 +66,9 @@ def drop(*tables: DataFrame) -> None:
 
 
 def clean(spark: SparkSession) -> None:
-    """Delete every table that :func:`cut` left; for the end of a job, once
-    its results have been written."""
-    _delete(spark, f"{shared_dir(spark)}/tables")
+    """Delete every table that :func:`cut` left in this application; for the end
+    of a job, once its results have been written."""
+    _delete(spark, _own_tables(spark))
 
 
 def _delete(spark: SparkSession, path: str) -> None:
