@@ -45,10 +45,15 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 from clonespark.llm.common import NO_ID, bytes_of, cut, free_name, give_back, others, text_of
 from clonespark.staging import scratch
 
+try:
+    import zstandard
+except ImportError:  # rows are sent as they are
+    zstandard = None
+
 #: Bytes of a block's texts, for up to a terabyte in all; they grow with the root of the input up to 16 times that.
 BLOCK = 16 << 20
 #: Bytes of a block for each of its buckets.
-SHARE = 7000
+SHARE = 14000
 #: Anchors of a bucket at most, on average.
 MOST = 1 << 24
 #: Segments of one anchor in one block from which its windows are dealt one by one.
@@ -59,6 +64,8 @@ _BASE = 0x9E3779B97F4A7C15
 #: Bits of a place in a piece, which stand below those of its hash.
 _LOW = 17
 _PIECE = 1 << 16
+#: Bytes of the strings that an index has a table of.
+SEED = 5
 _HASH_BITS = 64 - _LOW
 _BYTES = np.random.default_rng(11).integers(0, 1 << 64, 256, np.uint64)
 _WORDS = np.random.default_rng(12).integers(0, 1 << 64, 64, np.uint64) | np.uint64(1)
@@ -71,6 +78,34 @@ def anchor_length(length: int) -> int:
     return length // 2 - 1
 
 
+@dataclass(frozen=True)
+class Plan:
+    """What all tasks of one run agree on: ``bits`` of an anchor's hash, enough that few of
+    all anchors meet another by chance (that costs work, never a byte), and ``buckets``."""
+
+    length: int
+    buckets: int
+    bits: int
+
+    def bucket_of(self, hashes: np.ndarray) -> np.ndarray:
+        """Buckets are ranges of hashes, so that sorted hashes have sorted buckets."""
+        return (hashes.astype(np.float64) / float(1 << self.bits) * self.buckets).astype(np.int64).clip(0, self.buckets - 1)
+
+    @property
+    def planes(self) -> int:
+        """Bytes of a hash that tell it within its bucket."""
+        return max(1, -(-(self.bits - int(math.log2(self.buckets)) + 1) // 8))
+
+
+def squeezed(*parts: np.ndarray) -> bytes:
+    b = b"".join(np.ascontiguousarray(p).tobytes() for p in parts)
+    return zstandard.ZstdCompressor(level=1).compress(b) if zstandard else b
+
+
+def stretched(b: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b) if zstandard else b, np.uint8)
+
+
 @dataclass
 class Segments:
     """Runs of neighbouring windows that share an anchor."""
@@ -101,8 +136,8 @@ def _rolled(piece: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def segments_of(data: np.ndarray, at: np.ndarray, length: int) -> Segments:
-    """Segments of all texts; text i is ``data[at[i]:at[i + 1]]``."""
+def segments_of(data: np.ndarray, at: np.ndarray, length: int, bits: int = _HASH_BITS) -> Segments:
+    """Segments of all texts, with ``bits`` of their anchors' hashes; text i is ``data[at[i]:at[i + 1]]``."""
     k = anchor_length(length)
     width = length - k + 1
     inside = np.zeros(len(data) + 1, np.int8)
@@ -129,7 +164,7 @@ def segments_of(data: np.ndarray, at: np.ndarray, length: int) -> Segments:
         np.not_equal(least[1:], least[:-1], out=change[1:-1])
         first = np.flatnonzero(ok & (change[:-1] | ~np.concatenate([[False], ok[:-1]])))
         last = np.flatnonzero(ok & (change[1:] | ~np.concatenate([ok[1:], [False]])))
-        found.append((least[first] >> np.uint64(_LOW), first + lo, last - first + 1))
+        found.append((_spread(least[first] >> np.uint64(_LOW)) >> np.uint64(64 - bits), first + lo, last - first + 1))
     if not found:
         none = np.zeros(0, np.int64)
         return Segments(none.astype(np.uint64), none, none, none)
@@ -137,6 +172,13 @@ def segments_of(data: np.ndarray, at: np.ndarray, length: int) -> Segments:
     return Segments(hashes, starts, windows, np.searchsorted(at, starts, side="right") - 1)
 
 
+def _spread(hashes: np.ndarray) -> np.ndarray:
+    """Least hashes are small ones; these are even."""
+    out = hashes * np.uint64(_BASE)
+    out ^= out >> np.uint64(32)
+    return out * np.uint64(0xD6E8FEB86659FD93)
+
+
 def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order that sorts, first places of equal keys in it)."""
     order = np.argsort(keys, kind="stable")
@@ -144,19 +186,14 @@ def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]])) if len(keys) else np.zeros(0, np.int64)
 
 
-def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Buckets are ranges of hashes, so that sorted hashes have sorted buckets."""
-    return (hashes.astype(np.float64) / float(1 << _HASH_BITS) * buckets).astype(np.int64).clip(0, buckets - 1)
-
-
-def _planes(values: np.ndarray) -> bytes:
-    """Six bytes of each hash, first bytes first: sorted ones compress."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, 5::-1].T).tobytes()
+def _planes(values: np.ndarray, n: int) -> bytes:
+    """The last ``n`` bytes of each hash, first bytes first: sorted ones compress."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :n][:, ::-1].T).tobytes()
 
 
-def _from_planes(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 6, 8), np.uint8)
-    out[:, 5::-1] = np.frombuffer(b, np.uint8).reshape(6, -1).T
+def _from_planes(b: bytes, n: int) -> np.ndarray:
+    out = np.zeros((len(b) // n, 8), np.uint8)
+    out[:, :n] = np.frombuffer(b, np.uint8).reshape(n, -1).T[:, ::-1]
     return out.view(np.uint64).ravel()
 
 
@@ -184,24 +221,24 @@ class RunLengthIndex:
 
     Each text ends in a terminator of its own, ordered by the text's number; a match
     never goes beyond it.  Kept are the runs' bytes, first rows and what they are
-    mapped to, the text places of the first and last row of each run, and for
-    intervals of rows that share ``length`` bytes their first row and least id.
+    mapped to, the text places of the first and last row of each run, where each string
+    of five bytes begins, and for intervals of rows that share ``length`` bytes their first row and least id.
     """
 
     def __init__(self, rows: np.ndarray, sizes: np.ndarray, ids: np.ndarray, length: int) -> None:
         """``rows``: texts, bytes one higher and zeros behind the end, at least one; ``ids``: what intervals have the least of."""
-        self.rows, self.length = rows, length
+        self.length = length
         here = np.arange(rows.shape[1])[None, :] <= sizes[:, None]
         text = rows[here]
         self.row_of = np.repeat(np.arange(len(rows)), sizes + 1)
         first = np.concatenate([[0], np.cumsum(sizes + 1)])
-        self.column_of = np.arange(len(text)) - first[self.row_of]
-        left = sizes[self.row_of] - self.column_of
-        order, same = self._sorted(text, left, rows.shape[1])
+        self.text, self.left = text, left = text, sizes[self.row_of] - (np.arange(len(text)) - first[self.row_of])
+        order, same = self._sorted(text, left, int(sizes.max()))
         before = text[order - 1]  # of the first place: the terminator of the last text
         starts = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
         ends = np.concatenate([starts[1:], [len(before)]])
-        self.heads, self.starts = before[starts], starts
+        self.heads, self.starts, self.ends = before[starts], starts, ends
+        self.run_of = np.repeat(np.arange(len(starts), dtype=np.int32), ends - starts)  # quicker than a search
         self.first_place, self.last_place = order[starts], order[ends - 1]
         by_byte = np.argsort(self.heads, kind="stable")
         mapped = np.empty(len(starts), np.int64)
@@ -210,11 +247,12 @@ class RunLengthIndex:
         self.mapped = mapped
         self.by_byte = by_byte  # runs of each byte, in order
         self.span = np.searchsorted(self.heads[by_byte], np.arange(257))
+        self.keys = self.heads[by_byte].astype(np.int64) * len(starts) + by_byte
         self.intervals = np.flatnonzero(np.concatenate([[True], ~same]))
         self.least = np.minimum.reduceat(ids[self.row_of[order]], self.intervals)
 
-    def _sorted(self, text: np.ndarray, left: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Suffixes in order, by prefix doubling from seven bytes, and which share ``length`` bytes with the one before."""
+    def _sorted(self, text: np.ndarray, left: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+        """Suffixes in order, by prefix doubling from five bytes, and which share ``length`` bytes with the one before."""
 
         def ahead(values: np.ndarray, n: int) -> np.ndarray:
             out = np.zeros_like(values)
@@ -222,52 +260,65 @@ class RunLengthIndex:
             return np.where(left >= n, out, 0)
 
         key = text.astype(np.int64)
+        last = ahead(key, 4)
         key = key << 8 | ahead(key, 1)
-        key = key << 16 | ahead(key, 2)
-        key = key << 24 | ahead(key, 4) >> 8
-        order, ranks = np.empty(0), np.empty(0)
-        n, shared = 7, None
-        _, ranks = ranked(key)
+        key = (key << 16 | ahead(key, 2)) << 8 | last
+        n, shared, self.steps = SEED, None, []
+        order, ranks = ranked(key)
+        self.seed_rows = np.flatnonzero(np.diff(key[order], prepend=-1))
+        self.seeds = key[order[self.seed_rows]]
         while True:
+            self.steps.append((n, ranks.astype(np.int32)))
             if shared is None and 2 * n >= self.length:
                 shared = np.where(left >= self.length, ranks * len(text) + ahead(ranks, self.length - n), -1)
             order, ranks = ranked(ranks * (int(ranks.max()) + 1) + ahead(ranks, n))
             n *= 2
-            if n > width and shared is not None:
+            if n > longest and shared is not None:
                 break
+        self.seed_places = order[self.seed_rows]
         keys = shared[order]
         return order, (keys[1:] == keys[:-1]) & (keys[1:] >= 0)
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Bytes that the suffixes at two text places share."""
-        width = self.rows.shape[1]
-        out, open_ = np.zeros(len(a), np.int64), np.arange(len(a))
-        ra, ca, rb, cb = self.row_of[a], self.column_of[a], self.row_of[b], self.column_of[b]
-        flat, steps = self.rows.ravel(), np.arange(8)
-        while len(open_):
-            x = np.minimum(ca[:, None] + steps, width - 1)
-            y = np.minimum(cb[:, None] + steps, width - 1)
-            va, vb = flat[(ra * width)[:, None] + x], flat[(rb * width)[:, None] + y]
-            equal = (va == vb) & (va > 0) & (ca[:, None] + steps < width) & (cb[:, None] + steps < width)
-            n = np.where(equal.all(axis=1), 8, equal.argmin(axis=1))
-            out[open_] += n
-            go = n == 8
-            open_, ra, rb, ca, cb = open_[go], ra[go], rb[go], ca[go] + 8, cb[go] + 8
+        a, b = a.copy(), b.copy()
+        out, most = np.zeros(len(a), np.int64), np.minimum(self.left[a], self.left[b])
+        for n, ranks in reversed(self.steps):
+            equal = (ranks[a] == ranks[b]) & (out + n <= most)
+            ahead = equal * n
+            out += ahead
+            a += ahead
+            b += ahead
+        going = np.flatnonzero(out < most)
+        while len(going):
+            going = going[self.text[a[going]] == self.text[b[going]]]
+            out[going] += 1
+            going = going[out[going] < most[going]]
+            a[going] += 1
+            b[going] += 1
         return out
 
     def stream(self, rows: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """Matching statistics of many texts at once, from their last bytes to their first.
 
-        ``sizes`` must fall.  Gives for each distance from the end the number of
-        texts that are that long, their columns, and there the length of the longest match and a row that has it.
+        ``sizes`` must fall.  Gives for each distance from the end, but for the first ones if they are
+        known from a table, the number of texts that are that long, their columns, and there the length of the longest match and a row that has it.
         """
         row, long_, place = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64), np.full(len(rows), self.first_place[0])
-        flat, width = rows.ravel(), rows.shape[1]
-        for back in range(1, int(sizes[0]) + 1 if len(sizes) else 0):
+        flat, width, begin = rows.ravel(), rows.shape[1], 1
+        if len(sizes) and sizes[-1] >= SEED:  # if all texts' last bytes are known, the first steps are a look into the table
+            key = np.zeros(len(rows), np.int64)
+            for back in range(SEED, 0, -1):
+                key = key << 8 | flat[np.arange(len(rows)) * width + sizes - back]
+            nth = np.minimum(np.searchsorted(self.seeds, key), len(self.seeds) - 1)
+            if (self.seeds[nth] == key).all():
+                row, place, begin = self.seed_rows[nth], self.seed_places[nth], SEED + 1
+                long_ += SEED
+        for back in range(begin, int(sizes[0]) + 1 if len(sizes) else 0):
             m = int(np.searchsorted(-sizes, -back, side="right"))
             column = sizes[:m] - back
             byte = flat[np.arange(m) * width + column]
-            run = np.searchsorted(self.starts, row[:m], side="right") - 1
+            run = self.run_of[row[:m]].astype(np.int64)
             off = np.flatnonzero(self.heads[run] != byte)
             if len(off):
                 row[off], place[off], long_[off], run[off] = self._jumped(byte[off], run[off], place[off], long_[off])
@@ -280,8 +331,7 @@ class RunLengthIndex:
     def _jumped(self, byte: np.ndarray, run: np.ndarray, place: np.ndarray, long_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """To the nearest run of the byte above or below, whichever keeps more of the match; run -1: no text has the byte."""
         runs = len(self.starts)
-        keys = self._keys()
-        nth = np.searchsorted(keys, byte.astype(np.int64) * runs + run)
+        nth = np.searchsorted(self.keys, byte.astype(np.int64) * runs + run)
         above = np.where(nth > self.span[byte], nth - 1, -1)
         below = np.where(nth < self.span[byte.astype(np.int64) + 1], nth, -1)
         up, down = self.by_byte[np.maximum(above, 0)], self.by_byte[np.minimum(np.maximum(below, 0), runs - 1)]
@@ -289,25 +339,20 @@ class RunLengthIndex:
         higher = keeps[0] >= keeps[1]
         none = (above < 0) & (below < 0)
         to = np.where(higher, up, down)
-        ends = np.concatenate([self.starts[1:], [len(self.row_of)]])
         return (
-            np.where(higher, ends[up] - 1, self.starts[down]),
+            np.where(higher, self.ends[up] - 1, self.starts[down]),
             np.where(higher, self.last_place[up], self.first_place[down]),
             np.maximum(np.where(higher, keeps[0], keeps[1]), 0),
             np.where(none, -1, to),
         )
 
-    def _keys(self) -> np.ndarray:
-        if not hasattr(self, "_sorted_runs"):
-            self._sorted_runs = self.heads[self.by_byte].astype(np.int64) * len(self.starts) + self.by_byte
-        return self._sorted_runs
-
 
 def padded(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, width: int) -> np.ndarray:
     """Strings as rows: bytes one higher, zeros behind the end."""
-    steps = np.arange(width)
-    out = data[np.minimum(starts[:, None] + steps, len(data) - 1)] + np.uint8(1)
-    out[steps >= sizes[:, None]] = 0
+    held = np.concatenate([data, np.zeros(width, np.uint8)])
+    out = np.lib.stride_tricks.sliding_window_view(held, width)[starts]
+    out += np.uint8(1)
+    out *= np.arange(width) < sizes[:, None]
     return out
 
 
@@ -315,9 +360,10 @@ def distinct(rows: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """(one place of each different row, number of each row's).  Sorted by ``keys``, then by
     hash; equal hashes are compared, so that two rows may be told apart but are never confused."""
     words = np.ascontiguousarray(rows).view(np.uint64)
-    with np.errstate(over="ignore"):
-        mixed = (words ^ words >> np.uint64(29)) * _WORDS[: words.shape[1]]
-        hashes = (mixed ^ mixed >> np.uint64(32)).sum(axis=1, dtype=np.uint64)
+    hashes = np.zeros(len(words), np.uint64)
+    for column, factor in zip(words.T, _WORDS, strict=False):
+        mixed = (column ^ column >> np.uint64(29)) * factor
+        hashes += mixed ^ mixed >> np.uint64(32)
     order = np.lexsort((hashes, *reversed(keys)))
     held = words[order]
     new = np.concatenate([[True], (held[1:] != held[:-1]).any(axis=1)]) if len(order) else np.zeros(0, bool)
@@ -362,11 +408,11 @@ def _block(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return order, table["__id"].to_numpy()[order], *bytes_of(texts)
 
 
-def _anchors(table: pa.Table, length: int, buckets: int) -> pa.Table:
+def _anchors(table: pa.Table, plan: Plan) -> pa.Table:
     """A block's distinct anchors, a row for each bucket: hashes, and whether each has several documents (1) or is crowded (2)."""
     block = table["__block"][0].as_py()
     _, ids, data, at = _block(table)
-    seg = segments_of(data, at, length)
+    seg = segments_of(data, at, plan.length, plan.bits)
     order, first = grouped(seg.hashes)
     found = seg.hashes[order[first]]
     ids = ids[seg.docs[order]]
@@ -374,22 +420,22 @@ def _anchors(table: pa.Table, length: int, buckets: int) -> pa.Table:
     if len(first):
         flags[np.minimum.reduceat(ids, first) < np.maximum.reduceat(ids, first)] = 1
         flags[np.diff(np.append(first, len(order))) >= CROWD] |= 2
-    bucket, begins = np.unique(bucket_of(found, buckets), return_index=True)
+    bucket, begins = np.unique(plan.bucket_of(found), return_index=True)
     ends = np.append(begins[1:], len(found))[: len(begins)]
     give_back()
     return pa.table(
         {
             "bucket": pa.array(bucket, pa.int64()),
             "block": pa.array(np.full(len(bucket), block), pa.int64()),
-            "hashes": pa.array([_planes(found[a:b]) for a, b in zip(begins, ends, strict=True)], pa.binary()),
+            "hashes": pa.array([_planes(found[a:b], plan.planes) for a, b in zip(begins, ends, strict=True)], pa.binary()),
             "flags": pa.array([flags[a:b].tobytes() for a, b in zip(begins, ends, strict=True)], pa.binary()),
         }
     )
 
 
-def _repeated(table: pa.Table) -> pa.Table:
+def _repeated(table: pa.Table, plan: Plan) -> pa.Table:
     """For each block's anchors of this bucket: bits of those that two documents have, then of those that are crowded."""
-    hashes = [_from_planes(b) for b in table["hashes"].to_pylist()]
+    hashes = [_from_planes(b, plan.planes) for b in table["hashes"].to_pylist()]
     flags = np.concatenate([np.frombuffer(b, np.uint8) for b in table["flags"].to_pylist()])
     order, first = grouped(np.concatenate(hashes))
     counts = np.diff(np.append(first, len(order)))
@@ -408,18 +454,18 @@ def _repeated(table: pa.Table) -> pa.Table:
     )
 
 
-_SENT = "bucket long, block long, kind int, sizes binary, ids binary, data binary"
+_SENT = "bucket long, block long, kind int, n long, data binary"
+_SENT_TYPES = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("n", pa.int64()), ("data", pa.binary())])
 
 
-def _segments(docs: pa.Table, answers: pa.Table, length: int, buckets: int) -> pa.Table:
+def _segments(docs: pa.Table, answers: pa.Table, plan: Plan) -> pa.Table:
     """A block's distinct segments that may repeat, a row for each bucket (kind 0), and where each stands in the block (kind 1)."""
-    names = [x.split()[0] for x in _SENT.split(", ")]
-    none = pa.table({n: pa.array([], t) for n, t in zip(names, [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()], strict=True)})
+    length = plan.length
     if not docs.num_rows or not answers.num_rows:
-        return none
+        return _SENT_TYPES.empty_table()
     block = docs["__block"][0].as_py()
     _, ids, data, at = _block(docs)
-    seg = segments_of(data, at, length)
+    seg = segments_of(data, at, length, plan.bits)
     order, first = grouped(seg.hashes)
     by_bucket = np.argsort(answers["bucket"].to_numpy())
     told = answers["answer"].take(pa.array(by_bucket)).to_pylist()
@@ -430,24 +476,31 @@ def _segments(docs: pa.Table, answers: pa.Table, length: int, buckets: int) -> p
     seg = seg.where((flags[0] & ~flags[1] & 1).astype(bool))
     # windows of crowded anchors go alone, by their own hash
     starts = np.repeat(crowded.starts, crowded.windows) + _upto(crowded.windows)
-    alone = Segments(_hash_of(data, starts, length), starts, np.ones(len(starts), np.int64), np.repeat(crowded.docs, crowded.windows))
+    alone = Segments(_hash_of(data, starts, length) >> np.uint64(64 - plan.bits), starts, np.ones(len(starts), np.int64), np.repeat(crowded.docs, crowded.windows))
     seg = Segments(*(np.concatenate([getattr(seg, f), getattr(alone, f)]) for f in ("hashes", "starts", "windows", "docs")))
     if not len(seg.starts):
-        return none
-    bucket, sizes = bucket_of(seg.hashes, buckets), seg.windows + length - 1
+        return _SENT_TYPES.empty_table()
+    seg = seg.where(np.argsort(seg.starts, kind="stable"))
+    bucket, sizes = plan.bucket_of(seg.hashes), seg.windows + length - 1
     rows = padded(data, seg.starts, sizes, width_of(length))
     one, number = distinct(rows, bucket)
     least = np.full(len(one), np.iinfo(np.int64).max)
     np.minimum.at(least, number, ids[seg.docs])
-    rows, sizes, buckets_of = rows[one], sizes[one].astype(np.uint8 if 2 * length < 256 else np.uint32), bucket[one]
-    found, begins = np.unique(buckets_of, return_index=True)
-    ends = np.append(begins[1:], len(one))
-    out = [
-        (int(b), block, 0, sizes[x:y].tobytes(), least[x:y].tobytes(), (rows[x:y][rows[x:y] > 0] - np.uint8(1)).tobytes()) for b, x, y in zip(found, begins, ends, strict=True)
-    ]
-    out.append((-1, block, 1, seg.windows.astype(np.uint32).tobytes(), np.stack([number, seg.starts]).astype(np.uint32 if len(data) < 1 << 32 else np.uint64).tobytes(), b""))
+    sizes, bucket = sizes[one], bucket[one]
+    rows = rows[one]
+    text, ends = rows[rows > 0] - np.uint8(1), np.concatenate([[0], np.cumsum(sizes)])
+    found, begins = np.unique(bucket, return_index=True)
+    spans = list(zip(found.tolist(), begins.tolist(), np.append(begins[1:], len(one)).tolist(), strict=True))
+    out = [(b, block, 0, y - x, squeezed(sizes[x:y].astype(np.uint32), least[x:y], text[ends[x] : ends[y]])) for b, x, y in spans]
+    out.append((-1, block, 1, len(number), squeezed(np.diff(seg.starts, prepend=0).astype(np.uint64), number.astype(np.uint64), seg.windows.astype(np.uint32))))
     give_back()
-    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), none.schema, strict=True)], schema=none.schema)
+    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SENT_TYPES, strict=True)], schema=_SENT_TYPES)
+
+
+def _sent(n: int, b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sizes, least ids, bytes) of ``n`` segments."""
+    held = stretched(b)
+    return held[: 4 * n].view(np.uint32).astype(np.int64), np.frombuffer(held[4 * n : 12 * n].tobytes(), np.int64), held[12 * n :]
 
 
 def _upto(counts: np.ndarray) -> np.ndarray:
@@ -462,16 +515,13 @@ def _hash_of(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     for i in range(length):
         out = out * np.uint64(_BASE) + _BYTES[data[starts + i]]
     out ^= out >> np.uint64(31)
-    return out * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(_LOW)
+    return out * np.uint64(0xD6E8FEB86659FD93)
 
 
 def _judged(table: pa.Table, length: int) -> pa.Table:
-    """For each block's segments of this bucket: a bit for each window that a smaller id has."""
-    kind = np.uint8 if 2 * length < 256 else np.uint32
-    sizes = [np.frombuffer(b, kind).astype(np.int64) for b in table["sizes"].to_pylist()]
-    ids = np.concatenate([np.frombuffer(b, np.int64) for b in table["ids"].to_pylist()])
-    data = np.frombuffer(b"".join(table["data"].to_pylist()), np.uint8)
-    each = np.concatenate(sizes)
+    """For each block's segments of this bucket: their windows, and a bit for each that a smaller id has."""
+    parts = [_sent(n, b) for n, b in zip(table["n"].to_pylist(), table["data"].to_pylist(), strict=True)]
+    each, ids, data = (np.concatenate(x) for x in zip(*parts, strict=True))
     rows = padded(data, np.cumsum(each) - each, each, width_of(length))
     one, number = distinct(rows)
     least = np.full(len(one), np.iinfo(np.int64).max)
@@ -479,50 +529,54 @@ def _judged(table: pa.Table, length: int) -> pa.Table:
     marks = marked(rows[one], each[one], least, length)[number]
     marks[ids > least[number]] = True
     windows = each - length + 1
-    chosen = marks[np.arange(marks.shape[1])[None, :] < windows[:, None]]
-    ends = np.cumsum([int((s - length + 1).sum()) for s in sizes])
-    give_back()
-    return pa.table(
-        {
-            "block": table["block"].combine_chunks(),
-            "bucket": table["bucket"].combine_chunks(),
-            "marks": pa.array([np.packbits(m).tobytes() for m in np.split(chosen, ends[:-1])], pa.binary()),
-            "sizes": table["sizes"].combine_chunks(),
-        }
-    )
-
-
-def _removed(docs: pa.Table, told: pa.Table, length: int, own: list[str], schema: pa.Schema) -> pa.Table:
-    """A block's documents without what is covered."""
-    order, ids, data, at = _block(docs)
-    delta = np.zeros(len(data) + 1, np.int32)
+    chosen = marks[np.arange(marks.shape[1]) < windows[:, None]]
+    at, told = 0, []
+    for sizes, _, _ in parts:
+        n = int((sizes - length + 1).sum())
+        told.append(squeezed((sizes - length + 1).astype(np.uint32), np.packbits(chosen[at : at + n])))
+        at += n
+    return pa.table([table["bucket"].combine_chunks(), table["block"].combine_chunks(), table["kind"].combine_chunks(), table["n"].combine_chunks(), pa.array(told, pa.binary())], schema=_SENT_TYPES)
+
+
+def _covered(told: pa.Table, ids: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Of each byte of a block whether it is removed."""
+    delta = np.zeros(at[-1] + 1, np.int32)
     kinds = told["kind"].to_numpy() if told.num_rows else np.zeros(0)
     if (kinds == 1).any():
-        place = int(np.flatnonzero(kinds == 1)[0])
-        windows = np.frombuffer(told["sizes"][place].as_py(), np.uint32).astype(np.int64)
-        number, starts = np.frombuffer(told["data"][place].as_py(), np.uint32 if len(data) < 1 << 32 else np.uint64).astype(np.int64).reshape(2, -1)
+        place, n = int(np.flatnonzero(kinds == 1)[0]), told["n"].to_numpy()
+        held = stretched(told["data"][place].as_py())
+        m = int(n[place])
+        starts, number = np.cumsum(held[: 8 * m].view(np.uint64).astype(np.int64)), held[8 * m : 16 * m].view(np.uint64).astype(np.int64)
+        windows = held[16 * m :].view(np.uint32).astype(np.int64)
+        counts, bits = [], []
         answers = np.flatnonzero(kinds == 0)
-        answers = answers[np.argsort(told["bucket"].to_numpy()[answers])]
-        kind = np.uint8 if 2 * length < 256 else np.uint32
-        counts = [np.frombuffer(told["sizes"][int(i)].as_py(), kind).astype(np.int64) - length + 1 for i in answers]
-        bits = np.concatenate([np.unpackbits(np.frombuffer(told["data"][int(i)].as_py(), np.uint8), count=int(c.sum())) for i, c in zip(answers, counts, strict=True)]).astype(bool)
-        begins = np.cumsum(np.concatenate(counts)) - np.concatenate(counts)
-        own_ids = ids[np.searchsorted(at, starts, side="right") - 1]
+        for i in answers[np.argsort(told["bucket"].to_numpy()[answers])].tolist():
+            held = stretched(told["data"][i].as_py())
+            counts.append(held[: 4 * n[i]].view(np.uint32).astype(np.int64))
+            bits.append(np.unpackbits(held[4 * n[i] :], count=int(counts[-1].sum())))
+        each, marks = np.concatenate(counts), np.concatenate(bits).astype(bool)
+        begins = np.cumsum(each) - each
+        own = ids[np.searchsorted(at, starts, side="right") - 1]
         least = np.full(len(begins), np.iinfo(np.int64).max)
-        np.minimum.at(least, number, own_ids)
+        np.minimum.at(least, number, own)
         nth = _upto(windows)
-        hit = bits[np.repeat(begins[number], windows) + nth] | np.repeat(own_ids > least[number], windows)
+        hit = marks[np.repeat(begins[number], windows) + nth] | np.repeat(own > least[number], windows)
         hits = (np.repeat(starts, windows) + nth)[hit]
-        delta[: len(data)] += np.bincount(hits, minlength=len(data)).astype(np.int32)
-        delta -= np.bincount(hits + length, minlength=len(data) + 1).astype(np.int32)
-    gone = np.cumsum(delta[:-1]) > 0
+        delta[:-1] += np.bincount(hits, minlength=at[-1]).astype(np.int32)
+        delta -= np.bincount(hits + length, minlength=at[-1] + 1).astype(np.int32)
+    return np.cumsum(delta[:-1], dtype=np.int32) > 0
+
+
+def _removed(docs: pa.Table, told: pa.Table, length: int, own: list[str], schema: pa.Schema) -> pa.Table:
+    """A block's documents without what is covered."""
+    order, ids, data, at = _block(docs)
+    gone = _covered(told, ids, at, length)
     begins = gone.copy()
     begins[1:] &= ~gone[:-1]
     starts = at[:-1][np.diff(at) > 0]
     begins[starts] = gone[starts]
-    sums = [np.concatenate([[0], np.cumsum(x, dtype=np.int64)])[at] for x in (gone, begins)]
     n = np.diff(at)
-    removed, spans = (np.diff(s) for s in sums)
+    removed, spans = (np.diff(np.concatenate([[0], np.cumsum(x, dtype=np.int64)])[at]) for x in (gone, begins))
     kept = data[~gone].tobytes()
     ends = np.concatenate([[0], np.cumsum(n - removed)]).tolist()
     columns = [docs[c].take(pa.array(order)) for c in own]
@@ -573,16 +627,12 @@ def dedup_substrings(docs: DataFrame, length: int = 50, id_col: str = "doc_id",
     texts = spark.table(name)
     narrow = texts.select("__block", "__seq", "__id", "__text")
 
-    anchors = cut(narrow.groupBy("__block").applyInArrow(lambda t: _anchors(t, length, buckets), "bucket long, block long, hashes binary, flags binary"), "anchors")
-    answers = anchors.groupBy("bucket").applyInArrow(_repeated, "block long, bucket long, answer binary, n long")
-    sent = cut(
-        narrow.groupBy("__block").cogroup(answers.groupBy("block")).applyInArrow(lambda d, a: _segments(d, a, length, buckets), _SENT),
-        "segments",
-    )
-    judged = sent.where("kind = 0").groupBy("bucket").applyInArrow(lambda t: _judged(t, length), "block long, bucket long, marks binary, sizes binary")
-    told = judged.select("block", "bucket", F.lit(0).alias("kind"), "sizes", F.col("marks").alias("data")).unionByName(
-        sent.where("kind = 1").select("block", "bucket", "kind", "sizes", F.col("ids").alias("data"))
-    )
+    plan = Plan(length, buckets, min(_HASH_BITS, max(16, n_bytes.bit_length() + 5)))
+    anchors = narrow.groupBy("__block").applyInArrow(lambda t: _anchors(t, plan), "bucket long, block long, hashes binary, flags binary")
+    answers = anchors.groupBy("bucket").applyInArrow(lambda t: _repeated(t, plan), "block long, bucket long, answer binary, n long")
+    sent = cut(narrow.groupBy("__block").cogroup(answers.groupBy("block")).applyInArrow(lambda d, a: _segments(d, a, plan), _SENT), "segments")
+    judged = sent.where("kind = 0").groupBy("bucket").applyInArrow(lambda t: _judged(t, length), _SENT)
+    told = judged.unionByName(sent.where("kind = 1"))
     results = [StructField(n, LongType()) for n in ("n_bytes", "n_removed", "n_spans")] + [StructField("kept", BinaryType())]
     schema = StructType([StructField(s, docs.schema[c].dataType) for c, s in zip(own, safe, strict=True)] + results)
     shape = to_arrow_schema(schema)
