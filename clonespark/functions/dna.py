@@ -5,6 +5,7 @@ Coordinates are 1-based and inclusive, as in SQL.  Null in, null out.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import product
 
 from pyspark.sql import Column
@@ -53,14 +54,44 @@ def kmers(seq: Column | str, k: int) -> Column:
     return F.when(F.length(seq) >= k, every).otherwise(F.array().cast("array<string>"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+#: Signs that have a hexadecimal digit of their own, and how many digits make a number.
+SIGNS, DIGITS = "ACGTNRYSWKMBDHV-", 15
+_ONES = int("1" * DIGITS, 16)
+
+
 def hamming(a: Column | str, b: Column | str, skip: int = 0) -> Column:
-    """Places that differ, ``skip`` at either end left out, up to the shorter length."""
+    """Places that differ, ``skip`` at either end left out, up to the shorter length.
+
+    Sequences of IUPAC's capitals are compared fifteen bases at a time, as numbers;
+    other signs one by one.
+    """
     a, b = _col(a), _col(b)
-    n = F.least(F.length(a), F.length(b))
-    # arrays of signs, so that each sequence is computed once and not once a place
-    signs = lambda x: F.slice(F.split(x, ""), skip + 1, F.greatest(n - 2 * skip, F.lit(0)))
-    differ = F.size(F.filter(F.zip_with(signs(a), signs(b), lambda x, y: x != y), lambda x: x))
-    return F.when(n > 2 * skip, differ).when(n.isNotNull(), F.lit(0))
+    n = F.least(F.length(a), F.length(b)) - 2 * skip
+    inner = lambda x: F.substring(x, F.lit(skip + 1), n)
+
+    def number(digits: Column, i: Column) -> Column:
+        return F.conv(F.substring(digits, i * DIGITS + 1, F.lit(DIGITS)), 16, 10).cast("long")
+
+    def step(x: Column, i: Column) -> Column:
+        return let(
+            number(x["a"], i).bitwiseXOR(number(x["b"], i)),
+            lambda d: F.bit_count(d.bitwiseOR(F.shiftright(d, 1)).bitwiseOR(F.shiftright(d, 2)).bitwiseOR(F.shiftright(d, 3)).bitwiseAND(F.lit(_ONES))),
+        )
+
+    def counted(x: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(0), F.floor((F.length(x["a"]) - 1) / DIGITS).cast("int")), F.lit(0), lambda s, i: s + step(x, i))
+
+    coded = lambda x: F.translate(inner(x), SIGNS, "0123456789abcdef")
+    packed = let(F.struct(coded(a).alias("a"), coded(b).alias("b")), counted)
+    signs = lambda x: F.split(inner(x), "")
+    plain = F.size(F.filter(F.zip_with(signs(a), signs(b), lambda x, y: x != y), lambda x: x))
+    other = f"[^{SIGNS}]"
+    return F.when(a.isNull() | b.isNull(), F.lit(None)).when(n <= 0, F.lit(0)).when(a.rlike(other) | b.rlike(other), plain).otherwise(packed)
 
 
 def phred_errors(qual: Column | str) -> Column:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from clonespark.functions.dna import FILLED, _col, translate
+from clonespark.functions.dna import FILLED, _col, let, translate
 
 
 #: The inner anchors of the first pass, the same for all chains.
@@ -21,7 +20,12 @@ NEAREST, FARTHEST = 6, 34
 @dataclass(frozen=True)
 class Motif:
     """Patterns of both anchors, and what is added to where they match; inner
-    patterns are looked for where only the other anchor matches, if there are any."""
+    patterns are looked for where only the other anchor matches, if there are any.
+
+    ``mirrored``: the C pattern reads peptides from their ends to their starts, as some
+    catalogues write it; matches are looked for from the right and so don't overlap
+    from the right, and this offset, in place of ``coffset``, is counted to the left.
+    """
 
     cmotif: str
     fmotif: str
@@ -29,14 +33,13 @@ class Motif:
     foffset: int
     inner_c: str | None = None
     inner_f: str | None = None
+    mirrored: int | None = None
 
     def first_pass(self) -> Motif:
-        return Motif(self.cmotif, self.fmotif, self.coffset, self.foffset, FIRST_PASS_C, FIRST_PASS_F)
-
+        return replace(self, inner_c=FIRST_PASS_C, inner_f=FIRST_PASS_F)
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often the body names it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    def forward(self) -> Motif:
+        return replace(self, mirrored=None)
 
 
 def match_starts(text: Column | str, pattern: str, offset: int = 0) -> Column:
@@ -53,6 +56,14 @@ def match_starts(text: Column | str, pattern: str, offset: int = 0) -> Column:
     return F.aggregate(lengths, start, step, lambda s: s["out"])
 
 
+def c_starts(text: Column | str, motif: Motif) -> Column:
+    """Where the C anchor is, ascending; a mirrored pattern is matched on the turned peptide and its places turned back."""
+    text = _col(text)
+    if motif.mirrored is None:
+        return match_starts(text, motif.cmotif, motif.coffset)
+    return F.reverse(F.transform(match_starts(F.reverse(text), motif.cmotif, motif.mirrored), lambda at: F.length(text) + 1 - at))
+
+
 def locate(peptide: Column | str, motif: Motif) -> Column:
     """struct<status, start, stop>: residues of the CDR3 in a peptide.
 
@@ -89,7 +100,7 @@ def locate(peptide: Column | str, motif: Motif) -> Column:
         )
 
     def of_text(text: Column) -> Column:
-        first = F.struct(match_starts(text, motif.cmotif, motif.coffset).alias("c"), match_starts(text, motif.fmotif, motif.foffset).alias("f"))
+        first = F.struct(c_starts(text, motif).alias("c"), match_starts(text, motif.fmotif, motif.foffset).alias("f"))
         return let(first, lambda a: let(refilled(text, a), lambda b: told(text, b)))
 
     return let(_col(peptide), of_text)

@@ -72,11 +72,23 @@ def _matches(pattern: re.Pattern, peptides: list[str], text: str, starts: np.nda
     return out
 
 
+def _anchors(peptides: list[str], m: Motif) -> tuple[dict[int, list[int]], dict[int, list[int]]]:
+    """Peptide -> where the C anchor is, and the F anchor, ascending."""
+    starts = np.cumsum([0, *(len(p) + 1 for p in peptides[:-1])])
+    text = "\n".join(peptides)
+    cm, fm, _, _ = _patterns(m)
+    fs = _matches(fm, peptides, text, starts, m.foffset)
+    if m.mirrored is None:
+        return _matches(cm, peptides, text, starts, m.coffset), fs
+    turned = [p[::-1] for p in peptides]
+    found = _matches(cm, turned, "\n".join(turned), starts, m.mirrored)
+    return {i: [len(peptides[i]) + 1 - at for at in reversed(places)] for i, places in found.items()}, fs
+
+
 def locate(peptide: str, m: Motif) -> tuple[int, int, int]:
     """(status, start, stop) of one peptide."""
-    cm, fm, _, _ = _patterns(m)
-    at = np.zeros(1, np.int64)
-    return pair(peptide, *(_matches(p, [peptide], peptide, at, offset).get(0, []) for p, offset in ((cm, m.coffset), (fm, m.foffset))), m)
+    cs, fs = _anchors([peptide], m)
+    return pair(peptide, cs.get(0, []), fs.get(0, []), m)
 
 
 def find(seqs: list[str | None], quals: list[str | None], m: Motif) -> list[tuple[str | None, str | None, bool | None]]:
@@ -86,10 +98,7 @@ def find(seqs: list[str | None], quals: list[str | None], m: Motif) -> list[tupl
         n = len(seq or "")
         peptides += [joined[at + frame : at + n - 2 : 3] if n > 2 else "" for frame in range(3)]
         at += n
-    starts = np.cumsum([0, *(len(p) + 1 for p in peptides[:-1])])
-    text = "\n".join(peptides)
-    cm, fm, _, _ = _patterns(m)
-    all_c, all_f = _matches(cm, peptides, text, starts, m.coffset), _matches(fm, peptides, text, starts, m.foffset)
+    all_c, all_f = _anchors(peptides, m)
     out: list[tuple[str | None, str | None, bool | None]] = []
     for i, (seq, qual) in enumerate(zip(seqs, quals, strict=True)):
         if seq is None:

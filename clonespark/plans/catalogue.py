@@ -48,7 +48,7 @@ _CHAINS: dict[tuple[str, str, str], Chain] = {
     ),
     ("ms", "TRB", "CDR3"): Chain(
         "TR/ms/TRBV-CDR3.fa", "TR/ms/TRBJ-CDR3.fa",
-        Motif("[AGPST]{1}C(LHV|FYI|LYF|LFV|FYV|LYL|MYL|LYT|TCY|LYV|FYL|FYT|LYM|LYI|FYM)", "(SF|FF|YF|HF|TF|DH|LF)G[ADMREKLSPH]{1}G", 0, 1),
+        Motif("[AGPST]{1}C(LHV|FYI|LYF|LFV|FYV|LYL|MYL|LYT|TCY|LYV|FYL|FYT|LYM|LYI|FYM)", "(SF|FF|YF|HF|TF|DH|LF)G[ADMREKLSPH]{1}G", 0, 1, mirrored=1),
     ),
     ("pig", "TRB", "CDR3"): Chain(
         "TR/pig/TRBV-gai1-DNA.fa", "TR/pig/TRBJ-gai1-DNA.fa",
@@ -89,8 +89,9 @@ AUTO_K = 10000
 @dataclass(frozen=True)
 class Params:
     """A run's parameters.  ``impute`` gives reads of one segment the other by
-    the k-mers of their end.  ``compat`` keeps the homopolymer rule and the
-    quality rule of rescues as they have always been (see the README)."""
+    the k-mers of their end.  ``compat`` keeps the homopolymer rule, the quality
+    rule of rescues and the direction of mirrored anchors as they have always been
+    (see the README)."""
 
     species: str = "hs"
     chain: str = "TRB"
@@ -106,7 +107,8 @@ class Params:
     catalogue: Catalogue = field(default_factory=Catalogue)
 
     def entry(self) -> Chain:
-        return self.catalogue.lookup(self.species, self.chain, self.region)
+        found = self.catalogue.lookup(self.species, self.chain, self.region)
+        return replace(found, motif=found.motif.forward()) if self.compat else found
 
     def with_(self, **changes: object) -> Params:
         return replace(self, **changes)

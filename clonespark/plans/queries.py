@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from clonespark.functions import dna, motif
 from clonespark.operators import align, annotate, extend, search
+from clonespark.plans.catalogue import Catalogue
 from clonespark.plans.registry import BASES, HEX, MOTIF, QUERIES, SIGNS, SQL, dna_of, dna_sql, hamming_sql, peptide_sql, query, read, sense, starts_sql
 from clonespark.staging import cut
 
@@ -93,11 +94,18 @@ def motif_offsets(spark, sf):
     return d.select("doc_id", told(MOTIF.cmotif, MOTIF.coffset).alias("c"), told("[A-F]+", 0).alias("runs"))
 
 
+def c_starts_sql(m: motif.Motif) -> str:
+    """Where the C anchor of ``aa`` is; a mirrored one is matched on the turned peptide."""
+    if m.mirrored is None:
+        return starts_sql("aa", m.cmotif, m.coffset)
+    return f"list_reverse(list_transform({starts_sql('reverse(aa)', m.cmotif, m.mirrored)}, lambda q: CAST(length(aa) AS INTEGER) + 1 - q))"
+
+
 def cdr3_sql(seq: str, m: motif.Motif, source: str, t: str = "") -> str:
     """CTEs up to ``found{t}`` (id, able, cdr3, start) of the CDR3s in ``source`` (id, ...)."""
     return f"""
 p{t} AS (SELECT id, frame, seq, {peptide_sql("seq", "frame")} AS aa FROM (SELECT id, {seq} AS seq FROM {source}) AS x, range(1, 4) AS r(frame)),
-m{t} AS (SELECT *, {starts_sql("aa", m.cmotif, m.coffset)} AS c0, {starts_sql("aa", m.fmotif, m.foffset)} AS f0,
+m{t} AS (SELECT *, {c_starts_sql(m)} AS c0, {starts_sql("aa", m.fmotif, m.foffset)} AS f0,
         {starts_sql("aa", m.inner_c, 0) if m.inner_c else "CAST([] AS INTEGER[])"} AS c1, {starts_sql("aa", m.inner_f, 2) if m.inner_f else "CAST([] AS INTEGER[])"} AS f1 FROM p{t}),
 a{t} AS (SELECT id, frame, seq, aa, (len(c0) = 0) <> (len(f0) = 0) AS one,
         CASE WHEN len(c0) = 0 AND len(f0) > 0 THEN c1 ELSE c0 END AS cs, CASE WHEN len(f0) = 0 AND len(c0) > 0 THEN f1 ELSE f0 END AS fs FROM m{t}),
@@ -130,6 +138,28 @@ def cdr3_second_pass(spark, sf):
     return m.select("doc_id", "m.able", "m.cdr3", "m.qual")
 
 
+#: Mouse anchors: MYLCA, SFYVCG twice, two that overlap when turned (LYMCTCYS has one), or none that reads forward.
+_MIRROR = Catalogue().lookup("ms", "TRB").motif
+_MOUSE_ENDS = "CASE {id} % 5 WHEN 0 THEN 'ATGTACCTCTGCGCC' WHEN 1 THEN 'AGCTTCTACGTCTGCGGCTTCTACGTGTGCGGA' WHEN 2 THEN 'CTCTACATGTGCACCTGCTACTCT' WHEN 3 THEN 'GTGTTCCTGTGTGCTAGC' ELSE 'GCCTGCCTCCACGTG' END"
+_MOUSE = "substr('ACGTAC', 1, CAST({id} % 3 AS INT)) || " + _MOUSE_ENDS + " || substr({insert}, 1, CAST({id} % 25 AS INT) * 3) || CASE WHEN {id} % 7 < 6 THEN 'TCCTTCGGGGCCGGG' ELSE 'CAGTACTTC' END || 'AC'"
+
+
+def mouse(key: str, kind: str) -> str:
+    return _MOUSE.format(id=key, insert=sense(f"'m' || CAST({key} AS {kind})"))
+
+
+@query("mirrored_anchors", f"""
+WITH d AS (SELECT event_id AS id FROM events),{cdr3_sql(mouse("id", "VARCHAR"), _MIRROR, "d")}
+SELECT id AS event_id, able, cdr3, start FROM found
+""")
+def mirrored_anchors(spark, sf):
+    """Reads whose C anchor is written from right to left; both searches must agree."""
+    d = read(spark, sf, "events").select("event_id", F.expr(mouse("event_id", "string")).alias("seq"))
+    m = d.withColumn("m", search.find_cdr3("seq", F.lit(""), _MIRROR))
+    start = F.instr("seq", F.coalesce("m.cdr3", F.lit("-")))
+    return m.select("event_id", "m.able", "m.cdr3", F.when(F.col("m.cdr3").isNotNull(), start.cast("long")).alias("start"))
+
+
 # --- joins, filters and windows ------------------------------------------------------
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from clonespark.functions import dna, motif
 from clonespark.operators import search
+from clonespark.plans.catalogue import Catalogue
 
 DRAW = random.Random(3)
 SEQS = ["", "A", "AC", "ACG", "TAATAGTGA", "ACGNNNACG", *("".join(DRAW.choice("ACGT") for _ in range(DRAW.randint(1, 90))) for _ in range(60))]
@@ -21,6 +22,8 @@ def protein(seq, frame=1):
 def located(peptide, m):
     """The rule, restated: right to left over C, first accepted F, later ones overwrite."""
     cs = [x.start() + 1 + m.coffset for x in re.finditer(m.cmotif, peptide)]
+    if m.mirrored is not None:
+        cs = sorted(len(peptide) - x.start() - m.mirrored for x in re.finditer(m.cmotif, peptide[::-1]))
     fs = [x.start() + 1 + m.foffset for x in re.finditer(m.fmotif, peptide)]
     status, span = 0, None
     if (not cs) != (not fs):
@@ -61,6 +64,20 @@ def test_sequences(spark):
         assert x.q == "".join(map(max, x.s, x.r))
 
 
+def test_hamming_by_numbers_and_by_signs(spark):
+    draw = random.Random(8)
+    pool = {"plain": "ACGT", "iupac": "ACGTNRYSWKMBDHV-", "other": "ACGTacgt.*é"}
+    pairs = [(None, "A"), ("A", None), ("", ""), ("A", "C")]
+    for letters in pool.values():
+        for n in (1, 6, 7, 14, 15, 16, 30, 31, 45, 200):
+            a = "".join(draw.choice(letters) for _ in range(n))
+            pairs.append((a, "".join(c if draw.random() < 0.7 else draw.choice(letters) for c in a) + "A" * draw.randint(0, 3)))
+    for skip in (0, 3):
+        for r in spark.createDataFrame(pairs, "a string, b string").select("a", "b", dna.hamming("a", "b", skip).alias("d")).collect():
+            both = None if r.a is None or r.b is None else list(zip(r.a, r.b, strict=False))
+            assert r.d == (None if both is None else sum(x != y for x, y in both[skip : max(skip, len(both) - skip)])), r
+
+
 @pytest.mark.parametrize("cigar,span", [("119S28M3S", (120, 147)), ("30M", (1, 30)), ("5S10M2I3M", (6, 15)), ("10S", None), ("", None)])
 def test_cigar(spark, cigar, span):
     x = spark.createDataFrame([(cigar,)], "c string").select(dna.cigar_span("c").alias("x")).first().x
@@ -78,6 +95,29 @@ def test_locate_three_ways(spark):
     assert seen == {0, 2, 3}
 
 
+def test_mirrored_anchor(spark):
+    """A pattern written from right to left: MYLCA in the peptide is AC(LYM) in the catalogue."""
+    draw = random.Random(9)
+    mouse = Catalogue().lookup("ms", "TRB").motif
+    parts = ["MYLCA", "VYFCG", "YMCS", "LYC", "SFGAG", "TFGSG", "K", "A", "G", "*", "DDDDD", "EEEEEE", "VHLCT", "ACLYM"]
+    peptides = ["".join(draw.choice(parts) for _ in range(draw.randint(0, 14))) for _ in range(400)]
+    rows = spark.createDataFrame([(p,) for p in peptides], "p string").select("p", motif.locate("p", mouse.first_pass()).alias("x"), motif.c_starts("p", mouse).alias("c")).collect()
+    seen = set()
+    for r in rows:
+        status, span = located(r.p, mouse.first_pass())
+        assert r.x.status == status and (status != 3 or (r.x.start, r.x.stop) == span), r.p
+        assert search.locate(r.p, mouse.first_pass()) == (status, *(span or (0, 0)))
+        assert all(r.p[c - 1] == "C" for c in r.c) and r.c == sorted(r.c)
+        seen.add(status)
+    assert seen == {0, 2, 3}
+    planted = "TTGGAAGACATGTACCTCTGCGCCAGCAGCCAAGATAGTTCAGGTCAGAACACCTCCTTCGGGGCCGGGACC"  # LEDMYLCASSQDSSGQNTSFGAG
+    assert search.find([planted], [None], mouse.first_pass())[0][0] == "TGCGCCAGCAGCCAAGATAGTTCAGGTCAGAACACCTCCTTC"
+    assert search.find([planted], [None], mouse.forward())[0][0] is None
+    # from the right: of two matches that overlap there, the right one counts
+    twice = motif.Motif("CAC", "F", 0, 0, mirrored=0)
+    assert search._anchors(["ACACACA"], twice)[0] == {0: [6]} and search._anchors(["ACACAC"], twice.forward())[0] == {0: [2]}
+
+
 @pytest.mark.parametrize("gap,found", [(5, False), (6, True), (34, True), (35, False)])
 def test_anchor_distance(gap, found):
     # C is the second residue after the start of YFCA, F the first of FFGEG's match plus one
@@ -104,7 +144,7 @@ def test_batches_are_searched_as_single_reads(cmotif):
     at = 0
     for s, x in zip(seqs, found, strict=True):
         if s:
-            assert x[2] == any(search.locate(joined[at + f : at + len(s) - 2 : 3], m)[0] > 0 for f in range(3)) or x[0]
+            assert x[2] == any(search.locate(joined[at + f : max(at, at + len(s) - 2) : 3], m)[0] > 0 for f in range(3)) or x[0]
             at += len(s)
 
 
