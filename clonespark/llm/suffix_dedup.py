@@ -540,7 +540,7 @@ def _judged(table: pa.Table, length: int) -> pa.Table:
 
 def _covered(told: pa.Table, ids: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     """Of each byte of a block whether it is removed."""
-    delta = np.zeros(at[-1] + 1, np.int32)
+    delta = np.zeros(at[-1] + 1, np.int8)
     kinds = told["kind"].to_numpy() if told.num_rows else np.zeros(0)
     if (kinds == 1).any():
         place, n = int(np.flatnonzero(kinds == 1)[0]), told["n"].to_numpy()
@@ -562,9 +562,11 @@ def _covered(told: pa.Table, ids: np.ndarray, at: np.ndarray, length: int) -> np
         nth = _upto(windows)
         hit = marks[np.repeat(begins[number], windows) + nth] | np.repeat(own > least[number], windows)
         hits = (np.repeat(starts, windows) + nth)[hit]
-        delta[:-1] += np.bincount(hits, minlength=at[-1]).astype(np.int32)
-        delta -= np.bincount(hits + length, minlength=at[-1] + 1).astype(np.int32)
-    return np.cumsum(delta[:-1], dtype=np.int32) > 0
+        apart = np.flatnonzero(np.diff(hits) > length)  # stretches of windows that meet
+        if len(hits):
+            delta[hits[np.append(0, apart + 1)]] = 1
+            delta[hits[np.append(apart, len(hits) - 1)] + length] = -1
+    return np.cumsum(delta[:-1], dtype=np.int8).view(bool)
 
 
 def _removed(docs: pa.Table, told: pa.Table, length: int, own: list[str], schema: pa.Schema) -> pa.Table:
@@ -576,7 +578,9 @@ def _removed(docs: pa.Table, told: pa.Table, length: int, own: list[str], schema
     starts = at[:-1][np.diff(at) > 0]
     begins[starts] = gone[starts]
     n = np.diff(at)
-    removed, spans = (np.diff(np.concatenate([[0], np.cumsum(x, dtype=np.int64)])[at]) for x in (gone, begins))
+    removed, spans = np.zeros((2, len(n)), np.int64)
+    if len(starts):
+        removed[n > 0], spans[n > 0] = (np.add.reduceat(x, starts, dtype=np.int64) for x in (gone, begins))
     kept = data[~gone].tobytes()
     ends = np.concatenate([[0], np.cumsum(n - removed)]).tolist()
     columns = [docs[c].take(pa.array(order)) for c in own]
