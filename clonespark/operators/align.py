@@ -1,8 +1,10 @@
 """Assigning reads to gene segments, and what is measured on the assignments.
 
 ``align`` finds, for each read, the segment with the best local alignment (match
-+1, mismatch -2, a gap of n bases -6 - n, both strands).  An alignment consists of
-stretches of diagonals that hold a seed of ``k`` equal bases.  Segments are a
++1, mismatch -2, a gap of n bases -6 - n, both strands).  Seeds of ``k`` equal bases
+tell the diagonals; the best stretch of each segment's best diagonal is scored, and
+where a gap can pay, the alignment is extended from its middle to both sides by
+dynamic programming in a band, until it has lost ``DROP``.  Segments are a
 catalogue of a few hundred short sequences whose size is checked; their seed
 table goes to every task, so reads are aligned where they lie, without a
 shuffle.  A task works on whole batches of reads as arrays.
@@ -26,8 +28,14 @@ MAX_CATALOGUE = 20_000_000
 MAX_SEGMENTS = 200_000
 #: The scores of a match, of a mismatch, and of a gap, at its start and for each base.
 MATCH, MISMATCH, OPEN, EXTEND = 1, -2, 6, 1
-#: Seed hits and cells of the score matrix that a task holds at once.
-HITS, CELLS = 4_000_000, 4_000_000
+#: Seed hits and cells of the score matrix that a task holds at once; cells of a step of an extension.
+HITS, CELLS, STEP = 4_000_000, 4_000_000, 1 << 15
+#: Diagonals to either side of the first one, at least, that an extension may go over to: beyond, a stretch needs a seed.
+BAND = 12
+#: What an extension may lose against its best before it ends.
+DROP = 30
+#: Bases after which most extensions have ended; the others are done again, whole.
+SOON = 40
 FAR = -(10**6)
 _BACK = str.maketrans("ACGTN", "TGCAN")
 _CODE = np.full(256, 4, np.uint8)
@@ -72,45 +80,96 @@ def stretches(steps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return gain[rows, stop], start, stop
 
 
-def chained(steps: np.ndarray, shifts: np.ndarray) -> tuple[int, list[tuple[int, int, int]]]:
-    """(score, [(diagonal, start, stop)]): the best chain of stretches of several diagonals.
+def gain(free: np.ndarray, seeded: np.ndarray, k: int) -> np.ndarray:
+    """The most that ``free`` bases beyond a gap can add; without a seed at most k - 1 of them are equal in a row."""
+    rows, rest = np.divmod(free, k)
+    unseeded = rows * ((k - 1) * MATCH + MISMATCH) + rest * MATCH
+    return np.maximum(0, np.where(seeded, free * MATCH, unseeded) - OPEN - EXTEND)
 
-    ``steps``: scores by diagonal and place in the read, FAR where a diagonal
-    isn't; ``shifts``, ascending: place in the segment less place in the read.
-    Each round allows one gap more, until none pays.
+
+def extensions(x: np.ndarray, y: np.ndarray, keep: bool = False) -> tuple[np.ndarray, ...]:
+    """(best score, its row, its diagonal, whether it hasn't ended) of each column's alignment from the first bases on, and the
+    matrices; diagonals and matrices only if ``keep``.
+
+    ``x``: [base, pair]; ``y``: [base, pair] with as many bases more as there are diagonals
+    besides the middle one, so that row i meets ``y[i : i + diagonals]``.  Signs that
+    aren't bases differ on both sides.  Affine gaps; the end is free.
     """
-    n = steps.shape[1]
-    total = np.zeros((len(steps), n + 1), np.int64)
-    np.cumsum(steps, axis=1, out=total[:, 1:])
-    entry, rounds = np.zeros_like(total), []
-    while True:
-        run = np.maximum.accumulate(np.maximum(entry, 0) - total, axis=1)
-        ends = run + total
-        if rounds and (ends <= rounds[-1][1]).all():
-            break
-        rounds.append((entry, ends, run))
-        entry = np.full_like(total, FAR)
-        for j, to in enumerate(shifts.tolist()):
-            for i, of in enumerate(shifts.tolist()):
-                cost, skip = OPEN + EXTEND * abs(to - of), max(0, of - to)
-                if i != j and skip <= n:
-                    np.maximum(entry[j, skip:], ends[i, : n + 1 - skip] - cost, out=entry[j, skip:])
-    g = len(rounds) - 1
-    j, stop = np.unravel_index(int(rounds[g][1].argmax()), total.shape)
-    score, parts = int(rounds[g][1][j, stop]), []
-    while True:
-        entry, ends, run = rounds[g]
-        gains = np.maximum(entry[j, : stop + 1], 0) - total[j, : stop + 1]
-        start = int(np.flatnonzero(gains == run[j, stop])[-1])
-        parts.append((int(j), start, int(stop)))
-        if entry[j, start] <= 0:
-            return score, parts[::-1]
-        g -= 1
-        for i, of in enumerate(shifts.tolist()):
-            skip = max(0, of - int(shifts[j]))
-            if i != j and start >= skip and rounds[g][1][i, start - skip] - OPEN - EXTEND * abs(int(shifts[j]) - of) == entry[j, start]:
-                j, stop = i, start - skip
+    steps, pairs = x.shape
+    band = len(y) - steps + 1
+    half = band // 2
+    kind = np.int16 if steps + band < 5000 else np.int32
+    low = np.iinfo(kind).min // 2
+    place = np.arange(band, dtype=kind)[:, None]
+    rise, fall = place * kind(EXTEND), place * kind(EXTEND) + kind(OPEN)
+    h = np.where(place > half, -OPEN - EXTEND * (place - half), np.where(place == half, 0, low)).astype(kind).repeat(pairs, axis=1)
+    e = np.full_like(h, low)
+    best, row, diagonal = np.zeros(pairs, kind), np.full(pairs, -1), np.full(pairs, half)
+    active, going, kept = np.arange(pairs), np.ones(pairs, bool), []
+    for i in range(steps):
+        h += (y[i : i + band] == x[i]) * kind(MATCH - MISMATCH)
+        h += kind(MISMATCH)
+        new = np.full_like(e, low)
+        np.maximum(before[1:] - kind(OPEN + EXTEND) if i else first_open(h.shape, half, kind), e[1:] - kind(EXTEND), out=new[:-1])
+        e = new
+        np.maximum(h, e, out=h)
+        f, near = np.empty_like(h), 1
+        np.add(h[:-1], rise[:-1], out=f[1:])
+        f[0] = low
+        while near < band - 1:  # the largest of all diagonals before, by doubling
+            further = f.copy()
+            np.maximum(f[near:], f[:-near], out=further[near:])
+            f, near = further, 2 * near
+        f -= fall
+        np.maximum(h, f, out=h)
+        before = h.copy()
+        if keep:
+            kept.append((h.copy(), e.copy(), f))
+        top = h.max(axis=0)
+        better = np.flatnonzero(top > best[active])
+        if len(better):
+            best[active[better]], row[active[better]] = top[better], i
+            if keep:
+                diagonal[better] = h[:, better].argmax(axis=0)
+        if not keep and (i % 8 == 7 or i == steps - 1):
+            on = top >= best[active] - DROP
+            going[active[~on]] = False
+            if not on.any():
                 break
+            if on.mean() < 0.7:
+                active, h, e, before, x, y = active[on], h[:, on], e[:, on], before[:, on], x[:, on], y[:, on]
+    return best.astype(np.int64), row, diagonal, going, kept
+
+
+def first_open(shape: tuple[int, int], half: int, kind: type) -> np.ndarray:
+    """What a gap in the segment costs that opens before the first base."""
+    out = np.full((shape[0] - 1, shape[1]), np.iinfo(kind).min // 2, kind)
+    out[half - 1] = -OPEN - EXTEND
+    return out
+
+
+def traced(kept: list[tuple[np.ndarray, ...]], x: np.ndarray, y: np.ndarray, pair: int, row: int, diagonal: int, gaps_first: bool) -> list[tuple[int, int]]:
+    """(row, diagonal) of the aligned bases, from the last to the first; of equal ways a gap comes as late or as early as it may."""
+    half = len(kept[0][0]) // 2 if kept else 0
+    out, i, k = [], row, diagonal
+    at = lambda i, k: int(kept[i][0][k, pair]) if i >= 0 else (0 if k == half else -OPEN - EXTEND * (k - half) if k > half else FAR)
+    while i >= 0:
+        h, e, f = (int(m[k, pair]) for m in kept[i])
+        matched = h - at(i - 1, k) == (MATCH if x[i, pair] == y[i + k, pair] else MISMATCH)
+        if h in (e, f) and (gaps_first or not matched):
+            n = 1
+            if h == f:
+                while at(i, k - n) - OPEN - EXTEND * n != f:
+                    n += 1
+                k -= n
+            else:
+                while at(i - n, k + n) - OPEN - EXTEND * n != e:
+                    n += 1
+                i, k = i - n, k + n
+            continue
+        out.append((i, k))
+        i -= 1
+    return out
 
 
 class Segments:
@@ -191,27 +250,86 @@ class Segments:
         order = order[np.flatnonzero(np.diff(read[order], prepend=-1))]
         found = {int(read[i]): (int(score[i]), int(segment[i]), int(side[i] % 2), [(int(shift[i]), int(a[i] + x[i]), int(a[i] + y[i]))]) for i in order.tolist() if score[i] >= min_score}
 
-        # several diagonals of one segment may be better together
-        edges = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(group))
-        together = np.minimum(np.add.reduceat(bound, edges[:-1]), np.minimum(length[read], self.length[segment])[edges[:-1]]) - OPEN - EXTEND
-        for g in np.flatnonzero((np.diff(edges) > 1) & (together >= limit[read[edges[:-1]]])).tolist():
-            places = np.arange(edges[g], edges[g + 1])
-            r = int(read[places[0]])
-            if together[g] < limit[r]:
-                continue
-            steps = np.full((len(places), int(length[r])), FAR, np.int64)
-            for row, i, told in zip(steps, places.tolist(), steps_of(places), strict=True):
-                row[a[i] : b[i]] = told[: b[i] - a[i]]
-            total, parts = chained(steps, shift[places])
-            if len(parts) < 2 or total < limit[r]:
-                continue
-            one = (total, int(segment[places[0]]), int(side[places[0]] % 2), [(int(shift[places[j]]), p, q) for j, p, q in parts])
-            order_of = lambda z: (-z[0], z[1], z[2], z[3][0][0])
-            if r not in found or order_of(one) < order_of(found[r]):
-                found[r] = one
-            limit[r] = max(limit[r], total)
+        # one diagonal of each segment is the middle of a band in which gaps may pay
+        edges = np.flatnonzero(np.diff(group, prepend=-1))
+        sizes = np.diff(np.append(edges, len(group)))
+        order = np.lexsort((-bound, -score, group))
+        middle = order[edges]
+        settle(middle[score[middle] == FAR])
+        far = np.maximum(shift[edges + sizes - 1] - shift[middle], shift[middle] - shift[edges])
+        left = np.minimum(a[middle] + x[middle], a[middle] + x[middle] + shift[middle])
+        right = np.minimum(length[read[middle]] - a[middle] - y[middle], self.length[segment[middle]] - a[middle] - y[middle] - shift[middle])
+        wrong = (y[middle] - x[middle] - score[middle]) // (MATCH - MISMATCH)
+        more = gain(left, sizes > 1, k) + gain(right, sizes > 1, k) + np.maximum(0, (MATCH - MISMATCH) * wrong - 2 * (OPEN + EXTEND))
+        far = np.minimum(far, np.maximum(left, right))  # a longer gap costs more than the rest can give
+        half = BAND << np.ceil(np.log2(np.maximum(far + 4, BAND) / BAND)).astype(np.int64)
+        total = np.where(more > 0, score[middle] + more, FAR)
+        reach = np.full(len(middle), FAR, np.int64)
+
+        def extend(chosen: np.ndarray) -> None:
+            for width in np.unique(half[chosen]).tolist():
+                some = chosen[half[chosen] == width]
+                for i in range(0, len(some), max(1, STEP // (2 * width + 1))):
+                    part = some[i : i + max(1, STEP // (2 * width + 1))]
+                    places = middle[part]
+                    cell = a[places] + self._anchor(places, steps_of, x, y)
+                    reach[part] = MATCH
+                    for way in (1, -1):
+                        added, _, _, going, _ = extensions(*window(places, cell, width, way, SOON))
+                        if len(again := np.flatnonzero(going)):
+                            added[again] = extensions(*window(places[again], cell[again], width, way))[0]
+                        reach[part] += added
+            np.maximum.at(limit, read[middle[chosen]], reach[chosen])
+
+        def window(places: np.ndarray, cell: np.ndarray, width: int, way: int, most_steps: int = 1 << 30) -> tuple[np.ndarray, np.ndarray]:
+            """The bases of reads and segments from a cell on, to the right or the left, as :func:`extensions` takes them."""
+            r, t = cell, cell + shift[places]
+            n_read, n_segment = (length[read[places]] - 1 - r, self.length[segment[places]] - 1 - t) if way > 0 else (r, t)
+            steps = min(most_steps, int(np.minimum(n_read, n_segment + width).max(initial=0)))
+            i, j = np.arange(steps)[:, None], np.arange(steps + 2 * width)[:, None] - width
+            bases = code[np.clip(start[side[places]] + r + way * (i + 1), 0, len(code) - 1)]
+            signs = self.code[np.clip(self.begin[segment[places]] + t + way * (j + 1), 0, len(self.code) - 1)]
+            inside = (t + way * (j + 1) >= 0) & (t + way * (j + 1) < self.length[segment[places]])
+            return np.where((i < n_read) & (bases < 4), bases, 7).astype(np.uint8), np.where(inside & (signs < 4), signs, 8).astype(np.uint8)
+
+        hopeful = np.flatnonzero((total >= limit[read[middle]]) & (total > FAR))
+        order = hopeful[np.lexsort((-score[middle[hopeful]], read[middle[hopeful]]))]
+        top = order[np.flatnonzero(np.diff(read[middle[order]], prepend=-1))]
+        extend(top)
+        extend(hopeful[(total[hopeful] >= limit[read[middle[hopeful]]]) & (reach[hopeful] == FAR)])
+        tried = np.flatnonzero(reach >= np.maximum(limit[read[middle]], min_score))
+        order = tried[np.lexsort((side[middle[tried]] % 2, segment[middle[tried]], -reach[tried], read[middle[tried]]))]
+        order = order[np.flatnonzero(np.diff(read[middle[order]], prepend=-1))]
+        told = [(int(reach[g]), int(segment[middle[g]]), int(side[middle[g]] % 2)) for g in order.tolist()]
+        wins = [r not in found or (-found[r][0], *found[r][1:3]) > (-one[0], *one[1:]) for r, one in zip(read[middle[order]].tolist(), told, strict=True)]
+        order, told = order[wins], [one for one, win in zip(told, wins, strict=True) if win]
+        for width in np.unique(half[order]).tolist():
+            rows = np.flatnonzero(half[order] == width)
+            for i in range(0, len(rows), max(1, STEP // 64 // (2 * width + 1))):
+                some = rows[i : i + max(1, STEP // 64 // (2 * width + 1))]
+                places = middle[order[some]]
+                cell = a[places] + self._anchor(places, steps_of, x, y)
+                bases = [[(c, d)] for c, d in zip(cell.tolist(), shift[places].tolist(), strict=True)]
+                for way in (1, -1):
+                    signs = window(places, cell, width, way)
+                    _, row, diagonal, _, kept = extensions(*signs, keep=True)
+                    for n, (c, d) in enumerate(zip(cell.tolist(), shift[places].tolist(), strict=True)):
+                        path = traced(kept, *signs, n, int(row[n]), int(diagonal[n]), way > 0)
+                        bases[n] += [(c + way * (i + 1), d + way * (j - width)) for i, j in path]
+                for n, place, aligned in zip(some.tolist(), places.tolist(), bases, strict=True):
+                    found[int(read[place])] = (*told[n], _parts(sorted(aligned)))
         return found
 
+    @staticmethod
+    def _anchor(places: np.ndarray, steps_of, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The middle of the longest run of equal bases in the stretch of each of the places."""
+        steps = steps_of(places)
+        at = np.arange(steps.shape[1])
+        equal = (steps == MATCH) & (at >= x[places][:, None]) & (at < y[places][:, None])
+        run = at - np.maximum.accumulate(np.where(equal, -1, at), axis=1)
+        end = run.argmax(axis=1)
+        return end - run[np.arange(len(places)), end] // 2
+
     def told(self, seq: str, qual: str | None, hit: tuple) -> tuple:
         """(flag, rname, pos, cigar, as_score, nm, seq, qual) of a read's alignment."""
         score, segment, back, parts = hit
@@ -235,11 +353,23 @@ class Segments:
         return 16 if back else 0, self.names[segment], parts[0][0] + parts[0][1] + 1, cigar, score, nm, s, q
 
 
+def _parts(bases: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """[(diagonal, start, stop)] of aligned (place in the read, diagonal)."""
+    out: list[tuple[int, int, int]] = []
+    for at, shift in bases:
+        if out and out[-1][0] == shift and out[-1][2] == at:
+            out[-1] = (shift, out[-1][1], at + 1)
+        else:
+            out.append((shift, at, at + 1))
+    return out
+
+
 def align(reads: DataFrame, segments: DataFrame, segment: str, min_score: int = 12, k: int = 10) -> DataFrame:
     """Best hit of each read among ``segments`` (name, seq), none below ``min_score``.
 
     Of equal scores the smaller name, then the forward strand, wins.  Of the
-    places that seeds point to, all are scored whose seeds allow the best score.
+    places that seeds point to, all are scored whose seeds allow the best score,
+    and of a segment that a seed points to, one with gaps if it may be better.
     Signs other than A, C, G and T match nothing.  Reads without a sequence have
     no hit.  Hits on the reverse strand come back turned, with flag 16.
     """

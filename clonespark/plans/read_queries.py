@@ -162,6 +162,38 @@ def assign_segments(spark, sf):
     return align.align(reads, v, "V", params.min_score).select("qname", "flag", "rname", "pos", "as_score", "nm", "seq")
 
 
+#: Reads of 64 bases of one of four segments with a changed base, and up to five bases left out or put in, near the ends too.
+_INDELS = {
+    "rname": "'G' || CAST(s_suppkey % 4 AS {s})",
+    "ref": f"translate(md5('v' || rname) || md5('w' || rname), '{HEX}', '{BASES}')",
+    "hx": "md5('i' || CAST(s_suppkey AS {s}))",
+    "p1": f"CAST(8 + instr('{HEX}', substr(hx, 1, 1)) * 3 AS INT)",
+    "n": "CAST(s_suppkey % 5 + 1 AS INT)",
+    "p2": f"CAST(6 + instr('{HEX}', substr(hx, 2, 1)) * 3 AS INT)",
+    "cut": f"CASE WHEN s_suppkey % 3 = 0 THEN substr(ref, 1, p1) || substr(ref, p1 + 1 + n) WHEN s_suppkey % 3 = 1 THEN substr(ref, 1, p1) || substr(translate(hx, '{HEX}', '{BASES}'), 3, n) || substr(ref, p1 + 1) ELSE ref END",
+    "seq": "substr(cut, 1, p2) || translate(substr(cut, p2 + 1, 1), 'ACGT', 'CGTA') || substr(cut, p2 + 2)",
+}
+
+
+@query("align_indels", f"""
+WITH RECURSIVE reads AS (SELECT s_suppkey, {", ".join(f"{x.format(s='VARCHAR')} AS {n}" for n, x in _INDELS.items())} FROM supplier), refs AS (SELECT DISTINCT rname AS name, ref AS g FROM reads),
+dp AS (SELECT s_suppkey, seq, name, g, 0 AS i, list_transform(range(0, length(g) + 1), lambda j: 0) AS h, list_transform(range(0, length(g) + 1), lambda j: -1000000) AS e, 0 AS best FROM reads, refs
+  UNION ALL SELECT s_suppkey, seq, name, g, i, h, e, greatest(best, list_max(h)) FROM (SELECT s_suppkey, seq, name, g, i + 1 AS i,
+    list_transform(range(1, length(g) + 2), lambda j: greatest(m[j], list_max(list_transform(range(1, 10), lambda d: CASE WHEN j > d THEN m[j - d] - 6 - d ELSE -1000000 END)))) AS h, lower AS e, best
+    FROM (SELECT *, list_transform(range(1, length(g) + 2), lambda j: CASE WHEN j = 1 THEN 0 ELSE greatest(0, h[j - 1] + CASE WHEN substr(g, j - 1, 1) = substr(seq, i + 1, 1) THEN 1 ELSE -2 END, lower[j]) END) AS m
+      FROM (SELECT *, list_transform(range(1, length(g) + 2), lambda j: greatest(h[j] - 7, e[j] - 1)) AS lower FROM dp WHERE i < length(seq))))),
+scored AS (SELECT s_suppkey, name, best FROM dp WHERE i = length(seq) QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY best DESC, name) = 1)
+SELECT CAST(s_suppkey AS VARCHAR) AS qname, name AS rname, CAST(best AS INTEGER) AS as_score FROM scored
+""")
+def align_indels(spark, sf):
+    """Scores of reads with gaps against the whole matrix (gaps of nine bases at most) of every segment in SQL."""
+    d = read(spark, sf, "supplier")
+    for name, x in _INDELS.items():
+        d = d.withColumn(name, F.expr(x.format(s="string")))
+    reads = d.select(F.lit("s").alias("sample_id"), F.lit(1).alias("file_idx"), F.col("s_suppkey").cast("string").alias("qname"), "seq", F.repeat(F.lit("I"), F.length("seq")).alias("qual"))
+    return align.align(reads, d.select(F.col("rname").alias("name"), F.col("ref").alias("seq")).distinct(), "V").select("qname", "rname", "as_score")
+
+
 # a V read that lacks bases is compared with its segment from the first stretch on, and so goes
 _PARTS = f"""{_MADE},
 parts AS (SELECT qname AS id, 's' AS sample_id, qname, CASE event_id % 4 WHEN 0 THEN 'V' WHEN 1 THEN 'J' ELSE 'VJ' END AS part,

@@ -5,6 +5,7 @@ import json
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -213,6 +214,62 @@ def test_gaps(spark):
         assert (x, score, nm) == (len(h.seq), h.as_score, h.nm) and any(op in h.cigar for op in "ID")
 
 
+def test_gaps_anywhere_score_as_the_whole_matrix():
+    """Changed bases and gaps near each other and near the ends, where no seed stands beside them."""
+    draw = random.Random(5)
+    any_ = lambda n: "".join(draw.choice("ACGT") for _ in range(n))
+    refs = [(f"V{i}", any_(90)) for i in range(4)]
+    table, seqs = align.Segments(refs, 10), []
+    for i in range(40):
+        s = list(refs[i % 4][1])
+        for _ in range(draw.randint(1, 4)):
+            at, n = draw.randrange(5, len(s) - 5), draw.randint(1, 8)
+            if (kind := draw.random()) < 0.4:
+                s[at] = draw.choice("ACGTN")
+            elif kind < 0.7:
+                s[at:at] = any_(n)
+            else:
+                del s[at : at + n]
+        seqs.append(any_(draw.randrange(15)) + "".join(s) + any_(draw.randrange(20)))
+    found, gapped = table.best(seqs, 12), 0
+    for i, s in enumerate(seqs):
+        back = s.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+        assert found[i][0] == max(gapped_score(x, r) for x in (s, back) for _, r in refs)
+        _, name, pos, cigar, score, nm, seq, _ = table.told(s, None, found[i])
+        ref, x, y, told, wrong = dict(refs)[name], 0, pos - 1, 0, 0
+        for n, op in re.findall(r"(\d+)([A-Z])", cigar):
+            n = int(n)
+            if op == "M":
+                differ = sum(a != b for a, b in zip(seq[x : x + n], ref[y : y + n], strict=True))
+                told, wrong = told + n - 3 * differ, wrong + differ
+            elif op in "ID":
+                told, wrong = told - 6 - n, wrong + n
+            x, y = x + n * (op in "SMI"), y + n * (op in "MD")
+        assert (x, told, wrong) == (len(s), score, nm)
+        gapped += "I" in cigar or "D" in cigar
+    assert gapped > 15
+
+
+def test_reads_of_few_letters_cost_no_more_than_others():
+    draw = random.Random(6)
+    any_ = lambda n: "".join(draw.choice("ACGT") for _ in range(n))
+    refs = [(f"V{i}", any_(290)) for i in range(100)] + [("VA", any_(100) + "A" * 60 + any_(100) + "AC" * 30)]
+    table = align.Segments(refs, 10)
+
+    def seconds(reads):
+        table.best(reads[:5], 12)
+        began = time.process_time()
+        table.best(reads, 12)
+        return time.process_time() - began
+
+    plain = seconds([any_(150) for _ in range(300)])
+    for reads in ([any_(90) + "A" * 60 for _ in range(300)], [any_(60) + "AC" * 45 for _ in range(300)], ["A" * 150] * 300):
+        assert seconds(reads) < 20 * plain
+    # and they are scored as the whole matrix has it
+    for s in (any_(40) + "A" * 60, "AC" * 30 + "A" * 40, "A" * 30 + any_(3) + "A" * 45):
+        assert table.best([s], 12)[0][0] == max(gapped_score(x, r) for x in (s, s.translate(str.maketrans("ACGT", "TGCA"))[::-1]) for _, r in refs[-2:])
+
+
 def test_align_splits_work_that_is_too_large(spark, monkeypatch):
     refs = [(f"V{i}", bases(80)) for i in range(9)]
     seqs = [dict(refs)[f"V{i % 9}"][i % 20 :] + bases(9) for i in range(40)]
