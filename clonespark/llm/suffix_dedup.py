@@ -399,10 +399,10 @@ def marked(rows: np.ndarray, sizes: np.ndarray, ids: np.ndarray, length: int) ->
 # ---- tasks
 
 
-def _block(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _block(table: pa.Table, text: str = "__text") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(order of rows, ids, bytes, ends) of a block's documents."""
     order = np.argsort(table["__seq"].to_numpy(), kind="stable")
-    texts = table["__text"].combine_chunks()
+    texts = table[text].combine_chunks()
     texts = texts.take(pa.array(order))
     texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
     return order, table["__id"].to_numpy()[order], *bytes_of(texts)
@@ -569,9 +569,9 @@ def _covered(told: pa.Table, ids: np.ndarray, at: np.ndarray, length: int) -> np
     return np.cumsum(delta[:-1], dtype=np.int8).view(bool)
 
 
-def _removed(docs: pa.Table, told: pa.Table, length: int, own: list[str], schema: pa.Schema) -> pa.Table:
+def _removed(docs: pa.Table, told: pa.Table, length: int, text: str, own: list[str], schema: pa.Schema) -> pa.Table:
     """A block's documents without what is covered."""
-    order, ids, data, at = _block(docs)
+    order, ids, data, at = _block(docs, text)
     gone = _covered(told, ids, at, length)
     begins = gone.copy()
     begins[1:] &= ~gone[:-1]
@@ -613,7 +613,10 @@ def dedup_substrings(docs: DataFrame, length: int = 50, id_col: str = "doc_id",
 
     spark = docs.sparkSession
     own = others(docs, "n_bytes", "n_removed", "n_spans", "kept")
+    if text_col.lower() not in {c.lower() for c in own} or id_col.lower() not in {c.lower() for c in own}:
+        raise ValueError("the columns of id and text can't have the names of results")
     safe = [free_name(docs, f"__own{i}") for i in range(len(own))]
+    text = safe[[c.lower() for c in own].index(text_col.lower())]
     n_bytes = docs.agg(F.sum(F.octet_length(text_of(text_col)))).first()[0] or 0
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     block_bytes = int(BLOCK * min(16.0, max(1.0, math.sqrt(n_bytes / 1e12))))
@@ -623,13 +626,12 @@ def dedup_substrings(docs: DataFrame, length: int = 50, id_col: str = "doc_id",
     keyed = docs.select(
         *[F.col(c).alias(s) for c, s in zip(own, safe, strict=True)],
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("__id"),
-        text_of(text_col).alias("__text"),
-    ).withColumn("__block", F.pmod(F.xxhash64("__id", "__text"), F.lit(blocks)))
+    ).withColumn("__block", F.pmod(F.xxhash64("__id", text_of(text)), F.lit(blocks)))
     name = f"clonespark_blocks_{uuid.uuid4().hex}"
     keyed = keyed.repartition(tasks, "__block").withColumn("__seq", F.monotonically_increasing_id())
     keyed.write.bucketBy(tasks, "__block").sortBy("__block").option("compression", "zstd").option("path", scratch(spark, "blocks")).saveAsTable(name)
     texts = spark.table(name)
-    narrow = texts.select("__block", "__seq", "__id", "__text")
+    narrow = texts.select("__block", "__seq", "__id", F.col(text).alias("__text"))
 
     plan = Plan(length, buckets, min(_HASH_BITS, max(16, n_bytes.bit_length() + 5)))
     anchors = narrow.groupBy("__block").applyInArrow(lambda t: _anchors(t, plan), "bucket long, block long, hashes binary, flags binary")
@@ -640,5 +642,5 @@ def dedup_substrings(docs: DataFrame, length: int = 50, id_col: str = "doc_id",
     results = [StructField(n, LongType()) for n in ("n_bytes", "n_removed", "n_spans")] + [StructField("kept", BinaryType())]
     schema = StructType([StructField(s, docs.schema[c].dataType) for c, s in zip(own, safe, strict=True)] + results)
     shape = to_arrow_schema(schema)
-    out = texts.groupBy("__block").cogroup(told.groupBy("block")).applyInArrow(lambda d, t: _removed(d, t, length, safe, shape), schema)
+    out = texts.groupBy("__block").cogroup(told.groupBy("block")).applyInArrow(lambda d, t: _removed(d, t, length, text, safe, shape), schema)
     return out.select(*[F.col(s).alias(c) for c, s in zip(own, safe, strict=True)], "n_bytes", "n_removed", "n_spans", "kept")
