@@ -54,6 +54,21 @@ def kmers(seq: Column | str, k: int) -> Column:
     return F.when(F.length(seq) >= k, every).otherwise(F.array().cast("array<string>"))
 
 
+def packed(kmer: Column | str) -> Column:
+    """A number of two bits a base, A to T as 0 to 3; null with other letters, or beyond 32 bases."""
+    kmer = _col(kmer)
+    return F.when((F.length(kmer) <= 32) & ~kmer.rlike("[^ACGT]"), F.conv(F.translate(kmer, "ACGT", "0123"), 4, -10).cast("long"))
+
+
+def unpacked(code: Column | str, n: Column | int) -> Column:
+    """The ``n`` bases of a number."""
+    code, n = _col(code), F.lit(n) if isinstance(n, int) else n
+    # a half at a time, as a whole may be negative
+    half = lambda x: F.lpad(F.conv(x.cast("string"), 10, 4), 16, "0")
+    digits = F.concat(half(F.shiftrightunsigned(code, 32)), half(code.bitwiseAND(F.lit(0xFFFFFFFF))))
+    return F.translate(F.right(digits, n), "0123", "ACGT")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often the body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)

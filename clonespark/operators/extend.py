@@ -1,9 +1,11 @@
 """Extending reads of one anchor through the k-mer graph.
 
-The next step of a walk depends on the current k-mer only, so the graph is a
-table of successors.  Paths come from doubling it: a path of 2n steps is a path
-of n steps followed by that of its end, eight joins for walks of up to 256, with
-no driver loop over reads and no table on one machine.
+K-mers are numbers, two bits a base, so their overlaps are shifts and masks.  The
+next step of a walk depends on the current k-mer only, so the graph is a table
+of successors.  It is doubled to jumps of 32 steps, whose bases are one number
+too: a jump of 2n steps is one of n steps followed by that of its end.  Walks are
+then made of a few jumps, from the k-mers that reads end in only, with no driver
+loop over reads and no table on one machine.
 """
 
 from __future__ import annotations
@@ -11,53 +13,78 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clonespark.functions.dna import FILLED, first_bases, kmers, last_bases, ratio_ok
+from clonespark.functions.dna import FILLED, first_bases, kmers, last_bases, packed, ratio_ok, unpacked
 from clonespark.functions.motif import Motif
 from clonespark.operators.search import find_cdr3
 from clonespark.staging import cut, drop
 
 #: Bases beside k that reads give to the pool; the longest read after extension.
 BESIDE, MAX_LENGTH = 10, 150
+#: Steps of a jump; the bases of as many are one number.  The longest k-mer that is one.
+JUMP, LONGEST_K = 32, 32
 
 
 def kmer_pool(reads: DataFrame, k: int, homopolymers: str = "ACGT") -> DataFrame:
     """(sample_id, kmer, n): of the last k + 10 bases of V reads and the first
-    of J reads; runs of one of ``homopolymers`` are left out."""
+    of J reads; runs of one of ``homopolymers`` and k-mers with other letters are
+    left out.  ``kmer`` is packed; k is 32 at most."""
+    if not 0 < k <= LONGEST_K:
+        raise ValueError(f"k must be 1 to {LONGEST_K}")
     end = F.when(F.col("part") == "J", first_bases("seq", k + BESIDE)).otherwise(last_bases("seq", k + BESIDE))
-    words = reads.select("sample_id", F.explode(kmers(end, k)).alias("kmer"))
-    runs = [b * k for b in homopolymers]
-    return words.where(~F.col("kmer").isin(runs)).groupBy("sample_id", "kmer").agg(F.count("*").alias("n"))
+    words = reads.select("sample_id", F.explode(kmers(end, k)).alias("word")).where(~F.col("word").isin([b * k for b in homopolymers]))
+    return words.select("sample_id", packed("word").alias("kmer")).where("kmer IS NOT NULL").groupBy("sample_id", "kmer").agg(F.count("*").alias("n"))
+
+
+def _without_last(kmer: str, k: int) -> Column:
+    return F.shiftrightunsigned(kmer, 2).bitwiseAND(F.lit((1 << 2 * (k - 1)) - 1))
+
+
+def _without_first(kmer: str, k: int) -> Column:
+    return F.col(kmer).bitwiseAND(F.lit((1 << 2 * (k - 1)) - 1))
 
 
 def successors(pool: DataFrame, k: int, right: bool = True) -> DataFrame:
     """(sample_id, kmer, next, base): the most frequent neighbour within ten
-    times the k-mer's own count, other than itself; ties by base, A first."""
-    here = pool.withColumn("overlap", F.substring("kmer", 2, k - 1) if right else F.substring("kmer", 1, k - 1))
-    there = pool.select("sample_id", F.col("kmer").alias("next"), F.col("n").alias("next_n"))
-    there = there.withColumn("overlap", F.substring("next", 1, k - 1) if right else F.substring("next", 2, k - 1))
-    base = F.right("next", F.lit(1)) if right else F.left("next", F.lit(1))
+    times the k-mer's own count, other than itself; ties by base, A first.
+    ``base``: 0 to 3 for A, C, G and T."""
+    leaving, coming = (_without_first, _without_last) if right else (_without_last, _without_first)
+    here = pool.withColumn("overlap", leaving("kmer", k))
+    there = pool.select("sample_id", F.col("kmer").alias("next"), F.col("n").alias("next_n")).withColumn("overlap", coming("next", k))
+    base = (F.col("next") if right else F.shiftrightunsigned("next", 2 * (k - 1))).bitwiseAND(F.lit(3))
     pairs = here.join(there, ["sample_id", "overlap"]).where(ratio_ok(F.col("next_n"), F.col("n")) & (F.col("next") != F.col("kmer")))
     best = F.min(F.struct((-F.col("next_n")).alias("n"), base.alias("base"), "next")).alias("b")
     return pairs.groupBy("sample_id", "kmer").agg(best).select("sample_id", "kmer", F.col("b.next").alias("next"), F.col("b.base").alias("base"))
 
 
-def paths(succ: DataFrame, steps: int = MAX_LENGTH) -> DataFrame:
-    """(sample_id, kmer, path): the bases of each k-mer's walk, ``steps`` at most; cycles go round."""
-    now = cut(succ.select("sample_id", "kmer", "next", F.col("base").alias("path")), "paths")
-    length = 1
-    while length < steps:
-        on = now.select("sample_id", F.col("kmer").alias("next"), F.col("next").alias("next2"), F.col("path").alias("path2"))
+def jumps(succ: DataFrame) -> DataFrame:
+    """(sample_id, kmer, next, code, len): each k-mer's next JUMP steps as one number; ``next`` is null where the walk has ended."""
+    now = cut(succ.select("sample_id", "kmer", "next", F.col("base").cast("long").alias("code"), F.lit(1).alias("len")), "jumps")
+    for _ in range(JUMP.bit_length() - 1):
+        going = now.where("next IS NOT NULL")
+        if going.isEmpty():
+            break
+        on = now.select("sample_id", F.col("kmer").alias("next"), F.col("next").alias("next2"), F.col("code").alias("code2"), F.col("len").alias("len2"))
+        n = F.coalesce("len2", F.lit(0))
+        code = F.call_function("shiftleft", F.col("code"), 2 * n).bitwiseOR(F.coalesce("code2", F.lit(0).cast("long")))
         # walks that have ended are only carried on
-        longer = now.where("next IS NOT NULL").join(on, ["sample_id", "next"], "left").select(
-            "sample_id", "kmer", F.col("next2").alias("next"), F.left(F.concat("path", F.coalesce("path2", F.lit(""))), F.lit(steps)).alias("path")
-        )
+        longer = going.join(on, ["sample_id", "next"], "left").select("sample_id", "kmer", F.col("next2").alias("next"), code.alias("code"), (F.col("len") + n).alias("len"))
         # each round reads the last one twice; without the cut the plan would double as well
-        last, now = now, cut(longer.unionByName(now.where("next IS NULL")), "paths")
+        last, now = now, cut(longer.unionByName(now.where("next IS NULL")), "jumps")
         drop(last)
-        length *= 2
-        if now.where("next IS NOT NULL").isEmpty():
-            break
-    return now.select("sample_id", "kmer", "path")
+    return now
+
+
+def paths(succ: DataFrame, steps: int = MAX_LENGTH, starts: DataFrame | None = None) -> DataFrame:
+    """(sample_id, kmer, path): the bases of walks from ``starts`` (sample_id, kmer;
+    distinct), or from every k-mer that has a successor, ``steps`` at most; cycles go round."""
+    table = jumps(succ)
+    on = table.select("sample_id", F.col("kmer").alias("at"), "next", "code", "len")
+    # the same side in every join, so it is shuffled once
+    now = (table if starts is None else starts).select("sample_id", "kmer", F.col("kmer").alias("at"), F.lit("").alias("path"))
+    for _ in range(-(-steps // JUMP)):
+        more = F.coalesce(unpacked("code", F.col("len")), F.lit(""))
+        now = now.join(on, ["sample_id", "at"], "left").select("sample_id", "kmer", F.col("next").alias("at"), F.concat("path", more).alias("path"))
+    return now.select("sample_id", "kmer", F.left("path", F.lit(steps)).alias("path"))
 
 
 def _grown(room: Column) -> Column:
@@ -68,10 +95,16 @@ def extend(reads: DataFrame, pool: DataFrame, k: int, max_length: int = MAX_LENG
     """V reads grow at their right end, J reads at their left, up to ``max_length``."""
     room = F.lit(max_length) - F.length("seq")
     # both directions are doubled together, as samples of their own
-    steps = [successors(pool, k, right).withColumn("sample_id", F.struct("sample_id", F.lit(right).alias("right"))) for right in (True, False)]
-    walks = paths(steps[0].unionByName(steps[1]), max_length)
+    def of(side: bool) -> Column:
+        return F.struct("sample_id", F.lit(side).alias("right"))
+
+    steps = [successors(pool, k, right).withColumn("sample_id", of(right)) for right in (True, False)]
+    right = F.col("part") != "J"
+    end = F.when(F.length("seq") >= k, packed(F.when(right, last_bases("seq", k)).otherwise(first_bases("seq", k))))
+    starts = reads.where(room > 0).select(F.when(right, of(True)).otherwise(of(False)).alias("sample_id"), end.alias("kmer")).where("kmer IS NOT NULL").distinct()
+    walks = cut(paths(steps[0].unionByName(steps[1]), max_length, starts), "walks")
 
-    def side(part: DataFrame, end: Column, right: bool) -> DataFrame:
+    def side(part: DataFrame, right: bool) -> DataFrame:
         walk = walks.where(F.col("sample_id.right") == right).select(F.col("sample_id.sample_id").alias("sample_id"), "kmer", "path")
         out = part.withColumn("kmer", end).join(walk, ["sample_id", "kmer"], "left").withColumn("more", _grown(room))
         new, filler = (F.col("more"), F.repeat(F.lit(FILLED), F.length("more"))) if right else (F.reverse("more"), F.repeat(F.lit(FILLED), F.length("more")))
@@ -80,8 +113,7 @@ def extend(reads: DataFrame, pool: DataFrame, k: int, max_length: int = MAX_LENG
         qual = F.concat(padded, filler) if right else F.concat(filler, padded)
         return out.withColumn("grown", seq).withColumn("qual", qual).drop("seq", "kmer", "path", "more").withColumnRenamed("grown", "seq").select(*part.columns)
 
-    v = side(reads.where("part <> 'J'"), last_bases("seq", k), True)
-    return v.unionByName(side(reads.where("part = 'J'"), first_bases("seq", k), False))
+    return side(reads.where("part <> 'J'"), True).unionByName(side(reads.where("part = 'J'"), False))
 
 
 def rescue(reads: DataFrame, motif: Motif, k: int, compat: bool = False) -> DataFrame:

@@ -226,12 +226,13 @@ def _pool(spark, sf):
 
 @query("kmer_pool", f"WITH {_POOL_SQL} SELECT sample_id, kmer, n FROM pool")
 def kmer_pool(spark, sf):
-    return _pool(spark, sf)
+    return _pool(spark, sf).withColumn("kmer", dna.unpacked("kmer", _POOL_K))
 
 
 @query("kmer_successor", f"WITH {_POOL_SQL},{_SUCC_SQL} SELECT sample_id, kmer, next, base FROM succ")
 def kmer_successor(spark, sf):
-    return extend.successors(_pool(spark, sf), _POOL_K)
+    succ = extend.successors(_pool(spark, sf), _POOL_K)
+    return succ.select("sample_id", *[dna.unpacked(c, n).alias(c) for c, n in (("kmer", _POOL_K), ("next", _POOL_K), ("base", 1))])
 
 
 @query("kmer_extend", f"""
@@ -241,7 +242,7 @@ walk AS (SELECT sample_id, kmer, next AS at, base AS path FROM succ
 SELECT sample_id, kmer, max_by(path, length(path)) AS path FROM walk GROUP BY ALL
 """)
 def kmer_extend(spark, sf):
-    return extend.paths(extend.successors(_pool(spark, sf), _POOL_K), 40)
+    return extend.paths(extend.successors(_pool(spark, sf), _POOL_K), 40).withColumn("kmer", dna.unpacked("kmer", _POOL_K))
 
 
 @query("kmer_extend_left", f"""
@@ -254,7 +255,7 @@ walk AS (SELECT sample_id, kmer, next AS at, base AS path FROM succ
 SELECT sample_id, kmer, max_by(path, length(path)) AS path FROM walk GROUP BY ALL
 """)
 def kmer_extend_left(spark, sf):
-    return extend.paths(extend.successors(_pool(spark, sf), _POOL_K, right=False), 40)
+    return extend.paths(extend.successors(_pool(spark, sf), _POOL_K, right=False), 40).withColumn("kmer", dna.unpacked("kmer", _POOL_K))
 
 
 #: Four reads of each of many stretches of 96 bases, the last one from its J end.

@@ -75,4 +75,4 @@ def run(spark: SparkSession, files: list[str], outputs: list[str], params: Param
     j = io.read_fasta_records(spark, f"{resources}/{entry.j_file}")
     prob = io.read_probabilities(spark, prob_path) if prob_path else None
     table = cut(from_reads(io.read_samples(spark, files, outputs, mates), v, j, params, prob), "clonotypes")
-    return [io.write_clonotypes(table.where(F.col("sample_id") == name).drop("sample_id"), name, params.chain, params.region) for name in outputs]
+    return io.write_samples(table, outputs, params.chain, params.region)

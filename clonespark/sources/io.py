@@ -1,10 +1,11 @@
 """FASTQ, FASTA, SAM and tables as DataFrames; clonotypes as CSV.
 
-All readers split plain files and BAM files; a gzip file is one task, as its format demands.
+All readers split plain files and files of BGZF blocks (BAM, FASTQ by bgzip); another gzip file is one task, as its format demands.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from clonespark.functions.dna import FILLED
 from clonespark.sources.bam import read_bam
+from clonespark.sources.fastq import block_records, of_blocks
 
 READ_COLUMNS = ("sample_id", "file_idx", "qname", "seq", "qual")
 
@@ -40,11 +42,13 @@ def read_fasta(spark: SparkSession, path: str, sample_id: str = "", file_idx: in
 def read_fastq(spark: SparkSession, path: str, sample_id: str = "", file_idx: int = 1) -> DataFrame:
     """Reads of a four-line FASTQ file, plain or .gz.
 
-    A file is split at each "\\n@", so its parts are read where they lie.  A
+    A gzip file of BGZF blocks is opened in parts; another one is one task.  A plain file is split at each "\\n@", so its parts are read where they lie.  A
     quality line that starts with @ comes apart from its record and is put back:
     in its task, or, where the file's parts were cut between the two, by a join
     of what such cuts left, a row or two for each part.
     """
+    if path.lower().endswith(".gz") and (blocks := of_blocks(spark, path)) is not None:
+        return _tagged(block_records(blocks).where("length(seq) = length(qual)"), sample_id, file_idx)
     piece = spark.read.option("lineSep", "\n@").text(path).select("value", "_metadata.file_path", F.col("_metadata.file_block_start").alias("start"))
 
     def frame(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -64,7 +68,7 @@ def read_fastq(spark: SparkSession, path: str, sample_id: str = "", file_idx: in
                     if len(lines) > 3:
                         out.append((*head, lines[3], *at))
                         head = None
-                elif value:
+                elif value or head:  # nothing: the quality of one base is @
                     name, seq = head or (None, None)
                     out.append((name, seq, "@" + lines[0], *at))
                     head = None
@@ -139,8 +143,54 @@ def read_probabilities(spark: SparkSession, path: str) -> DataFrame:
     return long.select(F.col("pos").cast("int").alias("pos"), F.col("AA").alias("aa"), F.col("p").cast("double").alias("p"))
 
 
+def result_path(prefix: str, chain: str, region: str) -> str:
+    return f"{prefix}.{chain}.{region}.csv"
+
+
 def write_clonotypes(df: DataFrame, prefix: str, chain: str, region: str) -> str:
-    """One CSV folder, ``{prefix}.{chain}.{region}.csv``, with a header, most frequent first."""
-    path = f"{prefix}.{chain}.{region}.csv"
-    df.orderBy(F.desc("Frequency"), *[c for c in df.columns if c != "Frequency"]).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
-    return path
+    """One CSV folder, ``{prefix}.{chain}.{region}.csv``, most frequent first; see :func:`write_samples`."""
+    return write_samples(df.withColumn("sample_id", F.lit(prefix)), [prefix], chain, region)[0]
+
+
+def write_samples(df: DataFrame, prefixes: list[str], chain: str, region: str) -> list[str]:
+    """A CSV folder for each prefix, from the rows whose ``sample_id`` it is, most frequent first.
+
+    All samples are sorted and written by one job, in ranges, so neither a sample nor
+    a folder is one task's work; the names of a folder's parts are in the rows' order, and
+    each has a header.  Then every sample's folder is put in its place.  Rows of other
+    samples are left out; a sample without rows has a header only.
+    """
+    spark = df.sparkSession
+    names = list(dict.fromkeys(prefixes))
+    order = [F.desc("Frequency"), *[F.col(c) for c in df.columns if c not in ("Frequency", "sample_id")]]
+    numbers = spark.createDataFrame(list(enumerate(names)), "__sample int, sample_id string")
+    rows = df.join(F.broadcast(numbers), "sample_id").drop("sample_id")  # as many rows as the caller has names
+    whole = f"{names[0]}.parts-{uuid.uuid4().hex}"
+    rows.repartitionByRange("__sample", *order).sortWithinPartitions("__sample", *order).write.partitionBy("__sample").option("header", True).csv(whole)
+    for i, name in enumerate(names):
+        if not _moved(spark, f"{whole}/__sample={i}", result_path(name, chain, region)):
+            df.limit(0).drop("sample_id").coalesce(1).write.mode("overwrite").option("header", True).csv(result_path(name, chain, region))
+    fs, path = _file_system(spark, whole)
+    fs.delete(path, True)
+    return [result_path(name, chain, region) for name in prefixes]
+
+
+def _file_system(spark: SparkSession, path: str):
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jpath
+
+
+def _moved(spark: SparkSession, source: str, target: str) -> bool:
+    """Whether there was a folder to move; one of the target's name is replaced."""
+    (fs, old), (other, new) = _file_system(spark, source), _file_system(spark, target)
+    if not fs.exists(old):
+        return False
+    other.delete(new, True)
+    done = other.create(other.makeQualified(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{source}/_SUCCESS"))) if fs.getUri() == other.getUri() else None
+    if done is not None:
+        done.close()
+        if not fs.rename(old, new):
+            raise OSError(f"{source} could not be moved to {target}")
+        return True
+    spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, old, other, new, True, spark.sparkContext._jsc.hadoopConfiguration())
+    return True

@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import os
 import random
 import re
 import struct
@@ -14,11 +15,12 @@ from pyspark.sql import functions as F
 
 from clonespark import staging
 from clonespark.cli import main, parser
+from clonespark.functions import dna
 from clonespark.operators import align, annotate, extend
 from clonespark.plans import queries
 from clonespark.plans.catalogue import Catalogue, Chain, Params
 from clonespark.plans.repertoire import from_reads, run
-from clonespark.sources import io
+from clonespark.sources import fastq, io
 from clonespark.sources.bam import read_bam, records
 
 DRAW = random.Random(11)
@@ -122,6 +124,51 @@ def test_bam_in_parts(spark, tmp_path, monkeypatch, size, part):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+@pytest.mark.parametrize("size,part", [(300, 2), (4000, 1), (2000, 3), (60_000, 1)])
+def test_bgzip_fastq_in_parts(spark, tmp_path, monkeypatch, size, part):
+    """Blocks and parts end anywhere within records; qualities start with @ and +."""
+    draw = random.Random(size)
+    rows = []
+    for i in range(400):
+        n = draw.choice([0, 1, 30, 150])
+        rows.append((f"q{i}", "".join(draw.choice("ACGTN") for _ in range(n)), "".join(draw.choice("@+IA#") for _ in range(n))))
+    text = "".join(f"@{q} x\n{s}\n+\n{u}\n" for q, s, u in rows).encode()
+    (tmp_path / "a.fastq").write_bytes(text)
+    (tmp_path / "a.fastq.gz").write_bytes(bgzf(text, size))
+    (tmp_path / "b.fastq.gz").write_bytes(gzip.compress(text))
+    (tmp_path / "c.fastq.gz").write_bytes(bgzf(text[:-30], size))
+    read = lambda name: sorted((r.qname, r.seq, r.qual) for r in io.read_fastq(spark, str(tmp_path / name)).collect())
+    monkeypatch.setattr(fastq, "PART", part)
+    monkeypatch.setattr(fastq.of_blocks, "__defaults__", (part,))
+    assert read("a.fastq.gz") == sorted(rows)
+    parts = fastq.of_blocks(spark, str(tmp_path / "a.fastq.gz")).select("start").distinct().count()
+    assert parts > 2 or size > 50_000
+    assert fastq.of_blocks(spark, str(tmp_path / "b.fastq.gz")) is None and [x for x in read("b.fastq.gz") if x[1]] == [x for x in sorted(rows) if x[1]]
+    with pytest.raises(Exception, match="ends within a record"):
+        read("c.fastq.gz")
+
+
+def test_samples_are_written_by_one_job(spark, tmp_path):
+    rows = [(str(tmp_path / f"s{i % 7}"), f"AA{i}", i % 13) for i in range(300)] + [("other", "AA", 1)]
+    df = spark.createDataFrame(rows, "sample_id string, AAseq string, Frequency long").repartition(5)
+    prefixes = [str(tmp_path / f"s{i}") for i in range(8)]
+    sc = spark.sparkContext
+    sc.setJobGroup("sink", "sink")
+    paths = io.write_samples(df, prefixes, "TRB", "CDR3")
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert paths == [f"{p}.TRB.CDR3.csv" for p in prefixes] and not [p for p in tmp_path.iterdir() if ".parts-" in p.name]
+    assert len(sc.statusTracker().getJobIdsForGroup("sink")) < 8
+    for i, path in enumerate(paths):
+        lines = []
+        for part in sorted(x for x in os.listdir(path) if x.startswith("part-")):
+            head, *some = open(f"{path}/{part}").read().splitlines()
+            assert head == "AAseq,Frequency"
+            lines += some
+        want = sorted(((a, n) for s, a, n in rows if s == prefixes[i]), key=lambda x: (-x[1], x[0]))
+        assert lines == [f"{a},{n}" for a, n in want] and "_SUCCESS" in os.listdir(path)
+    assert io.write_clonotypes(df.drop("sample_id"), prefixes[0], "TRB", "CDR3") == paths[0]  # again, over the old one
+
+
 def test_align_finds_gene_and_strand(spark):
     refs = [(f"V{i}", bases(80)) for i in range(20)]
     rows, want = [], {}
@@ -288,12 +335,13 @@ def test_align_refuses_a_catalogue_beyond_its_bound(spark, monkeypatch):
         align.align(df, spark.createDataFrame([(f"V{i}", "ACGT" * 5) for i in range(4)], "name string, seq string"), "V")
 
 
-def test_walks_follow_counts_and_stop(spark):
-    k, genome = 7, bases(120)
+@pytest.mark.parametrize("k", [7, 15, 32])
+def test_walks_follow_counts_and_stop(spark, k):
+    genome = bases(120)
     reads = [("s", "V", genome[i : i + 40]) for i in range(0, 80) for _ in range(3)]
     df = spark.createDataFrame(reads, "sample_id string, part string, seq string")
     pool = extend.kmer_pool(df, k)
-    table = {r.kmer: r.n for r in pool.collect()}
+    table = {r.kmer: r.n for r in pool.withColumn("kmer", dna.unpacked("kmer", k)).collect()}
 
     def walk(seq):
         seg, cur = seq[-k:], table.get(seq[-k:], 0)
@@ -309,7 +357,34 @@ def test_walks_follow_counts_and_stop(spark):
     some = df.limit(30).withColumn("qual", F.lit("I"))
     got = extend.extend(some, pool, k).collect()
     assert sorted(r.seq for r in got) == sorted(walk(r.seq) for r in some.collect())
-    assert all(len(r.qual) == len(r.seq) for r in got)
+    assert all(len(r.qual) == len(r.seq) for r in got) and (k == 7 or any(len(r.seq) > 100 for r in got))
+
+
+def test_packed_bases(spark):
+    words = ["", "A", "T", "ACGT", "T" * 31, "T" * 32, "A" * 32, "G" + "A" * 31, "ACGTN", "acgt", "A" * 33, None]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", dna.packed("w").alias("p")).withColumn("u", dna.unpacked("p", F.length("w"))).collect()
+    for r in rows:
+        plain = r.w is not None and len(r.w) <= 32 and not set(r.w) - set("ACGT")
+        assert (r.p is not None) == (plain and r.w != "") or r.w == ""
+        if plain and r.w:
+            assert r.u == r.w and r.p % (1 << 64) == int("".join(str("ACGT".index(c)) for c in r.w), 4)
+
+
+def test_walks_round_a_cycle_and_from_given_starts(spark):
+    k, ring = 5, "ACGTTGCAAC"
+    reads = spark.createDataFrame([("s", "V", (ring * 3)[i : i + 15]) for i in range(10)] + [("s", "V", "TTTCCCGGAACTTAG"), ("s", "V", "NNNNNNACG"), ("s", "J", "AC")], "sample_id string, part string, seq string")
+    succ = extend.successors(extend.kmer_pool(reads, k), k)
+    starts = reads.limit(4).select("sample_id", dna.packed(F.right("seq", F.lit(k))).alias("kmer"))
+    got = {r.word: r.path for r in extend.paths(succ, 100, starts).withColumn("word", dna.unpacked("kmer", k)).collect()}
+    assert len(got) == 4
+    for word, path in got.items():
+        at = (ring * 2).index(word) + k
+        assert path == (ring * 13)[at : at + 100]
+    with pytest.raises(ValueError, match="32"):
+        extend.kmer_pool(reads, 33)
+    # reads shorter than k, or with other letters at their end, stay
+    some = reads.where("part = 'J' OR seq LIKE 'N%'").withColumn("qual", F.lit(""))
+    assert sorted(r.seq for r in extend.extend(some, extend.kmer_pool(reads, k), k).collect()) == ["AC", "NNNNNNACG"]
 
 
 def test_d_gene_against_full_table():
