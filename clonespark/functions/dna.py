@@ -140,10 +140,15 @@ def cigar_ops(cigar: Column | str) -> Column:
 
 def cigar_span(cigar: Column | str) -> Column:
     """struct<start, stop> of the first M run in the read; null without one."""
-    ops = cigar_ops(cigar)
-    at = F.array_position(F.transform(ops, lambda x: x["op"]), "M").cast("int")
-    before = F.aggregate(F.slice(ops, 1, F.greatest(at - 1, F.lit(0))), F.lit(0), lambda s, x: s + x["n"])
-    return F.when(at > 0, F.struct((before + 1).alias("start"), (before + F.element_at(ops, F.greatest(at, F.lit(1)))["n"]).alias("stop")))
+    cigar = _col(cigar)
+    first = r"^((?:\d+[A-LN-Za-z])*)(\d+)M"
+    skipped = F.regexp_extract(cigar, first, 1)
+    # only several parts before the run need a sum over them
+    summed = F.aggregate(cigar_ops(skipped), F.lit(0), lambda s, x: s + x["n"])
+    one = F.substring(skipped, F.lit(1), F.length(skipped) - 1)
+    before = F.when(skipped == "", 0).when(one.rlike("^[0-9]+$"), one.cast("int")).otherwise(summed)
+    n = F.regexp_extract(cigar, first, 2)
+    return F.when(n != "", F.struct((before + 1).alias("start"), (before + n.cast("int")).alias("stop")))
 
 
 def ratio_ok(x: Column, y: Column, most: int = 10) -> Column:

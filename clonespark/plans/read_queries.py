@@ -83,6 +83,8 @@ def _alignments(spark: SparkSession, sf: str) -> DataFrame:
     df = read(spark, sf, "lineitem")
     for name, x in _ALN.items():
         df = df.withColumn(name, F.expr(x.format(s="string")))
+        if name in ("q", "seq"):  # else each later column computes them anew
+            df = cut(df.select("l_orderkey", "l_linenumber", *list(_ALN)[: list(_ALN).index(name) + 1]), name)
     segments = spark.range(5).select(F.expr("'G' || cast(id AS string)").alias("name")).withColumn("seq", dna_of("name"))
     aln = cut(df.select(F.lit("s").alias("sample_id"), F.lit(1).alias("file_idx"), "qname", "rname", "pos", "cigar", "seq", "qual"), "alignments")
     return classify.with_segments(aln, segments)
