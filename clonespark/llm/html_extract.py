@@ -17,13 +17,16 @@ of a host that has fewer, two at least; copies of a page support nothing.  The
 main region is the page's article or main element, if it has text of its own, or
 else the element whose slots hold most text of the host outside menus, notices,
 forms and the like; elements of that kind within the region are left out, unless
-they hold the article itself.
+they hold the article itself.  On the tables' pages the lists of elements that
+lie outside decide already; the wrapper decides where a template has text of its
+own inside the region, or where no element tells the region.
 """
 
 from __future__ import annotations
 
 import html
 import json
+import sys
 import re
 from collections.abc import Iterator
 from hashlib import blake2b
@@ -55,8 +58,8 @@ NOTICE = re.compile(
 PHRASE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 #: What an opening tag closes first, and what that may not lie beyond.
 CLOSES = {n: ({"li"}, {"ul", "ol", "menu"}) for n in ("li",)} | {n: ({"dt", "dd"}, {"dl"}) for n in ("dt", "dd")} | {n: ({"td", "th"}, {"tr", "table"}) for n in ("td", "th")} | {"tr": ({"tr"}, {"table"})}
-#: Elements nested deeper than this are read as part of the one around them.
-DEPTH = 150
+#: Elements nested deeper than this are read as part of the one around them (browsers nest 512 at most).
+DEPTH = 2000
 #: Pages of different content that make an equal text a constant of the template.
 SUPPORT = 3
 #: Wrappers that one task merges at once.
@@ -153,12 +156,18 @@ REPEATED, OPTIONAL, BAD = 1, 2, 4
 SEP = "\x1f"
 
 
+def deepen() -> None:
+    """Items are walked by calls, a few for each level."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20 * DEPTH))
+
+
 def _print(data: bytes) -> int:
     return int.from_bytes(blake2b(data, digest_size=7).digest(), "big")
 
 
 def tree(all_tokens: list[tuple[str, str, bool]]) -> list:
     """The page's root item: its elements nested and folded."""
+    deepen()
     root = ["<", None, 0, [], 0, [], []]
     stack = [root]
     names = [""]
@@ -532,6 +541,7 @@ def extract(page: str, wrapper: list | None) -> str:
 
 def joined(group: pd.DataFrame) -> str:
     """The wrappers of a group merged into one, in the order of their shapes' hashes."""
+    deepen()
     wrapper: list | None = None
     for told in group.sort_values(["h", "told"])["told"]:
         item = json.loads(told)

@@ -120,7 +120,7 @@ def page(i, article=True):
 def test_pages(spark, article):
     made = [page(i, article) for i in range(12)]
     rows = [(i, f"https://Host.example/{i}", h) for i, (h, _) in enumerate(made)]
-    got = {r.page_id: r.text for r in hx.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    got = {r.page_id: r.text for r in hx.hx.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: w for i, (_, w) in enumerate(made)}
 
 
@@ -141,7 +141,7 @@ def test_wrapper_is_union_free():
 
 def test_pages_odd(spark):
     rows = [(1, "http://a/x", None), (2, None, ""), (3, "nonsense", "plain < text & more"), (None, "http://a/y", "<p>unclosed"), (4, "http://a/z", "<article>" + "<p>w</p>" * 20000), (4, "http://a/z", "<!-- open"), (5, "http://b/", "<script>never closed <p>x")]
-    got = hx.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    got = hx.hx.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert len(got) == len(rows)
     told = {(r.page_id, r.text) for r in got}
     assert {(1, ""), (2, ""), (3, "plain < text & more"), (None, "unclosed"), (5, "")} <= told
@@ -152,7 +152,7 @@ def test_pages_odd(spark):
 
 def texts(spark, pages, **more):
     rows = [(i, f"https://{host}/{i}", h) for i, (host, h) in enumerate(pages)]
-    found = hx.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    found = hx.hx.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
     return [r.text for r in sorted(found, key=lambda r: r.page_id)]
 
 
@@ -295,3 +295,12 @@ def test_pages_of_the_tables_as_a_plain_parser_reads_them(spark):
     got = {r.page_id: r.text for r in hx.extract_pages(pages).collect()}
     assert got.keys() == html.keys() and sum(map(len, got.values())) > 10_000
     assert {i for i in html if "<article" in html[i] and got[i] != read_plainly(html[i])} == set()
+
+
+@pytest.mark.parametrize("depth", [140, 160, 1000, 1900])
+def test_deep_nesting_changes_nothing(spark, depth):
+    inner = "<nav>menu</nav><p>Some words of the text, told in full.</p>"
+    page = "<html><body><article>" + "<div>" * depth + inner + "</div>" * depth + "</article></body></html>"
+    rows = [(i, f"http://h/{i}", page.replace("Some", f"Some {i}")) for i in range(4)]
+    got = {r.page_id: r.text for r in hx.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Some {i} words of the text, told in full." for i in range(4)}
