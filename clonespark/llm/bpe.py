@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clonespark.llm.common import hold, mapped, text_of
+from clonespark.llm.common import hold, mapped, others, text_of
 
 #: White space as Unicode's property has it; the property of a Python pattern has four controls more.
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -199,17 +199,17 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decod
 
     A column named ``out_col`` is replaced.  An id outside the ranks is an error.
     """
-    others = [c for c in df.columns if c not in (ids_col, out_col)]
-    schema = T.StructType([*(df.schema[c] for c in others), T.StructField(out_col, T.BinaryType())])
+    beside = others(df, ids_col, out_col)
+    schema = T.StructType([*(df.schema[c] for c in beside), T.StructField(out_col, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = ranks(path).token
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                ids = part.column(len(others))
+                ids = part.column(len(beside))
                 flat, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy().tolist()
                 texts = [b"".join(map(token.__getitem__, flat[a:b].tolist())) if valid else None for a, b, valid in zip(ends, ends[1:], ids.is_valid().to_pylist(), strict=False)]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(others)], pa.array(texts, pa.binary())], names=[*others, out_col])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(beside)], pa.array(texts, pa.binary())], names=[*beside, out_col])
 
-    return mapped(df.select(*others, ids_col), run, schema)
+    return mapped(df.select(*beside, ids_col), run, schema)

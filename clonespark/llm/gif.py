@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clonespark.llm.common import mapped, text_of
+from clonespark.llm.common import mapped, others, text_of
 
 #: Samples in a row of the images that ``encode`` makes; rows in a frame at most.
 WIDTH, ROWS = 192, 64
@@ -297,7 +297,7 @@ def decode_media(df: DataFrame, media_col: str = "media") -> DataFrame:
 
     Null media: null for both.  Bytes that aren't a GIF: no frames, empty samples.
     """
-    kept = [c for c in df.columns if c not in ("samples", "frames")]
+    kept = others(df, "samples", "frames")
     schema = T.StructType([*(df.schema[c] for c in kept), *T._parse_datatype_string(f"samples binary, frames array<struct<{FRAME.replace(' ', ':').replace(',:', ',')}>>").fields])
     at = kept.index(media_col)
 

@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clonespark.llm.common import NO_ID, cut, drop, free_name, text_of
+from clonespark.llm.common import NO_ID, cut, drop, free_name, others, text_of
 
 #: Words are what white space of ASCII separates.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -50,10 +50,10 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
     different documents.  Ties cannot arise: places are distinct.  An empty
     table gives an empty result.
     """
-    others = [c for c in docs.columns if c not in (text_col, "n_lines", "n_removed")]
+    beside = others(docs, text_col, "n_lines", "n_removed")
     d, t, g, k = (free_name(docs, name) for name in ("d", "t", "gone", "kept"))
     keyed = docs.select(
-        *[F.col(c) for c in others],
+        *[F.col(c) for c in beside],
         F.col(text_col),
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias(d),
         F.xxhash64(text_of(text_col)).alias(t),
@@ -66,7 +66,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
     # the rows of texts are many times the intervals: one plan for every size
     out = keyed.join(gone.hint("merge"), [d, t], "left")
     out = out.withColumn(k, F.when(F.col(g).isNotNull(), kept))
-    names = {c: F.col(c) for c in others}
+    names = {c: F.col(c) for c in beside}
     names[text_col] = F.when(F.col(k).isNotNull(), F.array_join(k, "\n")).otherwise(F.col(text_col)).alias(text_col)
     return out.select(
         *[names[c] for c in docs.columns if c in names],

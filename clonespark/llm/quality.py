@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clonespark.llm.common import free_name, mapped, text_of
+from clonespark.llm.common import free_name, mapped, others, text_of
 from clonespark.llm.near_dedup import BLANK, word_hashes
 
 PASSAGE = 1000
@@ -225,7 +225,7 @@ def score(docs: DataFrame, net: Attention, text_col: str = "text", out_col: str
     Ids may be null or repeat; equal texts get equal scores; an empty table
     gives no rows.
     """
-    kept = [c for c in docs.columns if c != out_col]
+    kept = others(docs, out_col)
     schema = docs.select(*kept).withColumn(out_col, F.lit(0.0)).schema
     at = len(kept)
 

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clonespark.llm.common import mapped, text_of
+from clonespark.llm.common import mapped, others, text_of
 
 #: The patterns of the three kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -401,7 +401,7 @@ def all_spans(texts: list[str], weights: np.ndarray, moves: np.ndarray) -> list[
 def _scanned(docs: DataFrame, text_col: str, mark: str | None, added: list[T.StructField]) -> DataFrame:
     """``docs`` with ``spans`` added, and the text redacted if ``mark`` is given."""
     weights, moves = model()
-    kept = [c for c in docs.columns if c != "spans"]
+    kept = others(docs, "spans")
     schema = T.StructType([*(docs.schema[c] for c in kept), *added])
     at = kept.index(text_col)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
