@@ -9,6 +9,7 @@ import os
 from pyspark import SparkConf, SparkContext
 from pyspark.sql import SparkSession
 
+from clonespark.operators.extend import MAX_LENGTH
 from clonespark.plans.catalogue import AUTO_K, Params
 from clonespark.plans.repertoire import from_alignments, run
 from clonespark.sources import io
@@ -40,6 +41,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--prob", help="table of residues' probabilities")
     p.add_argument("--catalogue", help="JSON of further chains")
     p.add_argument("--impute", action="store_true", help="give reads of one segment the other by their end's k-mers")
+    p.add_argument("--corrected-nn", action="store_true", help="NNseq is the corrected CDR3, not the read's own")
+    p.add_argument("--max-length", type=int, default=MAX_LENGTH, help="bases of a read after extension, at most")
     p.add_argument("--compat", action="store_true")
     return p
 
@@ -57,7 +60,7 @@ def session(threads: int) -> SparkSession:
 
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
-    params = Params(species=a.species, chain=a.chain, region=a.region, kmer=a.kmer, min_score=a.bowsc, single_cell=a.sc, compat=a.compat, impute=a.impute)
+    params = Params(species=a.species, chain=a.chain, region=a.region, kmer=a.kmer, min_score=a.bowsc, single_cell=a.sc, compat=a.compat, impute=a.impute, corrected_nn=a.corrected_nn, max_length=a.max_length)
     if a.catalogue:
         params.catalogue.load(a.catalogue)
     logging.basicConfig(level=logging.INFO, format="[%(asctime)s] %(message)s")

@@ -370,12 +370,15 @@ def align(reads: DataFrame, segments: DataFrame, segment: str, min_score: int =
     Of equal scores the smaller name, then the forward strand, wins.  Of the
     places that seeds point to, all are scored whose seeds allow the best score,
     and of a segment that a seed points to, one with gaps if it may be better.
-    Signs other than A, C, G and T match nothing.  Reads without a sequence have
+    Repeated segments count once.  Signs other than A, C, G and T match nothing.  Reads without a sequence have
     no hit.  Hits on the reverse strand come back turned, with flag 16.
     """
     refs = sorted((r["name"], r["seq"].upper()) for r in segments.select("name", "seq").where("seq <> ''").limit(MAX_SEGMENTS + 1).collect())
     if len(refs) > MAX_SEGMENTS:
         raise ValueError("too many segments for a table on every task")
+    refs = sorted(set(refs))
+    if len({name for name, _ in refs}) < len(refs):
+        raise ValueError("segments of one name must have one sequence")
     if sum(len(s) for _, s in refs) > MAX_CATALOGUE:
         raise ValueError("too many bases in the segments for a table on every task")
     table = reads.sparkSession.sparkContext.broadcast(Segments(refs, k))

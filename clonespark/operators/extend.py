@@ -116,12 +116,12 @@ def extend(reads: DataFrame, pool: DataFrame, k: int, max_length: int = MAX_LENG
     return side(reads.where("part <> 'J'"), True).unionByName(side(reads.where("part = 'J'"), False))
 
 
-def rescue(reads: DataFrame, motif: Motif, k: int, compat: bool = False) -> DataFrame:
+def rescue(reads: DataFrame, motif: Motif, k: int, compat: bool = False, max_length: int = MAX_LENGTH) -> DataFrame:
     """All reads with a CDR3: those of the first pass, and those that have one
     after extension, by the chain's own inner anchors."""
     missing = reads.where("cdr3 IS NULL")
     pool = kmer_pool(reads.where("part <> 'VJ'"), k, "G" if compat else "ACGT")
-    again = extend(missing, pool, k).withColumn("m", find_cdr3("seq", "qual", motif))
+    again = extend(missing, pool, k, max_length).withColumn("m", find_cdr3("seq", "qual", motif))
     found = again.withColumn("cdr3", F.col("m.cdr3")).withColumn("cdr3_qual", F.col("m.qual")).drop("m")
     return reads.where("cdr3 IS NOT NULL").unionByName(found.where("cdr3 IS NOT NULL"))
 

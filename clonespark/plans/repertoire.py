@@ -45,7 +45,7 @@ def from_alignments(v: DataFrame, j: DataFrame, v_segments: DataFrame, j_segment
     # k takes one of four values, or the one that was asked for
     for k in sorted(r["k"] for r in stats.select("k").distinct().limit(8).collect()):
         own = reads.where(F.col("k") == k)
-        part = extend.rescue(own, entry.motif, k, params.compat)
+        part = extend.rescue(own, entry.motif, k, params.compat, params.max_length)
         if params.impute:
             part = extend.impute(cut(part, "found"), cut(extend.leaders(own, k), "leaders"), k)
         found = part if found is None else found.unionByName(part)

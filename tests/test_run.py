@@ -370,6 +370,23 @@ def test_packed_bases(spark):
             assert r.u == r.w and r.p % (1 << 64) == int("".join(str("ACGT".index(c)) for c in r.w), 4)
 
 
+def test_segments_of_one_name(spark):
+    reads = spark.createDataFrame([("s", 1, "q", "ACGTTGCAACGGTACT", None)], "sample_id string, file_idx int, qname string, seq string, qual string")
+    segments = lambda *rows: spark.createDataFrame(list(rows), "name string, seq string")
+    same = segments(("V", "ACGTTGCAACGGTACT"), ("V", "acgttgcaacggtact"))
+    assert [(h.rname, h.as_score) for h in align.align(reads, same, "V").collect()] == [("V", 16)]
+    with pytest.raises(ValueError, match="one name"):
+        align.align(reads, segments(("V", "ACGTTGCAACGGTACT"), ("V", "ACGTTGCAACGGTAC")), "V")
+
+
+def test_reads_grow_to_the_length_asked_for(spark):
+    genome, k = bases(120), 15
+    reads = spark.createDataFrame([("s", "V", genome[i : i + 40], "I" * 40, None) for i in range(80) for _ in range(3)], "sample_id string, part string, seq string, qual string, cdr3 string")
+    some = reads.limit(3)
+    assert {len(r.seq) for r in extend.extend(some, extend.kmer_pool(reads, k), k, 70).collect()} == {70}
+    assert parser().parse_args(["-f", "a", "-o", "b", "--resources", "c", "--max-length", "99", "--corrected-nn"]).max_length == 99
+
+
 def test_walks_round_a_cycle_and_from_given_starts(spark):
     k, ring = 5, "ACGTTGCAAC"
     reads = spark.createDataFrame([("s", "V", (ring * 3)[i : i + 15]) for i in range(10)] + [("s", "V", "TTTCCCGGAACTTAG"), ("s", "V", "NNNNNNACG"), ("s", "J", "AC")], "sample_id string, part string, seq string")
