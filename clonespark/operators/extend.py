@@ -35,6 +35,12 @@ def kmer_pool(reads: DataFrame, k: int, homopolymers: str = "ACGT") -> DataFrame
     return words.select("sample_id", packed("word").alias("kmer")).where("kmer IS NOT NULL").groupBy("sample_id", "kmer").agg(F.count("*").alias("n"))
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """``df``, never sent whole to the driver and every task: a table of k-mers grows with
+    the reads, and the size of its stored files, by which Spark judges, is a small part of its rows'."""
+    return df.hint("merge")
+
+
 def _without_last(kmer: str, k: int) -> Column:
     return F.shiftrightunsigned(kmer, 2).bitwiseAND(F.lit((1 << 2 * (k - 1)) - 1))
 
@@ -51,7 +57,7 @@ def successors(pool: DataFrame, k: int, right: bool = True) -> DataFrame:
     here = pool.withColumn("overlap", leaving("kmer", k))
     there = pool.select("sample_id", F.col("kmer").alias("next"), F.col("n").alias("next_n")).withColumn("overlap", coming("next", k))
     base = (F.col("next") if right else F.shiftrightunsigned("next", 2 * (k - 1))).bitwiseAND(F.lit(3))
-    pairs = here.join(there, ["sample_id", "overlap"]).where(ratio_ok(F.col("next_n"), F.col("n")) & (F.col("next") != F.col("kmer")))
+    pairs = here.join(_dealt(there), ["sample_id", "overlap"]).where(ratio_ok(F.col("next_n"), F.col("n")) & (F.col("next") != F.col("kmer")))
     best = F.min(F.struct((-F.col("next_n")).alias("n"), base.alias("base"), "next")).alias("b")
     return pairs.groupBy("sample_id", "kmer").agg(best).select("sample_id", "kmer", F.col("b.next").alias("next"), F.col("b.base").alias("base"))
 
@@ -67,7 +73,7 @@ def jumps(succ: DataFrame) -> DataFrame:
         n = F.coalesce("len2", F.lit(0))
         code = F.call_function("shiftleft", F.col("code"), 2 * n).bitwiseOR(F.coalesce("code2", F.lit(0).cast("long")))
         # walks that have ended are only carried on
-        longer = going.join(on, ["sample_id", "next"], "left").select("sample_id", "kmer", F.col("next2").alias("next"), code.alias("code"), (F.col("len") + n).alias("len"))
+        longer = going.join(_dealt(on), ["sample_id", "next"], "left").select("sample_id", "kmer", F.col("next2").alias("next"), code.alias("code"), (F.col("len") + n).alias("len"))
         # each round reads the last one twice; without the cut the plan would double as well
         last, now = now, cut(longer.unionByName(now.where("next IS NULL")), "jumps")
         drop(last)
@@ -78,7 +84,7 @@ def paths(succ: DataFrame, steps: int = MAX_LENGTH, starts: DataFrame | None = N
     """(sample_id, kmer, path): the bases of walks from ``starts`` (sample_id, kmer;
     distinct), or from every k-mer that has a successor, ``steps`` at most; cycles go round."""
     table = jumps(succ)
-    on = table.select("sample_id", F.col("kmer").alias("at"), "next", "code", "len")
+    on = _dealt(table.select("sample_id", F.col("kmer").alias("at"), "next", "code", "len"))
     # the same side in every join, so it is shuffled once
     now = (table if starts is None else starts).select("sample_id", "kmer", F.col("kmer").alias("at"), F.lit("").alias("path"))
     for _ in range(-(-steps // JUMP)):
@@ -106,7 +112,7 @@ def extend(reads: DataFrame, pool: DataFrame, k: int, max_length: int = MAX_LENG
 
     def side(part: DataFrame, right: bool) -> DataFrame:
         walk = walks.where(F.col("sample_id.right") == right).select(F.col("sample_id.sample_id").alias("sample_id"), "kmer", "path")
-        out = part.withColumn("kmer", end).join(walk, ["sample_id", "kmer"], "left").withColumn("more", _grown(room))
+        out = part.withColumn("kmer", end).join(_dealt(walk), ["sample_id", "kmer"], "left").withColumn("more", _grown(room))
         new, filler = (F.col("more"), F.repeat(F.lit(FILLED), F.length("more"))) if right else (F.reverse("more"), F.repeat(F.lit(FILLED), F.length("more")))
         seq = F.concat("seq", new) if right else F.concat(new, "seq")
         padded = F.rpad(F.col("qual"), F.length("seq"), FILLED)
@@ -152,8 +158,8 @@ def impute(reads: DataFrame, known: DataFrame, k: int, reach: int = 6) -> DataFr
     # equal ends are looked up once
     ends = reads.where((F.length("seq") >= k) & missing.isNotNull()).select("sample_id", missing.alias("other"), end.alias("end"), words.alias("words")).dropDuplicates(["sample_id", "other", "end"])
     named = known.withColumnRenamed("part", "other")
-    told = ends.select("sample_id", "other", "end", F.inline("words")).join(named, ["sample_id", "other", "kmer"]).groupBy("sample_id", "other", "end").agg(F.min(F.struct("i", "region"))["region"].alias("region"))
+    told = ends.select("sample_id", "other", "end", F.inline("words")).join(_dealt(named), ["sample_id", "other", "kmer"]).groupBy("sample_id", "other", "end").agg(F.min(F.struct("i", "region"))["region"].alias("region"))
     told = told.select("sample_id", F.when(F.col("other") == "J", "V").otherwise("J").alias("part"), "end", "region")
-    out = reads.withColumn("end", end).join(told, ["sample_id", "part", "end"], "left")
+    out = reads.withColumn("end", end).join(_dealt(told), ["sample_id", "part", "end"], "left")
     j, v = F.when(F.col("part") == "V", F.coalesce("j", "region")).otherwise(F.col("j")), F.when(F.col("part") == "J", F.coalesce("v", "region")).otherwise(F.col("v"))
     return out.select(*[x.alias(c) if (x := {"v": v, "j": j}.get(c)) is not None else F.col(c) for c in reads.columns])
