@@ -80,11 +80,20 @@ def stretches(steps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return gain[rows, stop], start, stop
 
 
-def gain(free: np.ndarray, seeded: np.ndarray, k: int) -> np.ndarray:
-    """The most that ``free`` bases beyond a gap can add; without a seed at most k - 1 of them are equal in a row."""
-    rows, rest = np.divmod(free, k)
-    unseeded = rows * ((k - 1) * MATCH + MISMATCH) + rest * MATCH
-    return np.maximum(0, np.where(seeded, free * MATCH, unseeded) - OPEN - EXTEND)
+def gain(left: np.ndarray, right: np.ndarray, wrong: np.ndarray, seeded: np.ndarray, k: int) -> np.ndarray:
+    """The most that gaps can add to a stretch with ``wrong`` mismatches and so many free bases at its sides.
+
+    A gap may open inside the stretch, before some of its mismatches, and then goes on over its free bases;
+    without a seed at most k - 1 of those are equal in a row.
+    """
+
+    def most_of(free: np.ndarray) -> np.ndarray:
+        rows, rest = np.divmod(free, k)
+        return np.where(seeded, free * MATCH, rows * ((k - 1) * MATCH + MISMATCH) + rest * MATCH)
+
+    spared, gap = (MATCH - MISMATCH) * wrong, OPEN + EXTEND
+    left, right = most_of(left) - gap, most_of(right) - gap
+    return np.maximum(0, np.maximum(np.maximum(left, right), left + right) + spared)
 
 
 def extensions(x: np.ndarray, y: np.ndarray, keep: bool = False) -> tuple[np.ndarray, ...]:
@@ -260,8 +269,8 @@ class Segments:
         left = np.minimum(a[middle] + x[middle], a[middle] + x[middle] + shift[middle])
         right = np.minimum(length[read[middle]] - a[middle] - y[middle], self.length[segment[middle]] - a[middle] - y[middle] - shift[middle])
         wrong = (y[middle] - x[middle] - score[middle]) // (MATCH - MISMATCH)
-        more = gain(left, sizes > 1, k) + gain(right, sizes > 1, k) + np.maximum(0, (MATCH - MISMATCH) * wrong - 2 * (OPEN + EXTEND))
-        far = np.minimum(far, np.maximum(left, right))  # a longer gap costs more than the rest can give
+        more = gain(left, right, wrong, sizes > 1, k)
+        far = np.minimum(far, np.maximum(left, right) + (MATCH - MISMATCH) * wrong)  # a longer gap costs more than the rest can give
         half = BAND << np.ceil(np.log2(np.maximum(far + 4, BAND) / BAND)).astype(np.int64)
         total = np.where(more > 0, score[middle] + more, FAR)
         reach = np.full(len(middle), FAR, np.int64)

@@ -14,3 +14,12 @@ def test_tables_of_kmers_are_never_broadcast(spark):
         assert df.count() == 200
         df.collect()
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_gap_may_open_inside_the_best_stretch(spark):
+    """Three bases are put in near the end, where two more bases of the first diagonal agree: 64 - 3 - 9."""
+    ref = "GTTGCGAGAGTTAGCCAGGCGTTATCAGAATCGCAGGGCCGCCCGCGCTACTTCATCTTGTTAT"
+    seq = "GTTGCGAGAGTTAGCCAGGCGTTATCAGAATCGCAGGGCGGCCCGCGCTACTTGATCATCTTGTTAT"
+    reads = spark.createDataFrame([("s", 1, "a", seq, "I" * len(seq)), ("s", 1, "b", seq[::-1].translate(str.maketrans("ACGT", "TGCA")), "I" * len(seq))], "sample_id string, file_idx int, qname string, seq string, qual string")
+    got = align.align(reads, spark.createDataFrame([("G1", ref)], "name string, seq string"), "V").select("as_score", "cigar", "nm").collect()
+    assert [tuple(r) for r in got] == [(52, "53M3I11M", 4)] * 2
