@@ -107,7 +107,7 @@ def write_clonotypes(spark, sf):
     """The result's rows, most frequent first, with their place in the file."""
     rows = read(spark, sf, "customer").select(F.col("c_name").alias("AAseq"), F.col("c_mktsegment").alias("Vregion"), (F.col("c_custkey") % 40).alias("Frequency"))
     path = io.write_clonotypes(rows, scratch(spark, "file"), "TRB", "CDR3")
-    return spark.read.option("header", True).schema("AAseq string, Vregion string, Frequency long").csv(path).withColumn("place", F.monotonically_increasing_id())
+    return io.read_clonotypes(spark, path, "AAseq string, Vregion string, Frequency long")
 
 
 @query("repertoire_of_sam", RUN)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from clonespark.functions.dna import FILLED
 from clonespark.sources.bam import read_bam
 from clonespark.sources.fastq import block_records, of_blocks
+from clonespark.staging import cut
 
 READ_COLUMNS = ("sample_id", "file_idx", "qname", "seq", "qual")
 
@@ -80,8 +81,8 @@ def read_fastq(spark: SparkSession, path: str, sample_id: str = "", file_idx: in
     whole = rows.where("qname IS NOT NULL AND qual IS NOT NULL").select("qname", "seq", "qual")
     # a part's open head goes with the next part's open tail
     in_file = Window.partitionBy("file").orderBy("start", F.col("qname").isNotNull())
-    cut = rows.where("qname IS NULL OR qual IS NULL").withColumn("qual", F.lead("qual").over(in_file))
-    mended = cut.where("qname IS NOT NULL AND qual IS NOT NULL").select("qname", "seq", "qual")
+    open_rows = rows.where("qname IS NULL OR qual IS NULL").withColumn("qual", F.lead("qual").over(in_file))
+    mended = open_rows.where("qname IS NOT NULL AND qual IS NOT NULL").select("qname", "seq", "qual")
     return _tagged(whole.unionByName(mended).where("length(seq) = length(qual)"), sample_id, file_idx)
 
 
@@ -152,6 +153,19 @@ def write_clonotypes(df: DataFrame, prefix: str, chain: str, region: str) -> str
     return write_samples(df.withColumn("sample_id", F.lit(prefix)), [prefix], chain, region)[0]
 
 
+def read_clonotypes(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of a result's folder with ``place``, from 0, in the order of its parts, however Spark deals them.
+
+    Rows are counted within the stretches of files that tasks read whole; only the stretches' counts are summed up, a row each.
+    """
+    stretch = ["__file", "__block"]
+    numbered = spark.read.option("header", True).schema(schema).csv(path).select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__at"))
+    rows = cut(numbered, "numbered")
+    before = F.sum("n").over(Window.orderBy(*stretch).rowsBetween(Window.unboundedPreceding, -1))
+    first = rows.groupBy(*stretch).agg(F.min("__at").alias("first"), F.count("*").alias("n")).select(*stretch, (F.coalesce(before, F.lit(0)) - F.col("first")).alias("first"))
+    return rows.join(F.broadcast(first), stretch).withColumn("place", F.col("__at") + F.col("first")).drop(*stretch, "__at", "first")
+
+
 def write_samples(df: DataFrame, prefixes: list[str], chain: str, region: str) -> list[str]:
     """A CSV folder for each prefix, from the rows whose ``sample_id`` it is, most frequent first.
 

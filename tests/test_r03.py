@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from clonespark.operators import align, extend
+from clonespark.sources import io
 
 
 def test_tables_of_kmers_are_never_broadcast(spark):
@@ -23,3 +24,17 @@ def test_a_gap_may_open_inside_the_best_stretch(spark):
     reads = spark.createDataFrame([("s", 1, "a", seq, "I" * len(seq)), ("s", 1, "b", seq[::-1].translate(str.maketrans("ACGT", "TGCA")), "I" * len(seq))], "sample_id string, file_idx int, qname string, seq string, qual string")
     got = align.align(reads, spark.createDataFrame([("G1", ref)], "name string, seq string"), "V").select("as_score", "cigar", "nm").collect()
     assert [tuple(r) for r in got] == [(52, "53M3I11M", 4)] * 2
+
+
+def test_places_of_a_result_that_several_tasks_read(spark, tmp_path):
+    rows = spark.range(3000).select(F.concat(F.lit("A"), F.col("id").cast("string")).alias("AAseq"), (F.col("id") % 40).alias("Frequency"))
+    path = io.write_clonotypes(rows, str(tmp_path / "out"), "TRB", "CDR3")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        assert spark.read.text(path).rdd.getNumPartitions() > 4
+        got = sorted((r["place"], -r["Frequency"], r["AAseq"]) for r in io.read_clonotypes(spark, path, "AAseq string, Frequency long").collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [x[0] for x in got] == list(range(3000))
+    assert [x[1:] for x in got] == sorted(x[1:] for x in got)
