@@ -1,13 +1,15 @@
-"""Nucleotide sequences, qualities and cigars as Column expressions.
+"""Nucleotide sequences, qualities and cigars as Columns.
 
 Coordinates are 1-based and inclusive, as in SQL.  Null in, null out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,39 +76,44 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-#: Signs that have a hexadecimal digit of their own, and how many digits make a number.
-SIGNS, DIGITS = "ACGTNRYSWKMBDHV-", 15
-_ONES = int("1" * DIGITS, 16)
+#: Signs that a comparison holds at once.
+CELLS = 1 << 20
+
+
+def _aligned(a: list[str], b: list[str], n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows, and their texts' first ``n`` signs as arrays, with where they are; texts of like lengths go together, so that a long one doesn't widen the others."""
+    sizes = np.ceil(np.log2(np.maximum(n, 1))).astype(int)
+    for size in np.unique(sizes[n > 0]).tolist():
+        every = np.flatnonzero((sizes == size) & (n > 0))
+        for i in range(0, len(every), step := max(1, CELLS >> size)):
+            some = every[i : i + step]
+            width = int(n[some].max())
+            x, y = (np.array([t[k] for k in some.tolist()], dtype=f"U{width}").view(np.uint32).reshape(len(some), width) for t in (a, b))
+            yield some, x, y, np.arange(width) < n[some][:, None]
+
+
+def _lengths(a: pd.Series, b: pd.Series) -> tuple[list[str], list[str], np.ndarray, np.ndarray]:
+    """Both as texts, the shorter length of each two, and whether one is null."""
+    null = (a.isna() | b.isna()).to_numpy()
+    x, y = ([t if isinstance(t, str) else "" for t in s.tolist()] for s in (a, b))
+    return x, y, np.minimum(np.fromiter(map(len, x), int, len(x)), np.fromiter(map(len, y), int, len(y))), null
 
 
 def hamming(a: Column | str, b: Column | str, skip: int = 0) -> Column:
     """Places that differ, ``skip`` at either end left out, up to the shorter length.
 
-    Sequences of IUPAC's capitals are compared fifteen bases at a time, as numbers;
-    other signs one by one.
+    Whole Arrow batches are compared as arrays: higher-order functions are not compiled.
     """
-    a, b = _col(a), _col(b)
-    n = F.least(F.length(a), F.length(b)) - 2 * skip
-    inner = lambda x: F.substring(x, F.lit(skip + 1), n)
 
-    def number(digits: Column, i: Column) -> Column:
-        return F.conv(F.substring(digits, i * DIGITS + 1, F.lit(DIGITS)), 16, 10).cast("long")
+    @F.pandas_udf("int")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        x, y, n, null = _lengths(a, b)
+        out = np.zeros(len(x), np.int32)
+        for rows, u, v, inside in _aligned(x, y, np.maximum(0, n - skip)):
+            out[rows] = ((u != v) & inside)[:, skip:].sum(axis=1)
+        return pd.Series(pd.arrays.IntegerArray(out, null))
 
-    def step(x: Column, i: Column) -> Column:
-        return let(
-            number(x["a"], i).bitwiseXOR(number(x["b"], i)),
-            lambda d: F.bit_count(d.bitwiseOR(F.shiftright(d, 1)).bitwiseOR(F.shiftright(d, 2)).bitwiseOR(F.shiftright(d, 3)).bitwiseAND(F.lit(_ONES))),
-        )
-
-    def counted(x: Column) -> Column:
-        return F.aggregate(F.sequence(F.lit(0), F.floor((F.length(x["a"]) - 1) / DIGITS).cast("int")), F.lit(0), lambda s, i: s + step(x, i))
-
-    coded = lambda x: F.translate(inner(x), SIGNS, "0123456789abcdef")
-    packed = let(F.struct(coded(a).alias("a"), coded(b).alias("b")), counted)
-    signs = lambda x: F.split(inner(x), "")
-    plain = F.size(F.filter(F.zip_with(signs(a), signs(b), lambda x, y: x != y), lambda x: x))
-    other = f"[^{SIGNS}]"
-    return F.when(a.isNull() | b.isNull(), F.lit(None)).when(n <= 0, F.lit(0)).when(a.rlike(other) | b.rlike(other), plain).otherwise(packed)
+    return run(_col(a), _col(b))
 
 
 def phred_errors(qual: Column | str) -> Column:
@@ -117,10 +124,18 @@ def phred_errors(qual: Column | str) -> Column:
 
 def quality_max(a: Column | str, b: Column | str) -> Column:
     """The better sign at each place, up to the shorter length."""
-    a, b = _col(a), _col(b)
-    n = F.least(F.length(a), F.length(b))
-    better = F.transform(F.sequence(F.lit(1), n), lambda i: F.greatest(F.substring(a, i, F.lit(1)), F.substring(b, i, F.lit(1))))
-    return F.when(n >= 1, F.array_join(better, "")).when(n.isNotNull(), F.lit(""))
+
+    @F.pandas_udf("string")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        x, y, n, null = _lengths(a, b)
+        out = np.full(len(x), "", object)
+        for rows, u, v, inside in _aligned(x, y, n):
+            best = np.where(inside, np.maximum(u, v), 0).astype(np.uint32).view(f"U{u.shape[1]}")[:, 0].tolist()
+            out[rows] = [t.ljust(k, "\0") for t, k in zip(best, n[rows].tolist(), strict=True)]  # arrays drop these at the end
+        out[null] = None
+        return pd.Series(out, dtype=object)
+
+    return run(_col(a), _col(b))
 
 
 def first_bases(seq: Column | str, n: Column | int) -> Column:

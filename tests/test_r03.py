@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from clonespark.functions import dna
 from clonespark.operators import align, extend
 from clonespark.sources import io
 
@@ -38,3 +39,17 @@ def test_places_of_a_result_that_several_tasks_read(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert [x[0] for x in got] == list(range(3000))
     assert [x[1:] for x in got] == sorted(x[1:] for x in got)
+
+
+def test_signs_are_compared_without_lambdas(spark):
+    pairs = [("ACGT", "AGG"), ("", "A"), (None, "A"), ("é\0", "a\0b"), ("A" * 3_000_000, "C" * 2_000_001), ("NNac", "NXaC")]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string").select("i", "a", "b", dna.hamming("a", "b").alias("d"), dna.hamming("a", "b", 1).alias("d1"), dna.quality_max("a", "b").alias("q"))
+    assert "lambda" not in df._jdf.queryExecution().executedPlan().toString()
+    for r in df.collect():
+        a, b = r["a"], r["b"]
+        if a is None:
+            assert (r["d"], r["d1"], r["q"]) == (None, None, None)
+            continue
+        both = list(zip(a, b, strict=False))
+        assert r["d"] == sum(x != y for x, y in both) and r["d1"] == sum(x != y for x, y in both[1:-1])
+        assert r["q"] == "".join(max(x) for x in both)
