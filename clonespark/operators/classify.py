@@ -23,16 +23,20 @@ def with_segments(aln: DataFrame, segments: DataFrame) -> DataFrame:
     return told.where("s IS NOT NULL")
 
 
-def fits_segment(allowance: int) -> Column:
-    """Whether read and segment agree around the M run: mismatches within it
-    and beside it, up to a third of the bases beside it plus ``allowance``."""
+def misfit() -> Column:
+    """Mismatches of read and segment within the M run and beside it, above a third of the bases beside it."""
     lgt = F.col("t") - F.col("s")
     left = F.least("s", "pos") - 1
     right = F.greatest(F.lit(0), F.least(F.length("seq") - F.col("t"), F.length("ref") - OPEN_END - (F.col("pos") + lgt)))
     n = left + lgt + right + 1
     read = F.substring(F.col("seq"), F.col("s") - left, n)
     ref = F.substring(F.col("ref"), F.col("pos") - left, n)
-    return hamming(read, ref) <= F.floor((n - (lgt + 1)) / 3) + allowance
+    return hamming(read, ref) - F.floor((n - (lgt + 1)) / 3)
+
+
+def fits_segment(allowance: int) -> Column:
+    """Whether read and segment agree around the M run, up to ``allowance``."""
+    return misfit() <= allowance
 
 
 def assign_v(aln: DataFrame) -> DataFrame:
