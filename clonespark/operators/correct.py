@@ -11,11 +11,20 @@ many parts as the root's own reach asks for.  A part takes every (d + 1)-th
 base, so that none consists of the germline's constant ends alone.  Sequences
 are compared as packed numbers within the join; only neighbours leave it, each
 once.
+
+Where parts would be too short to tell sequences apart, nearly all pairs would
+meet, and more than once.  There blocks of both sides meet instead, and a task
+compares all pairs of two blocks as arrays of bits; blocks are of bounded size,
+and only neighbours become rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,13 +88,87 @@ def mismatches(x: str, y: str) -> Column:
     return out
 
 
+#: Bases of a part at least, for an equi-join; sequences of a block; pairs that a task compares at once, and neighbours in a batch at least.
+PART, BLOCK, CELLS, BATCH = 6, 4096, 1 << 15, 1 << 16
+
+
 def neighbours(left: DataFrame, right: DataFrame, most: int | None = None) -> DataFrame:
     """Pairs (sample_id, len, a, b, d) within ``most`` mismatches, ENDS left out.
 
-    ``left`` and ``right``: (sample_id, len, a) and (sample_id, len, b), distinct;
+    ``left`` and ``right``: (sample_id, len, a) and (sample_id, len, b), distinct, read several times;
     without ``most``, ``right`` has a column ``most`` for each of its rows.
     """
     right = right.select(*GROUP, "b", (F.col("most") if most is None else F.lit(most)).cast("int").alias("most"))
+    wide = F.col("len") - 2 * ENDS < PART * (F.col("most") + 1)
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    counts = right.groupBy(*GROUP).agg(F.count_if(wide).alias("wide"), F.count_if(~wide).alias("narrow")).join(left.groupBy(*GROUP).agg(F.count("*").alias("n")), GROUP)
+    sizes = cut(counts.select(*GROUP, "narrow", blocks("n").alias("x_blocks"), blocks("wide").alias("y_blocks")), "sizes")
+    told = sizes.agg(F.sum("narrow").alias("narrow"), F.sum(F.col("x_blocks").cast("long") * F.col("y_blocks")).alias("met")).first()
+    if not told["met"]:
+        return _by_parts(left, right)
+    met = _by_blocks(left, right.where(wide), sizes.where("y_blocks > 0"), told["met"])
+    return met.unionByName(_by_parts(left, right.where(~wide))) if told["narrow"] else met
+
+
+def _by_blocks(left: DataFrame, right: DataFrame, sizes: DataFrame, met: int) -> DataFrame:
+    """``neighbours`` by comparing all pairs; ``sizes``: (sample_id, len, x_blocks, y_blocks), ``met``: pairs of blocks."""
+    own = lambda df, name, n: df.join(sizes.select(*GROUP, "x_blocks", "y_blocks"), GROUP).withColumn("block", F.pmod(F.xxhash64(name), F.col(n)).cast("int"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    x = own(left.select(*GROUP, "a"), "a", "x_blocks").groupBy(*GROUP, F.col("block").alias("x_block"), "y_blocks").agg(F.collect_list("a").alias("xs"))
+    y = own(right, "b", "y_blocks").groupBy(*GROUP, F.col("block").alias("y_block"), "x_blocks").agg(F.collect_list("b").alias("ys"), F.collect_list("most").alias("mosts"))
+    x, y = x.withColumn("y_block", each("y_blocks")).drop("y_blocks"), y.withColumn("x_block", each("x_blocks")).drop("x_blocks")
+    # the work of a pair of blocks is large, however few its bytes: the number of tasks is given, a few pairs in each
+    keys = [*GROUP, "x_block", "y_block"]
+    tasks = min(met, max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-met // 8)))
+    pairs = x.repartition(tasks, *keys).join(y.repartition(tasks, *keys).hint("merge"), keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                sample, length = (batch.column(k)[i] for k in (0, 1))
+                xs, ys, mosts = (batch.column(k)[i].values for k in (2, 3, 4))
+                for a, b, d in _compared(xs.to_pylist(), ys.to_pylist(), mosts.to_numpy().astype(np.uint8)):
+                    columns = [pa.repeat(sample, len(d)), pa.repeat(length, len(d)), xs.take(pa.array(a)), ys.take(pa.array(b)), pa.array(d.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["sample_id", "len", "a", "b", "d"])
+
+    return pairs.select(*GROUP, "xs", "ys", "mosts").mapInArrow(run, "sample_id string, len int, a string, b string, d int")
+
+
+def _compared(xs: list[str], ys: list[str], mosts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(place in ``xs``, place in ``ys``, mismatches) of the pairs of one length within ``mosts`` of ``ys``, some at a time."""
+    length = len(xs[0])
+    letters = np.array(xs + ys, f"U{length}").view(np.uint32).reshape(-1, length)[:, ENDS : length - ENDS]
+    kinds = np.unique(letters)
+    letters = np.searchsorted(kinds, letters)
+    size = 4 if letters.shape[1] <= 32 else 8
+    # a letter's bits are apart: places differ where one of them does
+    planes = []
+    for bit in range(max(1, (len(kinds) - 1).bit_length())):
+        packed = np.packbits(letters >> bit & 1, axis=1)
+        planes.append(np.pad(packed, ((0, 0), (0, -packed.shape[1] % size))).view(f"u{size}"))
+    found: list[tuple[np.ndarray, ...]] = []
+    waiting, step = 0, max(1, CELLS // len(ys))
+    for i in range(0, len(xs), step):
+        wrong = np.uint8(0)
+        for word in range(planes[0].shape[1]):
+            differ = 0
+            for p in planes:
+                differ = differ | (p[i : min(i + step, len(xs)), word, None] ^ p[len(xs) :, word])
+            wrong = wrong + np.bitwise_count(differ)
+        at = np.flatnonzero(wrong <= mosts)
+        if len(at):
+            a, b = np.divmod(at, len(ys))
+            found.append((a + i, b, wrong.ravel()[at]))
+            waiting += len(at)
+        if waiting >= BATCH:
+            yield tuple(np.concatenate(c) for c in zip(*found, strict=True))
+            found, waiting = [], 0
+    if waiting:
+        yield tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _by_parts(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``neighbours`` by a join on equal parts; ``right`` has its ``most``."""
     inner = F.col("len") - 2 * ENDS
 
     def parts(seq: str) -> Column:
@@ -181,7 +264,7 @@ def rescues(told: DataFrame, rescue_quality: bool = True) -> DataFrame:
     """Those of the lowest band, in groups with a root, that have a good quality and no leaf or root near."""
     has_root = told.groupBy(*GROUP).agg(F.max("root").alias("any")).where("any").select(*GROUP)
     good = told.where("maybe").join(has_root, GROUP, "left_semi")
-    good = good.where(phred_errors("qual") < 1) if rescue_quality else good
+    good = cut(good.where(phred_errors("qual") < 1) if rescue_quality else good, "good")
     sure = told.where("leaf OR root").select(*GROUP, F.col("cdr3").alias("b"))
     close = neighbours(good.select(*GROUP, F.col("cdr3").alias("a")), sure, TO_NEAR).select(*GROUP, F.col("a").alias("cdr3")).distinct()
     return good.join(close, [*GROUP, "cdr3"], "left_anti")
