@@ -36,6 +36,8 @@ BAND = 12
 DROP = 30
 #: Bases after which most extensions have ended; the others are done again, whole.
 SOON = 40
+#: Bases of a seed, at most, for a table of all seeds (4 bytes each).
+TABLED = 10
 FAR = -(10**6)
 _BACK = str.maketrans("ACGTN", "TGCAN")
 _CODE = np.full(256, 4, np.uint8)
@@ -50,9 +52,15 @@ def coded(text: str) -> np.ndarray:
 def rolled(code: np.ndarray, k: int) -> np.ndarray:
     """The number of the k bases that start at each place, -1 if they aren't all known."""
     n = max(0, len(code) - k + 1)
-    out = np.zeros(n, np.int64)
-    for i in range(k):
-        out = 4 * out + code[i : i + n]
+    out, done, power, size = np.zeros(n, np.int64), 0, code.astype(np.int64), 1
+    # numbers of 1, 2, 4... bases, of which k's bits tell the parts
+    while done < k:
+        if k & size:
+            out = (out << 2 * size) + power[done : done + n]
+            done += size
+        if done < k:
+            power = (power[: max(0, len(power) - size)] << 2 * size) + power[size:]
+            size *= 2
     unknown = np.concatenate([[0], np.cumsum(code > 3)])
     return np.where(unknown[k : k + n] > unknown[:n], -1, out)
 
@@ -195,6 +203,20 @@ class Segments:
         self.words, self.first, self.count = np.unique(words[at], return_index=True, return_counts=True)
         self.segment = np.searchsorted(self.begin, at, "right") - 1
         self.place = at - self.begin[self.segment]
+        self.table: np.ndarray | None = None
+
+    def slots(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of the words that some segment has, where these are among ``self.words``)."""
+        if self.k > TABLED:
+            known = np.flatnonzero(words >= 0)
+            slot = np.minimum(np.searchsorted(self.words, words[known]), max(0, len(self.words) - 1))
+            return tuple(x[self.words[slot] == words[known]] for x in (known, slot)) if len(self.words) else (known[:0], slot[:0])
+        if self.table is None:  # made by each task's worker, not sent; the last place is that of unknown words, -1
+            self.table = np.full(4**self.k + 1, -1, np.int32)
+            self.table[self.words] = np.arange(len(self.words))
+        slot = self.table[words]
+        known = np.flatnonzero(slot >= 0)
+        return known, slot[known]
 
     def best(self, reads: list[str], min_score: int) -> dict[int, tuple]:
         """Read -> (score, segment, strand, [(shift, start, stop)]) of its best alignment.
@@ -210,9 +232,7 @@ class Segments:
         sides = np.concatenate([begin, (2 * len(fore) - begin - length)[::-1]])
         number = np.concatenate([2 * np.arange(n), 2 * np.arange(n)[::-1] + 1])
         words = rolled(code, k)
-        known = np.flatnonzero(words >= 0)
-        slot = np.minimum(np.searchsorted(self.words, words[known]), max(0, len(self.words) - 1))
-        known, slot = (x[self.words[slot] == words[known]] for x in (known, slot)) if len(self.words) else (known[:0], slot[:0])
+        known, slot = self.slots(words)
         count = self.count[slot]
         if n > 1 and count.sum() > HITS:
             half = n // 2
@@ -345,6 +365,10 @@ class Segments:
         s, q = seq, qual if isinstance(qual, str) else "G" * len(seq)
         if back:
             s, q = s.translate(_BACK)[::-1], q[::-1]
+        if len(parts) == 1 and score == (parts[0][2] - parts[0][1]) * MATCH:  # all bases agree
+            shift, x, y = parts[0]
+            cigar = f"{f'{x}S' if x else ''}{y - x}M{f'{len(s) - y}S' if y < len(s) else ''}"
+            return 16 if back else 0, self.names[segment], shift + x + 1, cigar, score, 0, s, q
         code, ref = coded(s), self.code[self.begin[segment] :]
         cigar, nm, before = "", 0, None
         for shift, x, y in parts:
@@ -445,7 +469,9 @@ def sample_stats(v_hits: DataFrame, j_hits: DataFrame | None = None, default_err
     """
     ops = cigar_ops("cigar")
     mapped = F.aggregate(F.filter(ops, lambda x: x["op"].isin("M", "I", "=", "X")), F.lit(0), lambda s, x: s + x["n"])
-    out = v_hits.groupBy("sample_id").agg(F.avg(F.length("seq")).alias("mean_length"), F.sum("nm").alias("nm"), F.sum(mapped).alias("mapped"))
+    # most hits have one of a few cigars: each is read once
+    alike = v_hits.groupBy("sample_id", "cigar").agg(F.count("*").alias("n"), F.count("seq").alias("seqs"), F.sum(F.length("seq")).alias("bases"), F.sum("nm").alias("nm"))
+    out = alike.groupBy("sample_id").agg(F.try_divide(F.sum("bases"), F.sum("seqs")).alias("mean_length"), F.sum("nm").alias("nm"), F.sum(mapped * F.col("n")).alias("mapped"))
     rate = F.when(F.col("nm").isNull(), F.lit(default_error_rate)).when(F.col("mapped") == 0, 0.0).otherwise(F.col("nm") / F.col("mapped"))
     out = out.select("sample_id", "mean_length", rate.alias("error_rate"))
     if j_hits is None:

@@ -31,8 +31,10 @@ def kmer_pool(reads: DataFrame, k: int, homopolymers: str = "ACGT") -> DataFrame
     if not 0 < k <= LONGEST_K:
         raise ValueError(f"k must be 1 to {LONGEST_K}")
     end = F.when(F.col("part") == "J", first_bases("seq", k + BESIDE)).otherwise(last_bases("seq", k + BESIDE))
-    words = reads.select("sample_id", F.explode(kmers(end, k)).alias("word")).where(~F.col("word").isin([b * k for b in homopolymers]))
-    return words.select("sample_id", packed("word").alias("kmer")).where("kmer IS NOT NULL").groupBy("sample_id", "kmer").agg(F.count("*").alias("n"))
+    # reads of one clone share their ends: each end is cut into k-mers once, and its reads are counted
+    ends = reads.groupBy("sample_id", end.alias("end")).agg(F.count("*").alias("times"))
+    words = ends.select("sample_id", "times", F.explode(kmers("end", k)).alias("word")).where(~F.col("word").isin([b * k for b in homopolymers]))
+    return words.select("sample_id", "times", packed("word").alias("kmer")).where("kmer IS NOT NULL").groupBy("sample_id", "kmer").agg(F.sum("times").alias("n"))
 
 
 def _dealt(df: DataFrame) -> DataFrame:
@@ -126,7 +128,8 @@ def rescue(reads: DataFrame, motif: Motif, k: int, compat: bool = False, max_len
     """All reads with a CDR3: those of the first pass, and those that have one
     after extension, by the chain's own inner anchors."""
     missing = reads.where("cdr3 IS NULL")
-    pool = kmer_pool(reads.where("part <> 'VJ'"), k, "G" if compat else "ACGT")
+    # stored, as both directions read it on both sides of a join
+    pool = cut(kmer_pool(reads.where("part <> 'VJ'"), k, "G" if compat else "ACGT"), "pool")
     again = extend(missing, pool, k, max_length).withColumn("m", find_cdr3("seq", "qual", motif))
     found = again.withColumn("cdr3", F.col("m.cdr3")).withColumn("cdr3_qual", F.col("m.qual")).drop("m")
     return reads.where("cdr3 IS NOT NULL").unionByName(found.where("cdr3 IS NOT NULL"))
