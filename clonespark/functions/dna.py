@@ -76,6 +76,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def once(**columns: Column) -> Column:
+    """Columns for ``select`` that are computed once: a later filter on them, which else is moved before them, would run a Python function again."""
+    return F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))).alias(*columns)
+
+
 #: Signs that a comparison holds at once.
 CELLS = 1 << 20
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clonespark.functions.dna import FILLED, cigar_span, hamming
+from clonespark.functions.dna import FILLED, cigar_span, hamming, once
 from clonespark.functions.motif import Motif
 from clonespark.operators.search import find_cdr3
 
@@ -13,6 +13,7 @@ from clonespark.operators.search import find_cdr3
 V_OVERHANG = 10
 #: Bases before a J hit at least; mismatches allowed beyond the share, for V and J; bases of a segment's end that aren't compared.
 J_LEAD, V_ALLOWANCE, J_ALLOWANCE, OPEN_END = 5, 3, 9, 9
+KEY = ["sample_id", "file_idx", "qname"]
 
 
 def with_segments(aln: DataFrame, segments: DataFrame) -> DataFrame:
@@ -39,25 +40,27 @@ def fits_segment(allowance: int) -> Column:
     return misfit() <= allowance
 
 
-def assign_v(aln: DataFrame) -> DataFrame:
+def _fitting(aln: DataFrame, seq: Column, qual: Column, name: str, allowance: int, motif: Motif | None) -> DataFrame:
+    """Reads that fit their segment; with a ``motif`` also ``m``, its match.  Both are told by one Python worker a task, as one step."""
+    found = {"over": misfit()} | ({"m": find_cdr3(seq, qual, motif)} if motif else {})
+    told = aln.select(*KEY, seq.alias("seq"), qual.alias("qual"), F.col("rname").alias(name), once(**found))
+    return told.where(F.col("over") <= allowance).drop("over")
+
+
+def assign_v(aln: DataFrame, motif: Motif | None = None) -> DataFrame:
     """V reads from the hit's start on.  Dropped: those that don't reach V_OVERHANG
     bases past the segment or don't fit it."""
     past = (F.length("ref") - F.col("pos")) - (F.length("seq") - F.col("s"))
-    kept = aln.where((past <= -V_OVERHANG) & fits_segment(V_ALLOWANCE))
     tail = lambda c: F.substring(F.col(c), F.col("s"), F.length(c))
-    return kept.select("sample_id", "file_idx", "qname", tail("seq").alias("seq"), tail("qual").alias("qual"), F.col("rname").alias("v"))
+    return _fitting(aln.where(past <= -V_OVERHANG), tail("seq"), tail("qual"), "v", V_ALLOWANCE, motif)
 
 
-def assign_j(aln: DataFrame) -> DataFrame:
+def assign_j(aln: DataFrame, motif: Motif | None = None) -> DataFrame:
     """J reads up to the segment's end; qualities of the hit are FILLED.
     Dropped: those with fewer than J_LEAD bases before the hit or that don't fit."""
-    kept = aln.where((F.col("s") - 1 >= J_LEAD) & fits_segment(J_ALLOWANCE))
     seq = F.substring(F.col("seq"), F.lit(1), F.least(F.length("seq"), F.col("s") + F.length("ref")))
     qual = F.concat(F.substring(F.col("qual"), F.lit(1), F.col("s") - 1), F.repeat(F.lit(FILLED), F.length("ref") - F.col("pos")))
-    return kept.select("sample_id", "file_idx", "qname", seq.alias("seq"), qual.alias("qual"), F.col("rname").alias("j"))
-
-
-KEY = ["sample_id", "file_idx", "qname"]
+    return _fitting(aln.where(F.col("s") - 1 >= J_LEAD), seq, qual, "j", J_ALLOWANCE, motif)
 
 
 def paired(v: DataFrame, j: DataFrame) -> DataFrame:
@@ -88,10 +91,11 @@ def classify(v: DataFrame, j: DataFrame, motif: Motif, stats: DataFrame) -> Data
     ``stats``: (sample_id, k).
     """
     none = F.lit(None).cast("string")
-    v_only = assign_v(alone(v, j)).withColumn("j", none).withColumn("part", F.lit("V"))
-    j_only = assign_j(alone(j, v)).withColumn("v", none).withColumn("part", F.lit("J"))
-    single = v_only.unionByName(j_only).join(stats, "sample_id").where(F.length("seq") > F.col("k"))
-    reads = single.unionByName(merged(v, j, stats)).where(~F.col("seq").contains("N"))
     # the first pass uses the same inner anchors for every chain
-    found = reads.withColumn("m", find_cdr3("seq", "qual", motif.first_pass())).where("m.able")
-    return found.select(*KEY, "part", "v", "j", "seq", "qual", F.col("m.cdr3").alias("cdr3"), F.col("m.qual").alias("cdr3_qual"), "k")
+    first = motif.first_pass()
+    v_only = assign_v(alone(v, j), first).withColumn("j", none).withColumn("part", F.lit("V"))
+    j_only = assign_j(alone(j, v), first).withColumn("v", none).withColumn("part", F.lit("J"))
+    single = v_only.unionByName(j_only).join(stats, "sample_id").where(F.length("seq") > F.col("k"))
+    both = merged(v, j, stats)
+    reads = single.unionByName(both.select("*", once(m=find_cdr3("seq", "qual", first)))).where(~F.col("seq").contains("N"))
+    return reads.where("m.able").select(*KEY, "part", "v", "j", "seq", "qual", F.col("m.cdr3").alias("cdr3"), F.col("m.qual").alias("cdr3_qual"), "k")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clonespark.functions.dna import FILLED, first_bases, kmers, last_bases, packed, ratio_ok, unpacked
+from clonespark.functions.dna import FILLED, first_bases, kmers, last_bases, once, packed, ratio_ok, unpacked
 from clonespark.functions.motif import Motif
 from clonespark.operators.search import find_cdr3
 from clonespark.staging import cut, drop
@@ -130,7 +130,7 @@ def rescue(reads: DataFrame, motif: Motif, k: int, compat: bool = False, max_len
     missing = reads.where("cdr3 IS NULL")
     # stored, as both directions read it on both sides of a join
     pool = cut(kmer_pool(reads.where("part <> 'VJ'"), k, "G" if compat else "ACGT"), "pool")
-    again = extend(missing, pool, k, max_length).withColumn("m", find_cdr3("seq", "qual", motif))
+    again = extend(missing, pool, k, max_length).select("*", once(m=find_cdr3("seq", "qual", motif)))
     found = again.withColumn("cdr3", F.col("m.cdr3")).withColumn("cdr3_qual", F.col("m.qual")).drop("m")
     return reads.where("cdr3 IS NOT NULL").unionByName(found.where("cdr3 IS NOT NULL"))
 

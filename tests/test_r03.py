@@ -7,7 +7,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from clonespark.functions import dna
-from clonespark.operators import align, correct, extend
+from clonespark.operators import align, classify, correct, extend
+from clonespark.plans.queries import MOTIF
 from clonespark.sources import io
 
 
@@ -100,3 +101,16 @@ def test_seeds_by_table_and_by_search(spark):
     for k in (1, 2, 5, 10, 13, 31):
         text = code.tolist()
         assert align.rolled(code, k).tolist() == [-1 if 4 in text[i : i + k] else sum(c * 4 ** (k - 1 - j) for j, c in enumerate(text[i : i + k])) for i in range(len(text) - k + 1)]
+
+
+def test_one_python_step_classifies_reads(spark):
+    ref, cdr3 = "ACGGTTCA" * 8 + "TATTTCTGCGCC", "GCAGACGAGTTCGGA"
+    rows = [("s", 1, str(i), "V1", 1, "76M", ref + cdr3 * (i % 2 + 1), "I" * 200) for i in range(20)] + [("s", 1, "x", "V1", 1, "76M", ref.translate(str.maketrans("ACGT", "CGTA")) + cdr3, "I" * 91)]
+    v = spark.createDataFrame(rows, "sample_id string, file_idx int, qname string, rname string, pos int, cigar string, seq string, qual string")
+    segments = spark.createDataFrame([("V1", ref)], "name string, seq string")
+    told = classify.classify(classify.with_segments(v, segments), classify.with_segments(v.where("false"), segments), MOTIF, spark.sql("SELECT 's' AS sample_id, 15 AS k"))
+    got = told.collect()
+    assert sorted(int(r.qname) for r in got) == list(range(20)) and {r.part for r in got} == {"V"}
+    alone = classify.assign_v(classify.with_segments(v, segments), MOTIF.first_pass())
+    plan = alone.where("m.able").select("qname", "m.cdr3")._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("ArrowEvalPython") == 1
