@@ -16,9 +16,11 @@ Method
    that has it, to buckets of the same kind.  An anchor that is crowded in some block
    would bring too many different segments to one bucket, so its windows are sent
    one by one, each to the bucket of its own hash.
-4. A bucket builds the run-length Burrows-Wheeler transform of its segments, with
+4. In a bucket, copies of a segment have its windows; a segment of which no other one
+   has a window, as their hashes tell, has no further match.  Of the other segments the bucket
+   builds the run-length Burrows-Wheeler transform, with
    text places sampled at the ends of runs, and with the least id of every interval of
-   rows that share ``length`` bytes.  All segments are streamed through it from right
+   rows that share ``length`` bytes.  They are streamed through it from right
    to left: a row follows its run, or jumps to the better one of the two next ends of
    runs of the wanted byte, which the common prefix with the sampled places decides.
    That gives each place's longest match and a row that has it; a match of ``length`` or more
@@ -379,6 +381,24 @@ def width_of(length: int) -> int:
     return -(-(2 * length - anchor_length(length) + 1) // 8) * 8
 
 
+def sharing(rows: np.ndarray, sizes: np.ndarray, length: int) -> np.ndarray:
+    """Of each text whether a window of it may be elsewhere, too: equal windows have equal hashes.  ``rows`` as for the index."""
+    out = np.zeros(len(rows), bool)
+    bits, width, hashes = np.uint64(max(1, len(rows).bit_length())), rows.shape[1], []
+    windows = sizes - length + 1
+    for lo in range(0, len(rows), max(1, _PIECE // width)):
+        some = slice(lo, lo + max(1, _PIECE // width))
+        nth = np.repeat(np.arange(len(rows[some])), windows[some])
+        held = _rolled(rows[some].ravel(), length)[nth * width + _upto(windows[some])]
+        hashes.append(held >> bits << bits | (nth + lo).astype(np.uint64))
+    if hashes:
+        held = np.sort(np.concatenate(hashes))
+        same = held[1:] >> bits == held[:-1] >> bits
+        nth = (held & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        out[nth[1:][same]] = out[nth[:-1][same]] = True
+    return out
+
+
 def marked(rows: np.ndarray, sizes: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
     """[text, window]: whether a text of a smaller id has the window."""
     out = np.zeros((len(rows), rows.shape[1]), bool)
@@ -526,7 +546,11 @@ def _judged(table: pa.Table, length: int) -> pa.Table:
     one, number = distinct(rows)
     least = np.full(len(one), np.iinfo(np.int64).max)
     np.minimum.at(least, number, ids)
-    marks = marked(rows[one], each[one], least, length)[number]
+    rows, sizes = rows[one], each[one]
+    twice = np.flatnonzero(sharing(rows, sizes, length))
+    marks = np.zeros(rows.shape, bool)
+    marks[twice] = marked(rows[twice], sizes[twice], least[twice], length)
+    marks = marks[number]
     marks[ids > least[number]] = True
     windows = each - length + 1
     chosen = marks[np.arange(marks.shape[1]) < windows[:, None]]

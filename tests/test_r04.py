@@ -2,9 +2,11 @@
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from clonespark.llm import suffix_dedup as sd
 from clonespark.llm import topk
 from clonespark.plans import queries
 
@@ -42,3 +44,31 @@ def test_queries_meet_rows_by_part_and_block(spark, monkeypatch, kinds):
     assert got == want
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "collect_list" not in plan
+
+
+def test_only_segments_that_share_windows_are_indexed(monkeypatch):
+    """Copies of a segment are marked without an index; parts of segments, and what has copies too, by it."""
+    draw = np.random.default_rng(5)
+    seen = []
+
+    class Index(sd.RunLengthIndex):
+        def __init__(self, rows, sizes, ids, length):
+            seen.append(len(rows))
+            super().__init__(rows, sizes, ids, length)
+
+    monkeypatch.setattr(sd, "RunLengthIndex", Index)
+    alone = [draw.integers(0, 255, draw.integers(50, 70), np.uint8).tobytes() for _ in range(300)]
+    whole = [draw.integers(0, 255, 70, np.uint8).tobytes() for _ in range(20)]
+    parts = [w[5:60] for w in whole] + [b"a" * 60, b"a" * 55]
+    blocks = [[(i, t) for i, t in enumerate(alone)] + [(900 + i, w) for i, w in enumerate(whole)], [(300 - i, t) for i, t in enumerate(alone)] + [(890 + 2 * i, p) for i, p in enumerate(parts)]]
+    sent = [sd.squeezed(np.array([len(t) for _, t in b], np.uint32), np.array([i for i, _ in b], np.int64), np.frombuffer(b"".join(t for _, t in b), np.uint8)) for b in blocks]
+    told = sd._judged(pa.table([[7, 7], [0, 1], pa.array([0, 0], pa.int32()), [len(b) for b in blocks], pa.array(sent, pa.binary())], schema=sd._SENT_TYPES), 50)
+    least = {}
+    for i, t in blocks[0] + blocks[1]:
+        for at in range(len(t) - 49):
+            least[t[at : at + 50]] = min(i, least.get(t[at : at + 50], i))
+    for b, data in zip(blocks, told["data"].to_pylist(), strict=True):
+        held = sd.stretched(data)
+        want = [least[t[at : at + 50]] < i for i, t in b for at in range(len(t) - 49)]
+        assert np.unpackbits(held[4 * len(b) :], count=len(want)).astype(bool).tolist() == want
+    assert seen == [42]
