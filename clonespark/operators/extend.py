@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clonespark.functions.dna import FILLED, first_bases, kmers, last_bases, once, packed, ratio_ok, unpacked
+from clonespark.functions.dna import FILLED, first_bases, last_bases, once, packed, ratio_ok, unpacked
 from clonespark.functions.motif import Motif
 from clonespark.operators.search import find_cdr3
 from clonespark.staging import cut, drop
@@ -33,35 +33,59 @@ def kmer_pool(reads: DataFrame, k: int, homopolymers: str = "ACGT") -> DataFrame
     end = F.when(F.col("part") == "J", first_bases("seq", k + BESIDE)).otherwise(last_bases("seq", k + BESIDE))
     # reads of one clone share their ends: each end is cut into k-mers once, and its reads are counted
     ends = reads.groupBy("sample_id", end.alias("end")).agg(F.count("*").alias("times"))
-    words = ends.select("sample_id", "times", F.explode(kmers("end", k)).alias("word")).where(~F.col("word").isin([b * k for b in homopolymers]))
-    return words.select("sample_id", "times", packed("word").alias("kmer")).where("kmer IS NOT NULL").groupBy("sample_id", "kmer").agg(F.sum("times").alias("n"))
+    n, w = F.length("end"), F.least(F.length("end"), F.lit(LONGEST_K))
+    told = ends.where(n >= k).select("*", n.alias("len"), w.alias("w"), packed(F.left("end", w)).alias("first"), packed(F.right("end", w)).alias("last"))
+    words = told.select("*", F.explode(F.sequence(F.lit(0), F.col("len") - k)).alias("i"))
+    # the numbers of an end's first and last bases hold those of its k-mers; where there are other letters, each k-mer is read
+    inside = lambda code, behind: F.call_function("shiftrightunsigned", F.col(code), 2 * behind).bitwiseAND(F.lit(_signed((1 << 2 * k) - 1)))
+    kmer = (
+        F.when(F.col("first").isNotNull() & (F.col("i") + k <= F.col("w")), inside("first", F.col("w") - k - F.col("i")))
+        .when(F.col("last").isNotNull() & (F.col("i") >= F.col("len") - F.col("w")), inside("last", F.col("len") - k - F.col("i")))
+        .otherwise(packed(F.substring("end", F.col("i") + 1, F.lit(k))))
+    )
+    runs = [_signed(int(str("ACGT".index(b)) * k, 4)) for b in homopolymers]
+    return words.select("sample_id", "times", kmer.alias("kmer")).where(F.col("kmer").isNotNull() & ~F.col("kmer").isin(runs)).groupBy("kmer", "sample_id").agg(F.sum("times").alias("n")).select("sample_id", "kmer", "n")
+
+
+def _signed(code: int) -> int:
+    return code - (1 << 64) if code >> 63 else code
 
 
 def _dealt(df: DataFrame) -> DataFrame:
     """``df``, never sent whole to the driver and every task: a table of k-mers grows with
-    the reads, and the size of its stored files, by which Spark judges, is a small part of its rows'."""
+    the reads, and the size of its stored files, by which Spark judges, is a small part of its rows'.  Joins name the k-mer
+    first: rows are sorted by it as a number, and names are compared for equal ones only."""
     return df.hint("merge")
 
 
-def _without_last(kmer: str, k: int) -> Column:
-    return F.shiftrightunsigned(kmer, 2).bitwiseAND(F.lit((1 << 2 * (k - 1)) - 1))
-
-
-def _without_first(kmer: str, k: int) -> Column:
-    return F.col(kmer).bitwiseAND(F.lit((1 << 2 * (k - 1)) - 1))
+def _neighbours(pool: DataFrame, k: int) -> DataFrame:
+    """(sample_id, right, kmer, next, base) of both directions: k-mers that share k - 1 bases are one group, of four
+    that end in them and four that begin with them at most, so that none is joined."""
+    shared = F.lit((1 << 2 * (k - 1)) - 1)
+    first, last = F.shiftrightunsigned("kmer", 2 * (k - 1)).bitwiseAND(F.lit(3)), F.col("kmer").bitwiseAND(F.lit(3))
+    ending = F.struct(F.col("kmer").bitwiseAND(shared).alias("overlap"), first.alias("which"))
+    beginning = F.struct(F.shiftrightunsigned("kmer", 2).bitwiseAND(shared).alias("overlap"), (last + 4).alias("which"))
+    sides = pool.select("sample_id", "n", F.inline(F.array(ending, beginning)))
+    groups = sides.groupBy("overlap", "sample_id").agg(*[F.sum(F.when(F.col("which") == i, F.col("n"))).alias(f"n{i}") for i in range(8)])
+    # each k-mer of a group with the counts of the four on its other side
+    counts = [F.when(F.col("i") < 4, F.col(f"n{4 + j}")).otherwise(F.col(f"n{j}")).alias(f"c{j}") for j in range(4)]
+    each = groups.select("*", F.posexplode(F.array(*[f"n{i}" for i in range(8)])).alias("i", "n")).where("n IS NOT NULL")
+    each = each.select("sample_id", "overlap", "n", (F.col("i") < 4).alias("right"), F.col("i").bitwiseAND(F.lit(3)).cast("long").alias("own"), once(**{f"c{j}": c for j, c in enumerate(counts)}))
+    longer = lambda base: F.shiftleft("overlap", 2).bitwiseOR(base)
+    led = lambda base: F.shiftleft(base, 2 * (k - 1)).bitwiseOR(F.col("overlap"))
+    # the most frequent one, the first base of several, as one number; a run of one base is its own neighbour
+    fit = [F.when(ratio_ok(F.col(f"c{j}"), F.col("n")) & ~((F.col("own") == j) & (led(F.col("own")) == longer(F.col("own")))), F.col(f"c{j}") * 4 + (3 - j)) for j in range(4)]
+    found = each.select("sample_id", "overlap", "right", "own", once(best=F.greatest(*[F.when(F.col(f"c{j}").isNotNull(), x) for j, x in enumerate(fit)]))).where("best IS NOT NULL")
+    found = found.select("sample_id", "overlap", "right", "own", (3 - F.col("best").bitwiseAND(F.lit(3))).alias("base"))
+    kmer, near = F.when(F.col("right"), led(F.col("own"))).otherwise(longer(F.col("own"))), F.when(F.col("right"), longer(F.col("base"))).otherwise(led(F.col("base")))
+    return found.select("sample_id", "right", kmer.alias("kmer"), near.alias("next"), "base")
 
 
 def successors(pool: DataFrame, k: int, right: bool = True) -> DataFrame:
     """(sample_id, kmer, next, base): the most frequent neighbour within ten
     times the k-mer's own count, other than itself; ties by base, A first.
     ``base``: 0 to 3 for A, C, G and T."""
-    leaving, coming = (_without_first, _without_last) if right else (_without_last, _without_first)
-    here = pool.withColumn("overlap", leaving("kmer", k))
-    there = pool.select("sample_id", F.col("kmer").alias("next"), F.col("n").alias("next_n")).withColumn("overlap", coming("next", k))
-    base = (F.col("next") if right else F.shiftrightunsigned("next", 2 * (k - 1))).bitwiseAND(F.lit(3))
-    pairs = here.join(_dealt(there), ["sample_id", "overlap"]).where(ratio_ok(F.col("next_n"), F.col("n")) & (F.col("next") != F.col("kmer")))
-    best = F.min(F.struct((-F.col("next_n")).alias("n"), base.alias("base"), "next")).alias("b")
-    return pairs.groupBy("sample_id", "kmer").agg(best).select("sample_id", "kmer", F.col("b.next").alias("next"), F.col("b.base").alias("base"))
+    return _neighbours(pool, k).where(F.col("right") == right).select("sample_id", "kmer", "next", "base")
 
 
 def jumps(succ: DataFrame) -> DataFrame:
@@ -75,7 +99,7 @@ def jumps(succ: DataFrame) -> DataFrame:
         n = F.coalesce("len2", F.lit(0))
         code = F.call_function("shiftleft", F.col("code"), 2 * n).bitwiseOR(F.coalesce("code2", F.lit(0).cast("long")))
         # walks that have ended are only carried on
-        longer = going.join(_dealt(on), ["sample_id", "next"], "left").select("sample_id", "kmer", F.col("next2").alias("next"), code.alias("code"), (F.col("len") + n).alias("len"))
+        longer = going.join(_dealt(on), ["next", "sample_id"], "left").select("sample_id", "kmer", F.col("next2").alias("next"), code.alias("code"), (F.col("len") + n).alias("len"))
         # each round reads the last one twice; without the cut the plan would double as well
         last, now = now, cut(longer.unionByName(now.where("next IS NULL")), "jumps")
         drop(last)
@@ -91,7 +115,7 @@ def paths(succ: DataFrame, steps: int = MAX_LENGTH, starts: DataFrame | None = N
     now = (table if starts is None else starts).select("sample_id", "kmer", F.col("kmer").alias("at"), F.lit("").alias("path"))
     for _ in range(-(-steps // JUMP)):
         more = F.coalesce(unpacked("code", F.col("len")), F.lit(""))
-        now = now.join(on, ["sample_id", "at"], "left").select("sample_id", "kmer", F.col("next").alias("at"), F.concat("path", more).alias("path"))
+        now = now.join(on, ["at", "sample_id"], "left").select("sample_id", "kmer", F.col("next").alias("at"), F.concat("path", more).alias("path"))
     return now.select("sample_id", "kmer", F.left("path", F.lit(steps)).alias("path"))
 
 
@@ -106,15 +130,15 @@ def extend(reads: DataFrame, pool: DataFrame, k: int, max_length: int = MAX_LENG
     def of(side: bool) -> Column:
         return F.struct("sample_id", F.lit(side).alias("right"))
 
-    steps = [successors(pool, k, right).withColumn("sample_id", of(right)) for right in (True, False)]
+    steps = _neighbours(pool, k).select(F.struct("sample_id", "right").alias("sample_id"), "kmer", "next", "base")
     right = F.col("part") != "J"
     end = F.when(F.length("seq") >= k, packed(F.when(right, last_bases("seq", k)).otherwise(first_bases("seq", k))))
     starts = reads.where(room > 0).select(F.when(right, of(True)).otherwise(of(False)).alias("sample_id"), end.alias("kmer")).where("kmer IS NOT NULL").distinct()
-    walks = cut(paths(steps[0].unionByName(steps[1]), max_length, starts), "walks")
+    walks = cut(paths(steps, max_length, starts), "walks")
 
     def side(part: DataFrame, right: bool) -> DataFrame:
         walk = walks.where(F.col("sample_id.right") == right).select(F.col("sample_id.sample_id").alias("sample_id"), "kmer", "path")
-        out = part.withColumn("kmer", end).join(_dealt(walk), ["sample_id", "kmer"], "left").withColumn("more", _grown(room))
+        out = part.withColumn("kmer", end).join(_dealt(walk), ["kmer", "sample_id"], "left").withColumn("more", _grown(room))
         new, filler = (F.col("more"), F.repeat(F.lit(FILLED), F.length("more"))) if right else (F.reverse("more"), F.repeat(F.lit(FILLED), F.length("more")))
         seq = F.concat("seq", new) if right else F.concat(new, "seq")
         padded = F.rpad(F.col("qual"), F.length("seq"), FILLED)
